@@ -1,2 +1,539 @@
+"""A query per operator over the driver's tables, and the DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalar
+from .operators import records, resistivity, seismic, stations
+from .plans import joins
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def seconds(c: str = "ts"):
+    """Seconds since 1970 of a timestamp without zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {c})") / 1e6
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings: seq, station, line, t (seconds), value, and a planar position."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("station"), F.col("event_type").alias("line"), seconds().alias("t"), "value", F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
+
+
+EV = "ev AS (SELECT event_id AS seq, user_id AS station, event_type AS line, epoch_us(ts) / 1e6 AS t, value, value AS x, (event_id % 100)::DOUBLE AS y FROM events)"
+
+
+def r6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query(f"WITH {EV} SELECT station, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS n FROM ev GROUP BY station")
+def station_means(spark, sf_dir):
+    return r6(stations.station_means(events(spark, sf_dir), "station", "value"), "mean", "std")
+
+
+@query(f"WITH {EV} SELECT seq, t, value FROM ev WHERE station = 7")
+def gather(spark, sf_dir):
+    return events(spark, sf_dir).where("station = 7").select("seq", "t", "value")
+
+
+@query("""WITH p AS (SELECT s_suppkey AS id, (s_suppkey % 40) * 5.0 AS x, (s_suppkey // 40) * 3.0 AS y FROM supplier WHERE s_suppkey % 11 <> 0),
+q AS (SELECT p_partkey AS id, (p_partkey % 100) * 2.0 AS x, (p_partkey // 100) * 2.0 AS y FROM part)
+SELECT l_orderkey, l_linenumber, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 6) AS "offset" FROM lineitem LEFT JOIN p ON p.id = l_suppkey LEFT JOIN q ON q.id = l_partkey""")
+def offsets_join(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 11 <> 0").selectExpr("s_suppkey AS id", "(s_suppkey % 40) * 5.0D AS x", "(s_suppkey div 40) * 3.0D AS y", "'source' AS role")
+    r = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "(p_partkey % 100) * 2.0D AS x", "(p_partkey div 100) * 2.0D AS y", "'receiver' AS role")
+    out = seismic.offsets(table(spark, sf_dir, "lineitem"), s.unionAll(r), "l_suppkey", "l_partkey")
+    return r6(out.select("l_orderkey", "l_linenumber", "offset"), "offset")
+
+
+@query("""SELECT s_suppkey AS line, i AS station, round(s_suppkey * 10 + i * 2.0 * sin(radians(s_suppkey * 7)), 6) AS x, round(s_nationkey * 5 + i * 2.0 * cos(radians(s_suppkey * 7)), 6) AS y
+FROM supplier, unnest(range(12)) AS t(i)""")
+def geometry_from_line(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("line"), "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(11)).cast("array<bigint>")).alias("station"))
+    a = F.radians(F.col("line") * 7)
+    return s.select("line", "station", F.round(F.col("line") * 10 + F.col("station") * 2.0 * F.sin(a), 6).alias("x"), F.round(F.col("s_nationkey") * 5 + F.col("station") * 2.0 * F.cos(a), 6).alias("y"))
+
+
+@query("""WITH p AS (SELECT 'source' AS role, s_acctbal AS x, s_suppkey::DOUBLE AS y FROM supplier UNION ALL SELECT 'station', c_acctbal, c_custkey::DOUBLE FROM customer)
+SELECT role, count(*) AS n, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM p GROUP BY role""")
+def geometry_merge_bounds(spark, sf_dir):
+    p = table(spark, sf_dir, "supplier").selectExpr("'source' AS role", "s_acctbal AS x", "double(s_suppkey) AS y").unionByName(table(spark, sf_dir, "customer").selectExpr("'station' AS role", "c_acctbal AS x", "double(c_custkey) AS y"))
+    return p.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+
+
+@query(f"WITH {EV} SELECT line, count(*) AS n FROM ev WHERE upper(line) IN ('CLICK', 'PURCHASE', 'VIEW') GROUP BY line")
+def require_status(spark, sf_dir):
+    return events(spark, sf_dir).where(F.upper("line").isin("CLICK", "PURCHASE", "VIEW")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {EV}, f AS (SELECT *, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0, row_number() OVER w AS k FROM ev WINDOW w AS (PARTITION BY station ORDER BY seq))
+SELECT station, seq, round(sqrt((x - x0) ** 2 + (y - y0) ** 2), 6) AS distance FROM f WHERE k > 1""")
+def duplicates_first(spark, sf_dir):
+    e = events(spark, sf_dir)
+    first = e.groupBy("station").agg(F.min_by(F.struct("seq", "x", "y"), "seq").alias("f"))
+    d = joins.distance(F.col("x"), F.col("y"), F.col("f.x"), F.col("f.y"))
+    return r6(e.join(first, "station").where("seq > f.seq").select("station", "seq", d.alias("distance")), "distance")
+
+
+@query("""WITH p AS (SELECT c_custkey AS seq, c_nationkey AS name, (c_custkey * 37 % 1000)::DOUBLE AS x, (c_custkey * 91 % 1009)::DOUBLE AS y FROM customer)
+SELECT a.seq AS seq1, b.seq AS seq2, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance FROM p a JOIN p b ON a.seq < b.seq AND a.name <> b.name AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 12""")
+def coincident_pairs(spark, sf_dir):
+    p = table(spark, sf_dir, "customer").selectExpr("c_custkey AS seq", "c_nationkey AS name", "double(c_custkey * 37 % 1000) AS x", "double(c_custkey * 91 % 1009) AS y")
+    return r6(joins.proximity_pairs(p, "seq", "x", "y", 12.0, differ="name"), "distance")
+
+
+@query(f"WITH {EV} SELECT station, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(stddev_samp(value), 6) AS std, count(*) AS n FROM ev GROUP BY station")
+def mean_positions(spark, sf_dir):
+    out = events(spark, sf_dir).groupBy("station").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n"))
+    return r6(out, "x", "y", "std")
+
+
+OCC = "occ AS (SELECT seq AS w, station AS name, t - 30 AS t0, t + 60 AS t1 FROM ev WHERE seq % 7 = 0)"
+MATCH = "m AS (SELECT ev.seq, min(w) AS w FROM ev LEFT JOIN occ ON t BETWEEN t0 - 90 AND t1 + 90 GROUP BY ev.seq)"
+
+
+def matched(spark, sf_dir):
+    e = events(spark, sf_dir)
+    occ = e.where("seq % 7 = 0").selectExpr("seq AS w", "station AS name", "t - 30 AS t0", "t + 60 AS t1")
+    return joins.interval_match(e, occ, "t", "t0", "t1", "w", width=300.0, tolerance=90.0, point_key="seq")
+
+
+@query(f"WITH {EV}, {OCC}, {MATCH} SELECT seq, w FROM m")
+def match_occupations(spark, sf_dir):
+    return matched(spark, sf_dir).select("seq", "w")
+
+
+@query(f"WITH {EV}, {OCC}, {MATCH} SELECT m.seq, ev.station = occ.name AS name_agrees FROM m JOIN ev USING (seq) LEFT JOIN occ USING (w)")
+def name_agrees(spark, sf_dir):
+    return matched(spark, sf_dir).select("seq", (F.col("station") == F.col("name")).alias("name_agrees"))
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey IS NOT NULL)")
+def attach_missing(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id").distinct().join(table(spark, sf_dir, "supplier"), F.col("user_id") == F.col("s_suppkey"), "left_anti")
+
+
+@query("WITH b AS (SELECT avg(s_acctbal) AS dx, min(s_acctbal) AS dy FROM supplier WHERE s_nationkey = 3) SELECT s_suppkey, round(s_acctbal + dx - 10, 6) AS x, round(s_nationkey + dy, 6) AS y FROM supplier, b")
+def base_shift(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    b = s.where("s_nationkey = 3").agg(F.avg("s_acctbal").alias("dx"), F.min("s_acctbal").alias("dy"))
+    return s.crossJoin(F.broadcast(b)).select("s_suppkey", F.round(F.col("s_acctbal") + F.col("dx") - 10, 6).alias("x"), F.round(F.col("s_nationkey") + F.col("dy"), 6).alias("y"))
+
+
+def drift_sql(x: str) -> str:
+    return f"""WITH {EV}, knots AS (SELECT {x} AS x0, value AS y0, lead({x}) OVER (ORDER BY {x}) AS x1, lead(value) OVER (ORDER BY {x}) AS y1 FROM ev WHERE station = 1),
+e AS (SELECT min(x0) AS lo, max(x0) AS hi, arg_min(y0, x0) AS ylo, arg_max(y0, x0) AS yhi FROM knots)
+SELECT seq, round(value - (CASE WHEN {x} <= lo THEN ylo WHEN {x} >= hi THEN yhi ELSE y0 + (y1 - y0) * ({x} - x0) / (x1 - x0) END - ylo), 6) AS corrected
+FROM ev CROSS JOIN e LEFT JOIN knots ON {x} >= x0 AND {x} < x1"""
+
+
+@query(drift_sql("t"))
+def diurnal_time(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return r6(stations.drift_corrected(e, e.where("station = 1"), "t", "value", 40000.0).select("seq", "corrected"), "corrected")
+
+
+@query(drift_sql("seq"))
+def diurnal_order(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return r6(stations.drift_corrected(e, e.where("station = 1"), "seq", "value", 150.0).select("seq", "corrected"), "corrected")
+
+
+@query(f"""WITH {EV}, c AS (SELECT seq, station, t - floor(t / 86400) * 86400 AS s FROM ev), b AS (SELECT *, CASE WHEN s < lag(s) OVER (PARTITION BY station ORDER BY seq) THEN 1 ELSE 0 END AS k FROM c)
+SELECT seq, (sum(k) OVER (PARTITION BY station ORDER BY seq))::BIGINT AS day FROM b""")
+def midnight_rollover(spark, sf_dir):
+    c = events(spark, sf_dir).withColumn("s", F.col("t") - F.floor(F.col("t") / 86400) * 86400)
+    return stations.midnight_rollover(c, "station", "seq", "s").select("seq", F.col("day").cast("long").alias("day"))
+
+
+SESSION = """g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY station ORDER BY t) > 21600 THEN 1 ELSE 0 END AS k FROM ev),
+s AS (SELECT *, (sum(k) OVER (PARTITION BY station ORDER BY t))::BIGINT AS session FROM g)"""
+
+
+@query(f"""WITH {EV}, {SESSION} SELECT station, session, count(*) AS files, string_agg(DISTINCT line, ',' ORDER BY line) AS nodes, min(t) AS "first", max(t) AS "last" FROM s GROUP BY station, session""")
+def group_deployments(spark, sf_dir):
+    d = records.deployments(events(spark, sf_dir), "station", "t", "line", 21600.0)
+    return d.withColumn("session", F.col("session").cast("long"))
+
+
+@query(f"""WITH {EV}, v AS (SELECT line, t, CASE WHEN value > 50 THEN value END AS value FROM ev)
+SELECT line, round(avg((value IS NOT NULL)::INT), 6) AS coverage, count(value) AS n, min(t) FILTER (WHERE value IS NOT NULL) AS "first", max(t) FILTER (WHERE value IS NOT NULL) AS "last", round(stddev_pop(value), 6) AS std, round(max(abs(value)), 6) AS largest FROM v GROUP BY line""")
+def node_coverage(spark, sf_dir):
+    v = events(spark, sf_dir).withColumn("value", F.when(F.col("value") > 50, F.col("value")))
+    return r6(records.coverage(v, "line", "t", "value"), "coverage", "std", "largest")
+
+
+@query(f"""WITH {EV}, n AS (SELECT count(DISTINCT line) AS k FROM ev), f AS (SELECT floor(t / 3600)::BIGINT AS h FROM ev GROUP BY h HAVING count(DISTINCT line) = (SELECT k FROM n)),
+i AS (SELECT h, h - row_number() OVER (ORDER BY h) AS g FROM f)
+SELECT min(h) AS "first", max(h) AS "last", count(*) AS length FROM i GROUP BY g ORDER BY length DESC, "first" LIMIT 1""")
+def common_window(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("h", F.floor(F.col("t") / 3600))
+    return records.common_window(e, "h", "line", e.select(F.count_distinct("line")).first()[0])
+
+
+@query(f"""WITH {EV}, {SESSION}, d AS (SELECT station, session, min(t) AS t0, max(t) AS t1 FROM s GROUP BY station, session), l AS (SELECT DISTINCT floor(t / 86400)::BIGINT AS day FROM ev)
+SELECT station, session, day FROM d JOIN l ON t1 > day * 86400 + 28800 AND t0 < day * 86400 + 64800""")
+def layout_overlap(spark, sf_dir):
+    e = events(spark, sf_dir)
+    d = records.deployments(e, "station", "t", "line", 21600.0).select("station", F.col("session").cast("long").alias("session"), F.col("first").alias("t0"), F.col("last").alias("t1"))
+    l = e.select(F.floor(F.col("t") / 86400).alias("day")).distinct().selectExpr("day", "day * 86400 + 28800D AS u0", "day * 86400 + 64800D AS u1")
+    return joins.overlap_join(d, l, ("t0", "t1"), ("u0", "u1"), 43200.0).select("station", "session", "day")
+
+
+@query(f"""WITH {EV}, m AS (SELECT station, quantile_cont(value, 0.5) AS median FROM ev GROUP BY station)
+SELECT station, round(median, 6) AS median, round(1.4826 * quantile_cont(abs(value - median), 0.5), 6) AS scatter FROM ev JOIN m USING (station) GROUP BY station, median""")
+def gps_scatter_mad(spark, sf_dir):
+    return r6(stations.median_and_mad(events(spark, sf_dir), "station", "value"), "median", "scatter")
+
+
+@query(f"""WITH {EV}, d AS (SELECT line, value, value - lag(value) OVER (PARTITION BY line, station ORDER BY seq) AS d FROM ev),
+m AS (SELECT line, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.95) - quantile_cont(value, 0.05) AS spread, quantile_cont(d, 0.5) AS m FROM d GROUP BY line)
+SELECT line, round(median, 6) AS median, round(spread, 6) AS spread, round(1.4826 * quantile_cont(abs(d - m), 0.5) / sqrt(2), 6) AS noise FROM d JOIN m USING (line) GROUP BY line, median, spread""")
+def noise_table(spark, sf_dir):
+    return r6(stations.noise(events(spark, sf_dir), "station", "line", "seq", "value"), "median", "spread", "noise")
+
+
+@query(f"""WITH {EV}, r AS (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY line ORDER BY seq ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS running, value - lag(value) OVER (ORDER BY line, seq) AS d FROM ev),
+m AS (SELECT quantile_cont(d, 0.5) AS m FROM r), s AS (SELECT 1.4826 * quantile_cont(abs(d - m), 0.5) / sqrt(2) AS sigma FROM r, m)
+SELECT seq, round(running, 6) AS running, abs(value - running) > 1.5 * sigma AS spike FROM r, s""")
+def despike(spark, sf_dir):
+    return r6(stations.despike(events(spark, sf_dir), "line", "seq", "value", threshold=1.5).select("seq", "running", "spike"), "running")
+
+
+@query(f"""WITH {EV}, l AS (SELECT line, quantile_cont(value, 0.5) AS l FROM ev GROUP BY line), g AS (SELECT quantile_cont(value, 0.5) AS g FROM ev)
+SELECT seq, round(value - (l - g), 6) AS levelled FROM ev JOIN l USING (line), g""")
+def level_lines(spark, sf_dir):
+    return r6(stations.level_lines(events(spark, sf_dir), "line", "value").select("seq", "levelled"), "levelled")
+
+
+@query(f"""WITH {EV}, m AS (SELECT line, quantile_cont(value, 0.5) FILTER (WHERE station % 2 = 0) AS f, quantile_cont(value, 0.5) FILTER (WHERE station % 2 <> 0) AS r FROM ev GROUP BY line)
+SELECT line, round(f, 6) AS forward, round(r, 6) AS reverse, round(f - r, 6) AS difference FROM m""")
+def heading_check(spark, sf_dir):
+    return r6(stations.heading_medians(events(spark, sf_dir), "line", F.col("station") % 2 == 0, "value"), "forward", "reverse", "difference")
+
+
+STEP = "st AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step FROM ev WINDOW w AS (PARTITION BY station ORDER BY seq))"
+
+
+@query(f"""WITH {EV}, {STEP}, a AS (SELECT station, count(*) AS samples, max(t) - min(t) AS duration, coalesce(sum(step), 0) AS length, quantile_cont(step, 0.5) AS median_step FROM st GROUP BY station)
+SELECT station, samples, round(duration, 6) AS duration, round(length, 6) AS length, round(median_step, 6) AS median_step, CASE WHEN duration > 0 THEN round(length / duration, 9) END AS speed FROM a""")
+def track_summary(spark, sf_dir):
+    out = stations.track_summary(events(spark, sf_dir), "station", "seq", "x", "y", "t").withColumn("speed", F.round("speed", 9))
+    return r6(out, "duration", "length", "median_step")
+
+
+@query(f"WITH {EV}, {STEP} SELECT seq, round(sum(coalesce(step, 0)) OVER (PARTITION BY station ORDER BY seq), 6) AS distance FROM st")
+def add_distance_path(spark, sf_dir):
+    return r6(stations.path_distance(events(spark, sf_dir), "station", "seq", "x", "y").select("seq", "distance"), "distance")
+
+
+@query(f"""WITH {EV}, f AS (SELECT station, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS a, arg_min(x, seq) AS x0, arg_min(y, seq) AS y0, arg_max(x, seq) AS x1, arg_max(y, seq) AS y1 FROM ev GROUP BY station),
+u AS (SELECT *, cos(a) * s AS ux, sin(a) * s AS uy FROM (SELECT *, CASE WHEN (x1 - x0) * cos(a) + (y1 - y0) * sin(a) < 0 THEN -1.0 ELSE 1.0 END AS s FROM f))
+SELECT seq, round((x - x0) * ux + (y - y0) * uy, 6) AS along, round((x - mx) * uy - (y - my) * ux, 6) AS "offset" FROM ev JOIN u USING (station)""")
+def add_distance_line(spark, sf_dir):
+    return r6(stations.line_distance(events(spark, sf_dir), "station", "seq", "x", "y").select("seq", "along", "offset"), "along", "offset")
+
+
+@query(f"WITH {EV}, h AS (SELECT *, radians(station % 360) AS h FROM ev) SELECT seq, round(x - (1.5 * sin(h) + 0.5 * cos(h)), 6) AS sensor_x, round(y - (1.5 * cos(h) - 0.5 * sin(h)), 6) AS sensor_y FROM h")
+def gps_layback(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("heading", F.col("station") % 360)
+    return r6(stations.layback(e, "x", "y", "heading", 1.5, 0.5).select("seq", "sensor_x", "sensor_y"), "sensor_x", "sensor_y")
+
+
+@query(f"""WITH {EV}, z AS (SELECT seq, value, (seq % 30) / 20.0 / 1.66 AS z FROM ev)
+SELECT seq, round(1000 * value * 1e-6 * 4 / (2 * pi() * 18030 * 4e-7 * pi() * 1.66 * 1.66 / sqrt(4 * z * z + 1)), 6) AS hcp, round(1000 * value * 1e-6 * 4 / (2 * pi() * 18030 * 4e-7 * pi() * 1.66 * 1.66 * (sqrt(4 * z * z + 1) - 2 * z)), 6) AS vcp FROM z""")
+def lin_conductivity(spark, sf_dir):
+    e, h = events(spark, sf_dir), F.col("seq") % 30 / 20.0
+    return e.select("seq", *[F.round(1000 * scalar.lin_conductivity(F.col("value"), 18030.0, 1.66, h, o), 6).alias(o.lower()) for o in ("HCP", "VCP")])
+
+
+@query(f"WITH {EV} SELECT station, arg_min(line, seq) AS line, round(avg(value), 6) AS value, max(y) AS y, count(*) AS occupations FROM ev GROUP BY station")
+def per_station_collapse(spark, sf_dir):
+    return r6(stations.collapse_repeats(events(spark, sf_dir), "station", "seq", ["line"], ["value"], ["y"]), "value")
+
+
+@query(f"WITH {EV} SELECT seq, round(value - (SELECT quantile_cont(value, 0.5) FROM ev), 6) AS anomaly FROM ev")
+def remove_regional(spark, sf_dir):
+    return r6(stations.remove_regional(events(spark, sf_dir), "value").select("seq", "anomaly"), "anomaly")
+
+
+@query(f"WITH {EV} SELECT station, coalesce(stddev_samp(value) > 30, false) AS noisy FROM ev GROUP BY station")
+def flag_noisy(spark, sf_dir):
+    return stations.flag_noisy(stations.station_means(events(spark, sf_dir), "station", "value"), "std", 30.0).select("station", "noisy")
+
+
+SCHEME = "sc AS (SELECT s + d AS a, s AS b, s + d + k * d AS m, s + 2 * d + k * d AS n FROM range(40) x(s), range(1, 4) y(d), range(1, 7) z(k) WHERE s + 2 * d + k * d < 40)"
+PARTIAL = "pa AS (SELECT a, CASE WHEN (a + n) % 13 = 0 THEN NULL ELSE b END AS b, m, n FROM sc WHERE (3 * a + 5 * n + m) % 7 <> 0)"
+
+
+def scheme(spark) -> DataFrame:
+    return resistivity.dipole_dipole(spark, 40, 6, 3)
+
+
+def partial_scheme(spark) -> DataFrame:
+    """The scheme without some readings, some with a remote electrode."""
+    return scheme(spark).where("(3 * a + 5 * n + m) % 7 <> 0").withColumn("b", F.when((F.col("a") + F.col("n")) % 13 != 0, F.col("b")))
+
+
+def longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+@query(f"WITH {SCHEME} SELECT a::BIGINT AS a, b::BIGINT AS b, m::BIGINT AS m, n::BIGINT AS n FROM sc")
+def dipole_dipole_scheme(spark, sf_dir):
+    return longs(scheme(spark), *"abmn")
+
+
+DIST = "di AS (SELECT a, b, m, n, abs(a - m) * 2.0 AS am, abs(b - m) * 2.0 AS bm, abs(a - n) * 2.0 AS an, abs(b - n) * 2.0 AS bn FROM pa)"
+
+
+@query(f"""WITH {SCHEME}, {PARTIAL}, {DIST}, t AS (SELECT *, coalesce(1 / am, 0) - coalesce(1 / bm, 0) - coalesce(1 / an, 0) + coalesce(1 / bn, 0) AS s FROM di)
+SELECT a::BIGINT AS a, b::BIGINT AS b, m::BIGINT AS m, n::BIGINT AS n, round(2 * pi() / s, 6) AS k, round(2.0 * (a + coalesce(b, 0) + m + n) / CASE WHEN b IS NULL THEN 3 ELSE 4 END, 6) AS x FROM t""")
+def geometric_factor(spark, sf_dir):
+    return r6(longs(resistivity.with_geometry(partial_scheme(spark), 2.0), *"abmn").select(*"abmn", "k", "x"), "k", "x")
+
+
+@query(f"""WITH RECURSIVE {SCHEME}, {PARTIAL}, {DIST}, t AS (SELECT *, coalesce(1 / am, 0) - coalesce(1 / bm, 0) - coalesce(1 / an, 0) + coalesce(1 / bn, 0) AS s FROM di),
+f AS (SELECT a, b, m, n, am, bm, an, bn, s, 0 AS i, 0.0::DOUBLE AS lo, (10 * greatest(am, coalesce(bm, 0), an, coalesce(bn, 0)))::DOUBLE AS hi FROM t
+ UNION ALL SELECT a, b, m, n, am, bm, an, bn, s, i + 1, CASE WHEN q < 0.5 THEN mid ELSE lo END, CASE WHEN q < 0.5 THEN hi ELSE mid END FROM (
+  SELECT *, (coalesce(1 / am - 1 / sqrt(am * am + 4 * mid * mid), 0) - coalesce(1 / bm - 1 / sqrt(bm * bm + 4 * mid * mid), 0) - coalesce(1 / an - 1 / sqrt(an * an + 4 * mid * mid), 0) + coalesce(1 / bn - 1 / sqrt(bn * bn + 4 * mid * mid), 0)) / s AS q
+  FROM (SELECT *, (lo + hi) / 2 AS mid FROM f WHERE i < 60)))
+SELECT a::BIGINT AS a, b::BIGINT AS b, m::BIGINT AS m, n::BIGINT AS n, round((lo + hi) / 2, 6) AS depth FROM f WHERE i = 60""")
+def median_depth(spark, sf_dir):
+    return r6(longs(resistivity.with_geometry(partial_scheme(spark), 2.0), *"abmn").select(*"abmn", "depth"), "depth")
+
+
+CONF = "cf AS (SELECT least(a, b, m, n) AS st, a - least(a, b, m, n) AS oa, b - least(a, b, m, n) AS ob, m - least(a, b, m, n) AS om, n - least(a, b, m, n) AS o_n FROM pa)"
+
+
+@query(f"""WITH {SCHEME}, {PARTIAL}, {CONF}, g AS (SELECT oa || '-' || coalesce(ob::VARCHAR, 'R') || '-' || om || '-' || o_n AS code, greatest(oa, coalesce(ob, 0), om, o_n) AS reach, count(DISTINCT st) AS measured FROM cf GROUP BY ALL)
+SELECT code, measured, greatest(40 - reach, 0)::BIGINT AS possible, (greatest(40 - reach, 0) - measured)::BIGINT AS missing FROM g""")
+def ert_coverage(spark, sf_dir):
+    return resistivity.coverage(partial_scheme(spark), 40)
+
+
+@query(f"""WITH {SCHEME}, {PARTIAL}, {CONF}, c AS (SELECT DISTINCT oa, ob, om, o_n FROM cf), e AS (SELECT oa, ob, om, o_n, s AS st FROM c, range(40) x(s) WHERE s + greatest(oa, coalesce(ob, 0), om, o_n) < 40),
+g AS (SELECT * FROM e EXCEPT SELECT oa, ob, om, o_n, st FROM cf)
+SELECT (st + oa)::BIGINT AS a, (st + ob)::BIGINT AS b, (st + om)::BIGINT AS m, (st + o_n)::BIGINT AS n FROM g""")
+def ert_missing(spark, sf_dir):
+    full = partial_scheme(spark)
+    whole = resistivity.missing(full.where("b IS NOT NULL"), 40)
+    remote = resistivity.missing(full.where("b IS NULL").withColumn("b", F.col("a")), 40).withColumn("b", F.lit(None).cast("int"))  # arrays compare with a stand-in
+    return longs(whole.unionByName(remote), *"abmn")
+
+
+@query(f"WITH {SCHEME}, {PARTIAL} SELECT (a - 8)::BIGINT AS a, (b - 8)::BIGINT AS b, (m - 8)::BIGINT AS m, (n - 8)::BIGINT AS n FROM pa WHERE a BETWEEN 8 AND 27 AND (b IS NULL OR b BETWEEN 8 AND 27) AND m BETWEEN 8 AND 27 AND n BETWEEN 8 AND 27")
+def ert_trim(spark, sf_dir):
+    return longs(resistivity.trim(partial_scheme(spark), 8, 20), *"abmn")
+
+
+@query("""SELECT l_suppkey % 25 AS a, l_linenumber AS b, l_returnflag AS m, l_linestatus AS n, round(exp(avg(ln(l_extendedprice))), 6) AS geometric, count(*) AS count, round(stddev_samp(ln(l_extendedprice)), 6) AS std_ln, round(avg(l_extendedprice), 4) AS mean,
+round(quantile_cont(l_extendedprice, 0.5), 6) AS median, min(l_extendedprice) AS least FROM lineitem WHERE l_extendedprice > 0 GROUP BY ALL""")
+def crp_group(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 25 AS a", "l_linenumber AS b", "l_returnflag AS m", "l_linestatus AS n", "l_extendedprice")
+    out = resistivity.grouped(l.withColumnRenamed("n", "q"), ["a", "b", "m", "q"], "l_extendedprice").withColumnRenamed("n", "count").withColumnRenamed("q", "n")
+    return r6(out, "geometric", "std_ln", "median").withColumn("mean", F.round("mean", 4))
+
+
+@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS i, round_even((l_suppkey % 60) / 1.0, 0)::BIGINT AS s, round_even((l_partkey % 60) / 1.0, 0)::BIGINT AS r, l_quantity / 1000 AS t FROM lineitem WHERE l_suppkey % 60 <> l_partkey % 60)
+SELECT x.i, y.i AS j, round(y.t - x.t, 6) AS dt FROM t x JOIN t y ON x.s = y.r AND x.r = y.s AND x.i < y.i""")
+def reciprocity(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS i", "double(l_suppkey % 60) AS s", "double(l_partkey % 60) AS r", "l_quantity / 1000 AS t")
+    return r6(seismic.reciprocity(l, "i", "s", "r", "t", 1.0), "dt")
+
+
+@query("""WITH u AS (SELECT l_quantity AS d, l_quantity / l_tax AS v FROM lineitem WHERE l_quantity > 0 AND l_tax > 0), c AS (SELECT quantile_cont(d, 0.1) AS near, quantile_cont(d, 0.9) AS far FROM u)
+SELECT round(quantile_cont(v, 0.5) FILTER (WHERE d <= near), 6) AS v_top, round(quantile_cont(v, 0.5) FILTER (WHERE d >= far), 6) AS v_bottom FROM u, c""")
+def apparent_gradient(spark, sf_dir):
+    return r6(seismic.apparent_gradient(table(spark, sf_dir, "lineitem"), "l_quantity", "l_tax"), "v_top", "v_bottom")
+
+
+LAYERS = "la AS (SELECT s_suppkey AS model, i AS layer, 300.0 * (i + 1) + s_suppkey * 3 + CASE WHEN i = 2 THEN s_nationkey * 20 ELSE 0 END AS v, 2.0 + i * 3 + s_nationkey * 0.1 AS h FROM supplier, unnest(range(4)) t(i))"
+INTERCEPT = """ic AS (SELECT l.model, l.layer, l.v, CASE WHEN l.layer = 0 THEN 0.0 WHEN bool_and(l.v > u.v) THEN sum(2 * u.h * sqrt(greatest(l.v * l.v - u.v * u.v, 0)) / (u.v * l.v)) END AS intercept
+FROM la l LEFT JOIN la u ON u.model = l.model AND u.layer < l.layer GROUP BY l.model, l.layer, l.v)"""
+
+
+def layers(spark, sf_dir) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("layer"))
+    return s.selectExpr("s_suppkey AS model", "layer", "300D * (layer + 1) + s_suppkey * 3 + CASE WHEN layer = 2 THEN s_nationkey * 20 ELSE 0 END AS v", "2D + layer * 3 + s_nationkey * 0.1D AS h")
+
+
+@query(f"WITH {LAYERS}, {INTERCEPT} SELECT model, layer, round(intercept, 9) AS intercept FROM ic")
+def intercept_times(spark, sf_dir):
+    return seismic.intercept_times(layers(spark, sf_dir)).select("model", "layer", F.round("intercept", 9).alias("intercept"))
+
+
+@query(f"WITH {LAYERS}, {INTERCEPT} SELECT model, x * 4.0::DOUBLE AS \"offset\", round(min(intercept + x * 4.0 / v), 9) AS time FROM ic, range(20) t(x) WHERE intercept IS NOT NULL GROUP BY model, x")
+def traveltimes_min(spark, sf_dir):
+    l = layers(spark, sf_dir)
+    at = l.select("model").distinct().select("model", F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: i * F.lit(4.0))).alias("offset"))
+    return seismic.first_arrivals(l, at).select("model", "offset", F.round("time", 9).alias("time"))
+
+
+FIT = "pk AS (SELECT s_suppkey AS shot, x * 4.0::DOUBLE AS x, least(x * 4.0 / (300 + s_suppkey), 0.02 + s_nationkey * 0.001 + x * 4.0 / (1200 + s_suppkey * 2)) + ((x * 7 + s_suppkey) % 5) * 0.0001 AS t FROM supplier, range(1, 25) q(x))"
+
+
+@query(f"""WITH {FIT}, s AS (SELECT a.shot, a.x AS cut_x, b.x, b.t, b.x <= a.x AS near FROM pk a JOIN pk b USING (shot)),
+g AS (SELECT shot, cut_x, count(*) FILTER (WHERE near) AS n1, sum(x * x) FILTER (WHERE near) AS xx1, sum(x * t) FILTER (WHERE near) AS xt1, sum(t * t) FILTER (WHERE near) AS tt1, count(*) FILTER (WHERE NOT near) AS n2, sum(x) FILTER (WHERE NOT near) AS x2, sum(t) FILTER (WHERE NOT near) AS t2,
+ sum(x * x) FILTER (WHERE NOT near) AS xx2, sum(x * t) FILTER (WHERE NOT near) AS xt2, sum(t * t) FILTER (WHERE NOT near) AS tt2 FROM s GROUP BY shot, cut_x),
+p AS (SELECT *, xt1 / xx1 AS p1, (n2 * xt2 - x2 * t2) / (n2 * xx2 - x2 * x2) AS p2 FROM g WHERE n1 >= 2 AND n2 >= 2), i AS (SELECT *, (t2 - p2 * x2) / n2 AS i2 FROM p),
+e AS (SELECT *, round(tt1 - p1 * xt1 + tt2 - p2 * xt2 - i2 * t2, 9) AS sse FROM i WHERE p1 > 0 AND p2 > 0 AND p2 < p1 AND i2 > 0), b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY shot ORDER BY sse, n1) = 1)
+SELECT shot, n1 AS cut, round(1 / p1, 4) AS v1, round(1 / p2, 4) AS v2, round(i2 / p1 / p2 / (2 * sqrt(1 / p2 / p2 - 1 / p1 / p1)), 4) AS depth FROM b""")
+def fit_layers_2(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("shot"), "s_nationkey", F.explode(F.sequence(F.lit(1), F.lit(24)).cast("array<bigint>")).alias("i"))
+    p = s.selectExpr("shot", "i * 4D AS x", "least(i * 4D / (300 + shot), 0.02D + s_nationkey * 0.001D + i * 4D / (1200 + shot * 2)) + ((i * 7 + shot) % 5) * 0.0001D AS t")
+    out = seismic.fit_two_layers(p, "shot", "x", "t").drop("sse")
+    return out.withColumns({c: F.round(c, 4) for c in ("v1", "v2", "depth")})
+
+
+PRISM = "pr AS (SELECT p.s_suppkey AS station, q.p_partkey AS cell, (q.p_partkey % 40) * 2.5 - p.s_suppkey AS x0, (q.p_partkey % 40) * 2.5 - p.s_suppkey + 2.5 AS x1, 1.0 + q.p_size AS z0, 3.5 + q.p_size AS z1 FROM supplier p, part q WHERE q.p_partkey <= 200)"
+
+
+def prisms(spark, sf_dir) -> DataFrame:
+    """Every station against every cell of a mesh of bounded size."""
+    cells = table(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey", "p_size")  # the mesh
+    both = table(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(cells))
+    x = F.col("p_partkey") % 40 * 2.5 - F.col("s_suppkey")
+    return both.select(F.col("s_suppkey").alias("station"), F.col("p_partkey").alias("cell"), x.alias("x0"), (x + 2.5).alias("x1"), (F.col("p_size") + 1.0).alias("z0"), (F.col("p_size") + 3.5).alias("z1"))
+
+
+def _corner(f: str) -> str:
+    at = lambda x, z: f.replace("X", x).replace("Z", z)
+    return f"({at('x1', 'z1')}) - ({at('x0', 'z1')}) - ({at('x1', 'z0')}) + ({at('x0', 'z0')})"
+
+
+@query(f"WITH {PRISM} SELECT station, round(sum(200 * 2 * 6.674e-11 * 1e5 * ({_corner('X / 2 * ln(X * X + Z * Z) + Z * atan2(X, Z)')})), 9) AS gz FROM pr GROUP BY station")
+def gravity_kernel(spark, sf_dir):
+    g = scalar.gravity_prism(*[F.col(c) for c in ("x0", "x1", "z0", "z1")])
+    return prisms(spark, sf_dir).groupBy("station").agg(F.round(F.sum(200 * g), 9).alias("gz"))
+
+
+_C, _S = math.cos(math.radians(60)), math.sin(math.radians(60))
+
+
+@query(f"WITH {PRISM} SELECT station, round(sum(0.01 * 50000 / (2 * pi()) * ({_S * _S - _C * _C!r} * ({_corner('atan2(X, Z)')}) + {2 * _S * _C!r} * ({_corner('ln(X * X + Z * Z) / 2')}))), 6) AS field FROM pr GROUP BY station")
+def magnetic_kernel(spark, sf_dir):
+    b = scalar.magnetic_prism(*[F.col(c) for c in ("x0", "x1", "z0", "z1")], 60.0, 50000.0)
+    return prisms(spark, sf_dir).groupBy("station").agg(F.round(F.sum(0.01 * b), 6).alias("field"))
+
+
+@query("""SELECT i::BIGINT AS i, j::BIGINT AS j, round(greatest(0, least(i * 2.0 + 2, 23.5) - greatest(i * 2.0, 5.5)) * greatest(0, least(j * 1.0 + 1, 7.25) - greatest(j * 1.0, 2.5)) / 2, 6) AS overlap FROM range(20) a(i), range(10) b(j)""")
+def mesh_rectangle(spark, sf_dir):
+    cells = spark.range(20).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<bigint>")).alias("j"))
+    side = lambda c, size, lo, hi: F.greatest(F.lit(0.0), F.least(c * size + size, F.lit(hi)) - F.greatest(c * size, F.lit(lo)))
+    return cells.select("i", "j", F.round(side(F.col("i"), 2.0, 5.5, 23.5) * side(F.col("j"), 1.0, 2.5, 7.25) / 2, 6).alias("overlap"))
+
+
+@query("""WITH p AS (SELECT s_suppkey AS i, s_nationkey AS array, (s_suppkey * 17 % 101)::DOUBLE AS x, (s_suppkey * 29 % 97)::DOUBLE AS y FROM supplier)
+SELECT a.array, a.i, b.i AS j, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS separation FROM p a JOIN p b ON a.array = b.array AND a.i < b.i""")
+def array_pairs(spark, sf_dir):
+    p = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS i", "s_nationkey AS array", "double(s_suppkey * 17 % 101) AS x", "double(s_suppkey * 29 % 97) AS y")
+    q = p.selectExpr("i AS j", "array", "x AS x2", "y AS y2")
+    return p.join(q, "array").where("i < j").select("array", "i", "j", F.round(joins.distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")), 6).alias("separation"))
+
+
+@query(f"""WITH {EV}, s AS (SELECT line, floor(t / 21600)::BIGINT AS w, stddev_pop(value) AS s FROM ev GROUP BY line, w), o AS (SELECT line, quantile_cont(s, 0.5) AS m FROM s GROUP BY line)
+SELECT w, round(min(s / CASE WHEN m > 0 THEN m ELSE 1 END), 6) AS score, count(*) AS nodes FROM s JOIN o USING (line) GROUP BY w HAVING min(s / CASE WHEN m > 0 THEN m ELSE 1 END) >= 0.9 ORDER BY score DESC, w LIMIT 20""")
+def tumbling_events(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("w", F.floor(F.col("t") / 21600))
+    return r6(records.tumbling_events(e, "line", "w", "value", 0.9, 20), "score")
+
+
+@query(f"""WITH {EV}, i AS (SELECT line, value, floor(t / 3600)::BIGINT AS i FROM ev), w AS (SELECT line, value, unnest([i // 12 * 12, i // 12 * 12 - 12]) AS start FROM i),
+r AS (SELECT line, start, sqrt(avg(value * value)) AS rms FROM w WHERE start >= 0 GROUP BY line, start), m AS (SELECT line, quantile_cont(rms, 0.5) AS m FROM r GROUP BY line)
+SELECT start, count(*) AS nodes, round(avg(rms), 6) AS rms FROM r JOIN m USING (line) GROUP BY start HAVING bool_and(rms BETWEEN 0.8 * m AND 1.2 * m)""")
+def sliding_gate(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("i", F.floor(F.col("t") / 3600))
+    return r6(records.sliding_gate(e, "line", "i", "value", 24, 0.8, 1.2), "rms")
+
+
+TRACE = "tr AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+@query(f"""WITH {TRACE}, e AS (SELECT vec_id, i, sum(v * v) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS t, count(*) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ct, sum(v * v) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS l, count(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS cl FROM tr WINDOW w AS (PARTITION BY vec_id ORDER BY i))
+SELECT vec_id, arg_min(i, (-round(l / t, 9), i))::INT AS pick, round(max(l / t), 6) AS ratio FROM e WHERE ct = 5 AND cl = 5 AND t > 0 GROUP BY vec_id""")
+def energy_ratio(spark, sf_dir):
+    return r6(seismic.energy_ratio(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5), "ratio")
+
+
+@query(f"""WITH {TRACE}, e AS (SELECT vec_id, i, avg(abs(v)) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) / avg(abs(v)) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS r FROM tr WINDOW w AS (PARTITION BY vec_id ORDER BY i))
+SELECT vec_id, min(CASE WHEN r >= 1.5 THEN i END)::INT AS pick, round(max(r), 6) AS most FROM e GROUP BY vec_id""")
+def sta_lta(spark, sf_dir):
+    return r6(seismic.sta_lta(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3, 20, 1.5), "most")
+
+
+@query(f"""WITH {TRACE}, e AS (SELECT vec_id, i, i + 1 AS k, 64 AS n, var_pop(v) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a, var_pop(v) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM tr)
+SELECT vec_id, (arg_min(i, (round(k * ln(a) + (n - k - 1) * ln(b), 6), i)) + 1)::INT AS pick FROM e WHERE a > 1e-12 AND b > 1e-12 GROUP BY vec_id""")
+def aic_pick(spark, sf_dir):
+    return seismic.aic_pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+IMAGE = f"""{TRACE}, sh AS (SELECT vec_id, vec_id // 12 AS shot, (vec_id % 12) * 2.0 + 3 AS x FROM embeddings), sp AS (SELECT shot, x, f, sum(v * cos(2 * pi() * f * 0.002 * i)) AS re, -sum(v * sin(2 * pi() * f * 0.002 * i)) AS im FROM tr JOIN sh USING (vec_id), (VALUES (15.0), (30.0), (45.0), (60.0)) q(f) GROUP BY shot, x, f),
+un AS (SELECT shot, x, f, re / sqrt(re * re + im * im) AS ur, im / sqrt(re * re + im * im) AS ui FROM sp WHERE re * re + im * im > 0),
+su AS (SELECT shot, f, c, sum(ur * cos(2 * pi() * f / c * x) - ui * sin(2 * pi() * f / c * x)) AS r, sum(ur * sin(2 * pi() * f / c * x) + ui * cos(2 * pi() * f / c * x)) AS i, count(*) AS n FROM un, (VALUES (100.0), (150.0), (200.0), (250.0), (300.0), (400.0)) z(c) GROUP BY shot, f, c),
+im AS (SELECT shot, f::DOUBLE AS f, c::DOUBLE AS c, sqrt(r * r + i * i) / n AS energy FROM su)"""
+
+
+def image(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id div 12 AS shot", "(vec_id % 12) * 2D + 3 AS x", "embedding")
+    return seismic.dispersion_image(e, "shot", "x", "embedding", 0.002, [15, 30, 45, 60], [100, 150, 200, 250, 300, 400])
+
+
+@query(f"WITH {IMAGE} SELECT shot, f, c, round(energy, 6) AS energy FROM im")
+def phase_shift_dft(spark, sf_dir):
+    return r6(image(spark, sf_dir), "energy")
+
+
+@query(f"WITH {IMAGE} SELECT shot, f, arg_min(c, (-round(energy, 9), c)) AS velocity, round(max(energy), 6) AS energy FROM im GROUP BY shot, f")
+def dispersion_pick_max(spark, sf_dir):
+    return r6(seismic.pick_max(image(spark, sf_dir), ["shot", "f"]), "energy")
+
+
+@query(f"""WITH {TRACE}, s AS (SELECT vec_id, 1.0 + i * 0.5 AS f, abs(v) AS v FROM tr WHERE vec_id % 10 = 0), p AS (SELECT a.vec_id, a.f AS fc, b.v, 40 * log10(b.f / a.f) AS x FROM s a JOIN s b USING (vec_id)),
+w AS (SELECT vec_id, fc, v, CASE WHEN abs(x) < 1e-12 THEN 1 ELSE (sin(x) / x) ** 4 END AS w FROM p WHERE abs(x) <= 3 * pi())
+SELECT vec_id, fc::DOUBLE AS fc, round(sum(w * v) / sum(w), 6) AS smooth FROM w GROUP BY vec_id, fc""")
+def konno_ohmachi(spark, sf_dir):
+    s = seismic.samples(table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0"), "vec_id", "embedding").selectExpr("vec_id", "1D + i * 0.5D AS f", "abs(v) AS v")  # the shots smoothed here
+    return r6(seismic.konno_ohmachi(s, "vec_id", "f", "v"), "smooth")
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(p_type || ' (' || p_brand || ') [m] ' || p_name), '\\([^)]*\\)|\\[[^\\]]*\\]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS label FROM part")
+def label_normalise(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", scalar.snake_label(F.concat("p_type", F.lit(" ("), "p_brand", F.lit(") [m] "), "p_name")).alias("label"))
+
+
+@query("""WITH t AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 'void' ELSE (s_suppkey % 90 * 100 + s_suppkey % 60 + 0.25)::VARCHAR END AS tok, ['N', 's', 'E', 'W'][s_suppkey % 4 + 1] AS h FROM supplier)
+SELECT s_suppkey, round((floor(try_cast(tok AS DOUBLE) / 100) + (try_cast(tok AS DOUBLE) - 100 * floor(try_cast(tok AS DOUBLE) / 100)) / 60) * CASE WHEN upper(h) IN ('S', 'W') THEN -1 ELSE 1 END, 9) AS degrees FROM t""")
+def nmea_degrees(spark, sf_dir):
+    t = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "CASE WHEN s_suppkey % 9 = 0 THEN 'void' ELSE string(s_suppkey % 90 * 100 + s_suppkey % 60 + 0.25) END AS tok", "array('N', 's', 'E', 'W')[s_suppkey % 4] AS h")
+    return t.select("s_suppkey", F.round(scalar.nmea_degrees(F.col("tok"), F.col("h")), 9).alias("degrees"))
+
+
+@query("""SELECT event_id, epoch_us(ts) // 1000000 - (event_id % 25 - 12) * 3600 AS utc FROM events""")
+def offset_times(spark, sf_dir):
+    """Local times with an offset of their own, read as instants."""
+    e = table(spark, sf_dir, "events").withColumn("o", F.col("event_id") % 25 - 12)
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"), F.when(F.col("o") < 0, "-").otherwise("+"), F.lpad(F.abs("o").cast("string"), 2, "0"), F.lit(":00"))
+    return e.select("event_id", F.unix_seconds(F.try_to_timestamp(F.regexp_replace(text, r"\s*UTC(?=[+-])", ""))).alias("utc"))
