@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, quality_bayes, quality_rules, sp_tokens
+from . import chat_format, decontamination, html_blocks, jaccard_join, lm_scoring, quality_bayes, quality_rules, sp_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +16,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    out = chat_format.format_trees(chat_format.from_turns(rows.unionAll(control)))
+    turns = chat_format.read_turns(F.col("formatted"))
+    loss = chat_format.read_loss(F.col("formatted"), F.col("loss_spans"))
+    read = out.select(F.col("tree").alias("conv_id"), "formatted", turns.alias("turns"), loss.alias("loss"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_bayes.quality_posterior(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "source", "lang", "evidence", "host_prior", "path_prior", "quality", "kept")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_tokens.encoded(table(spark, sf_dir, "documents"))
 
@@ -29,6 +44,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item", "n_shared", F.round("containment", 9).alias("containment"))
@@ -89,5 +108,18 @@ SELECT doc_id, item_id, size.n AS n_item, count(*) AS n_shared, round(count(*) /
 FROM dd_s JOIN bb_s USING (g) JOIN size USING (item_id) GROUP BY doc_id, item_id, size.n HAVING count(*) / size.n >= 0.8
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_quality_classifier, op7_sentencepiece, op8_jaccard_join, op10_decontamination)}
-ORACLE = {"op1_quality_rules": OP1_SQL, "op8_jaccard_join": OP8_SQL, "op10_decontamination": OP10_SQL}
+#: Length of a formatted conversation: markers of 8 code points, and a backslash for each escaped character or control string.
+OP2_SQL = r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+  24 + length(role) + length(text) + length(role || text) - length(replace(role || text, chr(92), ''))
+  + len(regexp_extract_all(text, '<\||</s>|<s>|\[/?INST\]|<</?SYS>>')) + len(regexp_extract_all(role, '<\||</s>|<s>|\[/?INST\]|<</?SYS>>')) AS size FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
+FROM x GROUP BY conv_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op5_quality_classifier, op6_html_extraction, op7_sentencepiece, op8_jaccard_join, op9_lm_scoring, op10_decontamination)}
+ORACLE = {"op1_quality_rules": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op8_jaccard_join": OP8_SQL, "op10_decontamination": OP10_SQL}
