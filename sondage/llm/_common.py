@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,33 +74,6 @@ def word_shingles(words, k: int):
     return let(words, grams)
 
 
-class WordHashes(dict):
-    """64-bit hashes of byte words, remembered up to a bound."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.MOST:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def byte_words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words: bytes.split() cuts at exactly \\x20 and \\x09-\\x0D."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective mixing of 64-bit integers (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges`` (a, b bigint): rows (node, root), root the smallest node.
 

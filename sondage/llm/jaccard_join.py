@@ -4,10 +4,11 @@ A document's set is its distinct word shingles (64-bit hashes). Two sets with Ja
 token among the first ``n - ceil(t * n) + 1`` tokens of each under *every* global order of the tokens. Order 1 puts
 tokens that many documents have (``heavy``) last and generates candidates by an equi-join on prefix tokens with the
 length and the positional filter; orders 2 and 3 (the same two classes, other hashes) must share a prefix token as
-well; what is left is verified on the whole sets.
+well, and the part of the sets in a fixed quarter of the token space must not differ by more than whole sets may;
+what is left is verified on the whole sets.
 
 Exact copies are one class (the hash of the whole set). In a bucket of documents with a common prefix token all are
-first compared with one hub; then only pairs from different components are, so a large group of near copies costs
+first compared with one hub, that with the fewest rarer tokens, the likely original of near copies; then only pairs from different components are, so a large group of near copies costs
 a row per document and bucket, not one per pair. Nothing is capped: the heavy tokens only steer the order, and
 the result is the same for any choice of them.
 """
@@ -22,27 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, byte_words, components, materialise, mix
+from ._common import components, materialise
+from ._words import chunks, distinct, mix, shingles, text_bytes, whole, words
 
 #: Documents that share a token before the orders put it last, and the most tokens put last (8 MB broadcast).
-HEAVY_DOCS, MOST_HEAVY = 50, 1 << 20
+HEAVY_DOCS, MOST_HEAVY = 8, 1 << 20
 #: Bits of the fixed-size table by which the executors skip texts that no candidate pair needs (8 MB broadcast).
 TABLE_BITS = 26
-_FLUSH = 1 << 20  # values in an output batch
-
-
-def shingle_set(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``k``-word shingles; a shorter sequence is one shingle, none is empty."""
-    if not words:
-        return np.empty(0, np.int64)
-    if len(words) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64).view(np.int64)
-    h = hashes.of(words)
-    n = len(words) - k + 1
-    g = mix(h[:n])
-    for j in range(1, k):
-        g = mix(g + h[j : n + j] * np.uint64(2 * j + 1))
-    return np.unique(g.view(np.int64))
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -69,33 +56,41 @@ def _prefix(grams: np.ndarray, heavy: np.ndarray, p: int) -> np.ndarray:
 
 
 def _under(grams: np.ndarray, heavy: np.ndarray, p: int, seed: int) -> np.ndarray:
-    """The prefix under another order: heavy tokens last, each class by a seeded hash."""
+    """The prefix under another order, as 32-bit values: heavy tokens last, each class by a seeded hash."""
     key = mix(grams.view(np.uint64) + np.uint64(seed))
-    return grams[np.lexsort((key, _in(heavy, grams)))[:p]]
+    return key[np.lexsort((key, _in(heavy, grams)))[:p]].astype(np.uint32).view(np.int32)
+
+
+def _sample(grams: np.ndarray) -> np.ndarray:
+    """A quarter of the token space as 32-bit values: two sets differ at least by what differs in it."""
+    key = mix(grams.view(np.uint64) + np.uint64(4))
+    return distinct(key[key >> np.uint64(62) == 0].astype(np.uint32).view(np.int32))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.int64)])))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], k: int, make, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """``make(id, node, grams)`` gives a tuple of column values, or None for no row; lists of numbers are arrays."""
-    hashes = WordHashes()
+    """``make(id, node, grams)`` gives a tuple of column values, or None for no row; arrays become lists.
+
+    ``grams`` are the sorted distinct 64-bit hashes of the ``k``-word shingles; a shorter sequence of words is one
+    shingle, no words are none. ``node`` is a hash of all of them, null for none.
+    """
     for batch in batches:
-        held: list[tuple] = []
-        size = 0
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            g = shingle_set(byte_words(text.as_py()), hashes, k)
-            node = xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63) if len(g) else None
-            if (made := make(row, node, g)) is not None:
-                held.append(made)
-                size += sum(len(x) for x in made if isinstance(x, np.ndarray)) + 8
-            if size >= _FLUSH:
+        ids, (data, offsets) = batch.column(0), text_bytes(batch.column(1))
+        for first, last in chunks(offsets):
+            h, _, _, at = words(data, offsets[first : last + 1])
+            g = shingles(h, k).view(np.int64)
+            held: list[tuple] = []
+            for row, i, j in zip(ids.slice(first, last - first).to_pylist(), at[:-1], at[1:], strict=True):
+                own = distinct(g[i : j - k + 1]) if j - i >= k else whole(h[i:j]).view(np.int64) if j > i else g[:0]
+                node = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else None
+                if (made := make(row, node, own)) is not None:
+                    held.append(made)
+            if held:
                 yield _batch(held, columns)
-                held, size = [], 0
-        if held:
-            yield _batch(held, columns)
 
 
 def _batch(held: list[tuple], columns: list[str]) -> pa.RecordBatch:
@@ -155,12 +150,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = texts.mapInArrow(prefixes, "id long, node long, n int, prefix array<long>")
     one = first.join(classes.withColumnRenamed("rep", "id"), ["node", "id"]).dropDuplicates(["node", "id"])  # by both: copies don't meet in one task
     entries = one.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    hubs = entries.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    hubs = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     shared = materialise(entries.join(hubs, "token").selectExpr("token", "node", "n", "pos", "hub.node AS hnode", "hub.n AS hn", "hub.pos AS hpos"), "jaccard-buckets")
 
     def near(n1, p1, n2, p2):
-        """Length and positional filter: nothing before the first common token is common."""
-        return (den * F.least(n1, n2) >= num * F.greatest(n1, n2)) & ((num + den) * F.least(n1 - p1, n2 - p2) >= num * (n1 + n2))
+        """Length and positional filter: nothing before the first common token is common, and all of it differs."""
+        return (den * F.least(n1, n2) >= num * F.greatest(n1, n2)) & ((num + den) * F.least(n1 - p1, n2 - p2) >= num * (n1 + n2)) & ((num + den) * (p1 + p2) <= (den - num) * (n1 + n2))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose prefixes under orders 2 and 3 share a token and whose sets reach the threshold."""
@@ -176,22 +171,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         def sets(batches):
             def make(row, node, g):
                 p = prefix_length(len(g), num, den)
-                return (node, g, _under(g, last.value, p, 2), _under(g, last.value, p, 3)) if len(g) else None
+                return (node, len(g), g, _under(g, last.value, p, 2), _under(g, last.value, p, 3), _sample(g)) if len(g) else None
 
             def flagged():
                 for batch in batches:
                     at = batch.column(2).to_numpy()
                     yield batch.filter(pa.array((bits.value[at >> 6] >> (at & 63)) & 1 == 1)).select([0, 1])
 
-            return _rows(flagged(), k, make, ["node", "grams", "o2", "o3"])
+            return _rows(flagged(), k, make, ["node", "n", "grams", "o2", "o3", "some"])
 
-        some = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << TABLE_BITS)).alias("bit"))
-        full = some.mapInArrow(sets, "node long, grams array<long>, o2 array<long>, o3 array<long>")
+        flags = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << TABLE_BITS)).alias("bit"))
+        full = flags.mapInArrow(sets, "node long, n int, grams array<long>, o2 array<int>, o3 array<int>, some array<int>")
         full = materialise(full.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
-        x, y = (full.select(*[F.col(c).alias(f"{c}{i}") for c in full.columns]) for i in (1, 2))
-        both = pairs.join(x, F.col("a") == F.col("node1")).join(y, (F.col("b") == F.col("node2")) & F.arrays_overlap("o21", "o22") & F.arrays_overlap("o31", "o32"))
+
+        def both(pairs: DataFrame, *columns: str) -> DataFrame:
+            x, y = (full.select(*[F.col(c).alias(f"{c}{i}") for c in ("node", *columns)]) for i in (1, 2))
+            return pairs.join(x, F.col("a") == F.col("node1")).join(y, F.col("b") == F.col("node2"))
+
+        differ = F.size("some1") + F.size("some2") - 2 * F.size(F.array_intersect("some1", "some2"))
+        few = both(pairs, "n", "o2", "o3", "some").where(F.arrays_overlap("o21", "o22") & F.arrays_overlap("o31", "o32") & ((num + den) * differ <= (den - num) * (F.col("n1") + F.col("n2"))))
+        few = materialise(few.select("a", "b"), "jaccard-few")
         common = F.size(F.array_intersect("grams1", "grams2"))
-        return materialise(both.where(den * common >= num * (F.size("grams1") + F.size("grams2") - common)).select("a", "b"), "jaccard-links")
+        sure = both(few, "n", "grams").where(den * common >= num * (F.col("n1") + F.col("n2") - common))
+        return materialise(sure.select("a", "b"), "jaccard-links")
 
     to_hub = shared.where("node <> hnode").where(near(F.col("n"), F.col("pos"), F.col("hn"), F.col("hpos")))
     links = linked(to_hub.selectExpr("hnode AS a", "node AS b").distinct())
