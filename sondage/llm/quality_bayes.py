@@ -84,8 +84,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = materialise(truth.orderBy(F.xxhash64("id"), "id", "y").limit(MOST_LABELS), "quality-labels")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", vector("text").alias("x"))
     got = rows.toPandas().sort_values(["id", "y"])
-    x = np.array(got["x"].tolist(), float).reshape(len(got), -1)
-    return fit_logistic(x if x.shape[1] else np.zeros((0, len(features("")))), got["y"].to_numpy(float))
+    x = np.array(got["x"].tolist(), float).reshape(len(got), len(features("")))
+    return fit_logistic(x, got["y"].to_numpy(float))
 
 
 def with_evidence(docs: DataFrame, model: dict[str, np.ndarray], text_col: str, name: str) -> DataFrame:
@@ -93,8 +93,9 @@ def with_evidence(docs: DataFrame, model: dict[str, np.ndarray], text_col: str,
     def probability(text: pd.Series) -> pd.Series:
         if not len(text):
             return pd.Series([], dtype=float)
-        z = (np.array([features(t) for t in text]) - model["mean"]) / model["scale"]
-        return pd.Series(np.clip(1 / (1 + np.exp(-np.clip(z @ model["w"] + model["b"], -30, 30))), CLIP, 1 - CLIP))
+        x = np.array([features(t) for t in text])
+        p = 1 / (1 + np.exp(-np.clip((x - model["mean"]) / model["scale"] @ model["w"] + model["b"], -30, 30)))
+        return pd.Series(np.where(x[:, 0] > 0, CLIP, np.clip(p, CLIP, 1 - CLIP)))
 
     return docs.withColumn(name, probability(F.col(text_col)))
 
@@ -115,8 +116,8 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
 def quality_posterior(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", model: dict | None = None) -> DataFrame:
     """``docs`` with evidence, host_prior, path_prior, quality (doubles) and kept (boolean), under names that are free.
 
-    Every row stays, repeated rows and null ids too; null hosts and paths are groups of their own. A null or empty
-    text is judged by its features (no words). Without labels, or with labels of one class, the evidence is constant.
+    Every row stays, repeated rows and null ids too; null hosts and paths are groups of their own. A text
+    without words (null, empty) has the least evidence. Without labels, or with labels of one class, the evidence is constant.
     An empty table gives an empty result.
     """
     model = model or train(docs, labels, id_col, text_col, label_col)
