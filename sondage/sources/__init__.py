@@ -1 +1 @@
-
+"""Instrument files as DataFrames: text formats by column expressions, binary records by small decoders."""
