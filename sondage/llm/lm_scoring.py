@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._common import materialise
 from ._words import chunks, mix, text_bytes, words
 
-ORDER, MOST_NODES, MOST_WORDS = 5, 3_000_000, 1 << 19
+ORDER, MOST_NODES, MOST_WORDS = 5, 1_500_000, 1 << 18
 _KEEP = 1 << 21  # distinct keys that a task holds before it passes its counts on
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -76,12 +76,13 @@ class Ppm:
     """The trie: per order m the m-grams (context of m - 1 bytes and symbol) with what scoring needs of each context."""
 
     def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]], order: int = ORDER):
-        """counts: for m = 1 .. order + 1, distinct m-grams as integers and their counts (a gram's suffixes are kept too)."""
+        """counts: for m = 1 .. order + 1, distinct m-grams as integers and their counts (a gram's suffixes are there too); emptied."""
         self.order, self.grams, self.contexts, self.table, self.context_table = order, {}, {}, {}, {}
         for m in range(1, order + 2):
-            codes, n = counts.get(m, (np.empty(0, np.uint64), np.empty(0)))
+            codes, n = counts.pop(m, (np.empty(0, np.uint64), np.empty(0)))
             at = np.argsort(codes)
             codes, n = codes[at].astype(np.uint64), n[at].astype(np.float64)
+            del at
             context, first, which = np.unique(codes >> np.uint64(8), return_index=True, return_inverse=True)
             total, kinds = np.bincount(which, n, len(context)), np.bincount(which, minlength=len(context)).astype(float)
             self.grams[m] = {"codes": codes, "n": n, "which": which}
@@ -102,14 +103,16 @@ class Ppm:
             if m == order + 1:
                 self.grams[m]["direct"] = np.log10(n) - c["own"][which]
             self.table[m] = Table(codes)
+            if m > 1:
+                for k in ("codes", "n", "which"):
+                    del self.grams[m - 1][k]
+                for k in ("codes", "total", "kinds"):
+                    del self.contexts[m - 1][k]
             self.grams[m]["log"] = np.log10(n) if m <= order else np.empty(0)  # at the top only "direct" is read
-        used = len(self.grams[1]["codes"])
-        self.rest = -math.log10(max(1, 256 - used))
-        for m in self.grams:
-            for k in ("codes", "n", "which"):
-                del self.grams[m][k]
-            for k in ("codes", "total", "kinds"):
-                del self.contexts[m][k]
+        for part, names in ((self.grams[order + 1], ("codes", "n", "which")), (self.contexts[order + 1], ("codes", "total", "kinds"))):
+            for k in names:
+                del part[k]
+        self.rest = -math.log10(max(1, 256 - len(self.grams[1]["log"])))
 
     def score(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each (order + 1)-gram after the others."""
@@ -234,9 +237,12 @@ def trie(counts: DataFrame, order: int = ORDER, most: int = MOST_NODES) -> Ppm:
     while kept > most:
         kept -= sizes.get(least, 0)
         least += 1
-    got = nodes.where(F.col("n") >= 1 << least).toArrow()
-    m, code, n = (got.column(i).to_numpy() for i in range(3))
-    return Ppm({k: (code[m == k].astype(np.uint64), n[m == k]) for k in range(1, order + 2)}, order)
+    kept_counts = {}
+    for k in range(1, order + 2):  # an order at a time: the driver holds one in transit
+        got = nodes.where((F.col("m") == k) & (F.col("n") >= 1 << least)).select("code", "n").toArrow()
+        kept_counts[k] = got.column(0).to_numpy().astype(np.uint64), got.column(1).to_numpy().astype(np.float32)
+        del got
+    return Ppm(kept_counts, order)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -259,6 +265,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     keys, top_n = top.column(0).to_numpy().astype(np.int64).view(np.uint64), top.column(1).to_numpy()
     model = trie(counts.where("kind = 1").select("key", "n"), order)
     shared = spark.sparkContext.broadcast((model, Table(keys), np.log10((top_n + 1.0) / room)))
+    del model, top, keys, top_n  # the broadcast is in a file
     end = math.log10((n_docs + 1) / room)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
