@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import records, resistivity, seismic, stations
+from .operators import passive, records, resistivity, seismic, stations, tomography
 from .plans import joins
 
 QUERIES: dict = {}
@@ -537,3 +537,57 @@ def offset_times(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("o", F.col("event_id") % 25 - 12)
     text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"), F.when(F.col("o") < 0, "-").otherwise("+"), F.lpad(F.abs("o").cast("string"), 2, "0"), F.lit(":00"))
     return e.select("event_id", F.unix_seconds(F.try_to_timestamp(F.regexp_replace(text, r"\s*UTC(?=[+-])", ""))).alias("utc"))
+
+
+@query(f"""WITH {EV}, a AS (SELECT seq, 1.66 * sqrt(2 * pi() * 18030 * 4e-7 * pi() * greatest(abs(value), 1) / 1000 / 2) AS a FROM ev)
+SELECT seq, round(-(9 - exp(-a) * ((9 + 9 * a - 2 * a * a * a) * cos(a) + (9 * a + 8 * a * a + 2 * a * a * a) * sin(a))) / (a * a) * 1e6, 2) AS ppm FROM a""")
+def halfspace_quadrature(spark, sf_dir):
+    s = F.greatest(F.abs("value"), F.lit(1.0)) / 1000
+    return events(spark, sf_dir).select("seq", F.round(scalar.halfspace_quadrature(s, 18030.0, 1.66), 2).alias("ppm"))
+
+
+J0 = """CASE WHEN abs(Z) <= 3 THEN 1 - 2.2499997 * pow(Z / 3, 2) + 1.2656208 * pow(Z / 3, 4) - 0.3163866 * pow(Z / 3, 6) + 0.0444479 * pow(Z / 3, 8) - 0.0039444 * pow(Z / 3, 10) + 0.00021 * pow(Z / 3, 12)
+ELSE (0.79788456 - 0.00000077 * (3 / abs(Z)) - 0.0055274 * pow(3 / abs(Z), 2) - 0.00009512 * pow(3 / abs(Z), 3) + 0.00137237 * pow(3 / abs(Z), 4) - 0.00072805 * pow(3 / abs(Z), 5) + 0.00014476 * pow(3 / abs(Z), 6)) / sqrt(abs(Z))
+ * cos(abs(Z) - 0.78539816 - 0.04166397 * (3 / abs(Z)) - 0.00003954 * pow(3 / abs(Z), 2) + 0.00262573 * pow(3 / abs(Z), 3) - 0.00054125 * pow(3 / abs(Z), 4) - 0.00029333 * pow(3 / abs(Z), 5) + 0.00013558 * pow(3 / abs(Z), 6)) END"""
+
+
+@query(f"""WITH p AS (SELECT s_nationkey AS f0, 2.0 + s_nationkey * 0.5 AS f, 10.0 + s_suppkey % 9 * 5 AS r, cos(s_suppkey * 0.7) * 0.5 + 0.4 AS v FROM supplier), g AS (SELECT f, r, v, 100.0 + c * 10 AS c FROM p, unnest(range(41)) t(c)),
+z AS (SELECT f, c, v, 2 * pi() * f * r / c AS z FROM g), j AS (SELECT f, c, v, {J0.replace('Z', 'z')} AS j FROM z),
+s AS (SELECT f, c, sum(v * j) AS vj, sum(j * j) AS jj, sum(v * v) AS vv, count(*) AS n FROM j GROUP BY f, c), a AS (SELECT *, least(greatest(CASE WHEN jj > 0 THEN vj / jj ELSE 0 END, 0), 1) AS a FROM s),
+e AS (SELECT *, sqrt(greatest((vv - 2 * a * vj + a * a * jj) / n, 0)) AS residual FROM a), b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY f ORDER BY round(residual, 6), c) = 1)
+SELECT f::DOUBLE AS f, c::DOUBLE AS velocity, round(a, 6) AS amplitude, round(residual, 6) AS residual FROM b""")
+def spac_velocity(spark, sf_dir):
+    p = table(spark, sf_dir, "supplier").selectExpr("2D + s_nationkey * 0.5D AS f", "10D + s_suppkey % 9 * 5 AS r", "cos(s_suppkey * 0.7D) * 0.5D + 0.4D AS v")
+    return r6(passive.spac_velocity(p, "f", "r", "v", 100.0, 500.0, 10.0), "amplitude", "residual")
+
+
+@query("""WITH p AS (SELECT s_suppkey AS i, (s_suppkey * 17 % 101)::DOUBLE AS x, (s_suppkey * 29 % 97)::DOUBLE AS y FROM supplier WHERE s_nationkey < 3),
+q AS (SELECT a.i, b.i AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS r FROM p a JOIN p b ON a.i < b.i)
+SELECT round(2 * min(r), 6) AS lambda_min, round(2 * max(r), 6) AS lambda_max, round(2 * max(r) / 3, 6) AS depth FROM q""")
+def resolution_limits(spark, sf_dir):
+    p = table(spark, sf_dir, "supplier").where("s_nationkey < 3").selectExpr("s_suppkey AS i", "double(s_suppkey * 17 % 101) AS x", "double(s_suppkey * 29 % 97) AS y")
+    return r6(passive.resolution(passive.separations(p, "i", "x", "y")), "lambda_min", "lambda_max", "depth")
+
+
+@query("""WITH m AS (SELECT quantile_cont(l_discount - l_tax, 0.5) AS m FROM lineitem), s AS (SELECT 1.4826 * quantile_cont(abs(l_discount - l_tax - m), 0.5) AS s FROM lineitem, m)
+SELECT l_orderkey, l_linenumber, abs(l_discount - l_tax - m) > 1.7 * s AND abs(l_discount - l_tax) > 0.001 AS outlier FROM lineitem, m, s""")
+def residual_outliers(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_discount - l_tax AS residual")
+    return tomography.outliers(l, "residual", 1.7, 0.001).select("l_orderkey", "l_linenumber", "outlier")
+
+
+@query()
+def grid_travel_times(spark, sf_dir):
+    """First arrivals from one source per region through a grid whose slowness follows the parts' sizes."""
+    p = table(spark, sf_dir, "part").where("p_partkey <= 200").selectExpr("p_partkey - 1 AS node", "0.001D + p_size * 0.00002D AS s")
+    nodes = tomography.grid(spark, 20, 10, 2.0).join(p, "node")
+    sources = table(spark, sf_dir, "region").selectExpr("r_name AS source", "bigint(r_regionkey * 4) AS node")
+    return tomography.first_times(tomography.links(nodes, 2.0, 3), sources).select("source", "node", F.round("time", 9).alias("time"))
+
+
+@query()
+def window_coherency(spark, sf_dir):
+    """Coherency of node pairs: vectors of one label are the windows of four nodes in turn."""
+    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id % 4 AS node", "vec_id div 4 AS w", "embedding")
+    out = passive.coherency(passive.spectra(e, ["node", "w"], "embedding", 0.002, 10.0, 200.0), "node", "w")
+    return r6(out, "re", "im", "f")
