@@ -33,6 +33,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are wide: send at most so many rows to Python at once. A larger session setting is lowered and stays so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` (written, cheap to count) has at most ``rows`` rows; else leave the join to Spark."""
     return F.broadcast(df) if df.count() <= rows else df

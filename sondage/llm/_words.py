@@ -38,6 +38,16 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def released(make):
+    """A function of batches that gives the memory Arrow has freed back to the system when its task is done."""
+
+    def run(batches):
+        yield from make(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; nulls are empty."""
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)

@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import narrow_batches
+from ._words import released
+
 WINDOW, SURGE = 3, 80
 _DROP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<\?.*?(?:>|$)|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title|audio|video)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<![a-zA-Z][^>]*>|<(?:/?[a-zA-Z!][^<>]*)?$""")
@@ -118,6 +121,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null and empty pages give an empty text; malformed and cut markup is read as far as it goes. Rows that repeat an
     id each get a row; other columns aren't read.
     """
+    narrow_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,4 +132,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(batches, f"id {kinds['id']}, url {kinds['url']}, text string, n_chars long").toDF(id_col, url_col, "text", "n_chars")
+    return rows.mapInArrow(released(batches), f"id {kinds['id']}, url {kinds['url']}, text string, n_chars long").toDF(id_col, url_col, "text", "n_chars")

@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, materialise
-from ._words import chunks, distinct, mix, shingles, text_bytes, whole, words
+from ._common import components, materialise, narrow_batches
+from ._words import chunks, distinct, mix, released, shingles, text_bytes, whole, words
 
 #: Documents that share a token before the orders put it last, and the most tokens put last (8 MB broadcast).
 HEAVY_DOCS, MOST_HEAVY = 8, 1 << 20
@@ -107,6 +107,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     aren't read. An empty table gives an empty result.
     """
     spark, (num, den) = docs.sparkSession, threshold
+    narrow_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     # Sets: class and size of every row, and the tokens of lowest hash, which hold the prefix unless many are heavy.
@@ -116,7 +117,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return _rows(batches, k, make, ["id", "node", "n", "head"])
 
-    rows = materialise(texts.mapInArrow(heads, "id long, node long, n int, head array<long>"), "jaccard-rows")
+    rows = materialise(texts.mapInArrow(released(heads), "id long, node long, n int, head array<long>"), "jaccard-rows")
     classes = materialise(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep")), "jaccard-classes")
 
     def frequent(tokens: DataFrame) -> np.ndarray:
@@ -137,7 +138,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
             return _rows(batches, k, make, ["grams"])
 
-        heavy = np.union1d(heavy, frequent(texts.mapInArrow(dense, "grams array<long>").select(F.explode("grams").alias("token"))))[:MOST_HEAVY * 2]
+        heavy = np.union1d(heavy, frequent(texts.mapInArrow(released(dense), "grams array<long>").select(F.explode("grams").alias("token"))))[:MOST_HEAVY * 2]
     last = spark.sparkContext.broadcast(heavy)
 
     # Order 1: prefix tokens of one text of each class, with position; buckets of two classes or more get a hub.
@@ -147,7 +148,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return _rows(batches, k, make, ["id", "node", "n", "prefix"])
 
-    first = texts.mapInArrow(prefixes, "id long, node long, n int, prefix array<long>")
+    first = texts.mapInArrow(released(prefixes), "id long, node long, n int, prefix array<long>")
     one = first.join(classes.withColumnRenamed("rep", "id"), ["node", "id"]).dropDuplicates(["node", "id"])  # by both: copies don't meet in one task
     entries = one.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     hubs = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
@@ -181,7 +182,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             return _rows(flagged(), k, make, ["node", "n", "grams", "o2", "o3", "some"])
 
         flags = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << TABLE_BITS)).alias("bit"))
-        full = flags.mapInArrow(sets, "node long, n int, grams array<long>, o2 array<int>, o3 array<int>, some array<int>")
+        full = flags.mapInArrow(released(sets), "node long, n int, grams array<long>, o2 array<int>, o3 array<int>, some array<int>")
         full = materialise(full.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
 
         def both(pairs: DataFrame, *columns: str) -> DataFrame:

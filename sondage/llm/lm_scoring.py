@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
-from ._words import chunks, mix, text_bytes, words
+from ._common import materialise, narrow_batches
+from ._words import chunks, released, text_bytes, words
 
 ORDER, MOST_NODES, MOST_WORDS = 5, 1_500_000, 1 << 18
 _KEEP = 1 << 21  # distinct keys that a task holds before it passes its counts on
@@ -224,7 +224,7 @@ def corpus_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
         if docs:
             yield out(2, np.zeros(1, np.uint64), np.array([docs]))
 
-    each = rows.mapInArrow(batches, "kind byte, key long, n long")
+    each = rows.mapInArrow(released(batches), "kind byte, key long, n long")
     return each.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -254,6 +254,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     row and count each in training. Other columns aren't read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    narrow_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = materialise(corpus_counts(rows, order), "lm-counts")
     sums = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
@@ -292,7 +293,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
                     ["id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
                 )
 
-    part = rows.mapInArrow(batches, "id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>")
+    part = rows.mapInArrow(released(batches), "id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>")
     part = materialise(part.withColumn("row", F.monotonically_increasing_id()), "lm-rows")  # written: the row numbers stay
     tail = part.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
     c = F.coalesce("c", F.lit(0))

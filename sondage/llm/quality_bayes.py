@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, materialise, small
+from ._common import fresh, materialise, narrow_batches, small
 
 MOST_LABELS = 20_000
 #: Evidence is held off 0 and 1, so that a site can speak against a document.
@@ -120,6 +120,7 @@ def quality_posterior(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     without words (null, empty) has the least evidence. Without labels, or with labels of one class, the evidence is constant.
     An empty table gives an empty result.
     """
+    narrow_batches(docs.sparkSession)
     model = model or train(docs, labels, id_col, text_col, label_col)
     e, h, p = (fresh(docs, x) for x in ("evidence", "_host", "_path"))
     scored = with_evidence(docs, model, text_col, e).withColumns({h: F.coalesce(F.col(host_col).cast("string"), F.lit("\0")), p: F.coalesce(F.col(path_col).cast("string"), F.lit("\0"))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_blocks, jaccard_join, lm_scoring, quality_bayes, quality_rules, sp_tokens
+from . import chat_format, decontamination, html_blocks, jaccard_join, lm_scoring, quality_bayes, quality_rules, sp_tokens, warc_revisits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,31 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Two captures of each page: a full response at page_id * 10 and a not-modified revisit of another scheme and tracking tag.
+
+    Revisits of one in seven pages come before their response, one in five has another ETag, one in three no ETag but a
+    date, one in eleven neither; one in thirteen responses is an error.
+    """
+    p = pages.select("page_id", "url", "html")
+    tag, date = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"')), F.concat(F.lit("day "), (F.col("page_id") % 100).cast("string"))
+    full = F.create_map(F.lit("ETag"), tag, F.lit("Last-Modified"), date, F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"))
+    other = F.when(F.col("page_id") % 5 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag))
+    new = F.create_map(F.lit("Cache-Control"), F.lit("max-age=120"), F.lit("Content-Length"), F.lit("0"), F.lit("Date"), (F.col("page_id") * 10).cast("string"))
+    sent = F.when(F.col("page_id") % 11 == 0, new).when(F.col("page_id") % 3 == 0, F.map_concat(new, F.create_map(F.lit("last-modified"), date))).otherwise(F.map_concat(new, F.create_map(F.lit("etag"), other)))
+    a = p.select((F.col("page_id") * 2).alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), F.lit("response").alias("kind"), F.when(F.col("page_id") % 13 == 0, 500).otherwise(200).alias("status"), full.alias("headers"))
+    again = F.concat(F.regexp_replace("url", "^https?://", "https://WWW."), F.when(F.col("url").contains("?"), F.lit("&utm_medium=x")).when(F.col("url").contains("#"), F.lit("")).otherwise(F.lit("?utm_medium=x")))
+    later = F.when(F.col("page_id") % 7 == 0, -5).otherwise(25)
+    b = p.select((F.col("page_id") * 2 + 1).alias("record_id"), again.alias("url"), (F.col("page_id") * 10 + later).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), sent.alias("headers"))
+    return a.unionAll(b)
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc_revisits.resolve(captures(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+    return out.select("record_id", "url_key", "response_id", "outcome", lines.alias("headers"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_bayes.quality_posterior(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "source", "lang", "evidence", "host_prior", "path_prior", "quality", "kept")
@@ -121,5 +146,22 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM x GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op5_quality_classifier, op6_html_extraction, op7_sentencepiece, op8_jaccard_join, op9_lm_scoring, op10_decontamination)}
-ORACLE = {"op1_quality_rules": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op8_jaccard_join": OP8_SQL, "op10_decontamination": OP10_SQL}
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, url, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || page_id % 100 AS day, length(coalesce(html, '')) AS len FROM pages),
+k AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS u FROM p),
+c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www[0-9]*|m)\.', '') AS host, regexp_extract(u, '^[^/?]*([^?]*)', 1) AS path, string_split(regexp_extract(u, '\?(.*)$', 1), '&') AS q FROM k),
+f AS (SELECT *, host || regexp_replace(path, '/+$', '') || CASE WHEN len(list_filter(q, lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)(=|$)'))) > 0 THEN '?' || array_to_string(list_sort(list_filter(q, lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)(=|$)'))), '&') ELSE '' END AS key FROM c),
+v AS (SELECT page_id * 2 + 1 AS record_id, page_id, tag, day, page_id * 10 + CASE WHEN page_id % 7 = 0 THEN -5 ELSE 25 END AS ts, key FROM f),
+r AS (SELECT page_id * 2 AS response_id, page_id * 10 AS ts, tag, day, len, key FROM f WHERE page_id % 13 <> 0),
+m AS (SELECT v.*, r.response_id, r.tag AS rtag, r.day AS rday, r.len FROM v LEFT JOIN (SELECT * FROM r) r ON r.key = v.key AND r.ts < v.ts QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY r.ts DESC NULLS LAST, response_id DESC NULLS LAST) = 1),
+o AS (SELECT *, CASE WHEN page_id % 11 = 0 THEN 'n' WHEN page_id % 3 = 0 THEN 'd' ELSE 't' END AS has FROM m),
+s AS (SELECT *, CASE WHEN response_id IS NULL THEN 'no response' WHEN has = 't' THEN CASE WHEN page_id % 5 <> 0 AND tag = rtag THEN 'etag' ELSE 'mismatch' END WHEN has = 'd' THEN CASE WHEN day = rday THEN 'modified' ELSE 'mismatch' END ELSE 'no validator' END AS outcome,
+  CASE WHEN page_id % 5 = 0 THEN '"other"' ELSE 'W/' || tag END AS sent FROM o)
+SELECT record_id, key AS url_key, response_id, outcome, CASE WHEN outcome IN ('mismatch', 'no response')
+  THEN 'cache-control: max-age=120; content-length: 0; date: ' || page_id * 10 || CASE has WHEN 't' THEN '; etag: ' || sent WHEN 'd' THEN '; last-modified: ' || day ELSE '' END
+  ELSE 'cache-control: max-age=120; content-length: ' || len || '; content-type: text/html; date: ' || page_id * 10 || '; etag: ' || CASE has WHEN 't' THEN sent ELSE rtag END || '; last-modified: ' || CASE has WHEN 'd' THEN day ELSE rday END END AS headers
+FROM s
+"""
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op4_warc_revisits, op5_quality_classifier, op6_html_extraction, op7_sentencepiece, op8_jaccard_join, op9_lm_scoring, op10_decontamination)}
+ORACLE = {"op1_quality_rules": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_warc_revisits": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op10_decontamination": OP10_SQL}

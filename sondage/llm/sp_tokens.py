@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh
+from ._common import fresh, narrow_batches
+from ._words import released
 
 MARK = "▁"
 #: Fixed values of the published format: types of pieces and of models.
@@ -83,9 +84,8 @@ class SentencePieces:
     """Encoder and decoder; ``encode`` takes any number of whole texts."""
 
     def __init__(self, data: bytes):
-        from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+        from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
-        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # threads of a batch; a task has a core or two
         m = read_model(data)
         if m["suffix"] or not m["escape"]:
             raise ValueError("models with suffix markers or unescaped white space aren't supported")
@@ -107,13 +107,11 @@ class SentencePieces:
                 steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
             steps += [normalizers.Prepend(MARK)] * bool(prefix) + [normalizers.Replace(" ", MARK)]
             t.normalizer = normalizers.Sequence(steps)
-            if self.by_word:
-                t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
             t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * bool(m["dummy_prefix"])])
             t.add_tokens([AddedToken(p, normalized=False) for p, _, kind in pieces if kind == USER_DEFINED])
             return t
 
-        # A marker inside a piece follows only markers: then no merge crosses the start of a word, and words encode alone.
+        # A marker inside a piece follows only markers: then no merge crosses the start of a word, and a long text can be cut there.
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.first = build(bool(m["dummy_prefix"]))
         # Cut texts need rules that look at a place only: no map, no trimming.
@@ -166,6 +164,11 @@ class SentencePieces:
 @lru_cache(maxsize=2)
 def _loaded(data: bytes):
     import sentencepiece
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    if task:  # a batch is encoded with as many threads as the task has cores (spark.task.cpus)
+        os.environ.setdefault("RAYON_NUM_THREADS", str(task.cpus()))
 
     return SentencePieces(data), sentencepiece.SentencePieceProcessor(model_proto=data)
 
@@ -183,6 +186,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     Null texts count as empty: no tokens. Rows that repeat an id each get a row; other columns aren't read. The model
     file is read on the driver (its path is a parameter) and broadcast: its size doesn't depend on the data.
     """
+    narrow_batches(docs.sparkSession)
     with open(model_path or default_model(), "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -203,7 +207,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 at = end
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(batches, "id long, tokens array<int>, n_tokens long, parity boolean, round_trip boolean")
+    out = rows.mapInArrow(released(batches), "id long, tokens array<int>, n_tokens long, parity boolean, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -221,4 +225,4 @@ def decoded(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.decode([x or [] for x in part.column(1).to_pylist()]), pa.string())], ["id", "text"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(F.col(id_col).alias("id"), tokens_col).mapInArrow(batches, f"id {kind}, text string").toDF(id_col, name)
+    return tokens.select(F.col(id_col).alias("id"), tokens_col).mapInArrow(released(batches), f"id {kind}, text string").toDF(id_col, name)
