@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_blocks, jaccard_join, lm_scoring, quality_bayes, quality_rules, sp_tokens, warc_revisits
+from . import chat_format, decontamination, html_blocks, jaccard_join, license_scan, lm_scoring, quality_bayes, quality_rules, sp_tokens, warc_revisits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["family"]))), ",")
+    return out.select("doc_id", "n_paragraphs", F.size("findings").cast("long").alias("n_found"), families.alias("families"), F.size(F.filter("findings", lambda f: f["confirmed"])).cast("long").alias("n_confirmed"), F.coalesce(F.array_max(F.transform("findings", lambda f: f["probability"])), F.lit(0.0)).alias("probability"))
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """Two captures of each page: a full response at page_id * 10 and a not-modified revisit of another scheme and tracking tag.
 
@@ -163,5 +169,5 @@ SELECT record_id, key AS url_key, response_id, outcome, CASE WHEN outcome IN ('m
 FROM s
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op4_warc_revisits, op5_quality_classifier, op6_html_extraction, op7_sentencepiece, op8_jaccard_join, op9_lm_scoring, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_license_scan, op4_warc_revisits, op5_quality_classifier, op6_html_extraction, op7_sentencepiece, op8_jaccard_join, op9_lm_scoring, op10_decontamination)}
 ORACLE = {"op1_quality_rules": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_warc_revisits": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op10_decontamination": OP10_SQL}
