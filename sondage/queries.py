@@ -348,12 +348,12 @@ def ert_trim(spark, sf_dir):
     return longs(resistivity.trim(partial_scheme(spark), 8, 20), *"abmn")
 
 
-@query("""SELECT l_suppkey % 25 AS a, l_linenumber AS b, l_returnflag AS m, l_linestatus AS n, round(exp(avg(ln(l_extendedprice))), 6) AS geometric, count(*) AS count, round(stddev_samp(ln(l_extendedprice)), 6) AS std_ln, round(avg(l_extendedprice), 4) AS mean,
+@query("""SELECT l_suppkey % 25 AS a, l_linenumber AS b, l_returnflag AS m, l_linestatus AS n, round(exp(avg(ln(l_extendedprice))), 6) AS geometric, count(*) AS count, round(stddev_samp(ln(l_extendedprice)), 6) AS std_ln, round(avg(l_extendedprice), 8) AS mean,
 round(quantile_cont(l_extendedprice, 0.5), 6) AS median, min(l_extendedprice) AS least FROM lineitem WHERE l_extendedprice > 0 GROUP BY ALL""")
 def crp_group(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 25 AS a", "l_linenumber AS b", "l_returnflag AS m", "l_linestatus AS n", "l_extendedprice")
     out = resistivity.grouped(l.withColumnRenamed("n", "q"), ["a", "b", "m", "q"], "l_extendedprice").withColumnRenamed("n", "count").withColumnRenamed("q", "n")
-    return r6(out, "geometric", "std_ln", "median").withColumn("mean", F.round("mean", 4))
+    return r6(out, "geometric", "std_ln", "median").withColumn("mean", F.round("mean", 8))
 
 
 @query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS i, round_even((l_suppkey % 60) / 1.0, 0)::BIGINT AS s, round_even((l_partkey % 60) / 1.0, 0)::BIGINT AS r, l_quantity / 1000 AS t FROM lineitem WHERE l_suppkey % 60 <> l_partkey % 60)
