@@ -27,13 +27,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         have = np.empty(size, np.uint64)
         have[0], filled = 1, 1
         while filled < size:
             more = min(filled, size - filled)
             have[filled : filled + more] = have[:more] * np.uint64(pow(base, filled, 1 << 64))
             filled += more
+        if size > 1 << 18:  # a very long text: not kept
+            return have
         _powers[base] = have
     return have[:n]
 
@@ -56,7 +58,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` bytes; a longer row is one by itself."""
     first, n = 0, len(offsets) - 1
     while first < n:

@@ -25,7 +25,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters that are encoded at a time, and after which a longer text is cut at a word.
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 17
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -114,13 +114,14 @@ class SentencePieces:
         # A marker inside a piece follows only markers: then no merge crosses the start of a word, and a long text can be cut there.
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.first = build(bool(m["dummy_prefix"]))
-        # Cut texts need rules that look at a place only: no map, no trimming.
-        self.rest = build(False) if self.by_word and not m["map"] and not m["trim"] else None
+        # Cut texts need rules that look at a place only: no map, no trimming. Their encoder is built when one comes.
+        self.can_cut = self.by_word and not m["map"] and not m["trim"]
+        self.build_rest, self.rest = lambda: build(False), None
 
     def _parts(self, text: str) -> list[str]:
         """A very long text cut before single spaces between words."""
         parts, at = [], 0
-        while self.rest and len(text) - at > BATCH_CHARS:
+        while self.can_cut and len(text) - at > BATCH_CHARS:
             cut = text.rfind(" ", at + 1, at + BATCH_CHARS)
             while cut > at and text[cut - 1] in (" ", MARK):
                 cut -= 1
@@ -138,6 +139,7 @@ class SentencePieces:
                 held, size = [], 0
                 parts = self._parts(text)
                 ids = self.first.encode_batch_fast(parts[:1], add_special_tokens=False)[0].ids
+                self.rest = self.rest or (self.build_rest() if parts[1:] else None)
                 for part in parts[1:]:
                     ids += self.rest.encode_batch_fast([part], add_special_tokens=False)[0].ids
                 yield ids
