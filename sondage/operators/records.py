@@ -53,3 +53,33 @@ def sliding_gate(samples: DataFrame, node: str, index: str, value: str, length:
     mid = rms.groupBy(node).agg(median("rms").alias("m"))
     ok = (F.col("rms") >= lo * F.col("m")) & (F.col("rms") <= hi * F.col("m"))
     return rms.join(mid, node).groupBy("start").agg(F.min(ok.cast("int")).alias("ok"), F.count(F.lit(1)).alias("nodes"), F.avg("rms").alias("rms")).where("ok = 1").drop("ok")
+
+
+def before_after(track: DataFrame, node: str, order: str, value: str, files: int) -> DataFrame:
+    """``track`` with the shift between the medians of the ``files`` rows before and of as many from the row on; null at the ends."""
+    w = f"(PARTITION BY {node} ORDER BY {order} ROWS BETWEEN"
+    full = F.expr(f"count({value}) OVER {w} {files} PRECEDING AND 1 PRECEDING) = {files} AND count({value}) OVER {w} CURRENT ROW AND {files - 1} FOLLOWING) = {files}")
+    shift = F.expr(f"percentile({value}, 0.5) OVER {w} CURRENT ROW AND {files - 1} FOLLOWING) - percentile({value}, 0.5) OVER {w} {files} PRECEDING AND 1 PRECEDING)")
+    return track.withColumn("shift", F.when(full, shift))
+
+
+def largest_gap(angles: DataFrame, by: str, angle: str) -> DataFrame:
+    """Per group the largest gap of a set of directions in degrees, round the circle, and half the arc that covers them."""
+    a = angles.select(by, F.pmod(F.col(angle), F.lit(360.0)).alias("a")).distinct()
+    o = Window.partitionBy(by).orderBy("a")
+    first = F.first("a").over(o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    gaps = a.withColumn("g", F.coalesce(F.lead("a").over(o), first + 360) - F.col("a"))
+    return gaps.groupBy(by).agg(F.max("g").alias("gap")).withColumn("half_arc", (360 - F.col("gap")) / 2)
+
+
+def filled(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """``rows`` with missing values taken linearly (by position in the order) between neighbours, at the ends from the nearest."""
+    o = Window.partitionBy(by).orderBy(order)
+    back, ahead = o.rowsBetween(Window.unboundedPreceding, 0), o.rowsBetween(0, Window.unboundedFollowing)
+    k = rows.withColumn("_k", F.row_number().over(o))
+    at = F.when(F.col(value).isNotNull(), F.col("_k"))
+    cols = {"_v0": F.last(value, ignorenulls=True).over(back), "_v1": F.first(value, ignorenulls=True).over(ahead), "_k0": F.last(at, ignorenulls=True).over(back), "_k1": F.first(at, ignorenulls=True).over(ahead)}
+    m = k.withColumns(cols)
+    line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_k") - F.col("_k0")) / (F.col("_k1") - F.col("_k0"))
+    inside = F.when(F.col("_k1") > F.col("_k0"), line).otherwise(F.col("_v0"))
+    return m.withColumn("filled", F.when(F.col("_v0").isNull(), F.col("_v1")).when(F.col("_v1").isNull(), F.col("_v0")).otherwise(inside)).drop("_k", *cols)

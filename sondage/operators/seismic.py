@@ -137,3 +137,18 @@ def konno_ohmachi(spectrum: DataFrame, by: str, f: str, v: str, b: float = 40.0,
     w = F.when(F.abs(a) < 1e-12, 1.0).otherwise(F.pow(F.sin(a) / a, 4))
     met = spectrum.where(F.col(f) > 0).join(centre.where("fc > 0"), by).where(near)
     return met.groupBy(by, "fc").agg((F.sum(w * F.col(v)) / F.sum(w)).alias("smooth"))
+
+
+def with_edits(picks: DataFrame, edits: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """``picks`` with the values of ``edits`` where a key has one, and whether it had; edits of unknown keys are left out."""
+    e = edits.select(*keys, *[F.col(v).alias(f"_{v}") for v in values], F.lit(True).alias("_e"))
+    out = picks.join(e, keys, "left")
+    return out.withColumns({v: F.coalesce(F.col(f"_{v}"), F.col(v)) for v in values}).withColumn("edited", F.coalesce("_e", F.lit(False))).drop("_e", *[f"_{v}" for v in values])
+
+
+def resample(curve: DataFrame, by: str, f: str, v: str, at: DataFrame) -> DataFrame:
+    """A curve at the frequencies of ``at`` (by, f), linear, only within its range."""
+    o = Window.partitionBy(by).orderBy(f)
+    seg = curve.select(by, F.col(f).alias("f0"), F.col(v).alias("v0"), F.lead(f).over(o).alias("f1"), F.lead(v).over(o).alias("v1"))
+    met = at.join(seg, by).where((F.col(f) >= F.col("f0")) & ((F.col(f) < F.col("f1")) | ((F.col(f) == F.col("f0")) & F.col("f1").isNull())))
+    return met.select(by, f, F.when(F.col("f1").isNull(), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col(f) - F.col("f0")) / (F.col("f1") - F.col("f0"))).alias(v))

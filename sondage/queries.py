@@ -591,3 +591,42 @@ def window_coherency(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").selectExpr("vec_id % 4 AS node", "vec_id div 4 AS w", "embedding")
     out = passive.coherency(passive.spectra(e, ["node", "w"], "embedding", 0.002, 10.0, 200.0), "node", "w")
     return r6(out, "re", "im", "f")
+
+
+@query(f"""WITH {EV}, s AS (SELECT seq, CASE WHEN count(value) OVER b = 5 AND count(value) OVER a = 5 THEN quantile_cont(value, 0.5) OVER a - quantile_cont(value, 0.5) OVER b END AS shift FROM ev
+WINDOW b AS (PARTITION BY station ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY station ORDER BY seq ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
+SELECT seq, round(shift, 6) AS shift FROM s""")
+def node_moves(spark, sf_dir):
+    return r6(records.before_after(events(spark, sf_dir), "station", "seq", "value", 5).select("seq", "shift"), "shift")
+
+
+@query(f"""WITH {EV}, a AS (SELECT DISTINCT station, seq * 37 % 360 + 0.0 AS a FROM ev WHERE seq % 50 = station % 50), g AS (SELECT station, coalesce(lead(a) OVER (PARTITION BY station ORDER BY a), min(a) OVER (PARTITION BY station) + 360) - a AS g FROM a)
+SELECT station, max(g)::DOUBLE AS gap, ((360 - max(g)) / 2)::DOUBLE AS half_arc FROM g GROUP BY station""")
+def azimuth_gap(spark, sf_dir):
+    a = events(spark, sf_dir).where("seq % 50 = station % 50").selectExpr("station", "double(seq * 37 % 360) AS a")  # the shots of each array
+    return records.largest_gap(a, "station", "a")
+
+
+@query(f"""WITH {EV}, k AS (SELECT seq, station, CASE WHEN seq % 3 = 0 THEN value END AS v, row_number() OVER (PARTITION BY station ORDER BY seq) AS k FROM ev),
+f AS (SELECT seq, k, last_value(v IGNORE NULLS) OVER b AS v0, first_value(v IGNORE NULLS) OVER a AS v1, last_value(CASE WHEN v IS NOT NULL THEN k END IGNORE NULLS) OVER b AS k0, first_value(CASE WHEN v IS NOT NULL THEN k END IGNORE NULLS) OVER a AS k1 FROM k
+WINDOW b AS (PARTITION BY station ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY station ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT seq, round(CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 WHEN k1 > k0 THEN v0 + (v1 - v0) * (k - k0) / (k1 - k0) ELSE v0 END, 6) AS filled FROM f""")
+def fill_positions(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("v", F.when(F.col("seq") % 3 == 0, F.col("value")))
+    return r6(records.filled(e, "station", "seq", "v").select("seq", "filled"), "filled")
+
+
+@query("""SELECT l.l_orderkey, l.l_linenumber, coalesce(o.o_totalprice, l.l_quantity) AS time, o.o_orderkey IS NOT NULL AS edited FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 17 = 0) o ON o.o_orderkey = l.l_orderkey AND l.l_linenumber = 1""")
+def picks_with_edits(spark, sf_dir):
+    picks = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity AS time")
+    edits = table(spark, sf_dir, "orders").where("o_orderkey % 17 = 0").selectExpr("o_orderkey AS l_orderkey", "1 AS l_linenumber", "o_totalprice AS time")
+    return seismic.with_edits(picks, edits, ["l_orderkey", "l_linenumber"], ["time"])
+
+
+@query(f"""WITH {TRACE}, c AS (SELECT vec_id, 5.0 + i AS f, 200 + 50 * v AS v FROM tr WHERE i % 4 = 0), s AS (SELECT vec_id, f AS f0, v AS v0, lead(f) OVER w AS f1, lead(v) OVER w AS v1 FROM c WINDOW w AS (PARTITION BY vec_id ORDER BY f)), a AS (SELECT vec_id, 3.0 + k * 2.5 AS f FROM embeddings, unnest(range(30)) t(k))
+SELECT vec_id, f::DOUBLE AS f, round(CASE WHEN f1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (f - f0) / (f1 - f0) END, 6) AS v FROM a JOIN s USING (vec_id) WHERE f >= f0 AND (f < f1 OR (f = f0 AND f1 IS NULL))""")
+def dispersion_resample(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    curve = seismic.samples(e, "vec_id", "embedding").where("i % 4 = 0").selectExpr("vec_id", "5D + i AS f", "200 + 50 * v AS v")
+    at = e.select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: k * F.lit(2.5) + F.lit(3.0))).alias("f"))
+    return r6(seismic.resample(curve, "vec_id", "f", "v", at), "v")
