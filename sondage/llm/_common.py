@@ -30,7 +30,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once everything that reads it is written itself."""
+    for df in written:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def narrow_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -103,9 +113,12 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         down = large.selectExpr("a AS u", "b AS v")
         s = star(down)
         step = s.selectExpr("v AS a", "m AS b").unionAll(s.selectExpr("u AS a", "m AS b")).where("a <> b").distinct()
-        e = materialise(step, name)
+        last, e = e, materialise(step, name)
+        discard(last)
         now = total(e)
         if now == was:
             break
         was = now
-    return e.selectExpr("a AS node", "b AS root").unionAll(e.selectExpr("b AS node", "b AS root")).distinct()
+    out = materialise(e.selectExpr("a AS node", "b AS root").unionAll(e.selectExpr("b AS node", "b AS root")).distinct(), name)
+    discard(e)
+    return out

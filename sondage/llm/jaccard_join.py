@@ -23,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, materialise, narrow_batches
+from ._common import components, discard, materialise, narrow_batches, small
 from ._words import chunks, distinct, mix, released, shingles, text_bytes, whole, words
 
 #: Documents that share a token before the orders put it last, and the most tokens put last (8 MB broadcast).
 HEAVY_DOCS, MOST_HEAVY = 8, 1 << 20
+#: Prefix positions by which a pair is made once; pairs whose first common token comes later are made more than once.
+FIRST = 64
 #: Bits of the fixed-size table by which the executors skip texts that no candidate pair needs (8 MB broadcast).
 TABLE_BITS = 26
 
@@ -183,30 +185,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         flags = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << TABLE_BITS)).alias("bit"))
         full = flags.mapInArrow(released(sets), "node long, n int, grams array<long>, o2 array<int>, o3 array<int>, some array<int>")
-        full = materialise(full.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+        full = materialise(full.join(small(ends.select("node")), "node", "left_semi"), "jaccard-sets")
 
-        def both(pairs: DataFrame, *columns: str) -> DataFrame:
-            x, y = (full.select(*[F.col(c).alias(f"{c}{i}") for c in ("node", *columns)]) for i in (1, 2))
-            return pairs.join(x, F.col("a") == F.col("node1")).join(y, F.col("b") == F.col("node2"))
+        def both(some: DataFrame, *columns: str) -> DataFrame:
+            """The pairs with columns of both ends; only what pairs need is shuffled, by pair."""
+            x, y = (small(some).join(full.select(*[F.col(c).alias(f"{c}{i}") for c in ("node", *columns)]), F.col(end) == F.col(f"node{i}")) for i, end in ((1, "a"), (2, "b")))
+            return x.join(y, ["a", "b"])
 
         differ = F.size("some1") + F.size("some2") - 2 * F.size(F.array_intersect("some1", "some2"))
         few = both(pairs, "n", "o2", "o3", "some").where(F.arrays_overlap("o21", "o22") & F.arrays_overlap("o31", "o32") & ((num + den) * differ <= (den - num) * (F.col("n1") + F.col("n2"))))
         few = materialise(few.select("a", "b"), "jaccard-few")
         common = F.size(F.array_intersect("grams1", "grams2"))
         sure = both(few, "n", "grams").where(den * common >= num * (F.col("n1") + F.col("n2") - common))
-        return materialise(sure.select("a", "b"), "jaccard-links")
+        found = materialise(sure.select("a", "b"), "jaccard-links")
+        discard(pairs, ends, full, few)
+        return found
 
     to_hub = shared.where("node <> hnode").where(near(F.col("n"), F.col("pos"), F.col("hn"), F.col("hpos")))
     links = linked(to_hub.selectExpr("hnode AS a", "node AS b").distinct())
-    labels = materialise(components(links), "jaccard-labels")
+    labels = components(links, "jaccard-labels")
 
     known = shared.join(labels, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     mixed = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     open_ = materialise(known.join(mixed, "token", "left_semi"), "jaccard-open")
-    x, y = (open_.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("node", "n", "pos", "root")]) for i in (1, 2))
-    cross = x.join(y, (x["token"] == y["token"]) & (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & near(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
+    # A pair is made at its first common token only: the first tokens of both are at hand.
+    tokens = open_.where(F.col("pos") < FIRST).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("t")).select("node", F.transform("t", lambda e: e["token"]).alias("first"))
+    ahead = materialise(open_.join(tokens, "node", "left").withColumn("first", F.coalesce("first", F.array().cast("array<bigint>"))), "jaccard-ahead")
+    x, y = (ahead.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("node", "n", "pos", "root", "first")]) for i in (1, 2))
+    common = F.array_intersect("first1", "first2")
+    at_first = (F.size(common) == 0) | (F.get(common, 0) == x["token"])
+    cross = x.join(y, (x["token"] == y["token"]) & (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & near(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")) & at_first)
     links = links.unionAll(linked(cross.selectExpr("node1 AS a", "node2 AS b").distinct()))
-    labels = materialise(components(links), "jaccard-labels")
+    discard(shared, open_, ahead, labels)
+    labels = components(links, "jaccard-labels")
 
     placed = labels.join(classes, "node")
     named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -114,7 +114,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = base_columns(F.col(text_col))
     n, rep = base["n_words"], base["n_repeat_words"]
     passed = docs.where((n >= 50) & (100 * rep <= 50 * n))
-    joined = passed.join(gone, F.col(id_col) == F.col(k), "left")
+    joined = passed.join(small(gone), F.col(id_col) == F.col(k), "left")
     left = n - F.coalesce(F.col(w), F.lit(0))
     text = F.when(F.col(r).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains(F.col(r), F.xxhash64(normal_line(x)))), "\n"))
     return joined.where(F.col(r).isNull() | ((left >= MIN_LEFT_SHARE * n) & (left >= MIN_LEFT_WORDS))).select(*[(text.alias(c) if c == text_col else F.col(c)) for c in docs.columns])
