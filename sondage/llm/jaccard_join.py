@@ -202,7 +202,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return found
 
     to_hub = shared.where("node <> hnode").where(near(F.col("n"), F.col("pos"), F.col("hn"), F.col("hpos")))
-    links = linked(to_hub.selectExpr("hnode AS a", "node AS b").distinct())
+    # Copies cut in different ways have centres of their own: a second hub for each size of set in a bucket.
+    own = shared.groupBy("token", "n").agg(F.min(F.struct("pos", "node")).alias("own"), F.count(F.lit(1)).alias("c")).where("c > 1").selectExpr("token", "n", "own.pos AS opos", "own.node AS onode")
+    to_own = shared.join(own, ["token", "n"]).where("node <> onode").where(near(F.col("n"), F.col("pos"), F.col("n"), F.col("opos")))
+    tried = to_hub.selectExpr("hnode AS a", "node AS b").unionAll(to_own.selectExpr("onode AS a", "node AS b"))
+    links = linked(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = components(links, "jaccard-labels")
 
     known = shared.join(labels, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
