@@ -6,9 +6,10 @@ there, the model escapes to the next shorter one (escape estimation C: as many e
 symbols of the longer context are excluded from the shorter one's counts. Below the empty context all symbols left
 share alike. Texts are their lower-cased (A-Z) words joined by a space, ended by a line feed.
 
-The trie is bounded: if it has more than ``MOST_NODES`` nodes, those with the smallest counts are left out, the same
-limit for every order. Word counts are not bounded: the most frequent words are broadcast (``MOST_WORDS``), the counts
-of all others meet the texts in a shuffle join.
+Neither the trie nor the word counts are bounded. What is broadcast is: the log probabilities of the most frequent grams
+of ``ORDER`` + 1 bytes (``MOST_NODES``) and the most frequent words (``MOST_WORDS``). All others meet the texts in shuffle
+joins; grams that no training text has are looked up order by order in the whole trie, which stays in tables. The bounds
+change the speed only. ``trie`` builds the model in memory, for small corpora; ``scores`` doesn't use it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise, narrow_batches
@@ -245,6 +246,54 @@ def trie(counts: DataFrame, order: int = ORDER, most: int = MOST_NODES) -> Ppm:
     return Ppm(kept_counts, order)
 
 
+def _suffix(code: str, m: str) -> Column:
+    """The last m bytes of a gram."""
+    return F.expr(f"{code} & (shiftleft(1L, 8 * ({m})) - 1)")
+
+
+def model_tables(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """The whole trie from (key, n) of all (order + 1)-grams.
+
+    (m, code, n) of the m-grams, and of their contexts (m, context, own, escape, under, under_escape), as in ``Ppm``.
+    """
+    masks = F.array(*[F.struct(F.lit(m).alias("m"), F.col("key").bitwiseAND(F.lit((1 << 8 * m) - 1)).alias("code")) for m in range(1, order + 2)])
+    nodes = materialise(counts.select(F.explode(masks).alias("x"), "n").groupBy("x.m", "x.code").agg(F.sum("n").alias("n")), "lm-nodes")
+    up = nodes.select((F.col("m") + 1).alias("m"), F.col("code").alias("suffix"), F.col("n").alias("up"))
+    symbols = nodes.select("m", _suffix("code", "m - 1").alias("suffix"), F.shiftright("code", 8).alias("context"), "n").join(up, ["m", "suffix"], "left")
+    each = symbols.groupBy("m", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum(F.coalesce("up", F.lit(0))).alias("gone"))
+    each = materialise(each, "lm-totals")
+    parent = each.select((F.col("m") + 1).alias("m"), F.col("context").alias("suffix"), F.col("total").alias("total_up"), F.col("kinds").alias("kinds_up"))
+    c = each.withColumn("suffix", _suffix("context", "greatest(m - 2, 0)")).join(parent, ["m", "suffix"], "left")
+    c = c.withColumn("kinds_left", F.col("kinds_up") - F.col("kinds")).withColumn("room", F.col("total_up") - F.col("gone") + F.col("kinds_left"))
+    all_ = F.col("total") + F.col("kinds")
+    under_escape = F.when(F.col("room") > 0, F.log10(F.greatest("kinds_left", F.lit(1)) / F.col("room"))).otherwise(0.0)
+    return nodes, materialise(c.select("m", "context", F.log10(all_).alias("own"), F.log10(F.col("kinds") / all_).alias("escape"), F.log10(F.greatest("room", F.lit(1))).alias("under"), under_escape.alias("under_escape")), "lm-contexts")
+
+
+def unseen_scores(unseen: DataFrame, nodes: DataFrame, contexts: DataFrame, rest: float, order: int = ORDER) -> DataFrame:
+    """(gram, value) of distinct (order + 1)-grams that no training text has: the last byte after the others, by escapes.
+
+    Each order holds its distinct suffixes only, so no key of a join has more than 256 rows.
+    """
+    suffixes = F.array(*[F.struct(F.lit(m).alias("m"), F.col("gram").bitwiseAND(F.lit((1 << 8 * m) - 1)).alias("code")) for m in range(1, order + 2)])
+    codes = unseen.select(F.explode(suffixes).alias("x")).select("x.m", "x.code").distinct()
+    known = codes.join(nodes, ["m", "code"], "left").withColumn("context", F.shiftright("code", 8)).join(contexts, ["m", "context"], "left").drop("context")
+    known = materialise(known, "lm-unseen")
+    below = None  # per suffix: n, fresh (no longer context is known), after (the gram's own context is left)
+    for m in range(1, order + 2):
+        here = known.where(F.col("m") == m).drop("m")
+        if below is None:
+            here = here.withColumns({"n_": F.lit(None).cast("long"), "fresh_": F.lit(rest), "after_": F.lit(rest)})
+            after = F.lit(rest)
+        else:
+            down = below.select(F.col("code").alias("suffix"), F.col("n").alias("n_"), F.col("fresh").alias("fresh_"), F.col("after").alias("after_"))
+            here = here.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1))).join(down, "suffix")
+            after = F.when(F.col("n_").isNotNull(), F.log10("n_") - F.col("under")).otherwise(F.col("under_escape") + F.col("after_"))
+        fresh = F.when(F.col("n").isNotNull(), F.log10("n") - F.col("own")).when(F.col("own").isNull(), F.col("fresh_")).otherwise(F.col("escape") + after)
+        below = here.select("code", "n", fresh.alias("fresh"), after.alias("after"))
+    return below.select(F.col("code").alias("gram"), F.col("fresh").alias("value"))
+
+
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -264,13 +313,24 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     word_counts = counts.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     top = word_counts.orderBy(F.desc("c"), "word").limit(MOST_WORDS).toArrow()
     keys, top_n = top.column(0).to_numpy().astype(np.int64).view(np.uint64), top.column(1).to_numpy()
-    model = trie(counts.where("kind = 1").select("key", "n"), order)
-    shared = spark.sparkContext.broadcast((model, Table(keys), np.log10((top_n + 1.0) / room)))
-    del model, top, keys, top_n  # the broadcast is in a file
+    nodes, contexts = model_tables(counts.where("kind = 1").select("key", "n"), order)
+    sizes = {(r["m"], r["b"]): r["c"] for r in nodes.where(F.col("m").isin(1, order + 1)).groupBy("m", F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    rest = -math.log10(max(1, 256 - sum(c for (m, _), c in sizes.items() if m == 1)))
+    least, kept = 0, sum(c for (m, _), c in sizes.items() if m > 1)
+    while kept > MOST_NODES:
+        kept -= sizes.get((order + 1, least), 0)
+        least += 1
+    own = contexts.where(F.col("m") == order + 1).select("context", "own")
+    seen = nodes.where(F.col("m") == order + 1).withColumn("context", F.shiftright("code", 8)).join(own, "context")
+    seen = materialise(seen.select(F.col("code").alias("gram"), "n", (F.log10("n") - F.col("own")).alias("value")), "lm-grams")
+    often = seen.where(F.col("n") >= 1 << least).select("gram", "value").toArrow()
+    gram_keys, gram_logs = often.column(0).to_numpy().astype(np.uint64), often.column(1).to_numpy().astype(np.float64)
+    shared = spark.sparkContext.broadcast((Table(gram_keys), gram_logs, Table(keys), np.log10((top_n + 1.0) / room)))
+    del often, gram_keys, gram_logs, top, keys, top_n  # the broadcast is in a file
     end = math.log10((n_docs + 1) / room)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm, known, logs = shared.value
+        common, values, known, logs = shared.value
         for batch in parts:
             data, offsets = text_bytes(batch.column(1))
             for first, last in chunks(offsets):
@@ -280,6 +340,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
                 log = np.where(place >= 0, logs[np.maximum(place, 0)] if len(logs) else 0.0, 0.0)
                 tail = place < 0
                 rest = np.concatenate([[0], np.cumsum(tail)])[at].astype(np.int32)
+                row = common.find(code)
+                value = np.where(row >= 0, values[np.maximum(row, 0)] if len(values) else 0.0, 0.0)
+                missed, times = _counted((np.repeat(np.arange(len(ids), dtype=np.uint64), np.diff(upto)) << np.uint64(48) | code)[row < 0])
+                ends = np.searchsorted(missed >> np.uint64(48), np.arange(len(ids) + 1, dtype=np.uint64)).astype(np.int32)
+                missed = pa.array((missed & np.uint64((1 << 48) - 1)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
@@ -287,16 +352,23 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
                         pa.array(np.diff(at) + 1),
                         pa.array(_sums((~tail).astype(np.int64), at) + int(n_docs > 0)),
                         pa.array(_sums(log, at) + end),
-                        pa.array(_sums(ppm.score(code), upto)),
+                        pa.array(_sums(value, upto)),
                         pa.ListArray.from_arrays(pa.array(rest), pa.array(h[tail].view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([missed, pa.array(times.astype(np.int64))], ["gram", "k"])),
                     ],
-                    ["id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
+                    ["id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "missed"],
                 )
 
-    part = rows.mapInArrow(released(batches), "id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>")
+    part = rows.mapInArrow(released(batches), "id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, missed array<struct<gram:long,k:long>>")
     part = materialise(part.withColumn("row", F.monotonically_increasing_id()), "lm-rows")  # written: the row numbers stay
     tail = part.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
     c = F.coalesce("c", F.lit(0))
-    met = tail.join(word_counts, "word", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10((c + 1) / F.lit(float(room)))).alias("more"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("seen"))
-    out = part.drop("tail").join(met, "row", "left")
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    met = tail.join(word_counts, "word", "left").select("row", (F.col("k") * F.log10((c + 1) / F.lit(float(room)))).alias("more"), F.when(c > 0, F.col("k")).otherwise(0).alias("seen"), F.lit(0.0).alias("grams"))
+    missed = part.select("row", "held_out", F.inline("missed"))
+    rare = seen.where(F.col("n") < 1 << least).select("gram", "value")
+    unseen = missed.where("held_out").select("gram").distinct().join(rare, "gram", "left_anti")  # training texts have seen theirs
+    rare = rare.unionAll(unseen_scores(unseen, nodes, contexts, rest, order))
+    met = met.unionAll(missed.join(rare, "gram").select("row", F.lit(0.0).alias("more"), F.lit(0).alias("seen"), (F.col("k") * F.col("value")).alias("grams")))
+    met = met.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("more", "seen", "grams")])
+    out = part.drop("tail", "missed").join(met, "row", "left")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("grams", F.lit(0.0))).alias("score"))

@@ -87,6 +87,18 @@ def test_same_as_a_plain_trie(spark, monkeypatch, words):
         assert got[i][4] == pytest.approx(base, abs=1e-7) and got[i][5] == pytest.approx(score, abs=1e-7)
 
 
+@pytest.mark.parametrize("nodes", [0, 40])
+def test_broadcast_bound_changes_no_score(spark, monkeypatch, nodes):
+    from sondage.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "MOST_NODES", nodes)  # few: the rest meets its probabilities in the joins
+    monkeypatch.setattr(lm_scoring.trie, "__defaults__", (ORDER, nodes))
+    rows = corpus(80, 4) + [(500, "zebra \U0001d11e\tQUILT"), (501, ""), (506, "x")]
+    want = brute(rows)
+    got = {r["doc_id"]: r["score"] for r in scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert any(held(i) for i in got) and got == pytest.approx({i: w[5] for i, w in want.items()}, abs=1e-7)
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     from sondage.llm.lm_scoring import corpus_counts, trie
 
