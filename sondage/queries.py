@@ -518,6 +518,13 @@ def konno_ohmachi(spark, sf_dir):
     return r6(seismic.konno_ohmachi(s, "vec_id", "f", "v"), "smooth")
 
 
+@query()
+def konno_ohmachi_all(spark, sf_dir):
+    """As konno_ohmachi, of every shot."""
+    s = seismic.samples(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").selectExpr("vec_id", "1D + i * 0.5D AS f", "abs(v) AS v")
+    return r6(seismic.konno_ohmachi(s, "vec_id", "f", "v"), "smooth")
+
+
 @query("SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(p_type || ' (' || p_brand || ') [m] ' || p_name), '\\([^)]*\\)|\\[[^\\]]*\\]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS label FROM part")
 def label_normalise(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -607,6 +614,12 @@ def azimuth_gap(spark, sf_dir):
     return records.largest_gap(a, "station", "a")
 
 
+@query()
+def azimuth_gap_all(spark, sf_dir):
+    """As azimuth_gap, over all shots."""
+    return records.largest_gap(events(spark, sf_dir).selectExpr("station", "double(seq * 37 % 360) AS a"), "station", "a")
+
+
 @query(f"""WITH {EV}, k AS (SELECT seq, station, CASE WHEN seq % 3 = 0 THEN value END AS v, row_number() OVER (PARTITION BY station ORDER BY seq) AS k FROM ev),
 f AS (SELECT seq, k, last_value(v IGNORE NULLS) OVER b AS v0, first_value(v IGNORE NULLS) OVER a AS v1, last_value(CASE WHEN v IS NOT NULL THEN k END IGNORE NULLS) OVER b AS k0, first_value(CASE WHEN v IS NOT NULL THEN k END IGNORE NULLS) OVER a AS k1 FROM k
 WINDOW b AS (PARTITION BY station ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY station ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
