@@ -39,7 +39,11 @@ def coherency(spectrum: DataFrame, node: str, window: str) -> DataFrame:
     return out.where("p > 0").select("i", "j", "f", (F.col("r") / F.col("p")).alias("re"), (F.col("m") / F.col("p")).alias("im"), "windows")
 
 
-def separations(nodes: DataFrame, node: str, x: str, y: str) -> DataFrame:
+def separations(nodes: DataFrame, node: str, x: str, y: str, by: str | None = None) -> DataFrame:
+    """(i, j, r) of all pairs of nodes, or with ``by`` (by, i, j, r) of the pairs within each array."""
+    if by:
+        b = nodes.select(by, F.col(node).alias("j"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+        return nodes.select(by, F.col(node).alias("i"), x, y).join(b, by).where("i < j").select(by, "i", "j", distance(F.col(x), F.col(y), F.col("_x"), F.col("_y")).alias("r"))
     b = nodes.select(F.col(node).alias("j"), F.col(x).alias("_x"), F.col(y).alias("_y"))
     return nodes.select(F.col(node).alias("i"), x, y).join(b, F.col("i") < F.col("j")).select("i", "j", distance(F.col(x), F.col(y), F.col("_x"), F.col("_y")).alias("r"))
 
@@ -63,6 +67,6 @@ def spac_velocity(rho: DataFrame, f: str, r: str, value: str, vmin: float, vmax:
     return best.select(f, F.col("b.c").alias("velocity"), F.col("b.a").alias("amplitude"), F.col("b.residual").alias("residual"))
 
 
-def resolution(pairs: DataFrame) -> DataFrame:
-    """Shortest and longest wavelength of an array and the depth of the longest: 2 least separation, 2 aperture, a third."""
-    return pairs.agg((2 * F.min("r")).alias("lambda_min"), (2 * F.max("r")).alias("lambda_max"), (2 * F.max("r") / 3).alias("depth"))
+def resolution(pairs: DataFrame, *by: str) -> DataFrame:
+    """Shortest and longest wavelength of an array (of each of ``by``) and the depth of the longest: 2 least separation, 2 aperture, a third."""
+    return pairs.groupBy(*by).agg((2 * F.min("r")).alias("lambda_min"), (2 * F.max("r")).alias("lambda_max"), (2 * F.max("r") / 3).alias("depth"))

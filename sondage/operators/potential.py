@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Cells of a mesh: the normal equations (cells squared) are solved on the driver.
+#: Cells of a mesh that is inverted: the normal equations (cells squared) are solved on the driver. Cells of a block of a kernel.
 MOST_CELLS = 2000
 
 
@@ -20,12 +20,17 @@ def mesh(spark: SparkSession, x0: float, x1: float, depth: float, size: float) -
 def kernel(stations: DataFrame, cells: DataFrame, station: str, x: str, z: str, prism) -> DataFrame:
     """(station, cell, g): effect of a unit cell at each station; ``prism`` is a function of x0, x1, z0, z1 from the station.
 
-    The mesh is bounded (MOST_CELLS) and broadcast; stations stay where they are.
+    A mesh of at most MOST_CELLS cells is broadcast; a larger one is dealt into blocks of about as many, and each block
+    meets all stations, so sums over the cells are partial sums per block first.
     """
     count = cells.count()
+    at, mesh_ = stations.select(station, x, z), cells.select("cell", "x0", "x1", "z0", "z1")
     if count > MOST_CELLS:
-        raise ValueError(f"{count} cells; at most {MOST_CELLS} are supported")
-    both = stations.select(station, x, z).crossJoin(F.broadcast(cells.select("cell", "x0", "x1", "z0", "z1")))
+        blocks = -(-count // MOST_CELLS)
+        at = at.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+        both = at.join(mesh_.withColumn("_block", F.pmod(F.xxhash64("cell"), F.lit(blocks).cast("long"))), "_block")
+    else:
+        both = at.crossJoin(F.broadcast(mesh_))
     d: list[Column] = [F.col("x0") - F.col(x), F.col("x1") - F.col(x), F.col("z0") - F.col(z), F.col("z1") - F.col(z)]
     return both.select(station, "cell", prism(*d).alias("g"))
 
@@ -42,6 +47,8 @@ def invert(stations: DataFrame, cells: DataFrame, sensitivity: DataFrame, statio
     driver, which solves for the bounded mesh.
     """
     n = cells.count()
+    if n > MOST_CELLS:
+        raise ValueError(f"{n} cells; at most {MOST_CELLS} are supported")
     rows = sensitivity.groupBy(station).agg(F.array_sort(F.collect_list(F.struct("cell", "g"))).alias("k")).join(stations.select(station, (F.col(value) / sigma).alias("d")), station)
     g = F.transform("k", lambda c: c["g"] / sigma)
     parts = rows.select(F.posexplode(g).alias("p", "gp"), g.alias("g"), "d")

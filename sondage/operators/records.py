@@ -36,13 +36,14 @@ def common_window(samples: DataFrame, index: str, node: str, nodes: int) -> Data
     return runs.orderBy(F.desc("length"), "first").limit(1).select("first", "last", "length")
 
 
-def tumbling_events(samples: DataFrame, node: str, window: str, value: str, threshold: float, most: int) -> DataFrame:
-    """Windows whose deviation over each node's own median deviation is at least ``threshold`` at every node."""
+def tumbling_events(samples: DataFrame, node: str, window: str, value: str, threshold: float, most: int | None = None) -> DataFrame:
+    """Windows whose deviation over each node's own median deviation is at least ``threshold`` at every node; at most ``most``, the highest."""
     std = samples.groupBy(node, window).agg(F.stddev_pop(value).alias("s"))
     own = std.groupBy(node).agg(median("s").alias("m"))
     score = F.col("s") / F.when(F.col("m") > 0, F.col("m")).otherwise(1.0)
     least = std.join(own, node).groupBy(window).agg(F.min(score).alias("score"), F.count(F.lit(1)).alias("nodes"))
-    return least.where(F.col("score") >= threshold).orderBy(F.desc("score"), window).limit(most)
+    found = least.where(F.col("score") >= threshold)
+    return found if most is None else found.orderBy(F.desc("score"), window).limit(most)
 
 
 def sliding_gate(samples: DataFrame, node: str, index: str, value: str, length: int, lo: float, hi: float) -> DataFrame:

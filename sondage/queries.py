@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import passive, records, resistivity, seismic, stations, tomography
+from .operators import passive, potential, records, resistivity, seismic, stations, tomography
 from .plans import joins
 
 QUERIES: dict = {}
@@ -438,6 +438,25 @@ def magnetic_kernel(spark, sf_dir):
     return prisms(spark, sf_dir).groupBy("station").agg(F.round(F.sum(0.01 * b), 6).alias("field"))
 
 
+def _sum_over_parts(spark, sf_dir, prism) -> DataFrame:
+    """(station, s): sum over all parts as cells."""
+    cells = table(spark, sf_dir, "part").selectExpr("p_partkey AS cell", "p_partkey % 40 * 2.5D AS x0", "p_partkey % 40 * 2.5D + 2.5D AS x1", "p_size + 1D AS z0", "p_size + 3.5D AS z1")
+    at = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS station", "double(s_suppkey) AS x", "0D AS z")
+    return potential.kernel(at, cells, "station", "x", "z", prism).groupBy("station").agg(F.sum("g").alias("s"))
+
+
+@query()
+def gravity_kernel_all(spark, sf_dir):
+    """As gravity_kernel, with every part as a cell."""
+    return _sum_over_parts(spark, sf_dir, scalar.gravity_prism).select("station", F.round(200 * F.col("s"), 9).alias("gz"))
+
+
+@query()
+def magnetic_kernel_all(spark, sf_dir):
+    """As magnetic_kernel, with every part as a cell."""
+    return _sum_over_parts(spark, sf_dir, lambda *d: scalar.magnetic_prism(*d, 60.0, 50000.0)).select("station", F.round(0.01 * F.col("s"), 6).alias("field"))
+
+
 @query("""SELECT i::BIGINT AS i, j::BIGINT AS j, round(greatest(0, least(i * 2.0 + 2, 23.5) - greatest(i * 2.0, 5.5)) * greatest(0, least(j * 1.0 + 1, 7.25) - greatest(j * 1.0, 2.5)) / 2, 6) AS overlap FROM range(20) a(i), range(10) b(j)""")
 def mesh_rectangle(spark, sf_dir):
     cells = spark.range(20).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<bigint>")).alias("j"))
@@ -460,6 +479,13 @@ def tumbling_events(spark, sf_dir):
     return r6(records.tumbling_events(e, "line", "w", "value", 0.9, 20), "score")
 
 
+@query()
+def tumbling_events_all(spark, sf_dir):
+    """As tumbling_events, without a limit."""
+    e = events(spark, sf_dir).withColumn("w", F.floor(F.col("t") / 21600))
+    return r6(records.tumbling_events(e, "line", "w", "value", 0.9), "score")
+
+
 @query(f"""WITH {EV}, i AS (SELECT line, value, floor(t / 3600)::BIGINT AS i FROM ev), w AS (SELECT line, value, unnest([i // 12 * 12, i // 12 * 12 - 12]) AS start FROM i),
 r AS (SELECT line, start, sqrt(avg(value * value)) AS rms FROM w WHERE start >= 0 GROUP BY line, start), m AS (SELECT line, quantile_cont(rms, 0.5) AS m FROM r GROUP BY line)
 SELECT start, count(*) AS nodes, round(avg(rms), 6) AS rms FROM r JOIN m USING (line) GROUP BY start HAVING bool_and(rms BETWEEN 0.8 * m AND 1.2 * m)""")
@@ -576,6 +602,13 @@ def resolution_limits(spark, sf_dir):
     return r6(passive.resolution(passive.separations(p, "i", "x", "y")), "lambda_min", "lambda_max", "depth")
 
 
+@query()
+def resolution_limits_all(spark, sf_dir):
+    """Limits of each array, over all suppliers."""
+    p = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS i", "s_nationkey AS array", "double(s_suppkey * 17 % 101) AS x", "double(s_suppkey * 29 % 97) AS y")
+    return r6(passive.resolution(passive.separations(p, "i", "x", "y", "array"), "array"), "lambda_min", "lambda_max", "depth")
+
+
 @query("""WITH m AS (SELECT quantile_cont(l_discount - l_tax, 0.5) AS m FROM lineitem), s AS (SELECT 1.4826 * quantile_cont(abs(l_discount - l_tax - m), 0.5) AS s FROM lineitem, m)
 SELECT l_orderkey, l_linenumber, abs(l_discount - l_tax - m) > 1.7 * s AND abs(l_discount - l_tax) > 0.001 AS outlier FROM lineitem, m, s""")
 def residual_outliers(spark, sf_dir):
@@ -586,8 +619,9 @@ def residual_outliers(spark, sf_dir):
 @query()
 def grid_travel_times(spark, sf_dir):
     """First arrivals from one source per region through a grid whose slowness follows the parts' sizes."""
-    p = table(spark, sf_dir, "part").where("p_partkey <= 200").selectExpr("p_partkey - 1 AS node", "0.001D + p_size * 0.00002D AS s")
-    nodes = tomography.grid(spark, 20, 10, 2.0).join(p, "node")
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey - 1 AS node", "0.001D + p_size * 0.00002D AS s")
+    k = max(1, math.ceil(math.sqrt(((p.agg(F.max("node")).first()[0] or 0) + 1) / 200)))  # a grid of 2 by 1 that holds all parts
+    nodes = tomography.grid(spark, 20 * k, 10 * k, 2.0).join(p, "node")
     sources = table(spark, sf_dir, "region").selectExpr("r_name AS source", "bigint(r_regionkey * 4) AS node")
     return tomography.first_times(tomography.links(nodes, 2.0, 3), sources).select("source", "node", F.round("time", 9).alias("time"))
 

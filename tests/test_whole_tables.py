@@ -6,9 +6,59 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from sondage.operators import potential, records
 from sondage.queries import QUERIES, table
 
 
+@pytest.fixture(scope="module")
+def more_parts(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("parts")
+    spark.range(1, 301).selectExpr("id AS p_partkey", "int(id % 50 + 1) AS p_size").write.parquet(f"{d}/part.parquet")
+    spark.range(1, 31).selectExpr("id AS s_suppkey", "int(id % 4) AS s_nationkey").write.parquet(f"{d}/supplier.parquet")
+    spark.range(2).selectExpr("id AS r_regionkey", "string(id) AS r_name").write.parquet(f"{d}/region.parquet")
+    return str(d)
+
+
+def corners(f, x, part):
+    x0, z0 = part % 40 * 2.5 - x, part % 50 + 2.0
+    return f(x0 + 2.5, z0 + 2.5) - f(x0, z0 + 2.5) - f(x0 + 2.5, z0) + f(x0, z0)
+
+
+@pytest.mark.parametrize("most", [2000, 70])
+def test_kernels_over_all_parts(spark, monkeypatch, more_parts, most):
+    monkeypatch.setattr(potential, "MOST_CELLS", most)  # few: in blocks
+    c, s = math.cos(math.radians(60)), math.sin(math.radians(60))
+    part = np.arange(1, 301)
+    log, atan = lambda x, z: np.log(x * x + z * z) / 2, lambda x, z: np.arctan2(x, z)
+    gz = {k: 200 * 2 * 6.674e-11 * 1e5 * float(corners(lambda x, z: x * log(x, z) + z * atan(x, z), k, part).sum()) for k in range(1, 31)}
+    field = {k: 0.01 * 50000 / (2 * math.pi) * float(((s * s - c * c) * corners(atan, k, part) + 2 * s * c * corners(log, k, part)).sum()) for k in range(1, 31)}
+    assert {r["station"]: r["gz"] for r in QUERIES["gravity_kernel_all"](spark, more_parts).collect()} == pytest.approx(gz, abs=2e-9)
+    assert {r["station"]: r["field"] for r in QUERIES["magnetic_kernel_all"](spark, more_parts).collect()} == pytest.approx(field, abs=2e-6)
+
+
+def test_times_reach_all_parts(spark, more_parts):
+    got = {(r["source"], r["node"]): r["time"] for r in QUERIES["grid_travel_times"](spark, more_parts).collect()}
+    assert set(got) == {(s, n) for s in "01" for n in range(300)} and all(t is not None for t in got.values())
+
+
+def test_limits_of_each_array(spark, more_parts):
+    want = {}
+    for a in range(4):
+        at = [(i * 17 % 101, i * 29 % 97) for i in range(1, 31) if i % 4 == a]
+        r = [math.dist(p, q) for k, p in enumerate(at) for q in at[:k]]
+        want[a] = (2 * min(r), 2 * max(r), 2 * max(r) / 3)
+    got = {r["array"]: (r["lambda_min"], r["lambda_max"], r["depth"]) for r in QUERIES["resolution_limits_all"](spark, more_parts).collect()}
+    assert set(got) == set(want) and all(got[a] == pytest.approx(want[a], abs=2e-6) for a in want)
+
+
+def test_all_tumbling_events(spark, sf_dir):
+    e = spark.range(120).selectExpr("id % 2 AS node", "id div 4 AS w", "double(id div 2 % 2) AS v")  # 30 windows alike
+    assert records.tumbling_events(e, "node", "w", "v", 0.9).count() == 30
+    assert records.tumbling_events(e, "node", "w", "v", 0.9, 20).count() == 20
+    got = {tuple(r) for r in QUERIES["tumbling_events_all"](spark, sf_dir).collect()}
+    assert {tuple(r) for r in QUERIES["tumbling_events"](spark, sf_dir).collect()} <= got
+
+
 def test_every_shot_is_smoothed(spark, sf_dir):
     shots = {r["vec_id"]: np.abs(np.asarray(r["embedding"], float)) for r in table(spark, sf_dir, "embeddings").select("vec_id", "embedding").collect()}
     f = 1 + np.arange(64) * 0.5
