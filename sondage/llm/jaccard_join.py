@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import components, discard, materialise, narrow_batches, small
@@ -28,8 +28,8 @@ from ._words import chunks, distinct, mix, released, shingles, text_bytes, whole
 
 #: Documents that share a token before the orders put it last, and the most tokens put last (8 MB broadcast).
 HEAVY_DOCS, MOST_HEAVY = 8, 1 << 20
-#: Prefix positions by which a pair is made once; pairs whose first common token comes later are made more than once.
-FIRST = 64
+#: Pairs of one centre that meet in one place; a centre with more is sent to several.
+AT_ONCE = 32
 #: Bits of the fixed-size table by which the executors skip texts that no candidate pair needs (8 MB broadcast).
 TABLE_BITS = 26
 
@@ -46,15 +46,11 @@ def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
-def _prefix(grams: np.ndarray, heavy: np.ndarray, p: int) -> np.ndarray:
-    """The first ``p`` tokens: tokens that aren't heavy by value, then heavy ones by value."""
-    head = grams[: 2 * p]
-    light = head[~_in(heavy, head)]
-    if len(light) < p and len(head) < len(grams):
-        light = grams[~_in(heavy, grams)]
-    if len(light) < p:
-        light = np.concatenate([light, grams[_in(heavy, grams)]])
-    return light[:p]
+def _prefix(grams: np.ndarray, heavy: np.ndarray, p: int) -> tuple[np.ndarray, int]:
+    """The first ``p`` tokens, tokens that aren't heavy by value, then heavy ones by value; and how many aren't heavy."""
+    last = _in(heavy, grams)
+    light = grams[~last][:p]
+    return np.concatenate([light, grams[last][: p - len(light)]]), len(light)
 
 
 def _under(grams: np.ndarray, heavy: np.ndarray, p: int, seed: int) -> np.ndarray:
@@ -74,11 +70,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
 
 
-def _rows(batches: Iterator[pa.RecordBatch], k: int, make, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """``make(id, node, grams)`` gives a tuple of column values, or None for no row; arrays become lists.
+def _rows(batches: Iterator[pa.RecordBatch], k: int, make, columns: list[str], id_: bool = False) -> Iterator[pa.RecordBatch]:
+    """``make(node, grams)`` gives a tuple of column values, or None for no row; arrays become lists.
 
     ``grams`` are the sorted distinct 64-bit hashes of the ``k``-word shingles; a shorter sequence of words is one
-    shingle, no words are none. ``node`` is a hash of all of them, null for none.
+    shingle, no words are none. ``node`` is a hash of all of them, null for none. With ``id_`` the first column of the
+    batch, whatever its type, comes first.
     """
     for batch in batches:
         ids, (data, offsets) = batch.column(0), text_bytes(batch.column(1))
@@ -86,75 +83,134 @@ def _rows(batches: Iterator[pa.RecordBatch], k: int, make, columns: list[str]) -
             h, _, _, at = words(data, offsets[first : last + 1])
             g = shingles(h, k).view(np.int64)
             held: list[tuple] = []
-            for row, i, j in zip(ids.slice(first, last - first).to_pylist(), at[:-1], at[1:], strict=True):
+            of: list[int] = []
+            for row, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True), first):
                 own = distinct(g[i : j - k + 1]) if j - i >= k else whole(h[i:j]).view(np.int64) if j > i else g[:0]
                 node = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else None
-                if (made := make(row, node, own)) is not None:
+                if (made := make(node, own)) is not None:
                     held.append(made)
+                    of.append(row)
             if held:
-                yield _batch(held, columns)
+                out = _arrays(held, columns)
+                names = ["id", *columns] if id_ else columns
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *out] if id_ else out, names)
 
 
-def _batch(held: list[tuple], columns: list[str]) -> pa.RecordBatch:
-    cols = list(zip(*held, strict=True))
-    return pa.RecordBatch.from_arrays([_lists(list(c)) if isinstance(c[0], np.ndarray) else pa.array(c, pa.int32() if name == "n" else pa.int64()) for name, c in zip(columns, cols, strict=True)], columns)
+def _arrays(held: list[tuple], columns: list[str]) -> list[pa.Array]:
+    cols = zip(columns, zip(*held, strict=True), strict=True)
+    return [_lists(list(c)) if isinstance(c[0], np.ndarray) else pa.array(c, pa.int32() if name in ("n", "light") else pa.int64()) for name, c in cols]
+
+
+def _of_heads(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, length, ready: bool) -> Iterator[pa.RecordBatch]:
+    """From (node, rep, n, head): node, n, light, prefix of the classes whose head holds the prefix, or else node, rep of the others."""
+    for batch in batches:
+        head, n = batch.column("head"), batch.column("n").to_numpy()
+        flat = head.flatten().to_numpy()
+        last = _in(heavy, flat)
+        at = np.concatenate([[0], np.cumsum(head.value_lengths().to_numpy())])
+        light = np.diff(np.concatenate([[0], np.cumsum(~last)])[at])
+        fits = (light >= np.array([length(x) for x in n], np.int64)) | (np.diff(at) == n)
+        if not ready:
+            yield batch.filter(pa.array(~fits)).select(["node", "rep"])
+            continue
+        held = [(node, size, *_prefix(flat[i:j], heavy, length(size))[::-1]) for node, size, i, j, ok in zip(batch.column("node").to_pylist(), n.tolist(), at[:-1], at[1:], fits, strict=True) if ok]
+        if held:
+            yield pa.RecordBatch.from_arrays(_arrays(held, PREFIX), PREFIX)
+
+
+PREFIX = ["node", "n", "light", "prefix"]
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: tuple[int, int] = (90, 100), heavy_docs: int = HEAVY_DOCS) -> DataFrame:
     """Per row of ``docs``: ``id_col``, n_shingles, component_id (the smallest id reachable by links, its own included).
 
     Documents link if ``den * |A & B| >= num * |A | B|`` on their sets of ``k``-word shingles. Null or empty texts and
-    texts without words have no shingles and link with nothing. Rows that repeat an id each get a row; equal sets are
-    one class. A row with a null id gets the component of equal sets that have an id, else null. Other columns
-    aren't read. An empty table gives an empty result.
+    texts without words have no shingles and link with nothing; texts of any length are taken whole. Ids may have any
+    type that has an order, and keep it. Rows that repeat an id each get a row; equal sets are one class. A row with a
+    null id gets the component of equal sets that have an id, else null. Other columns aren't read, whatever their
+    names. An empty table gives an empty result.
     """
     spark, (num, den) = docs.sparkSession, threshold
     narrow_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def length(n: int) -> int:
+        return prefix_length(n, num, den)
 
     # Sets: class and size of every row, and the tokens of lowest hash, which hold the prefix unless many are heavy.
     def heads(batches):
-        def make(row, node, g):
-            return row, node, len(g), g[: prefix_length(len(g), num, den) * 3 // 2 + 8]
+        return _rows(batches, k, lambda node, g: (node, len(g), g[: length(len(g)) * 3 // 2 + 8]), ["node", "n", "head"], id_=True)
+
+    wide = materialise(texts.mapInArrow(released(heads), f"id {kind}, node long, n int, head array<long>"), "jaccard-heads")
+    of_class = wide.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"))
+    by_head = materialise(of_class, "jaccard-classes")
+    rows = materialise(wide.select("id", "node", "n"), "jaccard-rows")
+    classes = materialise(by_head.select("node", "rep"), "jaccard-nodes")
+    discard(wide)
 
-        return _rows(batches, k, make, ["id", "node", "n", "head"])
+    def reread(nodes: DataFrame, make, columns: list[str], schema: str) -> DataFrame:
+        """``make`` on one text of each of ``nodes`` (node, rep): a table of fixed size says which texts may be meant."""
+        bit = F.pmod(F.xxhash64("rep"), F.lit(1 << TABLE_BITS))
+        table = nodes.select((bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+        bits = np.zeros(1 << TABLE_BITS - 6, np.int64)
+        bits[table.column(0).to_numpy()] = table.column(1).to_numpy()
+        bits = spark.sparkContext.broadcast(bits)
 
-    rows = materialise(texts.mapInArrow(released(heads), "id long, node long, n int, head array<long>"), "jaccard-rows")
-    classes = materialise(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep")), "jaccard-classes")
+        def flagged(batches):
+            for batch in batches:
+                at = batch.column(2).to_numpy()
+                yield batch.filter(pa.array((bits.value[at >> 6] >> (at & 63)) & 1 == 1)).select([0, 1])
+
+        flags = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << TABLE_BITS)).alias("bit"))
+        read = flags.mapInArrow(released(lambda batches: _rows(flagged(batches), k, lambda node, g: make(node, g) if len(g) else None, columns, id_=True)), f"id {kind}, {schema}")
+        named = small(nodes.select(F.col("node").alias("of"), "rep"))
+        found = materialise(read.join(named, (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi").drop("id"), "jaccard-sets")
+        if found.count() > nodes.count():  # rows that repeat an id and its text
+            found, many = materialise(found.dropDuplicates(["node"]), "jaccard-sets"), found
+            discard(many)
+        return found
 
     def frequent(tokens: DataFrame) -> np.ndarray:
         many = tokens.groupBy("token").count().where(F.col("count") > heavy_docs)
         most = many.orderBy(F.desc("count"), "token").limit(MOST_HEAVY).select("token").toArrow()
         return np.sort(most.column(0).to_numpy()).astype(np.int64)
 
-    per_class = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("head").alias("head"))
-    heavy = frequent(per_class.select(F.explode("head").alias("token")))
-    if len(heavy):  # texts that need more tokens than their head has: all of theirs are counted
-        early = spark.sparkContext.broadcast(heavy)
+    def beyond(last) -> DataFrame:
+        """Classes whose head doesn't hold the prefix."""
+        return materialise(by_head.mapInArrow(released(lambda batches: _of_heads(batches, last.value, length, False)), f"node long, rep {kind}"), "jaccard-dense")
 
-        def dense(batches):
-            def make(row, node, g):
-                p = prefix_length(len(g), num, den)
-                head = g[: p * 3 // 2 + 8]
-                return (g,) if len(head) < len(g) and int((~_in(early.value, head)).sum()) < p else None
-
-            return _rows(batches, k, make, ["grams"])
-
-        heavy = np.union1d(heavy, frequent(texts.mapInArrow(released(dense), "grams array<long>").select(F.explode("grams").alias("token"))))[:MOST_HEAVY * 2]
+    heavy = frequent(by_head.select(F.explode("head").alias("token")))
     last = spark.sparkContext.broadcast(heavy)
+    dense = beyond(last)
+    if dense.count():  # all tokens of their texts are counted
+        whole_sets = reread(dense, lambda node, g: (node, g), ["node", "grams"], "node long, grams array<long>")
+        heavy = np.union1d(heavy, frequent(whole_sets.select(F.explode("grams").alias("token"))))[: MOST_HEAVY * 2]
+        last = spark.sparkContext.broadcast(heavy)
+        discard(dense, whole_sets)
+        dense = beyond(last)
 
     # Order 1: prefix tokens of one text of each class, with position; buckets of two classes or more get a hub.
-    def prefixes(batches):
-        def make(row, node, g):
-            return (row, node, len(g), _prefix(g, last.value, prefix_length(len(g), num, den))) if len(g) else None
-
-        return _rows(batches, k, make, ["id", "node", "n", "prefix"])
-
-    first = texts.mapInArrow(released(prefixes), "id long, node long, n int, prefix array<long>")
-    one = first.join(classes.withColumnRenamed("rep", "id"), ["node", "id"]).dropDuplicates(["node", "id"])  # by both: copies don't meet in one task
-    entries = one.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    hubs = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    shared = materialise(entries.join(hubs, "token").selectExpr("token", "node", "n", "pos", "hub.node AS hnode", "hub.n AS hn", "hub.pos AS hpos"), "jaccard-buckets")
+    prefixes = by_head.mapInArrow(released(lambda batches: _of_heads(batches, last.value, length, True)), "node long, n int, light int, prefix array<long>")
+    if dense.count():
+
+        def of_text(node, g):
+            prefix, light = _prefix(g, last.value, length(len(g)))
+            return node, len(g), light, prefix
+
+        prefixes = prefixes.unionAll(reread(dense, of_text, PREFIX, "node long, n int, light int, prefix array<long>"))
+    entries = prefixes.select("node", "n", "light", F.posexplode("prefix").alias("pos", "token"))
+    hub, own = F.min(F.struct("pos", "n", "node")), F.min(F.struct("pos", "node"))
+    # Few classes share a token that isn't heavy: one shuffle, and windows. Heavy ones are counted before the shuffle.
+    in_bucket, of_size = Window.partitionBy("token"), Window.partitionBy("token", "n")
+    rare = entries.where("pos < light").select("token", "node", "n", "pos").repartition("token")
+    rare = rare.select("*", own.over(of_size).alias("own"), hub.over(in_bucket).alias("hub"), F.count(F.lit(1)).over(in_bucket).alias("c"), F.lit(True).alias("rare"))
+    often = entries.where("pos >= light").select("token", "node", "n", "pos")
+    # Copies cut in different ways have centres of their own: a second hub for each size of set in a bucket.
+    often = often.join(often.groupBy("token").agg(hub.alias("hub"), F.count(F.lit(1)).alias("c")), "token").join(often.groupBy("token", "n").agg(own.alias("own")), ["token", "n"])
+    shared = rare.unionByName(often.withColumn("rare", F.lit(False))).where("c > 1")
+    shared = materialise(shared.selectExpr("token", "node", "n", "pos", "rare", "hub.node AS hnode", "hub.n AS hn", "hub.pos AS hpos", "own.node AS onode", "own.pos AS opos"), "jaccard-buckets")
+    discard(by_head)
 
     def near(n1, p1, n2, p2):
         """Length and positional filter: nothing before the first common token is common, and all of it differs."""
@@ -165,32 +221,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = materialise(pairs, "jaccard-pairs")
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         ends = materialise(ends.join(classes, "node"), "jaccard-ends")
-        bit = F.pmod(F.xxhash64("rep"), F.lit(1 << TABLE_BITS))
-        table = ends.select((bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
-        bits = np.zeros(1 << TABLE_BITS - 6, np.int64)
-        bits[table.column(0).to_numpy()] = table.column(1).to_numpy()
-        bits = spark.sparkContext.broadcast(bits)
-
-        def sets(batches):
-            def make(row, node, g):
-                p = prefix_length(len(g), num, den)
-                return (node, len(g), g, _under(g, last.value, p, 2), _under(g, last.value, p, 3), _sample(g)) if len(g) else None
 
-            def flagged():
-                for batch in batches:
-                    at = batch.column(2).to_numpy()
-                    yield batch.filter(pa.array((bits.value[at >> 6] >> (at & 63)) & 1 == 1)).select([0, 1])
+        def make(node, g):
+            p = length(len(g))
+            return node, len(g), g, _under(g, last.value, p, 2), _under(g, last.value, p, 3), _sample(g)
 
-            return _rows(flagged(), k, make, ["node", "n", "grams", "o2", "o3", "some"])
-
-        flags = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << TABLE_BITS)).alias("bit"))
-        full = flags.mapInArrow(released(sets), "node long, n int, grams array<long>, o2 array<int>, o3 array<int>, some array<int>")
-        full = materialise(full.join(small(ends.select("node")), "node", "left_semi"), "jaccard-sets")
+        full = reread(ends, make, ["node", "n", "grams", "o2", "o3", "some"], "node long, n int, grams array<long>, o2 array<int>, o3 array<int>, some array<int>")
 
         def both(some: DataFrame, *columns: str) -> DataFrame:
-            """The pairs with columns of both ends; only what pairs need is shuffled, by pair."""
-            x, y = (small(some).join(full.select(*[F.col(c).alias(f"{c}{i}") for c in ("node", *columns)]), F.col(end) == F.col(f"node{i}")) for i, end in ((1, "a"), (2, "b")))
-            return x.join(y, ["a", "b"])
+            """The pairs with columns of both ends: those of b come to a, those of a once for each ``AT_ONCE`` pairs."""
+            share = F.ceil(F.count(F.lit(1)) / AT_ONCE).cast("int").alias("shares")
+            centres = materialise(some.groupBy("a").agg(share), "jaccard-centres")
+            dealt = some.join(small(centres), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+            x, y = (full.select(*[F.col(c).alias(f"{c}{i}") for c in ("node", *columns)]) for i in (1, 2))
+            x = x.join(small(centres), F.col("node1") == F.col("a")).drop("node1").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+            y = y.join(small(dealt), F.col("node2") == F.col("b")).drop("node2")
+            return x.join(y, ["a", "share"])
 
         differ = F.size("some1") + F.size("some2") - 2 * F.size(F.array_intersect("some1", "some2"))
         few = both(pairs, "n", "o2", "o3", "some").where(F.arrays_overlap("o21", "o22") & F.arrays_overlap("o31", "o32") & ((num + den) * differ <= (den - num) * (F.col("n1") + F.col("n2"))))
@@ -202,25 +248,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return found
 
     to_hub = shared.where("node <> hnode").where(near(F.col("n"), F.col("pos"), F.col("hn"), F.col("hpos")))
-    # Copies cut in different ways have centres of their own: a second hub for each size of set in a bucket.
-    own = shared.groupBy("token", "n").agg(F.min(F.struct("pos", "node")).alias("own"), F.count(F.lit(1)).alias("c")).where("c > 1").selectExpr("token", "n", "own.pos AS opos", "own.node AS onode")
-    to_own = shared.join(own, ["token", "n"]).where("node <> onode").where(near(F.col("n"), F.col("pos"), F.col("n"), F.col("opos")))
+    to_own = shared.where("node <> onode AND onode <> hnode").where(near(F.col("n"), F.col("pos"), F.col("n"), F.col("opos")))
     tried = to_hub.selectExpr("hnode AS a", "node AS b").unionAll(to_own.selectExpr("onode AS a", "node AS b"))
-    links = linked(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    tried = tried.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.col("a") < F.col("b")).alias("forward"))
+    links = linked(tried.selectExpr("if(forward, x, y) AS a", "if(forward, y, x) AS b"))
     labels = components(links, "jaccard-labels")
 
-    known = shared.join(labels, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    open_ = materialise(known.join(mixed, "token", "left_semi"), "jaccard-open")
-    # A pair is made at its first common token only: the first tokens of both are at hand.
-    tokens = open_.where(F.col("pos") < FIRST).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("t")).select("node", F.transform("t", lambda e: e["token"]).alias("first"))
-    ahead = materialise(open_.join(tokens, "node", "left").withColumn("first", F.coalesce("first", F.array().cast("array<bigint>"))), "jaccard-ahead")
-    x, y = (ahead.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("node", "n", "pos", "root", "first")]) for i in (1, 2))
-    common = F.array_intersect("first1", "first2")
-    at_first = (F.size(common) == 0) | (F.get(common, 0) == x["token"])
-    cross = x.join(y, (x["token"] == y["token"]) & (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & near(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")) & at_first)
+    known = shared.join(small(labels), "node", "left").select("token", "node", "n", "pos", "rare", F.coalesce("root", "node").alias("root"))
+    rare = known.where("rare").repartition("token").withColumn("open", F.min("root").over(in_bucket) < F.max("root").over(in_bucket)).where("open").drop("open")
+    often = known.where("NOT rare")
+    often = often.join(often.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"), "token", "left_semi")
+    open_ = materialise(rare.unionByName(often).drop("rare"), "jaccard-open")
+    x, y = (open_.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("node", "n", "pos", "root")]) for i in (1, 2))
+    cross = x.join(y, (x["token"] == y["token"]) & (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & near(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
     links = links.unionAll(linked(cross.selectExpr("node1 AS a", "node2 AS b").distinct()))
-    discard(shared, open_, ahead, labels)
+    discard(shared, open_, labels)
     labels = components(links, "jaccard-labels")
 
     placed = labels.join(classes, "node")
