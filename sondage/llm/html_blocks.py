@@ -1,9 +1,11 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines, one per block. A line's weight is its text length outside links, and none inside menus,
-footers, forms and other containers that aren't an article's text. The weights are summed over sliding windows of
-``WINDOW`` lines; where the sum rises above the limit the text surges, where it falls to nothing it dives, and the
-lines between are kept. On a page that marks its article, only lines inside it have weight and any text surges.
+Markup is stripped to lines, one per block; menus, footers, forms, adverts, comments and the like are stripped to
+empty lines, and so is the border of a container that the page marks as its article. A line's weight is its text
+length outside links; a line in a marked article weighs ``SURGE`` more. The weights are summed over sliding windows of
+``WINDOW`` lines. Where the sum reaches the limit the text surges, where it falls to nothing it dives, and the lines
+between are kept. The limit is ``SURGE``, or the largest sum of a page that never gets so far; lines outside the
+marked article of a page must surge as high as any window inside it, as pages also mark teasers as articles.
 """
 
 from __future__ import annotations
@@ -29,35 +31,70 @@ _VOID = {*"area base br col embed hr img input link meta param source track wbr"
 _BOILER = {*"nav footer aside form menu dialog button head fieldset label".split()}
 _MARKED = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|sidebar|side-bar|side|aside|footer|foot|header|masthead|banner|breadcrumbs?|crumbs?|ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|disclaimer|newsletter|subscribe|subscription|signup|sign-up|login|popup|modal|overlay|related|recommended|recommendations|share|sharing|social|comment|comments|commentlist|disqus|respond|replies|widget|widgets|pagination|pager|toolbar|search|copyright|legal|skip|toc|tags|contentinfo|complementary|paywall|teaser)(?=$|[\s_-])", re.I)
 _ARTICLE = re.compile(r"(?:^|\s)(?:articlebody|article-body|article_body|article-content|post-content|post-body|entry-content|main-content|story-body|articlecontent)(?=$|\s)", re.I)
+#: Parts of a class name that say a container has, or has not, what follows.
+_ABOUT = re.compile(r"(?:^|\s)(?:with|has|no|without|not|is)[-_]\S+", re.I)
 _CONTAINERS = {*"div section article main header ul ol table td tr tbody p span dl figure details body center blockquote".split()} | _BOILER
 _SPACE = re.compile(r"\s+")
+NOT, MAYBE, SURELY = 0, 1, 2
+
+
+def _boilerplate(name: str, marks: str, is_article: bool, inside: bool) -> int:
+    """Whether a container is boilerplate; MAYBE unless an article is in it (a form, or a mark that only modifies a name)."""
+    if name == "article":
+        return SURELY if re.search(r"(?:^|[\s_-])comments?(?=$|[\s_-])", marks, re.I) else NOT
+    if name in ("body", "main") or is_article:
+        return NOT
+    if name == "form":
+        return MAYBE
+    if name in _BOILER or (name == "header" and not inside):
+        return SURELY
+    found = [m.end() for m in _MARKED.finditer(_ABOUT.sub(" ", marks))] if marks else []
+    if not found:
+        return NOT
+    text = _ABOUT.sub(" ", marks)
+    return SURELY if any(end == len(text) or text[end].isspace() for end in found) else MAYBE
 
 
 def lines(page: str) -> Iterator[tuple[str, int, bool]]:
-    """(text, weight, in_article) of each block of a page, in order; boilerplate has no text."""
+    """(text, weight, in a marked article) of each block of a page, in order; ``WINDOW`` empty lines where text was stripped."""
     source = _DROP.sub(" ", page)
-    open_: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
+    open_: list[list] = []  # name, boilerplate, article
     boiler = article = links = 0
     text: list[str] = []
-    weight = 0
-    at = 0
+    weight = at = 0
+    gap = False
 
     def close(name: str) -> None:
         nonlocal boiler, article
         for i in range(len(open_) - 1, -1, -1):
             if open_[i][0] == name:
                 for _, b, a in open_[i:]:
-                    boiler -= b
+                    boiler -= b > NOT
                     article -= a
                 del open_[i:]
                 return
 
     def add(piece: str) -> None:
-        nonlocal weight
-        if piece and not boiler:
-            text.append(piece)
-            if not links:
-                weight += len(piece.strip())
+        nonlocal weight, gap
+        if not piece:
+            return
+        if boiler:
+            gap = gap or not text
+            return
+        text.append(piece)
+        if not links:
+            weight += len(piece.strip())
+
+    def flush() -> Iterator[tuple[str, int, bool]]:
+        nonlocal weight, gap
+        if gap:
+            yield from [("", 0, False)] * WINDOW
+            gap = False
+        line = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
+        if line:
+            yield line, weight, article > 0
+        text.clear()
+        weight = 0
 
     for m in _TAG.finditer(source):
         add(source[at : m.start()])
@@ -67,59 +104,65 @@ def lines(page: str) -> Iterator[tuple[str, int, bool]]:
             continue
         ends = bool(m[1] or m[4])
         if name in _BLOCK:
-            if text:
-                yield _SPACE.sub(" ", _html.unescape("".join(text))).strip(), weight, article > 0
-                text, weight = [], 0
+            yield from flush()
         if name == "a":
             links = 0 if ends else 1
-        if name in _VOID:
+        if name in _VOID or name not in _CONTAINERS:
             continue
+        before = article > 0
         if ends:
-            if name in _CONTAINERS:
-                close(name)
-        elif name in _CONTAINERS:
+            close(name)
+        else:
             if name == "body":
                 close("head")
             elif name in _BLOCK and open_ and open_[-1][0] == "p":
                 close("p")
             attrs = m[3] or m[6] or ""
             marks = " ".join(x[0] or x[1] or x[2] for x in _ATTR.findall(attrs)) if "=" in attrs else ""
-            inside = article > 0
             is_article = name in ("article", "main") or bool(marks and _ARTICLE.search(marks))
-            is_boiler = name in _BOILER or (name == "header" and not inside) or bool(marks and name not in ("body", "article", "main") and not is_article and _MARKED.search(marks))
-            if name == "article" and marks and re.search(r"(?:^|[\s_-])comments?(?=$|[\s_-])", marks, re.I):
-                is_boiler = True
-            open_.append((name, is_boiler, is_article))
-            boiler += is_boiler
+            kind = _boilerplate(name, marks, is_article, before)
+            if is_article and not kind:
+                for outer in open_:
+                    if outer[1] == MAYBE:
+                        outer[1] = NOT
+                        boiler -= 1
+            open_.append([name, kind, is_article])
+            boiler += kind > NOT
             article += is_article
+        gap = gap or (before != (article > 0) and not text)
     add(source[at:])
-    if text:
-        yield _SPACE.sub(" ", _html.unescape("".join(text))).strip(), weight, article > 0
+    yield from flush()
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page; an empty string if it has none."""
-    rows = [x for x in lines(page or "") if x[0]]
-    marked = any(x[2] for x in rows)
-    weights = [0 if marked and not x[2] else x[1] if not marked else len(x[0]) for x in rows]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(rows))]
-    limit = 1 if marked else max(1, min(SURGE, max(sums, default=0)))
+def between(weights: list[int], marked: list[bool]) -> list[int]:
+    """The lines from where the text surges to where it dives."""
+    heavy = [w + SURGE if m else w for w, m in zip(weights, marked, strict=True)]
+    sums = [sum(heavy[i : i + WINDOW]) for i in range(len(heavy))]
+    top = max((s for s, m in zip(sums, marked, strict=True) if m), default=0)
+    limit = min(max(SURGE, top), max(sums, default=0))
     kept, inside = [], False
-    for i, (line, _, _) in enumerate(rows):
-        if not inside and sums[i] >= limit and weights[i] > 0:
+    for i, total in enumerate(sums):
+        if not inside and heavy[i] > 0 and total >= (SURGE if marked[i] else limit):
             inside = True  # surge
-        elif inside and sums[i] == 0:
+        elif inside and total == 0:
             inside = False  # dive
-        if inside and (weights[i] > 0 or not marked):
-            kept.append(line)
-    return " ".join(kept)
+        if inside:
+            kept.append(i)
+    return kept
+
+
+def extract(page: str | None) -> str:
+    """The main text of a page; an empty string if it has none."""
+    rows = list(lines(page or ""))
+    return " ".join(rows[i][0] for i in between([x[1] for x in rows], [x[2] for x in rows]) if rows[i][0])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: ``id_col``, ``url_col``, text (empty if none), n_chars (its code points).
 
-    Null and empty pages give an empty text; malformed and cut markup is read as far as it goes. Rows that repeat an
-    id each get a row; other columns aren't read.
+    Null and empty pages give an empty text; malformed and cut markup is read as far as it goes, and pages of any
+    length whole. Rows that repeat an id each get a row; ids and urls keep their types, nulls stay. Other columns
+    aren't read, whatever their names. An empty table gives an empty result.
     """
     narrow_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

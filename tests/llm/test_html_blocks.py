@@ -1,9 +1,16 @@
-from sondage.llm.html_blocks import extract, main_text
+import random
+
+import pytest
+
+from sondage.llm.html_blocks import SURGE, WINDOW, between, extract, lines, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";x(0);</script></head><body>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- <p>hidden</p> --><div class="ad">Buy now</div><div id="cookie-notice"><p>We use cookies</p></div>
 <article><h1>A &amp; B</h1><p><b>First<br>line &lt;x&gt;<p>Second &eacute;&nbsp; text</p><aside>side</aside><form><input value="q">Send</form>
 <footer>by me</footer></article><section class="comments"><p>I disagree with all of this strongly</p></section><footer>&copy; 2020</footer></body></html>"""
+TEXT = "This paragraph is long enough to be the text of the page, with a good many words in it."
+LINKS = "".join(f'<div><a href="/{i}">go to page {i}</a></div>' for i in range(9))
+JUNK = "<div>Home</div><div>Log in</div><div>Share</div>"
 
 
 def test_article():
@@ -11,9 +18,49 @@ def test_article():
 
 
 def test_without_article():
-    text = "This paragraph is long enough to be the text of the page, with a good many words in it."
-    page = f'<div class="menu"><a href="/">Home</a></div><div><p>{text}</p><p>Short.</p><p>{text}</p></div><ul><li><a href="x">one</a></li><li><a href="y">two</a></li></ul><div id="footer">foot</div>'
-    assert extract(page) == f"{text} Short. {text}"
+    page = f'<div class="menu"><a href="/">Home</a></div><div><p>{TEXT}</p><p>Short.</p><p>{TEXT}</p></div><ul><li><a href="x">one</a></li><li><a href="y">two</a></li></ul><div id="footer">foot</div>'
+    assert extract(page) == f"{TEXT} Short. {TEXT}"
+
+
+def test_windows_find_unmarked_text_among_meaningless_class_names():
+    page = f'<div class="q1">{JUNK}{LINKS}</div><div class="q2"><h2>On blocks</h2><p>{TEXT}</p><p>Short.</p><p>{TEXT}</p></div><div class="q3">{LINKS}{JUNK}</div>'
+    assert extract(page) == f"On blocks {TEXT} Short. {TEXT}"
+    rows = [x[0] for x in lines(page) if x[0]]
+    assert "Home" in rows and "go to page 3" in rows and "Share" in rows  # only the windows leave these out
+
+
+def test_misleading_class_names_and_marks():
+    assert extract(f'<div class="layout with-sidebar has-comments"><article><p>Few words.</p></article></div>') == "Few words."
+    assert extract(f'<form><div class="sidebar-layout"><main><p>{TEXT}</p><form>mail</form></main></div></form>') == TEXT
+    assert extract(f"<article>Teaser</article><div>{''.join(f'<p>{TEXT}</p>' for _ in range(4))}</div>") == " ".join(["Teaser", *[TEXT] * 4])
+    assert extract(f"<article><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p></article><div><p>{TEXT}</p></div>") == " ".join([TEXT] * 3)
+    assert extract('<div class="comments"><article class="comment">so wrong</article><article>me too</article></div>') == ""
+
+
+def intervals(weights, marked):
+    """Surge and dive points found from the definition: for each line the sum ahead, then whole intervals."""
+    full = [w + (SURGE if m else 0) for w, m in zip(weights, marked)]
+    ahead = lambda i: sum(x for j, x in enumerate(full) if i <= j < i + WINDOW)
+    n = len(full)
+    largest = max([ahead(i) for i in range(n)] or [0])
+    need = min(largest, max([SURGE] + [ahead(i) for i in range(n) if marked[i]]))
+    out, i = set(), 0
+    while i < n:
+        start = next((j for j in range(i, n) if full[j] and (ahead(j) >= SURGE if marked[j] else ahead(j) >= need)), n)
+        end = next((j for j in range(start + 1, n) if ahead(j) == 0), n)
+        out |= set(range(start, end))
+        i = end + 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_as_defined(seed):
+    r = random.Random(seed)
+    for _ in range(300):
+        n = r.randrange(30)
+        weights = [r.choice([0, 0, 0, 3, 20, 60, 150]) for _ in range(n)]
+        marked = [w > 0 and r.random() < (0.3 if seed % 2 else 0) for w in weights]
+        assert between(weights, marked) == intervals(weights, marked)
 
 
 def test_malformed_and_empty():
