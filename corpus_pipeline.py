@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.llm import decontamination, jaccard_join, quality_bayes, quality_rules, sp_tokens
-from sondage.llm._common import fresh, materialise
+from sondage.llm._common import fresh, materialise, small
 from sondage.llm.queries import table
 
 
@@ -30,8 +30,8 @@ def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays, that with the smallest id."""
     groups = materialise(jaccard_join.jaccard_components(docs), "pipeline-groups")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(groups.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-gone")
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,10 +143,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return _rows(batches, k, lambda node, g: (node, len(g), g[: length(len(g)) * 3 // 2 + 8]), ["node", "n", "head"], id_=True)
 
     wide = materialise(texts.mapInArrow(released(heads), f"id {kind}, node long, n int, head array<long>"), "jaccard-heads")
-    of_class = wide.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"))
+    of_class = wide.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"), F.count(F.lit(1)).alias("c"))
     by_head = materialise(of_class, "jaccard-classes")
     rows = materialise(wide.select("id", "node", "n"), "jaccard-rows")
-    classes = materialise(by_head.select("node", "rep"), "jaccard-nodes")
+    classes = materialise(by_head.select("node", "rep", "c"), "jaccard-nodes")
     discard(wide)
 
     def reread(nodes: DataFrame, make, columns: list[str], schema: str) -> DataFrame:
@@ -220,7 +220,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """Pairs (a, b) whose prefixes under orders 2 and 3 share a token and whose sets reach the threshold."""
         pairs = materialise(pairs, "jaccard-pairs")
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        ends = materialise(ends.join(classes, "node"), "jaccard-ends")
+        ends = materialise(ends.join(classes.select("node", "rep"), "node"), "jaccard-ends")
 
         def make(node, g):
             p = length(len(g))
@@ -265,8 +265,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     discard(shared, open_, labels)
     labels = components(links, "jaccard-labels")
 
-    placed = labels.join(classes, "node")
+    # Only copies and linked classes have another id than their own.
+    placed = labels.join(classes.select("node", "rep"), "node")
     named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = classes.join(placed.select("node", "root").join(named, "root").drop("root"), "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.select("id", "node", "n").join(of_class, "node", "left")
+    linked_classes = placed.join(named, "root").select("node", "component_id")
+    of_class = classes.where("c > 1").select("node", "rep").join(linked_classes, "node", "full").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    out = rows.join(small(materialise(of_class, "jaccard-named")), "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
