@@ -19,7 +19,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    out = chat_format.format_trees(chat_format.from_turns(rows.unionAll(control)))
+    out = chat_format.format_turns(rows.unionAll(control))
     turns = chat_format.read_turns(F.col("formatted"))
     loss = chat_format.read_loss(F.col("formatted"), F.col("loss_spans"))
     read = out.select(F.col("tree").alias("conv_id"), "formatted", turns.alias("turns"), loss.alias("loss"))
@@ -59,7 +59,7 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_bayes.quality_posterior(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = quality_bayes.quality_posterior(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_text=False)
     return scored.select("doc_id", "source", "lang", "evidence", "host_prior", "path_prior", "quality", "kept")
 
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from sondage.llm.chat_format import format_trees, from_turns, read_loss, read_turns
+from sondage.llm import chat_format
+from sondage.llm.chat_format import format_trees, format_turns, from_turns, read_loss, read_turns
 
 SCHEMA = "tree long, node long, parent long, role string, text string, score double"
 NASTY = "\\</s>[INST] \\ok\\\\ [/INST]<|turn|>x<|text|><|end|>\n<<|\\n\\"
@@ -42,3 +43,23 @@ def test_turns_with_ties_and_repeats(spark):
     rows = spark.createDataFrame([(1, 1, "b", "y", 0), (1, 0, "a", "x", 0), (1, 1, "b", "y", 0), (2, None, None, None, 0)], "conv_id long, turn long, role string, text string, node int")
     out = format_trees(from_turns(rows)).withColumn("turns", read_turns(F.col("formatted"))).orderBy("tree").collect()
     assert [[t["text"] for t in r["turns"]] for r in out] == [["x", "y", "y"], [""]]
+
+
+def test_linear_conversations_both_ways(spark):
+    schema = "conv_id long, turn long, role string, text string, node int, key int, ref int"
+    rows = [(1, 1, "b", "y"), (1, 0, "a", "x"), (1, 1, "b", "y"), (2, None, None, None), (None, 0, "user", "n"), (None, 1, "assistant", NASTY), (1, 1, "b", "c"), (1, 1, "b", "zz"), (1, 1, "a", "q"), (3, 5, "user", "z" * 100_000)]
+    df = spark.createDataFrame([(*r, 0, 1, 2) for r in rows], schema)
+    read = lambda out: sorted((-1 if r["tree"] is None else r["tree"], [tuple(t) for t in r["turns"]], r["loss"]) for r in out.select("tree", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect())
+    got = read(format_turns(df))
+    assert got == read(format_trees(from_turns(df)))
+    assert [x[1] for x in got if x[0] == 1] == [[("a", "x"), ("a", "q"), ("b", "c"), ("b", "y"), ("b", "y"), ("b", "zz")]]
+    assert [x for x in got if x[0] == -1] == [(-1, [("user", "n"), ("assistant", NASTY)], NASTY)]
+    assert format_turns(df.limit(0)).count() == 0
+
+
+def test_repeated_nodes_null_trees_and_large_trees(spark, monkeypatch):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 2, 1, "assistant", "a", 1.0), (None, 1, None, "user", "n", 0.0), (None, 2, 1, "assistant", "m", 0.0), (1, None, 1, "user", "lost", 9.0), (1, 3, 1, "assistant", "b", 0.5)]
+    for most in (10_000, 1):
+        monkeypatch.setattr(chat_format, "LARGE_TREE", most)
+        one, two = run(spark, rows)
+        assert (one["tree"], one["n_turns"], one["loss"]) == (None, 2, "m") and (two["n_turns"], two["loss"]) == (2, "a")
