@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, materialise, narrow_batches, small
+from ._common import discard, fresh, materialise, narrow_batches, small
 
 MOST_LABELS = 20_000
 #: Evidence is held off 0 and 1, so that a site can speak against a document.
@@ -74,7 +74,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
-    """Fit the document classifier on at most MOST_LABELS labelled documents, those of lowest hashed id."""
+    """Fit the document classifier on at most MOST_LABELS labels, those of lowest hashed id; of texts that repeat an id one counts."""
 
     @F.pandas_udf("array<double>")
     def vector(text: pd.Series) -> pd.Series:
@@ -82,8 +82,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     truth = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).dropna()
     chosen = materialise(truth.orderBy(F.xxhash64("id"), "id", "y").limit(MOST_LABELS), "quality-labels")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", vector("text").alias("x"))
-    got = rows.toPandas().sort_values(["id", "y"])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.distinct()), "id").select("id", "y", vector("text").alias("x"))
+    got = rows.groupBy("id", "y").agg(F.min("x").alias("x")).toPandas().sort_values(["id", "y"])
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(features("")))
     return fit_logistic(x, got["y"].to_numpy(float))
 
@@ -113,32 +113,41 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return mean, float(np.clip(within / max(between, 1e-9), 1.0, 1000.0))
 
 
-def quality_posterior(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", model: dict | None = None) -> DataFrame:
+def quality_posterior(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", model: dict | None = None, with_text: bool = True) -> DataFrame:
     """``docs`` with evidence, host_prior, path_prior, quality (doubles) and kept (boolean), under names that are free.
 
-    Every row stays, repeated rows and null ids too; null hosts and paths are groups of their own. A text
-    without words (null, empty) has the least evidence. Without labels, or with labels of one class, the evidence is constant.
-    An empty table gives an empty result.
+    Every row stays, repeated rows and null ids too (each counts for its site); null hosts and paths are groups of
+    their own. A text without words (null, empty) has the least evidence, texts of any length are read whole. Without
+    labels, or with labels of one class, the evidence is constant. Equal evidence gives equal results. Columns of any
+    name stay. An empty table gives an empty result. ``with_text=False`` leaves the text column out, and each text is
+    then read once for its evidence, which is written without it.
     """
     narrow_batches(docs.sparkSession)
     model = model or train(docs, labels, id_col, text_col, label_col)
     e, h, p = (fresh(docs, x) for x in ("evidence", "_host", "_path"))
-    scored = with_evidence(docs, model, text_col, e).withColumns({h: F.coalesce(F.col(host_col).cast("string"), F.lit("\0")), p: F.coalesce(F.col(path_col).cast("string"), F.lit("\0"))})
-
-    evidence = with_evidence(docs.select(host_col, path_col, text_col), model, text_col, "e")
-    paths = evidence.groupBy(F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("h"), F.coalesce(F.col(path_col).cast("string"), F.lit("\0")).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q"))
-    paths = materialise(paths, "quality-paths")
+    group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    keys = {h: group(host_col), p: group(path_col)}
+    scored = with_evidence(docs, model, text_col, e).withColumns(keys)
+    if with_text:
+        evidence = with_evidence(docs.select(group(host_col).alias("h"), group(path_col).alias("p"), F.col(text_col).alias("t")), model, "t", "e")
+    else:
+        scored = materialise(scored.drop(text_col), "quality-evidence")
+        evidence = scored.select(F.col(h).alias("h"), F.col(p).alias("p"), F.col(e).alias("e"))
+    paths = materialise(evidence.groupBy("h", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q")), "quality-paths")
     hosts = materialise(paths.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]), "quality-hosts")
     mean, host_strength = _strength(hosts)
     path_strength = _strength(paths)[1]
-    sites = materialise(paths.join(hosts.selectExpr("h", "n AS hn", "s AS hs"), "h").selectExpr("h AS _h", "p AS _p", "n AS _n", "s AS _s", "hn AS _hn", "hs AS _hs"), "quality-sites")
+    site = fresh(scored, "_site")
+    sites = materialise(paths.join(hosts.selectExpr("h", "n AS hn", "s AS hs"), "h").select(F.col("h").alias(h), F.col("p").alias(p), F.struct("n", "s", "hn", "hs").alias(site)), "quality-sites")
+    discard(paths, hosts)
 
-    own = F.col(e)
-    host_prior = (F.col("_hs") - own + host_strength * mean) / (F.col("_hn") - 1 + host_strength)
-    path_prior = (F.col("_s") - own + path_strength * F.col("_host_prior")) / (F.col("_n") - 1 + path_strength)
+    own, at = F.col(e), F.col(site)
+    host_prior = (at["hs"] - own + host_strength * mean) / (at["hn"] - 1 + host_strength)
+    path_prior = (at["s"] - own + path_strength * host_prior) / (at["n"] - 1 + path_strength)
     logit = lambda x: F.ln(x / (1 - x))
     held = lambda x: F.least(F.greatest(x, F.lit(CLIP)), F.lit(1 - CLIP))
-    odds = logit(own) + SITE_WEIGHT * (logit(held(F.col("_path_prior"))) - logit(held(F.lit(float(mean)))))
-    joined = scored.join(small(sites), (F.col(h) == F.col("_h")) & (F.col(p) == F.col("_p"))).withColumn("_host_prior", host_prior).withColumn("_path_prior", path_prior).withColumn("_quality", 1 / (1 + F.exp(-odds)))
-    out = {fresh(docs, "host_prior"): "_host_prior", fresh(docs, "path_prior"): "_path_prior", fresh(docs, "quality"): "_quality"}
-    return joined.select(*[F.col(c) for c in docs.columns], F.col(e), *[F.col(v).alias(k) for k, v in out.items()], (F.col("_quality") >= REJECT_BELOW).alias(fresh(docs, "kept")))
+    odds = logit(own) + SITE_WEIGHT * (logit(held(path_prior)) - logit(held(F.lit(float(mean)))))
+    quality = 1 / (1 + F.exp(-odds))
+    joined = scored.join(small(sites), [h, p])
+    out = {"host_prior": host_prior, "path_prior": path_prior, "quality": quality, "kept": quality >= REJECT_BELOW}
+    return joined.select(*[F.col(c) for c in docs.columns if with_text or c != text_col], F.col(e), *[c.alias(fresh(docs, k)) for k, c in out.items()])

@@ -32,7 +32,7 @@ def canonical_url(url: Column) -> Column:
 
 
 def latest_before(records: DataFrame, key: str, at: str, record: str, is_response: str, bucket: float) -> DataFrame:
-    """(record, response): for each row that isn't a response the last response of its key that is earlier.
+    """(record, key, at, response, response_at): for each row that isn't a response the last response of its key that is earlier.
 
     Ties in time: a response at the same time isn't earlier; of responses at one time the largest record counts.
     """
@@ -45,18 +45,22 @@ def latest_before(records: DataFrame, key: str, at: str, record: str, is_respons
     before = marks.withColumn("_before", F.last("_end", ignorenulls=True).over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select(key, "_b", "_before")
     inside = Window.partitionBy(key, "_b").orderBy(F.col(at)).rangeBetween(Window.unboundedPreceding, -1)
     own = r.withColumn("_own", F.max(F.when(F.col(is_response), last)).over(inside)).where(f"NOT {is_response}")
-    return own.join(before, [key, "_b"], "left").select(record, F.coalesce("_own", "_before")["response"].alias("response"))
+    found = F.coalesce("_own", "_before")
+    return own.join(before, [key, "_b"], "left").select(record, key, at, found["response"].alias("response"), found["at"].alias("response_at")).distinct()
 
 
 def resolve(records: DataFrame, bucket: float = 1000.0, with_payload: bool = False) -> DataFrame:
     """One row per revisit: record_id, url_key, response_id, outcome, headers (merged) and, if asked for, payload.
 
-    ``records``: record_id (unique, bigint), url, ts (bigint), kind ("response" or "revisit"), status (int), headers
-    (map of strings) and payload; others aren't read. Full responses have kind "response" and status 200. outcome:
+    ``records``: record_id (any type that has an order), url, ts (bigint), kind ("response" or "revisit"), status (int),
+    headers (map of strings) and payload; others aren't read, whatever their names. Full responses have kind "response"
+    and status 200. Rows that repeat a revisit each get a row; of responses that repeat id, URL and time the one with
+    the largest headers and payload counts. outcome:
     "etag" or "modified" (that validator agrees; the strong one decides), "mismatch", "no validator" (nothing to
     compare) or "no response". Headers are merged for all but mismatches and missing responses, which keep their own.
     Header names don't depend on case; of names that differ in case only, the last in order counts. Null urls, times
-    and ids never match; revisits of null ids are left out. Empty tables give empty results.
+    and ids never match; revisits of null ids are left out; null and empty headers are none. Payloads of any length
+    are whole. Empty tables give empty results.
     """
     names = F.transform(F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>")))), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
     merged = F.aggregate(names, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])))
@@ -64,9 +68,11 @@ def resolve(records: DataFrame, bucket: float = 1000.0, with_payload: bool = Fal
     used = base.where("full OR kind = 'revisit'")
     light = used.where("url_key IS NOT NULL AND ts IS NOT NULL").select("record_id", "url_key", "ts", "full")
     found = latest_before(light, "url_key", "ts", "record_id", "full", bucket)
-    revisits = used.where("NOT full").select("record_id", "url_key", F.col("h").alias("rh")).join(found, "record_id", "left")
-    target = used.where("full").select(F.col("record_id").alias("response"), "h", *(["payload"] if with_payload else []))
-    both = revisits.join(target, "response", "left")
+    revisits = used.where("NOT full").select("record_id", "url_key", "ts", F.col("h").alias("rh")).join(found, ["record_id", "url_key", "ts"], "left")
+    stored = F.max(F.struct(F.array_sort(F.map_entries("h")).alias("h"), *(["payload"] if with_payload else []))).alias("stored")
+    target = used.where("full").groupBy(F.col("record_id").alias("response"), "url_key", F.col("ts").alias("response_at")).agg(stored)
+    target = target.select("response", "url_key", "response_at", F.map_from_entries("stored.h").alias("h"), *([F.col("stored.payload")] if with_payload else []))
+    both = revisits.join(target, ["response", "url_key", "response_at"], "left")
     tag = lambda m: F.regexp_replace(F.col(m)["etag"], "^W/", "")
     e1, e2, m1, m2 = tag("rh"), tag("h"), F.col("rh")["last-modified"], F.col("h")["last-modified"]
     checked = F.when(F.col("response").isNull(), "no response").when(e1.isNotNull() & e2.isNotNull(), F.when(e1 == e2, "etag").otherwise("mismatch")).when(m1.isNotNull() & m2.isNotNull(), F.when(m1 == m2, "modified").otherwise("mismatch")).otherwise("no validator")
