@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.joins import small
+
 #: Cells of a mesh that is inverted: the normal equations (cells squared) are solved on the driver. Cells of a block of a kernel.
 MOST_CELLS = 2000
 
@@ -37,7 +39,7 @@ def kernel(stations: DataFrame, cells: DataFrame, station: str, x: str, z: str,
 
 def forward(sensitivity: DataFrame, model: DataFrame, station: str) -> DataFrame:
     """Sum over the cells of kernel times property."""
-    return sensitivity.join(F.broadcast(model.select("cell", "property")), "cell").groupBy(station).agg(F.sum(F.col("g") * F.col("property")).alias("value"))
+    return sensitivity.join(small(model.select("cell", "property")), "cell").groupBy(station).agg(F.sum(F.col("g") * F.col("property")).alias("value"))
 
 
 def invert(stations: DataFrame, cells: DataFrame, sensitivity: DataFrame, station: str, value: str, sigma: float, damping: float, smoothing: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .stations import median
+from ..plans.ordered import quantiles
 
 
 def gap_sessions(files: DataFrame, by: str, start: str, max_gap: float) -> DataFrame:
@@ -28,32 +28,52 @@ def coverage(samples: DataFrame, node: str, time: str, value: str) -> DataFrame:
     return samples.groupBy(node).agg(F.avg(there.cast("double")).alias("coverage"), F.count(value).alias("n"), F.min(F.when(there, F.col(time))).alias("first"), F.max(F.when(there, F.col(time))).alias("last"), F.stddev_pop(value).alias("std"), F.max(F.abs(value)).alias("largest"))
 
 
-def common_window(samples: DataFrame, index: str, node: str, nodes: int) -> DataFrame:
-    """The longest run of indices at which all ``nodes`` have a value; the first of equal ones."""
-    full = samples.groupBy(index).agg(F.count_distinct(node).alias("c")).where(F.col("c") == nodes)  # a row per index
-    island = full.withColumn("g", F.col(index) - F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(index)))
-    runs = island.groupBy("g").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count(F.lit(1)).alias("length"))
-    return runs.orderBy(F.desc("length"), "first").limit(1).select("first", "last", "length")
+def common_window(samples: DataFrame, index: str, node: str, nodes: int | None = None) -> DataFrame:
+    """The longest run of indices at which all ``nodes`` (of the table, if not given) have a row; the first of equal ones.
 
+    A run's ends are the indices without a neighbour, found by joins; only those are ordered.
+    """
+    total = F.broadcast(samples.agg(F.count_distinct(node).alias("_nodes"))) if nodes is None else None  # one row
+    each = samples.groupBy(F.col(index).alias("_i")).agg(F.count_distinct(node).alias("c"))
+    full = (each.where(F.col("c") == nodes) if total is None else each.crossJoin(total).where("c = _nodes")).select("_i")
+    first = full.join(full.select((F.col("_i") + 1).alias("_i")), "_i", "left_anti").select("_i", F.lit(0).alias("end"))
+    last = full.join(full.select((F.col("_i") - 1).alias("_i")), "_i", "left_anti").select("_i", F.lit(1).alias("end"))
+    order = Window.partitionBy(F.lit(0)).orderBy("_i", "end")  # two rows per run
+    runs = first.unionAll(last).withColumn("last", F.lead("_i").over(order)).where("end = 0").select(F.col("_i").alias("first"), "last", (F.col("last") - F.col("_i") + 1).alias("length"))
+    return runs.orderBy(F.desc("length"), "first").limit(1)
 
-def tumbling_events(samples: DataFrame, node: str, window: str, value: str, threshold: float, most: int | None = None) -> DataFrame:
-    """Windows whose deviation over each node's own median deviation is at least ``threshold`` at every node; at most ``most``, the highest."""
-    std = samples.groupBy(node, window).agg(F.stddev_pop(value).alias("s"))
-    own = std.groupBy(node).agg(median("s").alias("m"))
+
+def tumbling_events(samples: DataFrame, node: str, window: str, value: str, threshold: float, most: int | None = None, whole: int | None = None) -> DataFrame:
+    """Windows whose deviation over each node's own median deviation is at least ``threshold`` at every node; at most ``most``, the highest.
+
+    (window, score, nodes): the score is the least over all nodes of the table, so a node without samples in a window
+    vetoes it. ``whole``: samples of a whole window; windows in which a node has fewer are incomplete and left out.
+    """
+    std = samples.groupBy(node, window).agg(F.stddev_pop(value).alias("s"), F.count(value).alias("c"))
+    full = std.where("c > 0" if whole is None else F.col("c") >= whole)
+    nodes = samples.agg(F.count_distinct(node).alias("_nodes"))
+    own = quantiles(full, [node], "s", {"m": 0.5})
     score = F.col("s") / F.when(F.col("m") > 0, F.col("m")).otherwise(1.0)
-    least = std.join(own, node).groupBy(window).agg(F.min(score).alias("score"), F.count(F.lit(1)).alias("nodes"))
-    found = least.where(F.col("score") >= threshold)
+    least = full.join(own, node).groupBy(window).agg(F.min(score).alias("score"), F.count(F.lit(1)).alias("nodes"))
+    found = least.crossJoin(F.broadcast(nodes)).where((F.col("score") >= threshold) & (F.col("nodes") == F.col("_nodes"))).drop("_nodes")  # one row
     return found if most is None else found.orderBy(F.desc("score"), window).limit(most)
 
 
 def sliding_gate(samples: DataFrame, node: str, index: str, value: str, length: int, lo: float, hi: float) -> DataFrame:
-    """Half-overlapping windows whose root mean square is within ``lo`` and ``hi`` times the node's median at all nodes."""
+    """Half-overlapping whole windows whose deviation is between ``lo`` and ``hi`` times the node's median at all nodes.
+
+    ``samples``: a row per node and index. A window counts if every node of the table has all ``length`` values in it
+    and none is constant; the median is over those windows. (start, nodes, rms): rms is the mean of the deviations.
+    """
     half = length // 2
     start = F.explode(F.array(F.floor(F.col(index) / half) * half, F.floor(F.col(index) / half) * half - half))
-    rms = samples.withColumn("start", start).where("start >= 0").groupBy(node, "start").agg(F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
-    mid = rms.groupBy(node).agg(median("rms").alias("m"))
-    ok = (F.col("rms") >= lo * F.col("m")) & (F.col("rms") <= hi * F.col("m"))
-    return rms.join(mid, node).groupBy("start").agg(F.min(ok.cast("int")).alias("ok"), F.count(F.lit(1)).alias("nodes"), F.avg("rms").alias("rms")).where("ok = 1").drop("ok")
+    each = samples.withColumn("start", start).groupBy(node, "start").agg(F.stddev_pop(value).alias("s"), F.count(value).alias("c")).where(F.col("c") == length)
+    nodes = samples.agg(F.count_distinct(node).alias("_nodes"))
+    full = each.groupBy("start").agg(F.count(F.lit(1)).alias("nodes"), F.min("s").alias("least")).crossJoin(F.broadcast(nodes)).where("nodes = _nodes").drop("_nodes")  # one row
+    each = each.join(full, "start").where("s > 0")
+    mid = quantiles(each, [node], "s", {"m": 0.5})
+    ok = (F.col("s") > lo * F.col("m")) & (F.col("s") < hi * F.col("m"))
+    return each.where("least > 0").join(mid, node).groupBy("start", "nodes").agg(F.min(ok.cast("int")).alias("ok"), F.avg("s").alias("rms")).where("ok = 1").drop("ok")
 
 
 def before_after(track: DataFrame, node: str, order: str, value: str, files: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .stations import median
+from ..plans.ordered import lowest, quantiles
 
 
 def offsets(traces: DataFrame, points: DataFrame, source: str, receiver: str) -> DataFrame:
@@ -24,50 +24,86 @@ def samples(traces: DataFrame, key: str, array: str) -> DataFrame:
     return traces.select(key, F.posexplode(array).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
 
 
-def energy_ratio(traces: DataFrame, key: str, array: str, n: int) -> DataFrame:
-    """Per trace the sample with the largest ratio of the next ``n`` samples' energy to the last ``n`` ones'."""
-    s = samples(traces, key, array)
-    w = Window.partitionBy(key).orderBy("i")
+def _samples(traces: DataFrame, key: str, array: str) -> DataFrame:
+    """As ``samples``, with the key as ``trace``: a key may have any name."""
+    return samples(traces.select(F.col(key).alias("trace"), F.col(array).alias("a")), "trace", "a")
+
+
+def energy_ratio(traces: DataFrame, key: str, array: str, n: int, modified: bool = False) -> DataFrame:
+    """Per trace the sample with the largest ratio of the next ``n`` samples' energy to the last ``n`` ones', and the ratio.
+
+    Only where both windows are whole. A floor of 1e-9 of the largest energy of both windows keeps a silent lead-in
+    finite. ``modified``: the cube of the ratio times the sample's size.
+    """
+    s = _samples(traces, key, array)
+    w = Window.partitionBy("trace").orderBy("i")
     trail, lead = w.rowsBetween(-(n - 1), 0), w.rowsBetween(1, n)
     e = F.col("v") * F.col("v")
-    r = s.select(key, "i", F.when(F.count("v").over(trail) == n, F.sum(e).over(trail)).alias("t"), F.when(F.count("v").over(lead) == n, F.sum(e).over(lead)).alias("l")).where("t > 0 AND l IS NOT NULL")
-    return r.groupBy(key).agg(F.min_by("i", F.struct(-F.round(F.col("l") / F.col("t"), 9), F.col("i"))).alias("pick"), F.max(F.col("l") / F.col("t")).alias("ratio"))
+    r = s.select("trace", "i", "v", F.when(F.count("v").over(trail) == n, F.sum(e).over(trail)).alias("t"), F.when(F.count("v").over(lead) == n, F.sum(e).over(lead)).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
+    floor = F.lit(1e-9) * F.max(F.col("t") + F.col("l")).over(Window.partitionBy("trace")) + F.lit(1e-30)
+    r = r.select("trace", "i", "v", (F.col("l") / (F.col("t") + floor)).alias("r"))
+    r = r.withColumn("r", F.pow(F.col("r") * F.abs("v"), 3)) if modified else r
+    return r.groupBy("trace").agg(F.min_by("i", F.struct(-F.round("r", 9), F.col("i"))).alias("pick"), F.max("r").alias("ratio")).withColumnRenamed("trace", key)
 
 
 def sta_lta(traces: DataFrame, key: str, array: str, short: int, long: int, threshold: float) -> DataFrame:
-    """Per trace the first sample whose short over growing long average of |v| reaches the threshold."""
-    w = Window.partitionBy(key).orderBy("i")
-    a = F.abs("v")
-    r = samples(traces, key, array).select(key, "i", (F.avg(a).over(w.rowsBetween(-(short - 1), 0)) / F.avg(a).over(w.rowsBetween(-(long - 1), 0))).alias("r"))
-    return r.groupBy(key).agg(F.min(F.when(F.col("r") >= threshold, F.col("i"))).alias("pick"), F.max("r").alias("most"))
+    """Per trace the first sample whose short over long average of the energy reaches the threshold.
+
+    The long window grows from the start of the record; the first ``short`` - 1 samples have no short window.
+    """
+    w = Window.partitionBy("trace").orderBy("i")
+    e = F.col("v") * F.col("v")
+    sta, lta = F.avg(e).over(w.rowsBetween(-(short - 1), 0)), F.avg(e).over(w.rowsBetween(-(long - 1), 0))
+    r = _samples(traces, key, array).select("trace", "i", (sta / (lta + F.lit(1e-30))).alias("r")).where(F.col("i") >= short - 1)
+    return r.groupBy("trace").agg(F.min(F.when(F.col("r") >= threshold, F.col("i"))).alias("pick"), F.max("r").alias("most")).withColumnRenamed("trace", key)
 
 
 def aic_pick(traces: DataFrame, key: str, array: str) -> DataFrame:
-    """Per trace the sample after the break with the least two-segment information criterion."""
-    s = samples(traces, key, array)
-    w = Window.partitionBy(key).orderBy("i")
-    upto, after, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy(key)
+    """Per trace the sample after the break with the least two-segment information criterion; variances are 1e-30 at least.
+
+    Traces of fewer than four samples have no row.
+    """
+    s = _samples(traces, key, array)
+    w = Window.partitionBy("trace").orderBy("i")
+    upto, after, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy("trace")
     k, n = F.col("i") + 1, F.count("v").over(whole)
-    var = lambda f: F.var_pop("v").over(f)
-    r = s.select(key, "i", k.alias("k"), n.alias("n"), var(upto).alias("a"), var(after).alias("b")).where("a > 0 AND b > 0")
+    var = lambda f: F.greatest(F.var_pop("v").over(f), F.lit(1e-30))
+    r = s.select("trace", k.alias("k"), n.alias("n"), var(upto).alias("a"), var(after).alias("b")).where("n >= 4 AND k <= n - 2")
     aic = F.col("k") * F.ln("a") + (F.col("n") - F.col("k") - 1) * F.ln("b")
-    return r.groupBy(key).agg((F.min_by("i", F.struct(F.round(aic, 6), F.col("i"))) + 1).alias("pick"))
+    return r.groupBy("trace").agg(F.min_by("k", F.struct(F.round(aic, 6), F.col("k"))).alias("pick")).withColumnRenamed("trace", key)
 
 
-def reciprocity(table: DataFrame, seq: str, source_x: str, receiver_x: str, time: str, tolerance: float) -> DataFrame:
-    """Pairs of readings with source and receiver exchanged (positions on a grid of the tolerance), and their difference."""
+def reciprocity(table: DataFrame, seq: str, source_x: str, receiver_x: str, time: str, tolerance: float = 0.25, shot: str | None = None, by: str | None = None) -> DataFrame:
+    """Pairs of readings with source and receiver exchanged: i, j, shot_ab, shot_ba, x_a, x_b, offset, t_ab, t_ba, dt.
+
+    Positions that round to the same multiple of the tolerance are one; a reading at its own source has no pair. dt is
+    t_ab - t_ba, where ab is the reading with the smaller ``seq``. ``by``: pairs are made within a line only.
+    """
     q = lambda c: F.rint(F.col(c) / tolerance).cast("long")
-    t = table.select(F.col(seq).alias("i"), q(source_x).alias("s"), q(receiver_x).alias("r"), F.col(time).alias("t")).where("s <> r")
-    b = t.select(F.col("i").alias("j"), F.col("s").alias("r"), F.col("r").alias("s"), F.col("t").alias("u"))
-    return t.join(b, ["s", "r"]).where("i < j").select("i", "j", (F.col("u") - F.col("t")).alias("dt"))
+    named = F.col(shot).cast("string") if shot else F.lit("")
+    line = [F.col(by).alias("line")] if by else []
+    t = table.select(*line, F.col(seq).alias("i"), q(source_x).alias("s"), q(receiver_x).alias("r"), named.alias("shot_ab"), F.col(source_x).alias("x_a"), F.col(receiver_x).alias("x_b"), F.col(time).alias("t_ab")).where("x_a <> x_b")
+    b = t.select(*(["line"] if by else []), F.col("i").alias("j"), F.col("s").alias("r"), F.col("r").alias("s"), F.col("shot_ab").alias("shot_ba"), F.col("t_ab").alias("t_ba"))
+    met = t.join(b, [*(["line"] if by else []), "s", "r"]).where("i < j")
+    return met.select("i", "j", "shot_ab", "shot_ba", "x_a", "x_b", F.abs(F.col("x_b") - F.col("x_a")).alias("offset"), "t_ab", "t_ba", (F.col("t_ab") - F.col("t_ba")).alias("dt"))
 
 
-def apparent_gradient(table: DataFrame, offset: str, time: str, share: float = 0.1) -> DataFrame:
-    """Median apparent velocity of the nearest and of the farthest tenth of the readings."""
-    used = table.where((F.col(offset) > 0) & (F.col(time) > 0)).select(F.col(offset).alias("d"), (F.col(offset) / F.col(time)).alias("v"))
-    cut = used.agg(F.percentile("d", share).alias("near"), F.percentile("d", 1 - share).alias("far"))
-    near, far = F.when(F.col("d") <= F.col("near"), F.col("v")), F.when(F.col("d") >= F.col("far"), F.col("v"))
-    return used.crossJoin(F.broadcast(cut)).agg(median(near).alias("v_top"), median(far).alias("v_bottom"))
+def apparent_gradient(table: DataFrame, seq: str, offset: str, time: str) -> DataFrame:
+    """(v_top, v_bottom) of a starting gradient from apparent velocities (offset over time), both of positive readings.
+
+    v_top is the median of the nearest tenth of the readings, three at least, v_bottom the larger of 1.1 times the
+    median of the farthest tenth and 1.5 v_top; equal offsets are in the order of ``seq``, a number. The tenths are cut at exact
+    ranks without a sort of all rows in one task.
+    """
+    used = table.where((F.col(offset) > 0) & (F.col(time) > 0)).select(F.col(offset).cast("double").alias("d"), F.col(seq).alias("k"), (F.col(offset) / F.col(time)).alias("v"))
+    size = used.agg(F.greatest(F.lit(3), F.floor(F.count(F.lit(1)) / 10)).alias("n"), F.count(F.lit(1)).alias("all"))
+    ends = []
+    for side, name in ((1, "near"), (-1, "far")):
+        rows = used.select((side * F.col("d")).alias("d"), "v", (side * F.col("k")).alias("k"))
+        ends.append(lowest(rows, "d", "k", size, "n").select("v", F.lit(name).alias("side")))
+    both = quantiles(ends[0].unionAll(ends[1]), ["side"], "v", {"m": 0.5})
+    top, far = F.max(F.when(F.col("side") == "near", F.col("m"))), F.max(F.when(F.col("side") == "far", F.col("m")))
+    return both.agg(top.alias("v_top"), F.greatest(far * 1.1, top * 1.5).alias("v_bottom"))
 
 
 def intercept_times(layers: DataFrame, model: str = "model") -> DataFrame:
@@ -107,8 +143,12 @@ def fit_two_layers(picks: DataFrame, shot: str, x: str, t: str, least: int = 2)
     return best.select(shot, F.col("b.n1").alias("cut"), v1.alias("v1"), v2.alias("v2"), depth.alias("depth"), F.col("b.sse").alias("sse"))
 
 
-def dispersion_image(traces: DataFrame, shot: str, offset: str, array: str, dt: float, frequencies: list[float], velocities: list[float]) -> DataFrame:
-    """Phase-shift energy per shot, frequency and velocity: unit spectra stacked with the phase of each velocity."""
+def dispersion_image(traces: DataFrame, shot: str, offset: str, array: str, dt: float, frequencies: list[float], velocities: list[float], normalize: bool = False) -> DataFrame:
+    """Phase-shift energy per shot, frequency and velocity: unit spectra stacked with the phase of each velocity.
+
+    The sum is over all traces of the shot, silent ones too, divided by their number; ``normalize``: and by the largest
+    energy of its frequency.
+    """
     f = F.explode(F.array(*[F.lit(float(x)) for x in frequencies]))
     per = traces.select(shot, offset, array, f.alias("f"))
 
@@ -117,11 +157,13 @@ def dispersion_image(traces: DataFrame, shot: str, offset: str, array: str, dt:
 
     spec = per.select(shot, offset, "f", part(F.cos).alias("re"), (-part(F.sin)).alias("im"))
     size = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)
-    unit = spec.where(size > 0).withColumn("ur", F.col("re") / size).withColumn("ui", F.col("im") / size)
+    unit = spec.withColumn("ur", F.when(size > 0, F.col("re") / size).otherwise(0.0)).withColumn("ui", F.when(size > 0, F.col("im") / size).otherwise(0.0))
     grid = unit.select(shot, offset, "f", "ur", "ui", F.explode(F.array(*[F.lit(float(v)) for v in velocities])).alias("c"))
     k = 2 * math.pi * F.col("f") / F.col("c") * F.col(offset)
     sums = grid.groupBy(shot, "f", "c").agg(F.sum(F.col("ur") * F.cos(k) - F.col("ui") * F.sin(k)).alias("r"), F.sum(F.col("ur") * F.sin(k) + F.col("ui") * F.cos(k)).alias("i"), F.count(F.lit(1)).alias("n"))
-    return sums.select(shot, "f", "c", (F.sqrt(F.col("r") ** 2 + F.col("i") ** 2) / F.col("n")).alias("energy"))
+    out = sums.select(shot, "f", "c", (F.sqrt(F.col("r") ** 2 + F.col("i") ** 2) / F.col("n")).alias("energy"))
+    most = F.max("energy").over(Window.partitionBy(shot, "f"))
+    return out.withColumn("energy", F.col("energy") / F.when(most > 0, most).otherwise(1.0)) if normalize else out
 
 
 def pick_max(image: DataFrame, by: list[str]) -> DataFrame:
@@ -129,14 +171,18 @@ def pick_max(image: DataFrame, by: list[str]) -> DataFrame:
     return image.groupBy(*by).agg(F.min_by("c", F.struct(-F.round("energy", 9), F.col("c"))).alias("velocity"), F.max("energy").alias("energy"))
 
 
-def konno_ohmachi(spectrum: DataFrame, by: str, f: str, v: str, b: float = 40.0, reach: float = 3.0) -> DataFrame:
-    """Spectrum smoothed with weights (sin(a)/a)**4, a = b log10(f/fc), within ``reach`` / b decades of each centre."""
-    centre = spectrum.select(by, F.col(f).alias("fc"))
-    a = F.lit(b) * F.log10(F.col(f) / F.col("fc"))
-    near = F.abs(a) <= F.lit(b) * reach / b * math.pi
-    w = F.when(F.abs(a) < 1e-12, 1.0).otherwise(F.pow(F.sin(a) / a, 4))
-    met = spectrum.where(F.col(f) > 0).join(centre.where("fc > 0"), by).where(near)
-    return met.groupBy(by, "fc").agg((F.sum(w * F.col(v)) / F.sum(w)).alias("smooth"))
+def konno_ohmachi(spectrum: DataFrame, by: str, f: str, v: str, b: float = 40.0) -> DataFrame:
+    """Each spectrum smoothed over all its positive frequencies with weights (sin(a)/a)**4, a = b log10(f/fc).
+
+    (by, fc, smooth); values at frequencies of 0 and below stay as they are.
+    """
+    rows = spectrum.select(F.col(by).alias("_by"), F.col(f).cast("double").alias("_f"), F.col(v).cast("double").alias("_v"))
+    a = F.lit(b) * F.log10(F.col("_f") / F.col("fc"))
+    w = F.when(a == 0, 1.0).otherwise(F.pow(F.sin(a) / a, 4))
+    positive = rows.where("_f > 0")
+    met = positive.join(positive.select("_by", F.col("_f").alias("fc")).distinct(), "_by")
+    smooth = met.groupBy("_by", "fc").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias("smooth"))
+    return smooth.unionAll(rows.where("_f <= 0")).withColumnRenamed("_by", by)
 
 
 def with_edits(picks: DataFrame, edits: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.joins import interpolate
+from ..plans.ordered import quantiles, with_next
 
 
 def median(c: Column | str) -> Column:
@@ -40,9 +41,14 @@ def collapse_repeats(readings: DataFrame, station: str, seq: str, first: list[st
     return readings.groupBy(station).agg(*aggs, F.count(F.lit(1)).alias("occupations"))
 
 
+def _with_one(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Every row beside the one row of ``one``, or beside nulls where that is empty."""
+    return rows.join(F.broadcast(one), F.lit(True), "left")
+
+
 def remove_regional(readings: DataFrame, value: str, out: str = "anomaly") -> DataFrame:
     """Value less the median of all."""
-    return readings.crossJoin(F.broadcast(readings.agg(median(value).alias("_m")))).withColumn(out, F.col(value) - F.col("_m")).drop("_m")
+    return _with_one(readings, quantiles(readings, [], value, {"_m": 0.5})).withColumn(out, F.col(value) - F.col("_m")).drop("_m")
 
 
 def flag_noisy(stations: DataFrame, sigma: str, limit: float) -> DataFrame:
@@ -55,39 +61,56 @@ def median_and_mad(readings: DataFrame, by: str, value: str) -> DataFrame:
     return readings.join(mid, by).groupBy(by, "median").agg((1.4826 * median(F.abs(F.col(value) - F.col("median")))).alias("scatter"))
 
 
-def noise(readings: DataFrame, line: str, channel: str, seq: str, value: str) -> DataFrame:
-    """Per channel: median, P95 - P5 and 1.4826 MAD(differences along lines) / sqrt(2)."""
-    diff = readings.withColumn("_d", F.col(value) - F.lag(value).over(Window.partitionBy(channel, line).orderBy(seq)))
-    mid = diff.groupBy(channel).agg(median(value).alias("median"), (F.percentile(value, 0.95) - F.percentile(value, 0.05)).alias("spread"), median("_d").alias("_m"))
-    mad = diff.join(mid, channel).groupBy(channel, "median", "spread").agg((1.4826 * median(F.abs(F.col("_d") - F.col("_m"))) / F.sqrt(F.lit(2.0))).alias("noise"))
-    return mad
+def noise(readings: DataFrame, line: str, channel: str, seq: str, value: str, expected: float | None = None) -> DataFrame:
+    """Per channel: median, P95 - P5 and 1.4826 MAD(differences along lines) / sqrt(2); of ``expected`` also its ratio to the noise, snr."""
+    diff = readings.select(F.col(channel).alias("_c"), F.col(value).alias("_v"), (F.col(value) - F.lag(value).over(Window.partitionBy(channel, line).orderBy(seq))).alias("_d"))
+    mid = quantiles(diff, ["_c"], "_v", {"median": 0.5, "_hi": 0.95, "_lo": 0.05})
+    step = quantiles(diff, ["_c"], "_d", {"_m": 0.5})
+    mad = quantiles(diff.join(step, "_c"), ["_c"], F.abs(F.col("_d") - F.col("_m")), {"_mad": 0.5})
+    out = mid.join(mad, "_c", "left").select(F.col("_c").alias(channel), "median", (F.col("_hi") - F.col("_lo")).alias("spread"), (1.4826 * F.col("_mad") / F.sqrt(F.lit(2.0))).alias("noise"))
+    return out if expected is None else out.withColumn("expected", F.lit(float(expected))).withColumn("snr", F.abs("expected") / F.col("noise"))
 
 
-def despike(readings: DataFrame, line: str, seq: str, value: str, half: int = 4, threshold: float = 6.0) -> DataFrame:
-    """Flag values further than ``threshold`` sigma from a centred running median of 2 half + 1 values of their line.
+def despike(readings: DataFrame, line: str, seq: str, value: str, half: int = 4, threshold: float = 6.0, width: float = 100_000.0) -> DataFrame:
+    """Flag and remove values further than ``threshold`` sigma from a centred running median of 2 half + 1 values of their line.
 
-    Sigma is 1.4826 MAD of the differences of the whole column in order, line joins included, over sqrt(2).
+    Sigma is 1.4826 MAD of the differences of the whole column in order of line and ``seq``, line joins included, over
+    sqrt(2); where it is 0 or unknown nothing is flagged. Differences are taken within ranges of ``width`` of ``seq``;
+    a row per line gives those across line joins. Adds running, spike and despiked (null at spikes).
     """
     frame = f"(PARTITION BY {line} ORDER BY {seq} ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
     smooth = readings.withColumn("running", F.expr(f"percentile({value}, 0.5) OVER {frame}"))
-    whole = Window.partitionBy(F.lit(0)).orderBy(line, seq)  # one column's order; its differences are a scalar statistic
-    d = readings.select((F.col(value) - F.lag(value).over(whole)).alias("d")).where("d IS NOT NULL")
-    mid = d.agg(median("d").alias("m"))
-    sigma = d.crossJoin(F.broadcast(mid)).agg((1.4826 * median(F.abs(F.col("d") - F.col("m"))) / F.sqrt(F.lit(2.0))).alias("sigma"))
-    return smooth.crossJoin(F.broadcast(sigma)).withColumn("spike", F.abs(F.col(value) - F.col("running")) > threshold * F.col("sigma"))
+    rows = readings.select(F.col(line).alias("_line"), F.col(seq).alias("_seq"), F.col(value).alias("_v"))
+    inside = with_next(rows, ["_line"], "_seq", ["_v"], width).select((F.col("next__v") - F.col("_v")).alias("d"))
+    ends = rows.groupBy("_line").agg(F.min_by("_v", "_seq").alias("_first"), F.max_by("_v", "_seq").alias("_last"))
+    joins = ends.select((F.lead("_first").over(Window.partitionBy(F.lit(0)).orderBy("_line")) - F.col("_last")).alias("d"))  # a row per line
+    d = inside.unionAll(joins).where("d IS NOT NULL")
+    mid = quantiles(d, [], "d", {"m": 0.5})
+    sigma = quantiles(d.crossJoin(F.broadcast(mid)), [], F.abs(F.col("d") - F.col("m")), {"_mad": 0.5}).select((1.4826 * F.col("_mad") / F.sqrt(F.lit(2.0))).alias("_sigma"))
+    out = _with_one(smooth, sigma)
+    spike = F.coalesce((F.col("_sigma") > 0) & (F.abs(F.col(value) - F.col("running")) > threshold * F.col("_sigma")), F.lit(False))
+    return out.withColumn("spike", spike).withColumn("despiked", F.when(~F.col("spike"), F.col(value))).drop("_sigma")
+
+
+def together(readings: DataFrame, flags: list[str], values: list[str]) -> DataFrame:
+    """A reading that is a spike (any of ``flags``) on one channel is removed from all of them."""
+    bad = F.coalesce(F.greatest(*[F.col(f) for f in flags]) if len(flags) > 1 else F.col(flags[0]), F.lit(False))
+    return readings.withColumns({v: F.when(~bad, F.col(v)) for v in values})
 
 
 def level_lines(readings: DataFrame, line: str, value: str) -> DataFrame:
     """Value less the difference of its line's median from the survey's."""
-    lines = readings.groupBy(line).agg(median(value).alias("_l"))
-    total = readings.agg(median(value).alias("_s"))
-    return readings.join(lines, line).crossJoin(F.broadcast(total)).withColumn("levelled", F.col(value) - (F.col("_l") - F.col("_s"))).drop("_l", "_s")
+    lines = quantiles(readings, [line], value, {"_l": 0.5})
+    total = quantiles(readings, [], value, {"_s": 0.5})
+    return _with_one(readings.join(lines, line, "left"), total).withColumn("levelled", F.col(value) - (F.col("_l") - F.col("_s"))).drop("_l", "_s")
 
 
-def heading_medians(readings: DataFrame, channel: str, forward: Column, value: str) -> DataFrame:
-    """Medians of both headings of each channel and their difference."""
-    f, r = median(F.when(forward, F.col(value))), median(F.when(~forward, F.col(value)))
-    return readings.groupBy(channel).agg(f.alias("forward"), r.alias("reverse")).withColumn("difference", F.col("forward") - F.col("reverse"))
+def heading_medians(readings: DataFrame, channel: str, forward: Column, value: str, noise_of: DataFrame | None = None) -> DataFrame:
+    """Medians of both headings of each channel and their difference; with ``noise_of`` (channel, noise) also noise and the ratio."""
+    f = quantiles(readings, [channel], F.when(forward, F.col(value)), {"forward": 0.5})
+    r = quantiles(readings, [channel], F.when(~forward, F.col(value)), {"reverse": 0.5})
+    out = readings.select(channel).distinct().join(f, channel, "left").join(r, channel, "left").withColumn("difference", F.col("forward") - F.col("reverse"))
+    return out if noise_of is None else out.join(noise_of.select(channel, "noise"), channel, "left").withColumn("ratio", F.abs("difference") / F.col("noise"))
 
 
 def track_summary(readings: DataFrame, line: str, seq: str, x: str, y: str, seconds: str) -> DataFrame:

@@ -9,18 +9,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stations import median
+from ..plans.ordered import quantiles
 
 
 def _written(df: DataFrame) -> DataFrame:
+    """Written in the folder that the cluster shares (spark.checkpoint.dir); a local folder on a local master only."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/times-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def _deleted(df: DataFrame) -> None:
+    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def grid(spark: SparkSession, nx: int, nz: int, spacing: float) -> DataFrame:
@@ -45,20 +56,23 @@ def first_times(edges: DataFrame, sources: DataFrame) -> DataFrame:
     rounds end when none got better. Each round is written, so a lost executor costs a round at most.
     """
     edges = _written(edges)
-    best = _written(sources.select("source", "node", F.lit(0.0).alias("time")))
-    changed = best
+    best = _written(sources.select("source", "node", F.lit(0.0).alias("time"), F.lit(True).alias("better")))
     while True:
+        changed = best.where("better").select("source", "node", "time")
         reach = changed.join(edges, changed["node"] == edges["a"]).groupBy("source", F.col("b").alias("node")).agg(F.min(F.col("time") + F.col("cost")).alias("new"))
-        both = _written(best.join(reach, ["source", "node"], "full").select("source", "node", F.least("time", "new").alias("t"), (F.col("time").isNull() | (F.col("new") < F.col("time") - 1e-12)).alias("better")))
-        best = both.select("source", "node", F.col("t").alias("time"))
-        changed = both.where("better").select("source", "node", F.col("t").alias("time"))
-        if changed.isEmpty():
-            return best
+        better = F.col("time").isNull() | F.coalesce(F.col("new") < F.col("time") - 1e-12, F.lit(False))
+        both = best.drop("better").join(reach, ["source", "node"], "full")
+        last, best = best, _written(both.select("source", "node", F.least("time", "new").alias("time"), better.alias("better")))
+        _deleted(last)
+        if best.where("better").isEmpty():
+            return best.drop("better")
 
 
 def outliers(fit: DataFrame, residual: str, k: float = 3.0, floor: float = 0.001) -> DataFrame:
     """``fit`` with outlier: further than k scaled MAD from the median residual, and than the floor."""
-    m = fit.agg(median(residual).alias("_m"))
-    s = fit.crossJoin(F.broadcast(m)).agg((1.4826 * median(F.abs(F.col(residual) - F.col("_m")))).alias("_s"))
+    m = quantiles(fit, [], residual, {"_m": 0.5})
     d = F.abs(F.col(residual) - F.col("_m"))
-    return fit.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(s)).withColumn("outlier", F.coalesce((d > k * F.col("_s")) & (F.abs(residual) > floor), F.lit(False))).drop("_m", "_s")
+    both = fit.join(F.broadcast(m), F.lit(True), "left")  # one row
+    s = quantiles(both, [], d, {"_mad": 0.5}).select((1.4826 * F.col("_mad")).alias("_s"))
+    flag = F.coalesce((d > k * F.col("_s")) & (F.abs(residual) > floor), F.lit(False))
+    return both.join(F.broadcast(s), F.lit(True), "left").withColumn("outlier", flag).drop("_m", "_s")

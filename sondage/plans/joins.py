@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordered import with_next
 
 
 def interval_match(points: DataFrame, windows: DataFrame, at: str, start: str, end: str, seq: str, width: float, tolerance: float = 0.0, point_key: str = "point_key") -> DataFrame:
@@ -31,19 +32,28 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     return a.join(b, F.col("_a") == F.col("_b")).where(both & once).drop("_a", "_b")
 
 
+#: Rows of a table that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast if ``df`` has at most ``rows`` rows (counting stops there); else leave the join to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def interpolate(points: DataFrame, knots: DataFrame, x: str, knot_x: str, knot_y: str, out: str, width: float, by: list[str] | None = None) -> DataFrame:
     """``points`` with ``out``: linear interpolation of the knots at ``x``, clamped outside them, per group ``by``.
 
-    Only knots are ordered by a window; points meet the segment they fall in by an equi-join on buckets of ``width``.
-    Knots must be distinct in ``knot_x`` within a group. Without knots ``out`` is null.
+    Knots are ordered within ranges of 100 ``width`` only, and points meet the segment they fall in by an equi-join on
+    buckets of ``width``. Knots must be distinct in ``knot_x`` within a group. Without knots ``out`` is null.
     """
     by = by or []
     bucket = lambda c: F.floor(c / F.lit(float(width)))
-    order = Window.partitionBy(*by).orderBy("_x0") if by else Window.partitionBy(F.lit(0)).orderBy("_x0")
-    seg = knots.select(*by, F.col(knot_x).alias("_x0"), F.col(knot_y).alias("_y0")).withColumn("_x1", F.lead("_x0").over(order)).withColumn("_y1", F.lead("_y0").over(order))
+    seg = with_next(knots.select(*by, F.col(knot_x).alias("_x0"), F.col(knot_y).alias("_y0")), by, "_x0", ["_x0", "_y0"], 100.0 * width)
+    seg = seg.withColumnsRenamed({"next__x0": "_x1", "next__y0": "_y1"})
     ends = seg.groupBy(*by).agg(F.min("_x0").alias("_lo"), F.max("_x0").alias("_hi"), F.min_by("_y0", "_x0").alias("_ylo"), F.max_by("_y0", "_x0").alias("_yhi"))
     inner = seg.where("_x1 IS NOT NULL").withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_x0")), bucket(F.col("_x1")))))
-    ranged = points.join(F.broadcast(ends), by, "left") if by else points.crossJoin(F.broadcast(ends))  # one row per group
+    ranged = points.join(ends, by, "left") if by else points.crossJoin(F.broadcast(ends))  # one row
     within = (F.col(x) >= F.col("_x0")) & (F.col(x) < F.col("_x1"))
     keyed = ranged.withColumn("_bucket", bucket(F.col(x)))
     on = [keyed["_bucket"] == inner["_bucket"], within, *[keyed[c] == inner[c] for c in by]]

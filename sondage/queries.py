@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import passive, potential, records, resistivity, seismic, stations, tomography
+from .operators import passive, potential, records, resistivity, seismic, stations, survey, tomography
 from .plans import joins
 
 QUERIES: dict = {}
@@ -54,7 +54,7 @@ def station_means(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT seq, t, value FROM ev WHERE station = 7")
 def gather(spark, sf_dir):
-    return events(spark, sf_dir).where("station = 7").select("seq", "t", "value")
+    return survey.gather(events(spark, sf_dir), "station", 7).select("seq", "t", "value")
 
 
 @query("""WITH p AS (SELECT s_suppkey AS id, (s_suppkey % 40) * 5.0 AS x, (s_suppkey // 40) * 3.0 AS y FROM supplier WHERE s_suppkey % 11 <> 0),
@@ -70,30 +70,27 @@ def offsets_join(spark, sf_dir):
 @query("""SELECT s_suppkey AS line, i AS station, round(s_suppkey * 10 + i * 2.0 * sin(radians(s_suppkey * 7)), 6) AS x, round(s_nationkey * 5 + i * 2.0 * cos(radians(s_suppkey * 7)), 6) AS y
 FROM supplier, unnest(range(12)) AS t(i)""")
 def geometry_from_line(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("line"), "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(11)).cast("array<bigint>")).alias("station"))
-    a = F.radians(F.col("line") * 7)
-    return s.select("line", "station", F.round(F.col("line") * 10 + F.col("station") * 2.0 * F.sin(a), 6).alias("x"), F.round(F.col("s_nationkey") * 5 + F.col("station") * 2.0 * F.cos(a), 6).alias("y"))
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_suppkey * 10 AS x0", "s_nationkey * 5 AS y0", "s_suppkey * 7 AS azimuth")
+    return r6(survey.points_on_lines(s, "s_suppkey", "x0", "y0", "azimuth", 2.0, 12), "x", "y")
 
 
 @query("""WITH p AS (SELECT 'source' AS role, s_acctbal AS x, s_suppkey::DOUBLE AS y FROM supplier UNION ALL SELECT 'station', c_acctbal, c_custkey::DOUBLE FROM customer)
 SELECT role, count(*) AS n, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM p GROUP BY role""")
 def geometry_merge_bounds(spark, sf_dir):
-    p = table(spark, sf_dir, "supplier").selectExpr("'source' AS role", "s_acctbal AS x", "double(s_suppkey) AS y").unionByName(table(spark, sf_dir, "customer").selectExpr("'station' AS role", "c_acctbal AS x", "double(c_custkey) AS y"))
-    return p.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+    sources = table(spark, sf_dir, "supplier").selectExpr("'source' AS role", "s_acctbal AS x", "double(s_suppkey) AS y")
+    stations_ = table(spark, sf_dir, "customer").selectExpr("'station' AS role", "c_acctbal AS x", "double(c_custkey) AS y")
+    return survey.bounds(survey.merged(sources, stations_), ["role"])
 
 
 @query(f"WITH {EV} SELECT line, count(*) AS n FROM ev WHERE upper(line) IN ('CLICK', 'PURCHASE', 'VIEW') GROUP BY line")
 def require_status(spark, sf_dir):
-    return events(spark, sf_dir).where(F.upper("line").isin("CLICK", "PURCHASE", "VIEW")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    return survey.with_status(events(spark, sf_dir), "line", ["click", "purchase", "view"]).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {EV}, f AS (SELECT *, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0, row_number() OVER w AS k FROM ev WINDOW w AS (PARTITION BY station ORDER BY seq))
 SELECT station, seq, round(sqrt((x - x0) ** 2 + (y - y0) ** 2), 6) AS distance FROM f WHERE k > 1""")
 def duplicates_first(spark, sf_dir):
-    e = events(spark, sf_dir)
-    first = e.groupBy("station").agg(F.min_by(F.struct("seq", "x", "y"), "seq").alias("f"))
-    d = joins.distance(F.col("x"), F.col("y"), F.col("f.x"), F.col("f.y"))
-    return r6(e.join(first, "station").where("seq > f.seq").select("station", "seq", d.alias("distance")), "distance")
+    return r6(survey.revisits(events(spark, sf_dir), "station", "seq", "x", "y"), "distance")
 
 
 @query("""WITH p AS (SELECT c_custkey AS seq, c_nationkey AS name, (c_custkey * 37 % 1000)::DOUBLE AS x, (c_custkey * 91 % 1009)::DOUBLE AS y FROM customer)
@@ -105,8 +102,7 @@ def coincident_pairs(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT station, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(stddev_samp(value), 6) AS std, count(*) AS n FROM ev GROUP BY station")
 def mean_positions(spark, sf_dir):
-    out = events(spark, sf_dir).groupBy("station").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n"))
-    return r6(out, "x", "y", "std")
+    return r6(survey.mean_positions(events(spark, sf_dir), "station", "x", "y", "value"), "x", "y", "std")
 
 
 OCC = "occ AS (SELECT seq AS w, station AS name, t - 30 AS t0, t + 60 AS t1 FROM ev WHERE seq % 7 = 0)"
@@ -131,14 +127,14 @@ def name_agrees(spark, sf_dir):
 
 @query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey IS NOT NULL)")
 def attach_missing(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("user_id").distinct().join(table(spark, sf_dir, "supplier"), F.col("user_id") == F.col("s_suppkey"), "left_anti")
+    return survey.unmatched(table(spark, sf_dir, "events"), "user_id", table(spark, sf_dir, "supplier"), "s_suppkey")
 
 
-@query("WITH b AS (SELECT avg(s_acctbal) AS dx, min(s_acctbal) AS dy FROM supplier WHERE s_nationkey = 3) SELECT s_suppkey, round(s_acctbal + dx - 10, 6) AS x, round(s_nationkey + dy, 6) AS y FROM supplier, b")
+@query("""SELECT s_suppkey, round(10 + s_suppkey * 1e-5 + (10.00002 - 10), 9) AS longitude, round(45 + s_nationkey * 1e-4 + (44.99997 - 45), 9) AS latitude, round(s_acctbal + (101.25 - 100), 6) AS height FROM supplier""")
 def base_shift(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    b = s.where("s_nationkey = 3").agg(F.avg("s_acctbal").alias("dx"), F.min("s_acctbal").alias("dy"))
-    return s.crossJoin(F.broadcast(b)).select("s_suppkey", F.round(F.col("s_acctbal") + F.col("dx") - 10, 6).alias("x"), F.round(F.col("s_nationkey") + F.col("dy"), 6).alias("y"))
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "10 + s_suppkey * 1e-5D AS longitude", "45 + s_nationkey * 1e-4D AS latitude", "s_acctbal AS height", "10D AS base_longitude", "45D AS base_latitude", "100D AS base_height")
+    out = survey.base_shifted(s, (10.00002, 44.99997, 101.25))
+    return r6(out.select("s_suppkey", F.round("longitude", 9).alias("longitude"), F.round("latitude", 9).alias("latitude"), "height"), "height")
 
 
 def drift_sql(x: str) -> str:
@@ -188,8 +184,7 @@ def node_coverage(spark, sf_dir):
 i AS (SELECT h, h - row_number() OVER (ORDER BY h) AS g FROM f)
 SELECT min(h) AS "first", max(h) AS "last", count(*) AS length FROM i GROUP BY g ORDER BY length DESC, "first" LIMIT 1""")
 def common_window(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("h", F.floor(F.col("t") / 3600))
-    return records.common_window(e, "h", "line", e.select(F.count_distinct("line")).first()[0])
+    return records.common_window(events(spark, sf_dir).withColumn("h", F.floor(F.col("t") / 3600)), "h", "line")
 
 
 @query(f"""WITH {EV}, {SESSION}, d AS (SELECT station, session, min(t) AS t0, max(t) AS t1 FROM s GROUP BY station, session), l AS (SELECT DISTINCT floor(t / 86400)::BIGINT AS day FROM ev)
@@ -356,17 +351,20 @@ def crp_group(spark, sf_dir):
     return r6(out, "geometric", "std_ln", "median").withColumn("mean", F.round("mean", 8))
 
 
-@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS i, round_even((l_suppkey % 60) / 1.0, 0)::BIGINT AS s, round_even((l_partkey % 60) / 1.0, 0)::BIGINT AS r, l_quantity / 1000 AS t FROM lineitem WHERE l_suppkey % 60 <> l_partkey % 60)
-SELECT x.i, y.i AS j, round(y.t - x.t, 6) AS dt FROM t x JOIN t y ON x.s = y.r AND x.r = y.s AND x.i < y.i""")
+@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS i, l_orderkey // 100 AS line, l_suppkey % 60 AS s, l_partkey % 60 AS r, l_quantity / 1000 AS t, l_orderkey::VARCHAR AS shot FROM lineitem WHERE l_suppkey % 60 <> l_partkey % 60)
+SELECT x.i, y.i AS j, x.shot AS shot_ab, y.shot AS shot_ba, x.s::DOUBLE AS x_a, x.r::DOUBLE AS x_b, abs(x.r - x.s)::DOUBLE AS "offset", round(x.t, 6) AS t_ab, round(y.t, 6) AS t_ba, round(x.t - y.t, 6) AS dt FROM t x JOIN t y ON x.line = y.line AND x.s = y.r AND x.r = y.s AND x.i < y.i""")
 def reciprocity(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS i", "double(l_suppkey % 60) AS s", "double(l_partkey % 60) AS r", "l_quantity / 1000 AS t")
-    return r6(seismic.reciprocity(l, "i", "s", "r", "t", 1.0), "dt")
+    l = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS i", "l_orderkey div 100 AS line", "l_orderkey AS shot", "double(l_suppkey % 60) AS s", "double(l_partkey % 60) AS r", "l_quantity / 1000 AS t")
+    return r6(seismic.reciprocity(l, "i", "s", "r", "t", 1.0, "shot", "line"), "t_ab", "t_ba", "dt")
 
 
-@query("""WITH u AS (SELECT l_quantity AS d, l_quantity / l_tax AS v FROM lineitem WHERE l_quantity > 0 AND l_tax > 0), c AS (SELECT quantile_cont(d, 0.1) AS near, quantile_cont(d, 0.9) AS far FROM u)
-SELECT round(quantile_cont(v, 0.5) FILTER (WHERE d <= near), 6) AS v_top, round(quantile_cont(v, 0.5) FILTER (WHERE d >= far), 6) AS v_bottom FROM u, c""")
+@query("""WITH u AS (SELECT l_quantity AS d, l_orderkey * 10 + l_linenumber AS k, l_quantity / l_tax AS v FROM lineitem WHERE l_quantity > 0 AND l_tax > 0),
+r AS (SELECT v, row_number() OVER (ORDER BY d, k) AS a, row_number() OVER (ORDER BY d DESC, k DESC) AS z, greatest(3, count(*) OVER () // 10) AS n FROM u),
+m AS (SELECT quantile_cont(v, 0.5) FILTER (WHERE a <= n) AS v_top, quantile_cont(v, 0.5) FILTER (WHERE z <= n) AS v_far FROM r)
+SELECT round(v_top, 6) AS v_top, round(greatest(1.1 * v_far, 1.5 * v_top), 6) AS v_bottom FROM m""")
 def apparent_gradient(spark, sf_dir):
-    return r6(seismic.apparent_gradient(table(spark, sf_dir, "lineitem"), "l_quantity", "l_tax"), "v_top", "v_bottom")
+    l = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return r6(seismic.apparent_gradient(l, "k", "l_quantity", "l_tax"), "v_top", "v_bottom")
 
 
 LAYERS = "la AS (SELECT s_suppkey AS model, i AS layer, 300.0 * (i + 1) + s_suppkey * 3 + CASE WHEN i = 2 THEN s_nationkey * 20 ELSE 0 END AS v, 2.0 + i * 3 + s_nationkey * 0.1 AS h FROM supplier, unnest(range(4)) t(i))"
@@ -407,15 +405,14 @@ def fit_layers_2(spark, sf_dir):
     return out.withColumns({c: F.round(c, 4) for c in ("v1", "v2", "depth")})
 
 
-PRISM = "pr AS (SELECT p.s_suppkey AS station, q.p_partkey AS cell, (q.p_partkey % 40) * 2.5 - p.s_suppkey AS x0, (q.p_partkey % 40) * 2.5 - p.s_suppkey + 2.5 AS x1, 1.0 + q.p_size AS z0, 3.5 + q.p_size AS z1 FROM supplier p, part q WHERE q.p_partkey <= 200)"
+PRISM = "pr AS (SELECT p.s_suppkey AS station, q.p_partkey AS cell, (q.p_partkey % 40) * 2.5 - p.s_suppkey AS x0, (q.p_partkey % 40) * 2.5 - p.s_suppkey + 2.5 AS x1, 1.0 + q.p_size AS z0, 3.5 + q.p_size AS z1 FROM supplier p, part q)"
 
 
-def prisms(spark, sf_dir) -> DataFrame:
-    """Every station against every cell of a mesh of bounded size."""
-    cells = table(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey", "p_size")  # the mesh
-    both = table(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(cells))
-    x = F.col("p_partkey") % 40 * 2.5 - F.col("s_suppkey")
-    return both.select(F.col("s_suppkey").alias("station"), F.col("p_partkey").alias("cell"), x.alias("x0"), (x + 2.5).alias("x1"), (F.col("p_size") + 1.0).alias("z0"), (F.col("p_size") + 3.5).alias("z1"))
+def _sum_over_parts(spark, sf_dir, prism) -> DataFrame:
+    """(station, s): sum over all parts as cells."""
+    cells = table(spark, sf_dir, "part").selectExpr("p_partkey AS cell", "p_partkey % 40 * 2.5D AS x0", "p_partkey % 40 * 2.5D + 2.5D AS x1", "p_size + 1D AS z0", "p_size + 3.5D AS z1")
+    at = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS station", "double(s_suppkey) AS x", "0D AS z")
+    return potential.kernel(at, cells, "station", "x", "z", prism).groupBy("station").agg(F.sum("g").alias("s"))
 
 
 def _corner(f: str) -> str:
@@ -425,8 +422,7 @@ def _corner(f: str) -> str:
 
 @query(f"WITH {PRISM} SELECT station, round(sum(200 * 2 * 6.674e-11 * 1e5 * ({_corner('X / 2 * ln(X * X + Z * Z) + Z * atan2(X, Z)')})), 9) AS gz FROM pr GROUP BY station")
 def gravity_kernel(spark, sf_dir):
-    g = scalar.gravity_prism(*[F.col(c) for c in ("x0", "x1", "z0", "z1")])
-    return prisms(spark, sf_dir).groupBy("station").agg(F.round(F.sum(200 * g), 9).alias("gz"))
+    return _sum_over_parts(spark, sf_dir, scalar.gravity_prism).select("station", F.round(200 * F.col("s"), 9).alias("gz"))
 
 
 _C, _S = math.cos(math.radians(60)), math.sin(math.radians(60))
@@ -434,89 +430,69 @@ _C, _S = math.cos(math.radians(60)), math.sin(math.radians(60))
 
 @query(f"WITH {PRISM} SELECT station, round(sum(0.01 * 50000 / (2 * pi()) * ({_S * _S - _C * _C!r} * ({_corner('atan2(X, Z)')}) + {2 * _S * _C!r} * ({_corner('ln(X * X + Z * Z) / 2')}))), 6) AS field FROM pr GROUP BY station")
 def magnetic_kernel(spark, sf_dir):
-    b = scalar.magnetic_prism(*[F.col(c) for c in ("x0", "x1", "z0", "z1")], 60.0, 50000.0)
-    return prisms(spark, sf_dir).groupBy("station").agg(F.round(F.sum(0.01 * b), 6).alias("field"))
-
-
-def _sum_over_parts(spark, sf_dir, prism) -> DataFrame:
-    """(station, s): sum over all parts as cells."""
-    cells = table(spark, sf_dir, "part").selectExpr("p_partkey AS cell", "p_partkey % 40 * 2.5D AS x0", "p_partkey % 40 * 2.5D + 2.5D AS x1", "p_size + 1D AS z0", "p_size + 3.5D AS z1")
-    at = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS station", "double(s_suppkey) AS x", "0D AS z")
-    return potential.kernel(at, cells, "station", "x", "z", prism).groupBy("station").agg(F.sum("g").alias("s"))
-
-
-@query()
-def gravity_kernel_all(spark, sf_dir):
-    """As gravity_kernel, with every part as a cell."""
-    return _sum_over_parts(spark, sf_dir, scalar.gravity_prism).select("station", F.round(200 * F.col("s"), 9).alias("gz"))
-
-
-@query()
-def magnetic_kernel_all(spark, sf_dir):
-    """As magnetic_kernel, with every part as a cell."""
     return _sum_over_parts(spark, sf_dir, lambda *d: scalar.magnetic_prism(*d, 60.0, 50000.0)).select("station", F.round(0.01 * F.col("s"), 6).alias("field"))
 
 
-@query("""SELECT i::BIGINT AS i, j::BIGINT AS j, round(greatest(0, least(i * 2.0 + 2, 23.5) - greatest(i * 2.0, 5.5)) * greatest(0, least(j * 1.0 + 1, 7.25) - greatest(j * 1.0, 2.5)) / 2, 6) AS overlap FROM range(20) a(i), range(10) b(j)""")
+@query("""SELECT p_partkey AS cell, round(greatest(0, least(i * 2.0 + 2, 23.5) - greatest(i * 2.0, 5.5)) * greatest(0, least(j * 1.0 + 1, 7.25) - greatest(j * 1.0, 2.5)) / 2, 6) AS overlap FROM (SELECT p_partkey, p_partkey % 20 AS i, p_size % 10 AS j FROM part)""")
 def mesh_rectangle(spark, sf_dir):
-    cells = spark.range(20).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<bigint>")).alias("j"))
-    side = lambda c, size, lo, hi: F.greatest(F.lit(0.0), F.least(c * size + size, F.lit(hi)) - F.greatest(c * size, F.lit(lo)))
-    return cells.select("i", "j", F.round(side(F.col("i"), 2.0, 5.5, 23.5) * side(F.col("j"), 1.0, 2.5, 7.25) / 2, 6).alias("overlap"))
+    cells = table(spark, sf_dir, "part").selectExpr("p_partkey AS cell", "p_partkey % 20 * 2D AS x0", "p_size % 10 * 1D AS z0")
+    share = survey.rectangle_share(F.col("x0"), F.col("x0") + 2, F.col("z0"), F.col("z0") + 1, (5.5, 23.5, 2.5, 7.25))
+    return cells.select("cell", F.round(share, 6).alias("overlap"))
 
 
 @query("""WITH p AS (SELECT s_suppkey AS i, s_nationkey AS array, (s_suppkey * 17 % 101)::DOUBLE AS x, (s_suppkey * 29 % 97)::DOUBLE AS y FROM supplier)
 SELECT a.array, a.i, b.i AS j, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS separation FROM p a JOIN p b ON a.array = b.array AND a.i < b.i""")
 def array_pairs(spark, sf_dir):
     p = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS i", "s_nationkey AS array", "double(s_suppkey * 17 % 101) AS x", "double(s_suppkey * 29 % 97) AS y")
-    q = p.selectExpr("i AS j", "array", "x AS x2", "y AS y2")
-    return p.join(q, "array").where("i < j").select("array", "i", "j", F.round(joins.distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")), 6).alias("separation"))
+    return passive.separations(p, "i", "x", "y", "array").select("array", "i", "j", F.round("r", 6).alias("separation"))
 
 
-@query(f"""WITH {EV}, s AS (SELECT line, floor(t / 21600)::BIGINT AS w, stddev_pop(value) AS s FROM ev GROUP BY line, w), o AS (SELECT line, quantile_cont(s, 0.5) AS m FROM s GROUP BY line)
-SELECT w, round(min(s / CASE WHEN m > 0 THEN m ELSE 1 END), 6) AS score, count(*) AS nodes FROM s JOIN o USING (line) GROUP BY w HAVING min(s / CASE WHEN m > 0 THEN m ELSE 1 END) >= 0.9 ORDER BY score DESC, w LIMIT 20""")
-def tumbling_events(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("w", F.floor(F.col("t") / 21600))
-    return r6(records.tumbling_events(e, "line", "w", "value", 0.9, 20), "score")
+HOURLY = "hr AS (SELECT line, floor(t / 3600)::BIGINT AS i, avg(value) AS value FROM ev GROUP BY line, i)"
 
 
-@query()
-def tumbling_events_all(spark, sf_dir):
-    """As tumbling_events, without a limit."""
-    e = events(spark, sf_dir).withColumn("w", F.floor(F.col("t") / 21600))
-    return r6(records.tumbling_events(e, "line", "w", "value", 0.9), "score")
+def hourly(spark, sf_dir) -> DataFrame:
+    """A sample per line and hour with events."""
+    return events(spark, sf_dir).groupBy("line", F.floor(F.col("t") / 3600).alias("i")).agg(F.avg("value").alias("value"))
 
 
-@query(f"""WITH {EV}, i AS (SELECT line, value, floor(t / 3600)::BIGINT AS i FROM ev), w AS (SELECT line, value, unnest([i // 12 * 12, i // 12 * 12 - 12]) AS start FROM i),
-r AS (SELECT line, start, sqrt(avg(value * value)) AS rms FROM w WHERE start >= 0 GROUP BY line, start), m AS (SELECT line, quantile_cont(rms, 0.5) AS m FROM r GROUP BY line)
-SELECT start, count(*) AS nodes, round(avg(rms), 6) AS rms FROM r JOIN m USING (line) GROUP BY start HAVING bool_and(rms BETWEEN 0.8 * m AND 1.2 * m)""")
+@query(f"""WITH {EV}, {HOURLY}, s AS (SELECT line, i // 6 AS w, stddev_pop(value) AS s FROM hr GROUP BY line, w HAVING count(value) >= 6), o AS (SELECT line, quantile_cont(s, 0.5) AS m FROM s GROUP BY line)
+SELECT w, round(min(s / CASE WHEN m > 0 THEN m ELSE 1 END), 6) AS score, count(*) AS nodes FROM s JOIN o USING (line) GROUP BY w HAVING count(*) = (SELECT count(DISTINCT line) FROM ev) AND min(s / CASE WHEN m > 0 THEN m ELSE 1 END) >= 0.5""")
+def tumbling_events(spark, sf_dir):
+    h = hourly(spark, sf_dir).withColumn("w", F.expr("i div 6"))
+    return r6(records.tumbling_events(h, "line", "w", "value", 0.5, whole=6), "score")
+
+
+@query(f"""WITH {EV}, {HOURLY}, w AS (SELECT line, value, unnest([i // 6 * 6, i // 6 * 6 - 6]) AS start FROM hr), r AS (SELECT line, start, stddev_pop(value) AS s FROM w GROUP BY line, start HAVING count(value) = 12),
+f AS (SELECT start FROM r GROUP BY start HAVING count(*) = (SELECT count(DISTINCT line) FROM ev) AND min(s) > 0), m AS (SELECT line, quantile_cont(s, 0.5) AS m FROM r WHERE start IN (SELECT start FROM f) GROUP BY line)
+SELECT start, count(*) AS nodes, round(avg(s), 6) AS rms FROM r JOIN m USING (line) WHERE start IN (SELECT start FROM f) GROUP BY start HAVING bool_and(s > 0.4 * m AND s < 1.8 * m)""")
 def sliding_gate(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("i", F.floor(F.col("t") / 3600))
-    return r6(records.sliding_gate(e, "line", "i", "value", 24, 0.8, 1.2), "rms")
+    return r6(records.sliding_gate(hourly(spark, sf_dir), "line", "i", "value", 12, 0.4, 1.8), "rms")
 
 
 TRACE = "tr AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 
 
-@query(f"""WITH {TRACE}, e AS (SELECT vec_id, i, sum(v * v) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS t, count(*) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ct, sum(v * v) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS l, count(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS cl FROM tr WINDOW w AS (PARTITION BY vec_id ORDER BY i))
-SELECT vec_id, arg_min(i, (-round(l / t, 9), i))::INT AS pick, round(max(l / t), 6) AS ratio FROM e WHERE ct = 5 AND cl = 5 AND t > 0 GROUP BY vec_id""")
+@query(f"""WITH {TRACE}, e AS (SELECT vec_id, i, sum(v * v) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS t, count(*) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ct, sum(v * v) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS l, count(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS cl FROM tr WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+r AS (SELECT vec_id, i, l / (t + 1e-9 * max(t + l) OVER (PARTITION BY vec_id) + 1e-30) AS r FROM e WHERE ct = 5 AND cl = 5)
+SELECT vec_id, arg_min(i, (-round(r, 9), i))::INT AS pick, round(max(r), 6) AS ratio FROM r GROUP BY vec_id""")
 def energy_ratio(spark, sf_dir):
     return r6(seismic.energy_ratio(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5), "ratio")
 
 
-@query(f"""WITH {TRACE}, e AS (SELECT vec_id, i, avg(abs(v)) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) / avg(abs(v)) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS r FROM tr WINDOW w AS (PARTITION BY vec_id ORDER BY i))
-SELECT vec_id, min(CASE WHEN r >= 1.5 THEN i END)::INT AS pick, round(max(r), 6) AS most FROM e GROUP BY vec_id""")
+@query(f"""WITH {TRACE}, e AS (SELECT vec_id, i, avg(v * v) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) / (avg(v * v) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) + 1e-30) AS r FROM tr WINDOW w AS (PARTITION BY vec_id ORDER BY i))
+SELECT vec_id, min(CASE WHEN r >= 1.5 THEN i END)::INT AS pick, round(max(r), 6) AS most FROM e WHERE i >= 2 GROUP BY vec_id""")
 def sta_lta(spark, sf_dir):
     return r6(seismic.sta_lta(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3, 20, 1.5), "most")
 
 
-@query(f"""WITH {TRACE}, e AS (SELECT vec_id, i, i + 1 AS k, 64 AS n, var_pop(v) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a, var_pop(v) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM tr)
-SELECT vec_id, (arg_min(i, (round(k * ln(a) + (n - k - 1) * ln(b), 6), i)) + 1)::INT AS pick FROM e WHERE a > 1e-12 AND b > 1e-12 GROUP BY vec_id""")
+@query(f"""WITH {TRACE}, e AS (SELECT vec_id, i + 1 AS k, 64 AS n, greatest(var_pop(v) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1e-30) AS a, greatest(var_pop(v) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1e-30) AS b FROM tr)
+SELECT vec_id, arg_min(k, (round(k * ln(a) + (n - k - 1) * ln(b), 6), k))::INT AS pick FROM e WHERE k <= n - 2 GROUP BY vec_id""")
 def aic_pick(spark, sf_dir):
     return seismic.aic_pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
 IMAGE = f"""{TRACE}, sh AS (SELECT vec_id, vec_id // 12 AS shot, (vec_id % 12) * 2.0 + 3 AS x FROM embeddings), sp AS (SELECT shot, x, f, sum(v * cos(2 * pi() * f * 0.002 * i)) AS re, -sum(v * sin(2 * pi() * f * 0.002 * i)) AS im FROM tr JOIN sh USING (vec_id), (VALUES (15.0), (30.0), (45.0), (60.0)) q(f) GROUP BY shot, x, f),
-un AS (SELECT shot, x, f, re / sqrt(re * re + im * im) AS ur, im / sqrt(re * re + im * im) AS ui FROM sp WHERE re * re + im * im > 0),
+un AS (SELECT shot, x, f, CASE WHEN re * re + im * im > 0 THEN re / sqrt(re * re + im * im) ELSE 0 END AS ur, CASE WHEN re * re + im * im > 0 THEN im / sqrt(re * re + im * im) ELSE 0 END AS ui FROM sp),
 su AS (SELECT shot, f, c, sum(ur * cos(2 * pi() * f / c * x) - ui * sin(2 * pi() * f / c * x)) AS r, sum(ur * sin(2 * pi() * f / c * x) + ui * cos(2 * pi() * f / c * x)) AS i, count(*) AS n FROM un, (VALUES (100.0), (150.0), (200.0), (250.0), (300.0), (400.0)) z(c) GROUP BY shot, f, c),
 im AS (SELECT shot, f::DOUBLE AS f, c::DOUBLE AS c, sqrt(r * r + i * i) / n AS energy FROM su)"""
 
@@ -536,18 +512,11 @@ def dispersion_pick_max(spark, sf_dir):
     return r6(seismic.pick_max(image(spark, sf_dir), ["shot", "f"]), "energy")
 
 
-@query(f"""WITH {TRACE}, s AS (SELECT vec_id, 1.0 + i * 0.5 AS f, abs(v) AS v FROM tr WHERE vec_id % 10 = 0), p AS (SELECT a.vec_id, a.f AS fc, b.v, 40 * log10(b.f / a.f) AS x FROM s a JOIN s b USING (vec_id)),
-w AS (SELECT vec_id, fc, v, CASE WHEN abs(x) < 1e-12 THEN 1 ELSE (sin(x) / x) ** 4 END AS w FROM p WHERE abs(x) <= 3 * pi())
-SELECT vec_id, fc::DOUBLE AS fc, round(sum(w * v) / sum(w), 6) AS smooth FROM w GROUP BY vec_id, fc""")
+@query(f"""WITH {TRACE}, s AS (SELECT vec_id, i * 0.5 AS f, abs(v) AS v FROM tr), p AS (SELECT a.vec_id, a.f AS fc, b.v, 40 * log10(b.f / a.f) AS x FROM s a JOIN s b USING (vec_id) WHERE a.f > 0 AND b.f > 0),
+w AS (SELECT vec_id, fc, v, CASE WHEN x = 0 THEN 1 ELSE (sin(x) / x) ** 4 END AS w FROM p)
+SELECT vec_id, fc::DOUBLE AS fc, round(sum(w * v) / sum(w), 6) AS smooth FROM w GROUP BY vec_id, fc UNION ALL SELECT vec_id, f::DOUBLE, round(v, 6) FROM s WHERE f <= 0""")
 def konno_ohmachi(spark, sf_dir):
-    s = seismic.samples(table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0"), "vec_id", "embedding").selectExpr("vec_id", "1D + i * 0.5D AS f", "abs(v) AS v")  # the shots smoothed here
-    return r6(seismic.konno_ohmachi(s, "vec_id", "f", "v"), "smooth")
-
-
-@query()
-def konno_ohmachi_all(spark, sf_dir):
-    """As konno_ohmachi, of every shot."""
-    s = seismic.samples(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").selectExpr("vec_id", "1D + i * 0.5D AS f", "abs(v) AS v")
+    s = seismic.samples(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").selectExpr("vec_id", "i * 0.5D AS f", "abs(v) AS v")
     return r6(seismic.konno_ohmachi(s, "vec_id", "f", "v"), "smooth")
 
 
@@ -569,7 +538,7 @@ def offset_times(spark, sf_dir):
     """Local times with an offset of their own, read as instants."""
     e = table(spark, sf_dir, "events").withColumn("o", F.col("event_id") % 25 - 12)
     text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"), F.when(F.col("o") < 0, "-").otherwise("+"), F.lpad(F.abs("o").cast("string"), 2, "0"), F.lit(":00"))
-    return e.select("event_id", F.unix_seconds(F.try_to_timestamp(F.regexp_replace(text, r"\s*UTC(?=[+-])", ""))).alias("utc"))
+    return e.select("event_id", F.unix_seconds(survey.instant(text)).alias("utc"))
 
 
 @query(f"""WITH {EV}, a AS (SELECT seq, 1.66 * sqrt(2 * pi() * 18030 * 4e-7 * pi() * greatest(abs(value), 1) / 1000 / 2) AS a FROM ev)
@@ -594,17 +563,10 @@ def spac_velocity(spark, sf_dir):
     return r6(passive.spac_velocity(p, "f", "r", "v", 100.0, 500.0, 10.0), "amplitude", "residual")
 
 
-@query("""WITH p AS (SELECT s_suppkey AS i, (s_suppkey * 17 % 101)::DOUBLE AS x, (s_suppkey * 29 % 97)::DOUBLE AS y FROM supplier WHERE s_nationkey < 3),
-q AS (SELECT a.i, b.i AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS r FROM p a JOIN p b ON a.i < b.i)
-SELECT round(2 * min(r), 6) AS lambda_min, round(2 * max(r), 6) AS lambda_max, round(2 * max(r) / 3, 6) AS depth FROM q""")
+@query("""WITH p AS (SELECT s_suppkey AS i, s_nationkey AS array, (s_suppkey * 17 % 101)::DOUBLE AS x, (s_suppkey * 29 % 97)::DOUBLE AS y FROM supplier),
+q AS (SELECT a.array, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS r FROM p a JOIN p b ON a.array = b.array AND a.i < b.i)
+SELECT q."array", round(2 * min(r), 6) AS lambda_min, round(2 * max(r), 6) AS lambda_max, round(2 * max(r) / 3, 6) AS depth FROM q GROUP BY 1""")
 def resolution_limits(spark, sf_dir):
-    p = table(spark, sf_dir, "supplier").where("s_nationkey < 3").selectExpr("s_suppkey AS i", "double(s_suppkey * 17 % 101) AS x", "double(s_suppkey * 29 % 97) AS y")
-    return r6(passive.resolution(passive.separations(p, "i", "x", "y")), "lambda_min", "lambda_max", "depth")
-
-
-@query()
-def resolution_limits_all(spark, sf_dir):
-    """Limits of each array, over all suppliers."""
     p = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS i", "s_nationkey AS array", "double(s_suppkey * 17 % 101) AS x", "double(s_suppkey * 29 % 97) AS y")
     return r6(passive.resolution(passive.separations(p, "i", "x", "y", "array"), "array"), "lambda_min", "lambda_max", "depth")
 
@@ -641,16 +603,9 @@ def node_moves(spark, sf_dir):
     return r6(records.before_after(events(spark, sf_dir), "station", "seq", "value", 5).select("seq", "shift"), "shift")
 
 
-@query(f"""WITH {EV}, a AS (SELECT DISTINCT station, seq * 37 % 360 + 0.0 AS a FROM ev WHERE seq % 50 = station % 50), g AS (SELECT station, coalesce(lead(a) OVER (PARTITION BY station ORDER BY a), min(a) OVER (PARTITION BY station) + 360) - a AS g FROM a)
+@query(f"""WITH {EV}, a AS (SELECT DISTINCT station, seq * 37 % 360 + 0.0 AS a FROM ev), g AS (SELECT station, coalesce(lead(a) OVER (PARTITION BY station ORDER BY a), min(a) OVER (PARTITION BY station) + 360) - a AS g FROM a)
 SELECT station, max(g)::DOUBLE AS gap, ((360 - max(g)) / 2)::DOUBLE AS half_arc FROM g GROUP BY station""")
 def azimuth_gap(spark, sf_dir):
-    a = events(spark, sf_dir).where("seq % 50 = station % 50").selectExpr("station", "double(seq * 37 % 360) AS a")  # the shots of each array
-    return records.largest_gap(a, "station", "a")
-
-
-@query()
-def azimuth_gap_all(spark, sf_dir):
-    """As azimuth_gap, over all shots."""
     return records.largest_gap(events(spark, sf_dir).selectExpr("station", "double(seq * 37 % 360) AS a"), "station", "a")
 
 
@@ -670,10 +625,10 @@ def picks_with_edits(spark, sf_dir):
     return seismic.with_edits(picks, edits, ["l_orderkey", "l_linenumber"], ["time"])
 
 
-@query(f"""WITH {TRACE}, c AS (SELECT vec_id, 5.0 + i AS f, 200 + 50 * v AS v FROM tr WHERE i % 4 = 0), s AS (SELECT vec_id, f AS f0, v AS v0, lead(f) OVER w AS f1, lead(v) OVER w AS v1 FROM c WINDOW w AS (PARTITION BY vec_id ORDER BY f)), a AS (SELECT vec_id, 3.0 + k * 2.5 AS f FROM embeddings, unnest(range(30)) t(k))
+@query(f"""WITH {TRACE}, c AS (SELECT vec_id, 5.0 + i AS f, 200 + 50 * v AS v FROM tr), s AS (SELECT vec_id, f AS f0, v AS v0, lead(f) OVER w AS f1, lead(v) OVER w AS v1 FROM c WINDOW w AS (PARTITION BY vec_id ORDER BY f)), a AS (SELECT vec_id, 3.0 + k * 2.5 AS f FROM embeddings, unnest(range(30)) t(k))
 SELECT vec_id, f::DOUBLE AS f, round(CASE WHEN f1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (f - f0) / (f1 - f0) END, 6) AS v FROM a JOIN s USING (vec_id) WHERE f >= f0 AND (f < f1 OR (f = f0 AND f1 IS NULL))""")
 def dispersion_resample(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    curve = seismic.samples(e, "vec_id", "embedding").where("i % 4 = 0").selectExpr("vec_id", "5D + i AS f", "200 + 50 * v AS v")
+    curve = seismic.samples(e, "vec_id", "embedding").selectExpr("vec_id", "5D + i AS f", "200 + 50 * v AS v")
     at = e.select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: k * F.lit(2.5) + F.lit(3.0))).alias("f"))
     return r6(seismic.resample(curve, "vec_id", "f", "v", at), "v")
