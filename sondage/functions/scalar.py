@@ -129,3 +129,24 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * radius * F.asin(F.sqrt(h))
+
+
+def clock_difference(later: Column, earlier: Column) -> Column:
+    """Seconds from one time of day to another; a difference below minus half a day is a step over midnight."""
+    d = later - earlier
+    return F.when(d < -43200, d + 86400).otherwise(d)
+
+
+def critical_distance(v1: Column, v2: Column, h: Column) -> Column:
+    """Least offset of a head wave from below a layer of thickness ``h``; null if it isn't faster below."""
+    return F.when(v2 > v1, 2 * h * F.tan(F.asin(v1 / v2)))
+
+
+def crossover_distance(v1: Column, v2: Column, h: Column) -> Column:
+    """Offset from which on the head wave comes first; null if it isn't faster below."""
+    return F.when(v2 > v1, 2 * h * F.sqrt((v2 + v1) / (v2 - v1)))
+
+
+def depth_from_intercept(v1: Column, v2: Column, intercept: Column) -> Column:
+    """Thickness of a layer from the intercept time of the head wave below it; null if it isn't faster below."""
+    return F.when(v2 > v1, intercept * v1 * v2 / (2 * F.sqrt(v2 * v2 - v1 * v1)))

@@ -104,3 +104,30 @@ def filled(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_k") - F.col("_k0")) / (F.col("_k1") - F.col("_k0"))
     inside = F.when(F.col("_k1") > F.col("_k0"), line).otherwise(F.col("_v0"))
     return m.withColumn("filled", F.when(F.col("_v0").isNull(), F.col("_v1")).when(F.col("_v1").isNull(), F.col("_v0")).otherwise(inside)).drop("_k", *cols)
+
+
+def runs(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """Runs of one value in the order of each group: by, run (from 0), value, first, last, length. Nulls are a value."""
+    o = Window.partitionBy(by).orderBy(order)
+    new = F.when(F.row_number().over(o) == 1, 0).when(F.col(value).eqNullSafe(F.lag(value).over(o)), 0).otherwise(1)
+    marked = rows.select(by, F.col(order).alias("_o"), F.col(value).alias("_v"), new.alias("_new"))
+    numbered = marked.withColumn("run", F.sum("_new").over(Window.partitionBy(by).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(by, "run").agg(F.first("_v").alias("value"), F.min("_o").alias("first"), F.max("_o").alias("last"), F.count(F.lit(1)).alias("length"))
+
+
+def shot_windows(samples: DataFrame, shots: DataFrame, node: str, index: str, value: str, shot: str, at: str, length: int, before: int, search: int, factor: float = 3.0) -> DataFrame:
+    """(shot, onset, start, end) of windows at known times: index ``at`` of each shot, refined by the amplitudes.
+
+    The onset is the first index within ``search`` of it at which every node is above ``factor`` times its own median
+    size, else the time as given. Windows start ``before`` samples earlier; those that leave the record are left out.
+    """
+    size = samples.select(F.col(node).alias("_n"), F.col(index).alias("_i"), F.abs(F.coalesce(F.col(value), F.lit(0.0))).alias("_a"))
+    back = quantiles(size, ["_n"], "_a", {"_m": 0.5})
+    extent = size.agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), F.count_distinct("_n").alias("_nodes"))  # one row
+    hot = size.join(back, "_n").where(F.col("_a") > factor * F.col("_m")).groupBy("_i").agg(F.count_distinct("_n").alias("_c"))
+    near = shots.select(F.col(shot).alias("shot"), F.col(at).alias("nominal"), F.explode(F.sequence(F.col(at) - search, F.col(at) + search - 1)).alias("_i")) if search else shots.select(F.col(shot).alias("shot"), F.col(at).alias("nominal"), F.lit(None).cast("long").alias("_i"))
+    found = near.join(hot, "_i").crossJoin(F.broadcast(extent)).where("_c = _nodes").groupBy("shot", "nominal").agg(F.min("_i").alias("_onset"))
+    placed = shots.select(F.col(shot).alias("shot"), F.col(at).alias("nominal")).join(found, ["shot", "nominal"], "left").crossJoin(F.broadcast(extent))
+    onset = F.coalesce("_onset", "nominal")
+    out = placed.select("shot", onset.alias("onset"), (onset - before).alias("start"), (onset - before + length).alias("end"), "_lo", "_hi")
+    return out.where("start >= _lo AND end <= _hi + 1").drop("_lo", "_hi")

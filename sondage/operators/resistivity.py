@@ -63,3 +63,10 @@ def grouped(readings: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Positive readings of a position: geometric mean, number, deviation of the logarithm, mean, median, least."""
     up = readings.where(F.col(value) > 0)
     return up.groupBy(*keys).agg(F.exp(F.avg(F.ln(value))).alias("geometric"), F.count(F.lit(1)).alias("n"), F.stddev_samp(F.ln(value)).alias("std_ln"), F.avg(value).alias("mean"), median(value).alias("median"), F.min(value).alias("least"))
+
+
+def schlumberger(spark: SparkSession, electrodes: int, n_max: int = 8, a_max: int = 1) -> DataFrame:
+    """(a, b, m, n) of every Wenner-Schlumberger reading of a line."""
+    rows = spark.range(electrodes).select(F.col("id").cast("int").alias("a")).select("a", F.explode(F.sequence(F.lit(1), F.lit(a_max))).alias("d")).select("a", "d", F.explode(F.sequence(F.lit(1), F.lit(n_max))).alias("k"))
+    a, d, k = F.col("a"), F.col("d"), F.col("k")
+    return rows.select(a, (a + d * (2 * k + 1)).alias("b"), (a + d * k).alias("m"), (a + d * (k + 1)).alias("n")).where(F.col("b") < electrodes)

@@ -198,3 +198,44 @@ def resample(curve: DataFrame, by: str, f: str, v: str, at: DataFrame) -> DataFr
     seg = curve.select(by, F.col(f).alias("f0"), F.col(v).alias("v0"), F.lead(f).over(o).alias("f1"), F.lead(v).over(o).alias("v1"))
     met = at.join(seg, by).where((F.col(f) >= F.col("f0")) & ((F.col(f) < F.col("f1")) | ((F.col(f) == F.col("f0")) & F.col("f1").isNull())))
     return met.select(by, f, F.when(F.col("f1").isNull(), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col(f) - F.col("f0")) / (F.col("f1") - F.col("f0"))).alias(v))
+
+
+def spread(traces: DataFrame, spacing: float | None = None, source_offset: float | None = None, standoff: float = 0.0) -> DataFrame:
+    """Traces of shot records with resolved receiver_x, source_x, offset and geometry_from (headers, arguments or mixed).
+
+    Metres given here win over headers. Missing receivers lie between their neighbours in the record; the job fails for
+    a record whose headers give no receiver or one place for all, no source, or several delays. ``standoff``: distance
+    of the source from the line.
+    """
+    from .records import filled
+
+    rows = traces.where("error IS NULL")
+    each = rows.groupBy("file").agg(F.count_distinct("receiver_x").alias("_places"), F.min_by("source_x", F.when(F.col("source_x").isNotNull(), F.col("trace"))).alias("_source"), F.count_distinct(F.coalesce("delay", F.lit(0.0))).alias("_delays"))
+    fail = lambda said: F.raise_error(F.concat(F.col("file"), F.lit(said)))
+    met = filled(rows, "file", "trace", "receiver_x").join(each, "file")
+    receiver = F.col("trace") * float(spacing) if spacing is not None else F.when((F.col("_places") < 2), fail(": receiver positions are empty or constant, pass spacing").cast("double")).otherwise(F.col("filled"))
+    source = F.lit(float(source_offset)) if source_offset is not None else F.when(F.col("_source").isNull(), fail(": no source position, pass source_offset").cast("double")).otherwise(F.col("_source"))
+    origin = "headers" if spacing is None and source_offset is None else "arguments" if spacing is not None and source_offset is not None else "mixed"
+    delay = F.when(F.col("_delays") > 1, fail(": several delays").cast("double")).otherwise(F.col("delay"))
+    out = met.withColumns({"receiver_x": receiver, "source_x": source, "delay": delay}).drop("filled", "_places", "_source", "_delays")
+    d = F.col("receiver_x") - F.col("source_x")
+    return out.withColumn("offset", F.sqrt(d * d + float(standoff) ** 2)).withColumn("geometry_from", F.lit(origin))
+
+
+def regression(rows: DataFrame, by: list[str], x: str, y: str, weight: str | None = None, origin: bool = False) -> DataFrame:
+    """Per group: n, slope and intercept of a weighted least-squares line, through the origin if asked; null if undetermined."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    used = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & (w > 0)).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), w.alias("_w"))
+    s = lambda e: F.sum(F.col("_w") * e)
+    sums = used.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("_s"), s(F.col("_x")).alias("_sx"), s(F.col("_y")).alias("_sy"), s(F.col("_x") * F.col("_x")).alias("_xx"), s(F.col("_x") * F.col("_y")).alias("_xy"))
+    if origin:
+        return sums.select(*by, "n", F.when(F.col("_xx") > 0, F.col("_xy") / F.col("_xx")).alias("slope"), F.lit(0.0).alias("intercept"))
+    den = F.col("_s") * F.col("_xx") - F.col("_sx") * F.col("_sx")
+    slope = F.when(den > 1e-12 * F.col("_s") * F.col("_xx"), (F.col("_s") * F.col("_xy") - F.col("_sx") * F.col("_sy")) / den)
+    return sums.select(*by, "n", slope.alias("slope"), ((F.col("_sy") - slope * F.col("_sx")) / F.col("_s")).alias("intercept"))
+
+
+def clipped(curve: DataFrame, f: str, v: str, frequency: tuple[float, float] | None = None, wavelength: tuple[float, float] | None = None) -> DataFrame:
+    """A dispersion curve within a band of frequencies and of wavelengths (velocity over frequency), ends included."""
+    out = curve if frequency is None else curve.where(F.col(f).between(*frequency))
+    return out if wavelength is None else out.where((F.col(v) / F.col(f)).between(*wavelength))

@@ -147,3 +147,16 @@ def layback(readings: DataFrame, x: str, y: str, heading: str, forward: float, r
     """Positions moved from the antenna to the sensor: an offset (forward, right) turned by the heading in degrees."""
     h = F.radians(F.col(heading))
     return readings.withColumn("sensor_x", F.col(x) - (forward * F.sin(h) + right * F.cos(h))).withColumn("sensor_y", F.col(y) - (forward * F.cos(h) - right * F.sin(h)))
+
+
+def free_air_offsets(readings: DataFrame, mask: Column, channels: list[str]) -> DataFrame:
+    """(channel, offset): median of each channel over the samples of ``mask``, those with the sensor lifted off the ground."""
+    long = readings.where(mask).select(F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("_v")) for c in channels])))
+    return quantiles(long, ["channel"], "_v", {"offset": 0.5})
+
+
+def subtract_offsets(readings: DataFrame, offsets: DataFrame, channels: list[str]) -> DataFrame:
+    """Each channel less its offset; the job fails where a channel has none."""
+    one = offsets.agg(*[F.max(F.when(F.col("channel") == c, F.col("offset"))).alias(f"_{c}") for c in channels])  # one row
+    less = lambda c: F.col(c) - F.when(F.col(f"_{c}").isNull(), F.raise_error(F.lit(f"no offset of channel {c}")).cast("double")).otherwise(F.col(f"_{c}"))
+    return readings.crossJoin(F.broadcast(one)).withColumns({c: less(c) for c in channels}).drop(*[f"_{c}" for c in channels])

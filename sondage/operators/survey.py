@@ -85,3 +85,16 @@ def rectangle_share(x0: Column, x1: Column, z0: Column, z1: Column, box: tuple[f
 def instant(text: Column) -> Column:
     """A local time with its offset ("2026-01-01 10:00:00 UTC-05:00") as an instant; null where it can't be read."""
     return F.try_to_timestamp(F.regexp_replace(text, r"\s*UTC(?=[+-])", ""))
+
+
+def masked(rows: DataFrame, keep: Column, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows that ``keep`` (null drops them), and (by, kept, dropped) counts."""
+    flag = F.coalesce(keep, F.lit(False))
+    counts = rows.groupBy(*(by or [])).agg(F.count(F.when(flag, 1)).alias("kept"), F.count(F.when(~flag, 1)).alias("dropped"))
+    return rows.where(flag), counts
+
+
+def all_null_columns(rows: DataFrame) -> list[str]:
+    """Columns without any value, found by one aggregate."""
+    one = rows.agg(*[F.count(F.col(c)).alias(c) for c in rows.columns]).first()
+    return [c for c in rows.columns if one[c] == 0]

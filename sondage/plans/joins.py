@@ -83,3 +83,18 @@ def proximity_pairs(points: DataFrame, seq: str, x: str, y: str, tolerance: floa
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
+
+
+def nearest_within(points: DataFrame, others: DataFrame, key: str, x: str, y: str, other_key: str, tolerance: float) -> DataFrame:
+    """(key, other, distance): of each point the nearest of ``others`` within the tolerance, the least of equal ones.
+
+    Points without one are left out, so an anti join on the result masks what is far from all samples.
+    """
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(tolerance)))
+    near = F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))")
+    one = points.select(F.col(key).alias("key"), F.col(x).alias("_x1"), F.col(y).alias("_y1"), cell(x).alias("_cx"), cell(y).alias("_cy"), F.explode(near).alias("_d"))
+    one = one.withColumn("_cx", F.col("_cx") + F.col("_d.i")).withColumn("_cy", F.col("_cy") + F.col("_d.j")).drop("_d")
+    two = others.select(F.col(other_key).alias("other"), F.col(x).alias("_x2"), F.col(y).alias("_y2"), cell(x).alias("_cx"), cell(y).alias("_cy"))
+    d = distance(F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2"))
+    met = one.join(two, ["_cx", "_cy"]).select("key", "other", d.alias("distance")).where(F.col("distance") <= tolerance)
+    return met.groupBy("key").agg(F.min(F.struct("distance", "other")).alias("b")).select(F.col("key").alias(key), F.col("b.other").alias("other"), F.col("b.distance").alias("distance"))

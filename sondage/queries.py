@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
 from .operators import passive, potential, records, resistivity, seismic, stations, survey, tomography
 from .plans import joins
+from .sources import binary, text
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -632,3 +634,123 @@ def dispersion_resample(spark, sf_dir):
     curve = seismic.samples(e, "vec_id", "embedding").selectExpr("vec_id", "5D + i AS f", "200 + 50 * v AS v")
     at = e.select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: k * F.lit(2.5) + F.lit(3.0))).alias("f"))
     return r6(seismic.resample(curve, "vec_id", "f", "v", at), "v")
+
+
+def as_files(df: DataFrame, file, line: str, order: str, head: str = "") -> DataFrame:
+    """(file, text): the lines of each file in order, below ``head``."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line])
+    return df.groupBy(file.alias("file")).agg(F.concat(F.lit(head), F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
+
+
+@query("SELECT 'u' || user_id AS file, event_type AS line, 'S' || event_id AS station, strftime(ts, '%H:%M:%S') AS time, value AS field, event_id % 10 / 2.0 AS quality FROM events WHERE event_id % 10 / 2.0 >= 1")
+def source_magnetometer(spark, sf_dir):
+    """Events written as magnetometer text, a file per user, and read back above a quality."""
+    e = table(spark, sf_dir, "events")
+    row = F.concat_ws(" ", "event_type", F.concat(F.lit("S"), "event_id"), F.date_format("ts", "HH:mm:ss"), F.col("value").cast("string"), (F.col("event_id") % 10 / 2).cast("string"))
+    files = as_files(e.withColumn("row", row), F.concat(F.lit("u"), "user_id"), "row", "event_id", "# line station time field quality\n")
+    return text.read_g857(spark, files, min_quality=1.0).select("file", "line", "station", "time", "field", "quality")
+
+
+@query("SELECT 'r' || (s_suppkey % 7) AS file, (s_nationkey || '-' || s_suppkey) AS station_id, s_acctbal AS mean_nt, round((s_suppkey * 0.5 * 0.3048)::DOUBLE, 6) AS distance FROM supplier")
+def source_magnetics_summary(spark, sf_dir):
+    """Station tables with their columns in another order, found by the header."""
+    s = table(spark, sf_dir, "supplier")
+    row = F.concat_ws(",", "s_suppkey", F.col("s_acctbal").cast("string"), "s_nationkey", (F.col("s_suppkey") * 0.5).cast("string"))
+    files = as_files(s.withColumn("row", row), F.concat(F.lit("r"), F.col("s_suppkey") % 7), "row", "s_suppkey", "Station,Mean_nT,Line_No,Dist_from_S_ft\n")
+    return r6(text.read_magnetics_summary(spark, files).select("file", "station_id", "mean_nt", "distance"), "distance")
+
+
+@query("SELECT 'd' || (c_custkey % 9) AS file, c_custkey::VARCHAR AS station, round(c_acctbal, 3) AS grav, c_custkey % 5 + 0.5 AS tiltx FROM customer")
+def source_gravimeter(spark, sf_dir):
+    """Gravimeter dumps with spaced labels in their header."""
+    c = table(spark, sf_dir, "customer")
+    row = F.concat_ws("\t", F.lit("1.0"), F.concat(F.col("c_custkey").cast("string"), F.lit(".0")), (F.col("c_custkey") % 5 + 0.5).cast("string"), F.round("c_acctbal", 3).cast("string"), F.lit("10:00:00"), F.lit("2026/03/12"))
+    files = as_files(c.withColumn("row", row), F.concat(F.lit("d"), F.col("c_custkey") % 9), "row", "c_custkey", "/\tCG-5 SURVEY\n/ Line\tStation\tTilt x\tGrav.\tTime\tDate\n")
+    return text.read_cg5(spark, files).select("file", "station", "grav", "tiltx")
+
+
+@query("SELECT 'n' || (s_suppkey % 5) AS file, lpad((s_suppkey % 240000)::VARCHAR, 6, '0') AS time, round((s_suppkey % 60) + 30 / 60.0, 9) AS latitude, round(-((s_suppkey % 170) + 15 / 60.0), 9) AS longitude, CASE WHEN s_suppkey % 2 = 0 THEN 1.5 END AS depth FROM supplier")
+def source_nmea(spark, sf_dir):
+    """Logs of fixes, every other one followed by a depth."""
+    s = table(spark, sf_dir, "supplier")
+    fix = F.format_string("$GPRMC,%06d,A,%02d30.0,N,%03d15.0,W,,,,", F.col("s_suppkey") % 240000, F.col("s_suppkey") % 60, F.col("s_suppkey") % 170)
+    row = F.when(F.col("s_suppkey") % 2 == 0, F.concat(fix, F.lit("\n$SDDPT,1.5,0.0"))).otherwise(fix)
+    out = text.read_nmea(spark, as_files(s.withColumn("row", row), F.concat(F.lit("n"), F.col("s_suppkey") % 5), "row", "s_suppkey"))
+    return out.select("file", "time", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"), "depth")
+
+
+@query("""WITH k AS (SELECT unnest([1, 2, 4, 5, 6, 7, 3]) AS kind), p AS (SELECT kind, p_partkey, p_partkey - (SELECT min(p_partkey) FROM part) AS s, CASE WHEN kind IN (3, 6, 7) THEN p_size % 4 + 1 ELSE 1 END AS n, p_retailprice AS rhoa FROM part, k)
+SELECT 'k' || kind AS file, (s + CASE kind WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END)::INT AS a, (CASE kind WHEN 1 THEN s + 3 WHEN 3 THEN s WHEN 4 THEN s WHEN 5 THEN s + 2 WHEN 7 THEN s + 2 * n + 1 END)::INT AS b,
+(s + CASE kind WHEN 3 THEN n + 1 WHEN 4 THEN 2 WHEN 6 THEN n WHEN 7 THEN n ELSE 1 END)::INT AS m, (CASE kind WHEN 1 THEN s + 2 WHEN 3 THEN s + n + 2 WHEN 4 THEN s + 3 WHEN 5 THEN s + 3 WHEN 6 THEN s + n + 1 WHEN 7 THEN s + n + 1 END)::INT AS n, rhoa FROM p""")
+def source_res2dinv(spark, sf_dir):
+    """Resistivity files of every standard array, by first electrode, a reading of each part."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4, 5, 6, 7)])).alias("kind"))
+    n = F.when(F.col("kind").isin(3, 6, 7), (F.col("p_size") % 4 + 1).cast("string"))
+    row = F.concat_ws(" ", ((F.col("p_partkey") - 1) * 2.0).cast("string"), F.lit("2.0"), n, F.col("p_retailprice").cast("string"))
+    files = as_files(p.withColumn("row", row), F.col("kind"), "row", "p_partkey")
+    head = F.concat(F.lit("line\n2.0\n"), F.col("file").cast("string"), F.lit("\n"), F.size(F.split("text", "\n")) - 1, F.lit("\n0\n0\n"))
+    files = files.select(F.concat(F.lit("k"), "file").alias("file"), F.concat(head, "text").alias("text"))
+    return text.read_res2dinv(spark, files).select("file", "a", "b", "m", "n", "rhoa")
+
+
+@query(f"WITH {TRACE}, s AS (SELECT vec_id, sum(v) AS total, max(abs(v)) AS most, count(*) AS n FROM tr GROUP BY vec_id) SELECT 'shot' || vec_id // 12 AS file, vec_id % 12 AS trace, round((vec_id % 12) * 2.0, 6) AS receiver_x, n, round(total, 5) AS total, round(most, 5) AS most FROM s")
+def source_shot_records(spark, sf_dir):
+    """Vectors written as big-endian SEG-2 shot records in tasks, decoded again."""
+    e = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 12").alias("shot")).agg(F.array_sort(F.collect_list(F.struct(F.col("vec_id").alias("k"), "embedding"))).alias("t"))
+
+    @F.pandas_udf("binary")
+    def encode(shots: pd.Series) -> pd.Series:
+        return shots.map(lambda t: binary.encode_seg2([(x["embedding"], {"RECEIVER_LOCATION": f"{x['k'] % 12 * 2.0}", "SAMPLE_INTERVAL": "0.002"}) for x in t]))
+
+    files = e.select(F.concat(F.lit("shot"), "shot").alias("path"), encode("t").alias("content"))
+    out = binary.read_seg2(spark, files).withColumn("v", F.col("samples"))
+    return out.select("file", (F.col("receiver_x") / 2).cast("long").alias("trace"), "receiver_x", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 5).alias("total"), F.round(F.array_max(F.transform("v", F.abs)), 5).alias("most"))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS g, l_extendedprice AS x, l_quantity AS y, l_linenumber::DOUBLE AS w FROM lineitem), s AS (SELECT g, count(*) AS n, sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS xx, sum(w * x * y) AS xy FROM r GROUP BY g),
+l AS (SELECT *, CASE WHEN s * xx - sx * sx > 1e-12 * s * xx THEN (s * xy - sx * sy) / (s * xx - sx * sx) END AS slope FROM s) SELECT g, n, round(slope, 9) AS slope, round((sy - slope * sx) / s, 6) AS intercept, round(xy / xx, 9) AS through_origin FROM l""")
+def weighted_regression(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS g", "l_extendedprice AS x", "l_quantity AS y", "double(l_linenumber) AS w")
+    free = seismic.regression(l, ["g"], "x", "y", "w")
+    fixed = seismic.regression(l, ["g"], "x", "y", "w", origin=True).select("g", F.round("slope", 9).alias("through_origin"))
+    return r6(free, "intercept").withColumn("slope", F.round("slope", 9)).join(fixed, "g")
+
+
+@query("""WITH p AS (SELECT c_custkey AS k, (c_custkey * 37 % 1000)::DOUBLE AS x, (c_custkey * 91 % 1009)::DOUBLE AS y FROM customer), o AS (SELECT s_suppkey AS j, (s_suppkey * 53 % 1000)::DOUBLE AS x, (s_suppkey * 29 % 1009)::DOUBLE AS y FROM supplier),
+d AS (SELECT k, j, sqrt((p.x - o.x) ** 2 + (p.y - o.y) ** 2) AS d FROM p JOIN o ON abs(p.x - o.x) <= 40 AND abs(p.y - o.y) <= 40)
+SELECT k, j AS other, round(d, 6) AS distance FROM d WHERE d <= 40 QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, j) = 1""")
+def nearest_sample(spark, sf_dir):
+    p = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "double(c_custkey * 37 % 1000) AS x", "double(c_custkey * 91 % 1009) AS y")
+    o = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS j", "double(s_suppkey * 53 % 1000) AS x", "double(s_suppkey * 29 % 1009) AS y")
+    return r6(joins.nearest_within(p, o, "k", "x", "y", "j", 40.0), "distance")
+
+
+@query(f"""WITH {EV}, c AS (SELECT station, seq, line, CASE WHEN line IS DISTINCT FROM lag(line) OVER w AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS new FROM ev WINDOW w AS (PARTITION BY station ORDER BY seq)),
+r AS (SELECT *, (sum(new) OVER (PARTITION BY station ORDER BY seq))::BIGINT AS run FROM c) SELECT station, run, min(line) AS value, min(seq) AS "first", max(seq) AS "last", count(*) AS length FROM r GROUP BY station, run""")
+def run_lengths(spark, sf_dir):
+    return records.runs(events(spark, sf_dir), "station", "seq", "line").withColumn("run", F.col("run").cast("long"))
+
+
+@query(f"""WITH {EV}, o AS (SELECT quantile_cont(value, 0.5) AS ov, quantile_cont(y, 0.5) AS oy FROM ev WHERE station % 10 = 0) SELECT seq, round(value - ov, 6) AS value, round(y - oy, 6) AS y FROM ev, o""")
+def free_air(spark, sf_dir):
+    e = events(spark, sf_dir)
+    zero = stations.free_air_offsets(e, F.col("station") % 10 == 0, ["value", "y"])
+    return r6(stations.subtract_offsets(e.select("seq", "value", "y"), zero, ["value", "y"]), "value", "y")
+
+
+@query(f"""WITH {EV}, {HOURLY}, b AS (SELECT line, quantile_cont(abs(value), 0.5) AS m FROM hr GROUP BY line), x AS (SELECT min(i) AS lo, max(i) AS hi, count(DISTINCT line) AS k FROM hr),
+h AS (SELECT i FROM hr JOIN b USING (line) WHERE abs(value) > 1.1 * m GROUP BY i HAVING count(DISTINCT line) >= (SELECT k FROM x)), s AS (SELECT DISTINCT i // 24 AS shot, i // 24 * 24 + 12 AS nominal FROM hr),
+o AS (SELECT shot, coalesce((SELECT min(i) FROM h WHERE i >= nominal - 6 AND i < nominal + 6), nominal) AS onset FROM s)
+SELECT shot, onset, onset - 2 AS start, onset + 6 AS "end" FROM o, x WHERE onset - 2 >= lo AND onset + 6 <= hi + 1""")
+def shot_windows(spark, sf_dir):
+    h = hourly(spark, sf_dir)
+    shots = h.select(F.expr("i div 24").alias("shot")).distinct().withColumn("at", F.col("shot") * 24 + 12)
+    return records.shot_windows(h, shots, "line", "i", "value", "shot", "at", 8, 2, 6, factor=1.1)
+
+
+@query("""WITH c AS (SELECT s_suppkey, 300.0 + s_suppkey AS v1, 900.0 + s_nationkey * 40 - CASE WHEN s_suppkey % 9 = 0 THEN 700 ELSE 0 END AS v2, 2.0 + s_suppkey % 7 AS h FROM supplier)
+SELECT s_suppkey, round(CASE WHEN v2 > v1 THEN 2 * h * tan(asin(v1 / v2)) END, 6) AS critical, round(CASE WHEN v2 > v1 THEN 2 * h * sqrt((v2 + v1) / (v2 - v1)) END, 6) AS crossover, round(CASE WHEN v2 > v1 THEN 0.01 * v1 * v2 / (2 * sqrt(v2 * v2 - v1 * v1)) END, 6) AS depth FROM c""")
+def refraction_distances(spark, sf_dir):
+    c = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "300D + s_suppkey AS v1", "900D + s_nationkey * 40 - CASE WHEN s_suppkey % 9 = 0 THEN 700 ELSE 0 END AS v2", "2D + s_suppkey % 7 AS h")
+    v1, v2, h = F.col("v1"), F.col("v2"), F.col("h")
+    return r6(c.select("s_suppkey", scalar.critical_distance(v1, v2, h).alias("critical"), scalar.crossover_distance(v1, v2, h).alias("crossover"), scalar.depth_from_intercept(v1, v2, F.lit(0.01)).alias("depth")), "critical", "crossover", "depth")

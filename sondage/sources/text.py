@@ -13,12 +13,35 @@ FEET = 0.3048
 CG5_COLUMNS = ["line", "station", "alt", "grav", "sd", "tiltx", "tilty", "temp", "tide", "dur", "rej", "time", "dectimedate", "terrain", "date"]
 
 
-def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line_no from 1, line) of text files; carriage returns and byte order marks are dropped."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r|﻿", "").alias("v"))
+#: Array types of RES2DINV (the last is the general one), and where a, b, m, n of the others stand, in dipole lengths.
+RES2DINV_KINDS = (1, 2, 3, 4, 5, 6, 7, 11)
+_at = lambda *x: [None if v is None else v if isinstance(v, Column) else F.lit(float(v)) for v in x]
+RES2DINV_LAYOUT = {
+    1: lambda n: _at(0, 3, 1, 2),
+    2: lambda n: _at(0, None, 1, None),
+    3: lambda n: _at(1, 0, n + 1, n + 2),
+    4: lambda n: _at(1, 0, 2, 3),
+    5: lambda n: _at(0, 2, 1, 3),
+    6: lambda n: _at(0, None, n, n + 1),
+    7: lambda n: _at(0, 2 * n + 1, n, n + 1),
+}
+
+
+def lines(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
+    """(file, line_no from 1, line) of text files, or of a table of them (file, text); carriage returns and byte order marks are dropped."""
+    read = path.select("file", F.col("text").alias("value")) if isinstance(path, DataFrame) else spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = read.select("file", F.regexp_replace("value", "\r|\ufeff", "").alias("v"))
     return whole.select("file", F.posexplode(F.split("v", "\n")).alias("p", "line")).select("file", (F.col("p") + 1).alias("line_no"), "line")
 
 
+def _by_header(rows: DataFrame, heads: DataFrame, names: list[str], text: set[str]) -> DataFrame:
+    """Columns ``names`` of the ``f`` of each row, found by the labels of the file's ``header``; without one in order."""
+    labelled = rows.join(heads, "file", "left")
+    at = lambda i, n: F.when(F.col("header").isNull(), F.get("f", F.lit(i))).otherwise(F.get("f", F.array_position("header", F.lit(n)).cast("int") - 1))
+    cell = lambda i, n: at(i, n) if n in text else number(at(i, n))
+    return labelled.select("file", "row_seq", *[cell(i, n).alias(n) for i, n in enumerate(names)])
+
+
 def fields(line: Column, pattern: str = r"\s+") -> Column:
     return F.split(F.trim(line), pattern)
 
@@ -47,10 +70,23 @@ def read_g857(spark: SparkSession, path: str, min_quality: float | None = None)
     return out if min_quality is None else out.where(F.col("quality").isNull() | (F.col("quality") >= min_quality))
 
 
-def read_cg5(spark: SparkSession, path: str) -> DataFrame:
-    """Gravimeter readings: file, row_seq, station, time (of date and clock), grav and the other columns as numbers."""
-    rows = lines(spark, path).where(~F.col("line").rlike(r"^\s*(/|$)")).select("file", F.col("line_no").alias("row_seq"), fields(F.col("line")).alias("f"))
-    out = rows.select("file", "row_seq", *_named(CG5_COLUMNS, F.col("f"), {"time", "date"}))
+def _cg5_header(line: Column) -> Column:
+    """Labels of a dump's header line; "Tilt x" and "Dec. Time+Date" are one label each."""
+    bare = F.regexp_replace(F.lower(F.regexp_replace(line, r"^/+\s*", "")), r"tilt\s+([xy])", "tilt$1")
+    bare = F.regexp_replace(bare, r"dec\.?\s*time\s*\+\s*date", "dectimedate")
+    return F.transform(F.split(F.trim(bare), r"[\s,]+"), lambda x: F.regexp_replace(x, r"[^a-z]", ""))
+
+
+def read_cg5(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Gravimeter readings: file, row_seq, station, time (of date and clock), grav and the other columns as numbers.
+
+    Columns are those that the file's last header line names, or without one the usual ones in order. Rows without a
+    gravity value are left out.
+    """
+    all_ = lines(spark, path)
+    heads = all_.where(F.col("line").rlike(r"(?i)^/.*stat.*grav")).groupBy("file").agg(_cg5_header(F.max_by("line", "line_no")).alias("header"))
+    rows = all_.where(~F.col("line").rlike(r"^\s*(/|$)")).select("file", F.col("line_no").alias("row_seq"), fields(F.col("line"), r"[\s,]+").alias("f"))
+    out = _by_header(rows, heads, CG5_COLUMNS, {"time", "date"})
     return out.withColumn("station", F.regexp_replace(F.col("station").cast("string"), r"\.0$", "")).withColumn("time", F.try_to_timestamp(F.concat_ws(" ", F.regexp_replace("date", "/", "-"), "time"))).where("grav IS NOT NULL").drop("date")
 
 
@@ -66,8 +102,12 @@ def read_magnetics_summary(spark: SparkSession, path: str, sep: str = ",") -> Da
     Columns are those of the header or, without one, these in order; station_id is line-station, distance in metres.
     """
     names = ["line", "station", "dist_from_s_ft", "n_readings", "mean_nt", "stddev_nt", "correction_nt", "leveled_mean_nt"]
-    rows = lines(spark, path).where(F.col("line").rlike(r"^\s*-?\d")).select("file", F.col("line_no").alias("row_seq"), F.split("line", sep).alias("f"))
-    out = rows.select("file", "row_seq", *_named(names, F.col("f"), set()))
+    all_ = lines(spark, path)
+    label = lambda x: F.regexp_replace(snake_label(x), "^line_no$", "line")
+    heads = all_.where(F.col("line").rlike(r"(?i)station.*|.*line") & ~F.col("line").rlike(r"^\s*-?\d")).groupBy("file").agg(F.transform(F.split(F.min_by("line", "line_no"), sep), label).alias("header"))
+    rows = all_.where(F.col("line").rlike(r"^\s*-?\d")).select("file", F.col("line_no").alias("row_seq"), F.split("line", sep).alias("f"))
+    short = F.size("header") < 3  # not a list of columns
+    out = _by_header(rows, heads.where(~short), names, set())
     whole = lambda c: F.col(c).cast("long").cast("string")
     seen = Window.partitionBy("file", "line", "station").orderBy("row_seq")
     return out.withColumn("station_id", F.concat_ws("-", whole("line"), whole("station"))).withColumn("distance", F.col("dist_from_s_ft") * FEET).withColumn("occupation", F.row_number().over(seen))
@@ -139,25 +179,35 @@ def stg_readings(records: DataFrame) -> DataFrame:
 
 
 def read_res2dinv(spark: SparkSession, path: str) -> DataFrame:
-    """Readings of a RES2DINV file of type 3 (dipole-dipole) or 11 (general): a, b, m, n, spacing, rhoa.
+    """Readings of a RES2DINV file of types 1 to 7 or 11 (general): a, b, m, n (null if remote), spacing, rhoa.
 
-    Line 2 is the unit spacing, line 3 the type; the number of readings is in line 4, of a general file in line 7.
+    Line 2 is the unit spacing, line 3 the type; the number of readings is in line 4, of a general file in line 7. Line 5
+    says whether x is the first electrode (0) or the middle of a reading (1). Electrodes are counted from the first.
     """
     all_ = lines(spark, path)
     on_line = lambda i: F.max(F.when(F.col("line_no") == i, number(F.col("line"))))
-    head = all_.where("line_no <= 7").groupBy("file").agg(on_line(2).alias("spacing"), on_line(3).cast("int").alias("kind"), on_line(4).alias("_4"), on_line(7).alias("_7"))
-    head = head.withColumn("n", F.when(F.col("kind") == 11, F.col("_7")).otherwise(F.col("_4"))).drop("_4", "_7")
+    head = all_.where("line_no <= 7").groupBy("file").agg(on_line(2).alias("spacing"), on_line(3).cast("int").alias("kind"), on_line(4).alias("_4"), F.coalesce(on_line(5), F.lit(0.0)).alias("middle"), on_line(7).alias("_7"))
+    head = head.withColumn("count", F.when(F.col("kind") == 11, F.col("_7")).otherwise(F.col("_4"))).drop("_4", "_7")
     rows = all_.where("line_no > 5").select("file", F.col("line_no").alias("row_seq"), F.transform(fields(F.col("line"), r"[\s,]+"), lambda x: number(x)).alias("f"))
     rows = rows.where("forall(f, v -> v IS NOT NULL)").join(head, "file")
     at = lambda i: F.get("f", F.lit(i))
-    general = rows.where("kind = 11 AND size(f) >= 10").select("file", "row_seq", "spacing", "n", *[at(i).alias(p) for p, i in (("ax", 1), ("bx", 3), ("mx", 5), ("nx", 7))], at(9).alias("rhoa"))
-    reach = at(1) * (at(2) + 2)
-    dipole = rows.where("kind = 3 AND size(f) >= 4").select("file", "row_seq", "spacing", "n", (at(0) - reach / 2 + at(1)).alias("ax"), (at(0) - reach / 2).alias("bx"), (at(0) + reach / 2 - at(1)).alias("mx"), (at(0) + reach / 2).alias("nx"), at(3).alias("rhoa"))
-    both = general.unionByName(dipole)
-    both = both.withColumn("_k", F.row_number().over(Window.partitionBy("file").orderBy("row_seq"))).where("_k <= n")
-    left = Window.partitionBy("file")
-    zero = F.min(F.least("ax", "bx", "mx", "nx")).over(left)
-    return both.select("file", "row_seq", *[F.rint((F.col(f"{p}x") - zero) / F.col("spacing")).cast("int").alias(p) for p in "abmn"], "spacing", "rhoa")
+    # A general row names its 2, 3 or 4 electrodes; of three the second current electrode is remote, of two also the second potential one.
+    used = at(0)
+    general = rows.where("kind = 11 AND f[0] IN (2, 3, 4) AND size(f) >= 2 * f[0] + 2")
+    x = {"ax": at(1), "bx": F.when(used == 4, at(3)), "mx": F.when(used == 4, at(5)).otherwise(at(3)), "nx": F.when(used == 4, at(7)).when(used == 3, at(5))}
+    general = general.select("file", "row_seq", "spacing", "count", *[v.alias(k) for k, v in x.items()], F.when(used == 4, at(9)).when(used == 3, at(7)).otherwise(at(5)).alias("rhoa"))
+    with_n = F.col("kind").isin(3, 6, 7)
+    plain = rows.where(F.col("kind").isin(*RES2DINV_KINDS[:-1]) & (F.size("f") >= F.when(with_n, 4).otherwise(3)))
+    plain = plain.withColumn("n", F.when(with_n, at(2)).otherwise(1.0)).withColumn("rhoa", F.when(with_n, at(3)).otherwise(at(2)))
+    lay = {kind: RES2DINV_LAYOUT[kind](F.col("n")) for kind in RES2DINV_KINDS[:-1]}
+    by_kind = lambda get: F.coalesce(*[F.when(F.col("kind") == k, get(v)) for k, v in lay.items()])
+    span = by_kind(lambda v: F.greatest(*[c for c in v if c is not None]))
+    zero = at(0) - F.when(F.col("middle") == 1, span * at(1) / 2).otherwise(0.0)
+    place = [(zero + by_kind(lambda v, i=i: F.lit(None).cast("double") if v[i] is None else v[i]) * at(1)).alias(f"{p}x") for i, p in enumerate("abmn")]
+    both = general.unionByName(plain.select("file", "row_seq", "spacing", "count", *place, "rhoa"))
+    both = both.withColumn("_k", F.row_number().over(Window.partitionBy("file").orderBy("row_seq"))).where("_k <= count")
+    first = F.min(F.least("ax", "bx", "mx", "nx")).over(Window.partitionBy("file"))
+    return both.select("file", "row_seq", *[F.rint((F.col(f"{p}x") - first) / F.col("spacing")).cast("int").alias(p) for p in "abmn"], "spacing", "rhoa")
 
 
 def res2dinv_lines(readings: DataFrame, title: str, spacing: float) -> DataFrame:
