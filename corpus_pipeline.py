@@ -1,8 +1,12 @@
 """The corpus pipeline: five stages over ``documents``, each one operator of ``sondage.llm`` on what the last one kept.
 
 Every stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns of ``documents``. Rows that repeat a doc_id stay or go together
-in the near-duplicate and the decontamination stage.
+one's ``docs``. All but the last return the columns of ``documents``; more columns, whatever their names, stay as they
+are. Null and empty texts have no evidence of quality and go in the first stage, or as too short in the second; texts
+of any length are read whole. Rows with a null doc_id are judged by their text, never removed as near copies or as
+contaminated. Rows that repeat a doc_id are judged each by its own text in the first two stages, and stay or go together
+in the near-duplicate and the decontamination stage. Of equal texts the smallest doc_id stays. Empty tables give empty
+results; without labels all documents have the same evidence.
 """
 
 from __future__ import annotations

@@ -35,16 +35,18 @@ def item_index(items: DataFrame, item_id: str, text_col: str, k: int, threshold:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """Rows (``id_col``, item_id, n_item, n_shared, containment): documents that hold ``threshold`` of an item or more.
 
-    Shingles are ``k`` lower-cased (A-Z) words; a shorter text is one shingle as a whole. Null and empty texts hold
-    nothing and are held by nothing; null ids never match. Rows of one id count as one document or item. An empty
-    table on either side gives an empty result.
+    Shingles are ``k`` lower-cased (A-Z) words; a shorter text is one shingle as a whole, and texts of any length are
+    read whole. Null and empty texts hold nothing and are held by nothing; null ids never match. Rows of one id count
+    as one document or item; items with equal texts each have their rows. Ids of any type stay; other columns aren't
+    read, whatever their names. An empty table on either side gives an empty result.
     """
     index = materialise(item_index(items, item_id, item_text, k, threshold), "decon-items")
-    sketch = small(materialise(index.where("in_sketch").groupBy("token").agg(F.collect_set("item_id").alias("items")), "decon-sketch"), MOST_TOKENS)
+    sketch = materialise(index.where("in_sketch").select("token", "item_id"), "decon-sketch")
+    marks = small(materialise(sketch.select("token").distinct(), "decon-marks"), MOST_TOKENS)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
 
-    met = texts.select("doc_id", F.explode(_tokens(F.col("text"), k)).alias("token")).join(sketch, "token")
-    found = materialise(met.select("doc_id", F.explode("items").alias("item_id")).distinct(), "decon-candidates")
+    met = texts.select("doc_id", F.explode(_tokens(F.col("text"), k)).alias("token")).join(marks, "token")
+    found = materialise(met.join(small(sketch, MOST_TOKENS), "token").select("doc_id", "item_id").distinct(), "decon-candidates")
 
     again = texts.join(small(found.select("doc_id").distinct()), "doc_id", "left_semi")
     tokens = again.select("doc_id", F.explode(_tokens(F.col("text"), k)).alias("token")).join(small(index.select("item_id", "token", "n_item"), MOST_TOKENS), "token")

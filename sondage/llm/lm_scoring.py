@@ -298,13 +298,15 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     """Per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words and one end; base_score sums log10((c + 1) / (N + 1 * (V + 1))), score is the log10
-    probability of the text under the byte model. Null and empty texts have the end token alone; a null id is never
-    held out. Without training texts N and V are 0 and the byte model is uniform. Rows that repeat an id each get a
-    row and count each in training. Other columns aren't read; an empty table gives an empty result.
+    probability of the text under the byte model. Null and empty texts have the end token alone, texts of any length
+    are scored whole; ids of any type stay, a null id is never held out. Without training texts N and V are 0 and the
+    byte model is uniform. Rows that repeat an id each get a row and count each in training. Other columns aren't read,
+    whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     narrow_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
     counts = materialise(corpus_counts(rows, order), "lm-counts")
     sums = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     n_docs = sums.get(2, (0, 0))[0]
@@ -359,7 +361,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
                     ["id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "missed"],
                 )
 
-    part = rows.mapInArrow(released(batches), "id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, missed array<struct<gram:long,k:long>>")
+    part = rows.mapInArrow(released(batches), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, missed array<struct<gram:long,k:long>>")
     part = materialise(part.withColumn("row", F.monotonically_increasing_id()), "lm-rows")  # written: the row numbers stay
     tail = part.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
     c = F.coalesce("c", F.lit(0))

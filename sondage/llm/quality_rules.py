@@ -1,7 +1,7 @@
 """Quality rules: surface rules on each text, and the frequency of its lines across the documents of its host.
 
 Lines are normalised (A-Z lowered, white space collapsed and trimmed) and hashed; for each host the distinct
-documents of a line are counted, where documents with the same text count once. Lines above the limit are removed
+documents of a line are counted, where exact copies are one document. Lines above the limit are removed
 and a document that loses most of its words is rejected. DataFrame functions only.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, fresh, let, lower_ascii, materialise, small, words_of
+from ._common import SPACE, discard, fresh, let, lower_ascii, materialise, small, words_of
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -67,23 +67,36 @@ def _lines(text: Column) -> Column:
     return F.transform(parts, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("words")))
 
 
-def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, h, n_docs): lines that more documents of a host have than the limit; texts that are equal count once."""
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
-    first = docs.groupBy(host.alias("host"), F.xxhash64(F.col(text_col)).alias("t")).agg(F.first(F.array_distinct(F.transform(_lines(F.col(text_col)), lambda x: x["h"]))).alias("hs"))
+def _host(host_col: str) -> Column:
+    """The host as a key: null is a host of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host")
+
+
+def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, document_col: str | None = None) -> DataFrame:
+    """(host, h, n_docs): lines that more documents of a host have than the limit.
+
+    Documents are told apart by their text: exact copies are one document, or else a text with a thousand copies would
+    count against its own lines and go with all of them. With ``document_col`` they are told apart by that column.
+    """
+    document = F.xxhash64(F.col(document_col or text_col))
+    first = docs.groupBy(_host(host_col), document.alias("t")).agg(F.first(F.array_distinct(F.transform(_lines(F.col(text_col)), lambda x: x["h"]))).alias("hs"))
     kept = materialise(first, "rules-lines")
     sizes = kept.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     counts = kept.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
-    return counts.join(sizes, "host").where(F.col("n_docs") > F.lit(min_share) * F.col("host_docs")).select("host", "h", "n_docs")
+    out = materialise(counts.join(sizes, "host").where(F.col("n_docs") > F.lit(min_share) * F.col("host_docs")).select("host", "h", "n_docs"), "rules-frequent")
+    discard(kept)
+    return out
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, **limits) -> DataFrame:
-    """(id, removed_words, removed array<bigint>) of the documents with a line above the limit."""
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
-    often = materialise(frequent_lines(docs, text_col, host_col, **limits), "rules-frequent")
-    lines = docs.select(F.col(id_col).alias("id"), host.alias("host"), F.explode(_lines(F.col(text_col))).alias("l")).select("id", "host", "l.h", "l.words")
+    """(id, t, removed_words, removed array<bigint>) of the texts (hash t) with a line above the limit; repeated rows are one."""
+    often = frequent_lines(docs, text_col, host_col, **limits)
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), _host(host_col), F.posexplode(_lines(F.col(text_col))).alias("at", "l")).select("id", "t", "host", "at", "l.h", "l.words")
     hits = lines.join(small(often.select("host", "h")), ["host", "h"])
-    return hits.groupBy("id").agg(F.sum("words").alias("removed_words"), F.collect_set("h").alias("removed"))
+    each = hits.groupBy("id", "t").agg(F.collect_set(F.struct("at", "words")).alias("w"), F.collect_set("h").alias("removed"))
+    out = materialise(each.select("id", "t", F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x["words"]).alias("removed_words"), "removed"), "rules-removed")
+    discard(often)
+    return out
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
@@ -91,12 +104,13 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
     base_failed: fewer than 50 words, or more than half of the words in repeated windows. kept is false if base_failed,
     else unless lines above the limit take more than 1 - MIN_LEFT_SHARE of the words or leave fewer than
-    MIN_LEFT_WORDS. A null or empty text has no words and fails. Null hosts are one host. Rows that repeat an id each
-    get a row (a line of theirs that is removed counts for the id). Empty tables give empty results.
+    MIN_LEFT_WORDS. A null or empty text has no words and fails; texts of any length are read whole. Null hosts are one
+    host. Rows that repeat an id each get a row and the verdict of their own text; a row with a null id loses no line.
+    Ids of any type stay; other columns aren't read, whatever their names. Empty tables give empty results.
     """
-    gone = materialise(removed_lines(docs, id_col, text_col, host_col, **limits), "rules-removed").select("id", "removed_words")
-    base = docs.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in base_columns(F.col(text_col)).items()])
-    out = base.join(gone, "id", "left").withColumn("removed_words", F.least(F.coalesce("removed_words", F.lit(0)), "n_words"))
+    gone = removed_lines(docs, id_col, text_col, host_col, **limits).select("id", "t", "removed_words")
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), *[c.alias(n) for n, c in base_columns(F.col(text_col)).items()])
+    out = base.join(gone, ["id", "t"], "left").withColumn("removed_words", F.least(F.coalesce("removed_words", F.lit(0)), "n_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     rich = (left >= MIN_LEFT_SHARE * F.col("n_words")) & (left >= MIN_LEFT_WORDS)
@@ -106,15 +120,15 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """``docs`` without rejected documents and without the removed lines; all columns as they were but the text.
 
-    Documents that lose no line are unchanged to the character. The verdict is that of ``verdicts``; a null id never
-    meets removed lines.
+    Documents that lose no line are unchanged to the character. The verdict is that of ``verdicts``, with the same
+    results for nulls, repeated rows, long texts and empty tables; columns of any name stay.
     """
-    k, r, w = (fresh(docs, x) for x in ("_id", "_removed", "_removed_words"))
-    gone = materialise(removed_lines(docs, id_col, text_col, host_col, **limits), "rules-removed").select(F.col("id").alias(k), F.col("removed_words").alias(w), F.col("removed").alias(r))
+    k, h, r, w = (fresh(docs, x) for x in ("_id", "_t", "_removed", "_removed_words"))
+    gone = removed_lines(docs, id_col, text_col, host_col, **limits).select(F.col("id").alias(k), F.col("t").alias(h), F.col("removed_words").alias(w), F.col("removed").alias(r))
     base = base_columns(F.col(text_col))
     n, rep = base["n_words"], base["n_repeat_words"]
     passed = docs.where((n >= 50) & (100 * rep <= 50 * n))
-    joined = passed.join(small(gone), F.col(id_col) == F.col(k), "left")
+    joined = passed.join(small(gone), (F.col(id_col) == F.col(k)) & (F.xxhash64(F.col(text_col)) == F.col(h)), "left")
     left = n - F.coalesce(F.col(w), F.lit(0))
     text = F.when(F.col(r).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains(F.col(r), F.xxhash64(normal_line(x)))), "\n"))
     return joined.where(F.col(r).isNull() | ((left >= MIN_LEFT_SHARE * n) & (left >= MIN_LEFT_WORDS))).select(*[(text.alias(c) if c == text_col else F.col(c)) for c in docs.columns])

@@ -2,8 +2,8 @@
 
 The protobuf is read field by field: pieces with scores and types, the normaliser (precompiled map, dummy prefix,
 white space rules), the model type and byte fallback. A unigram model keeps its scores; a BPE model's merges are the
-pairs of pieces that join to a piece, ranked by its score. Texts are encoded in multithreaded batches of bounded
-size; every text's ids are compared with sentencepiece's own and decoded again.
+pairs of pieces that join to a piece, ranked by its score. Texts are encoded in batches of bounded size with as many
+threads as a task has cores (spark.task.cpus); every text's ids are compared with sentencepiece's own and decoded again.
 """
 
 from __future__ import annotations
@@ -184,9 +184,10 @@ def default_model() -> str:
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
     """Per row of ``docs``: ``id_col``, tokens array<int>, n_tokens, parity (equal to sentencepiece's ids), round_trip.
 
-    round_trip: the decoded ids are sentencepiece's own normal form of the text, for this kind of model the text itself.
-    Null texts count as empty: no tokens. Rows that repeat an id each get a row; other columns aren't read. The model
-    file is read on the driver (its path is a parameter) and broadcast: its size doesn't depend on the data.
+    round_trip: the decoded ids are sentencepiece's own normal form of the text, for this kind of model the text itself;
+    they are joined from the table of pieces, which gives what ``decoded`` gives. Null texts count as empty: no tokens.
+    Texts of any length are encoded whole. Ids of any type stay; rows that repeat an id each get a row; other columns
+    aren't read, whatever their names; an empty table gives an empty result. The model file is read on the driver (its path is a parameter) and broadcast: its size doesn't depend on the data.
     """
     narrow_batches(docs.sparkSession)
     with open(model_path or default_model(), "rb") as f:
@@ -205,11 +206,12 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 ids = list(own.encode(texts))
                 same = [a == b for a, b in zip(ids, theirs.encode(texts, num_threads=1), strict=True)]
                 trip = [(a := own.joined(i)) == b or a == theirs.decode(i) for b, i in zip(texts, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same), pa.array(trip)], ["id", "tokens", "n_tokens", "parity", "round_trip"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same), pa.array(trip)], ["id", "tokens", "n_tokens", "parity", "round_trip"])
                 at = end
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(released(batches), "id long, tokens array<int>, n_tokens long, parity boolean, round_trip boolean")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    out = rows.mapInArrow(released(batches), f"id {kind}, tokens array<int>, n_tokens long, parity boolean, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 

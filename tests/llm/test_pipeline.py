@@ -24,3 +24,25 @@ def test_stages(spark, sf_dir):
     assert sorted(i for i, _ in text(seen[4])) == sorted(i for i, _ in text(seen[3]) if i not in bad)
     final = p.run(spark, sf_dir).collect()
     assert sorted(r["doc_id"] for r in final) == sorted(i for i, _ in text(seen[4])) and all(r["parity"] and r["round_trip"] for r in final)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    words = lambda a: " ".join(f"word{a + i}, and more" for i in range(40)) + "."
+    rows = [(1, words(0), "en", "h", 9), (1, words(0), "en", "h", 9), (2, words(0) + " end", "en", "h", 9), (None, words(500), "en", None, 9), (4, None, None, None, None), (5, "", "en", "h", 0), (6, " ".join(f"word{i}, and more" for i in range(10_000, 26_000)) + ".", "en", "h", 9), (7, words(3000), "en", "h", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    extra = docs.withColumns({c: F.lit(1) for c in ("evidence", "kept", "node", "token", "h", "_id", "rep")})
+    spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(3000, words(3000))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, extra, docs.limit(0)):
+        seen = table
+        for _, stage in p.STAGES[:-1]:
+            seen = stage(spark, seen, str(tmp_path))
+            assert seen.columns == table.columns
+        got = sorted((r["doc_id"] is not None, r["doc_id"]) for r in seen.collect())
+        out = p.STAGES[-1][1](spark, seen, str(tmp_path))
+        assert out.count() == len(got)
+        if table is not docs.limit(0) and got:
+            assert [i for _, i in got] == [None, 1, 1, 6]

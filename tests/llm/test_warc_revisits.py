@@ -51,3 +51,10 @@ def test_same_as_brute_force(spark):
         got = sorted(((x["record_id"], x["response_id"], x["outcome"], x["headers"], x["payload"]) for x in resolve(df, bucket, with_payload=True).collect()), key=lambda x: x[0])
         assert got == brute(rows)
     assert resolve(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_give_a_row_each(spark):
+    one = [("a", "ex.com/x", 1, "response", 200, {"ETag": "1"}, "p", "n"), ("b", "ex.com/x", 5, "revisit", 304, {"etag": "1"}, None, "n")]
+    df = spark.createDataFrame(one * 2 + [("b", "ex.com/y", 9, "revisit", 304, None, None, "n")], SCHEMA.replace("record_id long", "record_id string"))
+    got = sorted((r["url_key"], r["response_id"] or "", r["outcome"], r["payload"] or "") for r in resolve(df, with_payload=True).collect())
+    assert got == [("ex.com/x", "a", "etag", "p")] * 2 + [("ex.com/y", "", "no response", "")]
