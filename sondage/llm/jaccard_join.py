@@ -205,12 +205,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     in_bucket, of_size = Window.partitionBy("token"), Window.partitionBy("token", "n")
     rare = entries.where("pos < light").select("token", "node", "n", "pos").repartition("token")
     rare = rare.select("*", own.over(of_size).alias("own"), hub.over(in_bucket).alias("hub"), F.count(F.lit(1)).over(in_bucket).alias("c"), F.lit(True).alias("rare"))
-    often = entries.where("pos >= light").select("token", "node", "n", "pos")
+    many = materialise(entries.where("pos >= light").select("token", "node", "n", "pos"), "jaccard-heavy")
     # Copies cut in different ways have centres of their own: a second hub for each size of set in a bucket.
-    often = often.join(often.groupBy("token").agg(hub.alias("hub"), F.count(F.lit(1)).alias("c")), "token").join(often.groupBy("token", "n").agg(own.alias("own")), ["token", "n"])
+    hubs = materialise(many.groupBy("token").agg(hub.alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-hubs")
+    owns = materialise(many.groupBy("token", "n").agg(own.alias("own")), "jaccard-owns")
+    often = many.join(small(hubs), "token").join(small(owns), ["token", "n"])
     shared = rare.unionByName(often.withColumn("rare", F.lit(False))).where("c > 1")
     shared = materialise(shared.selectExpr("token", "node", "n", "pos", "rare", "hub.node AS hnode", "hub.n AS hn", "hub.pos AS hpos", "own.node AS onode", "own.pos AS opos"), "jaccard-buckets")
-    discard(by_head)
+    discard(by_head, many, hubs, owns)
 
     def near(n1, p1, n2, p2):
         """Length and positional filter: nothing before the first common token is common, and all of it differs."""
@@ -257,12 +259,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = shared.join(small(labels), "node", "left").select("token", "node", "n", "pos", "rare", F.coalesce("root", "node").alias("root"))
     rare = known.where("rare").repartition("token").withColumn("open", F.min("root").over(in_bucket) < F.max("root").over(in_bucket)).where("open").drop("open")
     often = known.where("NOT rare")
-    often = often.join(often.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"), "token", "left_semi")
-    open_ = materialise(rare.unionByName(often).drop("rare"), "jaccard-open")
+    mixed = materialise(often.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"), "jaccard-mixed")
+    open_ = materialise(rare.unionByName(often.join(small(mixed), "token", "left_semi")).drop("rare"), "jaccard-open")
     x, y = (open_.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("node", "n", "pos", "root")]) for i in (1, 2))
     cross = x.join(y, (x["token"] == y["token"]) & (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & near(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
     links = links.unionAll(linked(cross.selectExpr("node1 AS a", "node2 AS b").distinct()))
-    discard(shared, open_, labels)
+    discard(shared, open_, mixed, labels)
     labels = components(links, "jaccard-labels")
 
     # Only copies and linked classes have another id than their own.
