@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -239,3 +239,29 @@ def clipped(curve: DataFrame, f: str, v: str, frequency: tuple[float, float] | N
     """A dispersion curve within a band of frequencies and of wavelengths (velocity over frequency), ends included."""
     out = curve if frequency is None else curve.where(F.col(f).between(*frequency))
     return out if wavelength is None else out.where((F.col(v) / F.col(f)).between(*wavelength))
+
+
+PICKS = "shot string, channel int, time double, use boolean, quality double, edited boolean"
+
+
+def write_picks(picks: DataFrame, path: str) -> None:
+    """Every pick, used or not, as CSV with a header; columns that aren't there are written empty."""
+    names = [c.split(" ") for c in PICKS.split(", ")]
+    picks.select(*[(F.col(n) if n in picks.columns else F.lit(None)).cast(kind).alias(n) for n, kind in names]).write.csv(path, header=True)
+
+
+def read_picks(spark: SparkSession, path: str) -> DataFrame:
+    """Picks that ``write_picks`` or a person has written; shot, channel, time and use are needed, a pick without a time isn't used."""
+    raw = spark.read.csv(path, header=True)
+    lost = sorted({"shot", "channel", "time", "use"} - set(raw.columns))
+    if lost:
+        raise ValueError(f"{path} is missing column(s) {lost}")
+    names = [c.split(" ") for c in PICKS.split(", ")]
+    out = raw.select(*[(F.col(n) if n in raw.columns else F.lit(None)).try_cast(kind).alias(n) for n, kind in names])
+    return out.withColumns({"use": F.col("time").isNotNull() & F.coalesce("use", F.lit(False)), "quality": F.coalesce("quality", F.lit(0.0)), "edited": F.coalesce("edited", F.lit(True))})
+
+
+def traveltime_table(picks: DataFrame, points: DataFrame, source: str = "source_id", receiver: str = "receiver_id") -> DataFrame:
+    """``picks`` with source_x and receiver_x of the points (role, id, x); null where a point isn't known."""
+    at = lambda role, key: points.where(F.col("role") == role).select(F.col("id").alias(key), F.col("x").alias(f"{role}_x"))
+    return picks.join(at("source", source), source, "left").join(at("receiver", receiver), receiver, "left")

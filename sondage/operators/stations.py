@@ -160,3 +160,9 @@ def subtract_offsets(readings: DataFrame, offsets: DataFrame, channels: list[str
     one = offsets.agg(*[F.max(F.when(F.col("channel") == c, F.col("offset"))).alias(f"_{c}") for c in channels])  # one row
     less = lambda c: F.col(c) - F.when(F.col(f"_{c}").isNull(), F.raise_error(F.lit(f"no offset of channel {c}")).cast("double")).otherwise(F.col(f"_{c}"))
     return readings.crossJoin(F.broadcast(one)).withColumns({c: less(c) for c in channels}).drop(*[f"_{c}" for c in channels])
+
+
+def heights_from_altitude(readings: DataFrame, z: str, ground: Column, above: float = 0.0) -> DataFrame:
+    """``readings`` with the sensor's height: altitude less the ground's and the antenna's above the sensor; null below the ground."""
+    h = F.col(z) - ground - above
+    return readings.withColumn("height", F.when(h >= 0, h))

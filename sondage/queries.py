@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import passive, potential, records, resistivity, seismic, stations, survey, tomography
+from .operators import passive, potential, records, resistivity, seismic, stations, survey, tomography, towed
 from .plans import joins
 from .sources import binary, text
 
@@ -590,7 +590,10 @@ def grid_travel_times(spark, sf_dir):
     return tomography.first_times(tomography.links(nodes, 2.0, 3), sources).select("source", "node", F.round("time", 9).alias("time"))
 
 
-@query()
+@query(f"""WITH {TRACE}, m AS (SELECT vec_id, avg(v) AS mean FROM tr GROUP BY vec_id), x AS (SELECT vec_id, i, (v - mean) * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS x FROM tr JOIN m USING (vec_id)),
+s AS (SELECT vec_id % 4 AS node, vec_id // 4 AS w, k, sum(x * cos(2 * pi() * k * i / 64)) AS re, -sum(x * sin(2 * pi() * k * i / 64)) AS im FROM x, range(2, 26) q(k) GROUP BY vec_id, k),
+c AS (SELECT a.node AS i, b.node AS j, a.k, avg(a.re * b.re + a.im * b.im) AS r, avg(a.im * b.re - a.re * b.im) AS m, sqrt(avg(a.re ** 2 + a.im ** 2) * avg(b.re ** 2 + b.im ** 2)) AS p, count(*) AS windows FROM s a JOIN s b ON a.w = b.w AND a.k = b.k AND a.node < b.node GROUP BY a.node, b.node, a.k)
+SELECT i, j, round(k / 0.128, 6)::DOUBLE AS f, round(r / p, 6) AS re, round(m / p, 6) AS im, windows FROM c WHERE p > 0""")
 def window_coherency(spark, sf_dir):
     """Coherency of node pairs: vectors of one label are the windows of four nodes in turn."""
     e = table(spark, sf_dir, "embeddings").selectExpr("vec_id % 4 AS node", "vec_id div 4 AS w", "embedding")
@@ -754,3 +757,32 @@ def refraction_distances(spark, sf_dir):
     c = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "300D + s_suppkey AS v1", "900D + s_nationkey * 40 - CASE WHEN s_suppkey % 9 = 0 THEN 700 ELSE 0 END AS v2", "2D + s_suppkey % 7 AS h")
     v1, v2, h = F.col("v1"), F.col("v2"), F.col("h")
     return r6(c.select("s_suppkey", scalar.critical_distance(v1, v2, h).alias("critical"), scalar.crossover_distance(v1, v2, h).alias("crossover"), scalar.depth_from_intercept(v1, v2, F.lit(0.01)).alias("depth")), "critical", "crossover", "depth")
+
+
+@query("""WITH t AS (SELECT p_partkey % 3 AS file, p_partkey::DOUBLE AS t, p_size / 10.0 AS d FROM part), x AS (SELECT file, min(t) AS t0, max(t) AS t1 FROM t GROUP BY file),
+r AS (SELECT l_orderkey * 10 + l_linenumber AS record, l_orderkey % 3 AS file, t0 + (t1 - t0) * ((l_orderkey * 7 + l_linenumber) % 1000) / 1000.0 AS t, l_quantity - 5 AS r, l_tax AS c, l_linenumber % 2 AS lay FROM lineitem JOIN x ON x.file = l_orderkey % 3),
+g AS (SELECT *, round_even((t * 1.5 - 4.0) / 2.0, 0) AS z FROM r),
+p AS (SELECT *, z AS a, z - 1 AS b, z - 3 - lay AS m, z - 4 - lay AS n FROM g), f AS (SELECT file, min(n) AS first FROM p GROUP BY file),
+e AS (SELECT file, record, r, (m - first)::BIGINT AS a, (n - first)::BIGINT AS b, (a - first)::BIGINT AS m, (b - first)::BIGINT AS n FROM p JOIN f USING (file)),
+k AS (SELECT file, a, b, m, n, count(*) AS repeats, min(record) AS record, avg(ln(r)) AS lr, stddev_samp(ln(r)) AS scatter FROM e WHERE r > 0 GROUP BY file, a, b, m, n)
+SELECT file::VARCHAR AS file, a, b, m, n, repeats, record, round(scatter, 6) AS scatter, round(2 * pi() / (1 / (2.0 * abs(a - m)) - 1 / (2.0 * abs(b - m)) - 1 / (2.0 * abs(a - n)) + 1 / (2.0 * abs(b - n))) * exp(lr), 4) AS rhoa FROM k""")
+def towed_line(spark, sf_dir):
+    track = table(spark, sf_dir, "part").selectExpr("string(p_partkey % 3) AS file", "double(p_partkey) AS t", "p_partkey * 1.5D AS s", "p_size / 10D AS water_depth")
+    span = track.groupBy("file").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    l = table(spark, sf_dir, "lineitem").withColumn("file", (F.col("l_orderkey") % 3).cast("string")).join(span, "file")
+    r = l.selectExpr("file", "l_orderkey * 10 + l_linenumber AS record", "t0 + (t1 - t0) * ((l_orderkey * 7 + l_linenumber) % 1000) / 1000D AS t", "l_quantity - 5 AS r", "l_tax AS current_ma", "0D AS ax", "-2D AS bx", "-6D - l_linenumber % 2 * 2 AS mx", "-8D - l_linenumber % 2 * 2 AS nx")
+    out = towed.towed_line(r, track, 2.0, lead=4.0)
+    return r6(out.select("file", "a", "b", "m", "n", "repeats", "record", "scatter", F.round("rhoa", 4).alias("rhoa")), "scatter")
+
+
+@query(f"""WITH {EV} SELECT seq, CASE WHEN value - y * 0.5 - 1.2 >= 0 THEN round(value - y * 0.5 - 1.2, 6) END AS height FROM ev""")
+def height_above_ground(spark, sf_dir):
+    return r6(stations.heights_from_altitude(events(spark, sf_dir), "value", F.col("y") * 0.5, 1.2).select("seq", "height"), "height")
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity / 1000 AS time FROM lineitem), s AS (SELECT s_suppkey AS id, s_suppkey * 5.0 AS x FROM supplier WHERE s_suppkey % 11 <> 0), r AS (SELECT p_partkey AS id, p_partkey * 2.0 AS x FROM part)
+SELECT l_orderkey, l_linenumber, time, s.x::DOUBLE AS source_x, r.x::DOUBLE AS receiver_x FROM p LEFT JOIN s ON s.id = l_suppkey LEFT JOIN r ON r.id = l_partkey""")
+def traveltime_table(spark, sf_dir):
+    points = table(spark, sf_dir, "supplier").where("s_suppkey % 11 <> 0").selectExpr("'source' AS role", "s_suppkey AS id", "s_suppkey * 5D AS x").unionAll(table(spark, sf_dir, "part").selectExpr("'receiver' AS role", "p_partkey AS id", "p_partkey * 2D AS x"))
+    picks = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity / 1000 AS time")
+    return seismic.traveltime_table(picks, points, "l_suppkey", "l_partkey").select("l_orderkey", "l_linenumber", "time", "source_x", "receiver_x")
