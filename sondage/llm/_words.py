@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +41,21 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's, and that of the C library where it can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def released(make):
-    """A function of batches that gives the memory Arrow has freed back to the system when its task is done."""
+    """A function of batches that gives freed memory back to the system when its task is done: workers serve many tasks."""
 
     def run(batches):
         yield from make(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import discard, fresh, materialise, narrow_batches, small
+from ._words import give_back
 
 MOST_LABELS = 20_000
 #: Evidence is held off 0 and 1, so that a site can speak against a document.
@@ -90,12 +92,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def with_evidence(docs: DataFrame, model: dict[str, np.ndarray], text_col: str, name: str) -> DataFrame:
     @F.pandas_udf("double")
-    def probability(text: pd.Series) -> pd.Series:
-        if not len(text):
-            return pd.Series([], dtype=float)
-        x = np.array([features(t) for t in text])
-        p = 1 / (1 + np.exp(-np.clip((x - model["mean"]) / model["scale"] @ model["w"] + model["b"], -30, 30)))
-        return pd.Series(np.where(x[:, 0] > 0, CLIP, np.clip(p, CLIP, 1 - CLIP)))
+    def probability(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            x = np.array([features(t) for t in text]).reshape(len(text), len(model["mean"]))
+            p = 1 / (1 + np.exp(-np.clip((x - model["mean"]) / model["scale"] @ model["w"] + model["b"], -30, 30)))
+            yield pd.Series(np.where(x[:, 0] > 0, CLIP, np.clip(p, CLIP, 1 - CLIP)))
+        give_back()
 
     return docs.withColumn(name, probability(F.col(text_col)))
 
