@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these characters (SQL and Java pattern).
@@ -93,6 +93,20 @@ def word_shingles(words, k: int):
     return let(words, grams)
 
 
+def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with ``name``: 1, 2, 3 ... in the order, which should tell all rows apart.
+
+    Rows are dealt to ranges of the order and written; only rows of one range are ordered together, and what comes
+    before a range (a row per range) is added.
+    """
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranked")
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    start = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    numbered = dealt.withColumn(name, F.row_number().over(inside).cast("long")).join(F.broadcast(start), "_range")
+    return numbered.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges`` (a, b bigint): rows (node, root), root the smallest node.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_blocks, jaccard_join, license_scan, lm_scoring, quality_bayes, quality_rules, sp_tokens, warc_revisits
+from . import centroid_clustering, chat_format, decontamination, fingerprints, html_blocks, importance_resampling, jaccard_join, license_scan, lm_scoring, quality_bayes, quality_rules, sp_tokens, warc_revisits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_shared", F.round("containment", 9).alias("containment"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -169,5 +183,40 @@ SELECT record_id, key AS url_key, response_id, outcome, CASE WHEN outcome IN ('m
 FROM s
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_license_scan, op4_warc_revisits, op5_quality_classifier, op6_html_extraction, op7_sentencepiece, op8_jaccard_join, op9_lm_scoring, op10_decontamination)}
-ORACLE = {"op1_quality_rules": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_warc_revisits": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op10_decontamination": OP10_SQL}
+#: crc32 of UTF-8 bytes: the table of 256 remainders by its rule (reflected polynomial), then a step per byte.
+OP11_SQL = rf"""
+WITH tab AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT)) AS t),
+feat AS (SELECT doc_id AS id, true AS raw, unnest(regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM documents
+  UNION ALL SELECT item_id, false, unnest(regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+h AS (SELECT f, xor(list_reduce(range(strlen(f)::BIGINT), lambda c, i: xor(c >> 8, t[xor(c & 255, ('0x' || hex(encode(f))[2 * i + 1:2 * i + 2])::BIGINT) + 1]), 4294967295::BIGINT), 4294967295) % {importance_resampling.BUCKETS} AS b
+  FROM (SELECT DISTINCT f FROM feat), tab),
+fb AS (SELECT id, raw, b FROM feat JOIN h USING (f)),
+n AS (SELECT b, count(*) FILTER (WHERE raw)::DOUBLE AS s, count(*) FILTER (WHERE NOT raw)::DOUBLE AS t, sum(count(*) FILTER (WHERE raw)) OVER ()::DOUBLE AS big_s, sum(count(*) FILTER (WHERE NOT raw)) OVER ()::DOUBLE AS big_t FROM fb GROUP BY b),
+g AS (SELECT b, floor(1000 * ln(((t + 1) * (big_s + {importance_resampling.BUCKETS})) / ((s + 1) * (big_t + {importance_resampling.BUCKETS}))))::BIGINT AS gain FROM n),
+w AS (SELECT id, count(*) AS n_features, sum(gain) AS weight FROM fb JOIN g USING (b) WHERE raw GROUP BY id),
+x AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('{importance_resampling.SEED}:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN w ON id = doc_id),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, n_features >= {importance_resampling.LEAST_WORDS} AS able FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY able) AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= {importance_resampling.PERCENT} * n // 100 THEN r END AS rank FROM z
+"""
+
+
+def _op12_sql() -> str:
+    """A pair of CTEs per round: every distance, then the floor of every mean."""
+    cc = centroid_clustering
+    parts = [f"""kept AS (SELECT vec_id, list_transform(embedding, lambda v: floor({cc.SCALE} * v::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {cc.DIM} AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = {cc.DIM})""", f"""v AS (SELECT vec_id, unnest(x) AS x, unnest(range({cc.DIM})) AS i FROM kept)""", f"""c0 AS (SELECT j, unnest(x) AS x, unnest(range({cc.DIM})) AS i FROM (SELECT x, row_number() OVER (ORDER BY sha256('{cc.SEED}:' || vec_id)) - 1 AS j FROM kept QUALIFY j < {cc.CLUSTERS}))"""]
+    for r in range(cc.ROUNDS + 1):
+        parts.append(f"d{r} AS (SELECT vec_id, j, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{r} c USING (i) GROUP BY vec_id, j)")
+        parts.append(f"a{r} AS (SELECT vec_id, arg_min(j, (d, j)) AS j, min(d) AS d FROM d{r} GROUP BY vec_id)")
+        if r < cc.ROUNDS:
+            parts.append(f"m{r} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM v JOIN a{r} USING (vec_id) GROUP BY j, i)")
+            parts.append(f"c{r + 1} AS (SELECT c.j, c.i, coalesce(((m.s - ((m.s % m.n) + m.n) % m.n) // m.n)::BIGINT, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (j, i))")
+    last = cc.ROUNDS
+    return f"""WITH {", ".join(parts)},
+s AS (SELECT j, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{last} GROUP BY j)
+SELECT vec_id, j::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256 FROM a{last} JOIN s USING (j)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_license_scan, op4_warc_revisits, op5_quality_classifier, op6_html_extraction, op7_sentencepiece, op8_jaccard_join, op9_lm_scoring, op10_decontamination, op11_importance_resampling, op12_centroid_clustering, op13_document_fingerprints)}
+ORACLE = {"op1_quality_rules": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_warc_revisits": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op10_decontamination": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op12_centroid_clustering": _op12_sql()}
