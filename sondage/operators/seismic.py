@@ -201,7 +201,7 @@ def resample(curve: DataFrame, by: str, f: str, v: str, at: DataFrame) -> DataFr
 
 
 def spread(traces: DataFrame, spacing: float | None = None, source_offset: float | None = None, standoff: float = 0.0) -> DataFrame:
-    """Traces of shot records with resolved receiver_x, source_x, offset and geometry_from (headers, arguments or mixed).
+    """Traces of shot records (a source of a file each) with resolved receiver_x, source_x, offset and geometry_from (headers, arguments or mixed).
 
     Metres given here win over headers. Missing receivers lie between their neighbours in the record; the job fails for
     a record whose headers give no receiver or one place for all, no source, or several delays. ``standoff``: distance
@@ -209,15 +209,16 @@ def spread(traces: DataFrame, spacing: float | None = None, source_offset: float
     """
     from .records import filled
 
-    rows = traces.where("error IS NULL")
-    each = rows.groupBy("file").agg(F.count_distinct("receiver_x").alias("_places"), F.min_by("source_x", F.when(F.col("source_x").isNotNull(), F.col("trace"))).alias("_source"), F.count_distinct(F.coalesce("delay", F.lit(0.0))).alias("_delays"))
+    rows = traces.where("error IS NULL").withColumn("_record", F.struct("file", "source_id"))
+    rows = rows.withColumn("_first", F.min("trace").over(Window.partitionBy("_record")))
+    each = rows.groupBy("_record").agg(F.count_distinct("receiver_x").alias("_places"), F.min_by("source_x", F.when(F.col("source_x").isNotNull(), F.col("trace"))).alias("_source"), F.count_distinct(F.coalesce("delay", F.lit(0.0))).alias("_delays"))
     fail = lambda said: F.raise_error(F.concat(F.col("file"), F.lit(said)))
-    met = filled(rows, "file", "trace", "receiver_x").join(each, "file")
-    receiver = F.col("trace") * float(spacing) if spacing is not None else F.when((F.col("_places") < 2), fail(": receiver positions are empty or constant, pass spacing").cast("double")).otherwise(F.col("filled"))
+    met = filled(rows, "_record", "trace", "receiver_x").join(each, "_record")
+    receiver = (F.col("trace") - F.col("_first")) * float(spacing) if spacing is not None else F.when((F.col("_places") < 2), fail(": receiver positions are empty or constant, pass spacing").cast("double")).otherwise(F.col("filled"))
     source = F.lit(float(source_offset)) if source_offset is not None else F.when(F.col("_source").isNull(), fail(": no source position, pass source_offset").cast("double")).otherwise(F.col("_source"))
     origin = "headers" if spacing is None and source_offset is None else "arguments" if spacing is not None and source_offset is not None else "mixed"
     delay = F.when(F.col("_delays") > 1, fail(": several delays").cast("double")).otherwise(F.col("delay"))
-    out = met.withColumns({"receiver_x": receiver, "source_x": source, "delay": delay}).drop("filled", "_places", "_source", "_delays")
+    out = met.withColumns({"receiver_x": receiver, "source_x": source, "delay": delay}).drop("filled", "_record", "_first", "_places", "_source", "_delays")
     d = F.col("receiver_x") - F.col("source_x")
     return out.withColumn("offset", F.sqrt(d * d + float(standoff) ** 2)).withColumn("geometry_from", F.lit(origin))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalar import haversine
@@ -87,11 +87,12 @@ def instant(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(text, r"\s*UTC(?=[+-])", ""))
 
 
-def masked(rows: DataFrame, keep: Column, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows that ``keep`` (null drops them), and (by, kept, dropped) counts."""
+def masked(rows: DataFrame, keep: Column, counts: Observation | None = None) -> DataFrame:
+    """Rows that ``keep`` (null drops them); ``counts`` observes n_kept and n_dropped in the same pass."""
     flag = F.coalesce(keep, F.lit(False))
-    counts = rows.groupBy(*(by or [])).agg(F.count(F.when(flag, 1)).alias("kept"), F.count(F.when(~flag, 1)).alias("dropped"))
-    return rows.where(flag), counts
+    if counts is not None:
+        rows = rows.observe(counts, F.count(F.when(flag, 1)).alias("n_kept"), F.count(F.when(~flag, 1)).alias("n_dropped"))
+    return rows.where(flag)
 
 
 def all_null_columns(rows: DataFrame) -> list[str]:

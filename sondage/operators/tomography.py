@@ -3,25 +3,19 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ordered import quantiles
+from ..plans.scratch import shared_folder
 
 
 def _written(df: DataFrame) -> DataFrame:
     """Written in the folder that the cluster shares (spark.checkpoint.dir); a local folder on a local master only."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/times-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/times-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path

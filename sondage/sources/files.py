@@ -9,10 +9,11 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, text
+from . import binary, segy, text
 
 #: name -> (extensions, sniff(first bytes) -> bool, read(spark, path, **options)); ``register`` adds to it.
 READERS: dict[str, tuple[tuple[str, ...], Callable[[bytes], bool], Callable]] = {}
@@ -48,11 +49,11 @@ def _res2dinv(head: bytes) -> bool:
 
 register("seg2", (".dat", ".sg2", ".seg2"), lambda h: h[:2] in (b"\x55\x3a", b"\x3a\x55"), binary.read_seg2)
 register("atm", (".atm",), lambda h: h[:4] == b"Atom", binary.read_atm)
-register("segy", (".sgy", ".segy", ".su"), _segy, binary.read_segy)
+register("segy", (".sgy", ".segy", ".su"), _segy, segy.read_segy)
 register("cg5", (".txt", ".asc"), _line(r"^/.*CG-?5|^/.*stat.*grav"), text.read_cg5)
 register("magnetics_summary", (".csv", ".xlsx"), _line(r"(?=.*line)(?=.*station)(?=.*(mean|level).*nt)", 3), text.read_magnetics_summary)
-register("gem2", (".csv",), _line(r"[IQ]_\d+Hz", 3), lambda spark, path: text.read_gem2(spark, path, text.gem2_header(spark, path)))
-register("positions", (".csv",), _line(r"name.*(longitude.*latitude|easting.*northing)", 1), text.read_positions)
+register("gem2", (".csv",), _line(r"[IQ]_\d+Hz", 3), text.read_gem2)
+register("positions", (".csv",), _line(r"(?=.*\b(name|station|point|id)\b)(?=.*\b(lon|long|longitude|east|easting)\b)", 1), text.read_positions)
 register("stg", (".stg",), _line(r"^Advanced Geosciences|SuperSting|^Unit:\s*(meter|feet|foot)", 3), text.read_stg)
 register("res2dinv", (".dat",), _res2dinv, text.read_res2dinv)
 register("nmea", (".csv", ".log", ".nmea", ".txt"), _line(r"\$[A-Z]{2}(RMC|GGA|DPT),"), text.read_nmea)
@@ -80,29 +81,46 @@ def unzipped(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "path string, content binary")
 
 
+def _head(path: str) -> bytes:
+    """The first bytes of a file, read where it lies."""
+    fs, at = pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+    with fs.open_input_stream(at) as f:
+        return f.read(_HEAD)
+
+
 def identify(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
     """(path, readers): every reader that claims a file, those of its extension first; none is an empty list.
 
-    A sniff that fails on a file it wasn't made for doesn't claim it.
+    Of files only the first 4 KB are read, by tasks that open them (of a file system that only Spark reads, and of a
+    table of (path, content), the whole). A sniff that fails on a file it wasn't made for doesn't claim it.
     """
-    content = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     known = dict(READERS)
 
+    def one(n: str, h: bytes) -> list[str]:
+        out = []
+        for reader, (extensions, sniff, _) in sorted(known.items(), key=lambda x: not n.lower().endswith(x[1][0])):
+            try:
+                if sniff(bytes(h)):
+                    out.append(reader)
+            except Exception:  # noqa: BLE001, S112: a user's sniff may fail on any file
+                continue
+        return out
+
     @F.pandas_udf("array<string>")
     def claims(name: pd.Series, head: pd.Series) -> pd.Series:
-        def one(n: str, h: bytes) -> list[str]:
-            out = []
-            for reader, (extensions, sniff, _) in sorted(known.items(), key=lambda x: not n.lower().endswith(x[1][0])):
-                try:
-                    if sniff(bytes(h)):
-                        out.append(reader)
-                except Exception:  # noqa: BLE001, S112: a user's sniff may fail on any file
-                    continue
-            return out
-
         return pd.Series([one(n, h) for n, h in zip(name, head, strict=True)])
 
-    return content.where(~F.col("path").rlike(binary.JUNK)).select("path", claims("path", F.expr(f"substring(content, 1, {_HEAD})")).alias("readers"))
+    @F.pandas_udf("array<string>")
+    def opened(name: pd.Series) -> pd.Series:
+        return pd.Series([one(n, _head(n)) for n in name])
+
+    real = ~F.col("path").rlike(binary.JUNK)
+    if not isinstance(path, DataFrame):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        if all(re.match(r"^(/|file:|hdfs:|s3:|gs:)", p) for p in ([path] if isinstance(path, str) else path)):
+            return found.select("path").where(real).select("path", opened("path").alias("readers"))
+        path = found.select("path", "content")
+    return path.where(real).select("path", claims("path", F.expr(f"substring(content, 1, {_HEAD})")).alias("readers"))
 
 
 def read(spark: SparkSession, path: str | list[str], reader: str | None = None, **options) -> DataFrame:

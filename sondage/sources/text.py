@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import nmea_degrees, snake_label
+from ..operators.survey import instant
 
 FEET = 0.3048
+#: Share of a spacing that an electrode may lie off the grid.
+SNAP = 0.02
 #: Columns of a CG-5 dump without a header line.
 CG5_COLUMNS = ["line", "station", "alt", "grav", "sd", "tiltx", "tilty", "temp", "tide", "dur", "rej", "time", "dectimedate", "terrain", "date"]
 
@@ -52,22 +55,54 @@ def number(c: Column) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def _named(header: list[str], parts: Column, text: set[str]) -> list[Column]:
-    return [(F.get(parts, i) if n in text else number(F.get(parts, i))).alias(n) for i, n in enumerate(header)]
+#: Labels of magnetometer files, and the layouts of files without a header.
+G857_LABELS = {
+    "line": ("line", "l", "lineid", "line_id"),
+    "station": ("station", "stn", "sta", "station_id", "stationid", "point"),
+    "time": ("time", "timestamp", "clock"),
+    "date": ("date",),
+    "field": ("field", "total_field", "totalfield", "value_nt", "value", "nt", "mag", "magnetic_field", "reading", "tf"),
+    "quality": ("quality", "signal", "signal_strength", "sq", "qual"),
+}
+G857_LAYOUTS = {"manual": ["station", "time", "field"], "exported": ["line", "station", "time", "field", "quality"]}
+
+
+def _aliased(labels: Column, names: dict[str, tuple[str, ...]]) -> Column:
+    """Labels by the name that they stand for; unknown ones stay."""
+    known = F.create_map(*[F.lit(x) for name, said in names.items() for label in said for x in (label, name)])
+    return F.transform(labels, lambda x: F.coalesce(F.try_element_at(known, x), x))
 
 
-def read_g857(spark: SparkSession, path: str, min_quality: float | None = None) -> DataFrame:
-    """Magnetometer readings: file, row_seq, line, station, time, field, quality; of five or three columns.
+def read_g857(spark: SparkSession, path: str | DataFrame, min_quality: float | None = None, columns: list[str] | str | None = None, dropped: Observation | None = None) -> DataFrame:
+    """Magnetometer readings: file, row_seq, line, station, time, date, field, quality.
 
-    Comment lines and a header (a line whose field isn't a number) are left out. Readings below ``min_quality`` go;
-    without a quality they stay.
+    Columns are those of ``columns`` (names or a layout, "manual" or "exported"), else those that the file's header
+    labels (a comment line may be one) if there are as many as in its rows, else three or five as usual; any other file
+    fails the job. A file may differ from the next. Lines that aren't readings and readings without a field are left out.
+    Readings below ``min_quality`` go; without a quality they stay. ``dropped`` observes n_kept and n_dropped in the pass.
     """
-    rows = lines(spark, path).where(~F.col("line").rlike(r"^\s*([#/;*]|$)")).select("file", F.col("line_no").alias("row_seq"), fields(F.col("line"), r"[\s,]+").alias("f"))
-    wide = F.size("f") >= 5
-    pick = lambda i, j: F.when(wide, F.get("f", F.lit(i))).otherwise(F.get("f", F.lit(j)))
-    out = rows.select("file", "row_seq", F.when(wide, F.get("f", F.lit(0))).alias("line"), pick(1, 0).alias("station"), pick(2, 1).alias("time"), number(pick(3, 2)).alias("field"), F.when(wide, number(F.get("f", F.lit(4)))).alias("quality"))
-    out = out.where("field IS NOT NULL")
-    return out if min_quality is None else out.where(F.col("quality").isNull() | (F.col("quality") >= min_quality))
+    if isinstance(columns, str) and columns not in G857_LAYOUTS:
+        raise ValueError(f"no layout {columns!r}; layouts: {', '.join(sorted(G857_LAYOUTS))}")
+    bare = F.regexp_replace("line", r"^[\s#/;*]+", "")
+    all_ = lines(spark, path).where("trim(line) <> ''").select("file", F.col("line_no").alias("row_seq"), F.col("line").rlike(r"^\s*[#/;*]").alias("comment"), fields(bare, r"[\s,]+").alias("f"))
+    reading = F.exists(F.slice("f", 1, 3), lambda x: x.try_cast("double").isNotNull() | x.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$")) & (F.size("f") >= 2)
+    rows = all_.where(~F.col("comment") & reading).select("file", "row_seq", "f")
+    plain = lambda x: F.regexp_replace(F.substring_index(F.regexp_replace(F.lower(x), r"\(.*?\)", ""), "/", 1), r"[^a-z0-9_]", "")
+    labels = all_.where(~reading).select("file", "row_seq", _aliased(F.transform("f", plain), G857_LABELS).alias("labels"))
+    heads = labels.where(F.array_contains("labels", "field") & (F.array_contains("labels", "station") | F.array_contains("labels", "time"))).groupBy("file").agg(F.min_by("labels", "row_seq").alias("labels"))
+    width = F.col("width")
+    names = lambda n: F.array(*[F.lit(c) for c in n])
+    if columns is not None:
+        header = names(G857_LAYOUTS[columns] if isinstance(columns, str) else columns)
+    else:
+        unknown = F.raise_error(F.concat("file", F.lit(": no header for "), width.cast("string"), F.lit(" columns, pass columns"))).cast("array<string>")
+        header = F.when(F.size("labels") == width, F.col("labels")).when(width == 3, names(G857_LAYOUTS["manual"])).when(width == 5, names(G857_LAYOUTS["exported"])).otherwise(unknown)
+    heads = rows.groupBy("file").agg(F.max(F.size("f")).alias("width")).join(heads, "file", "left").select("file", header.alias("header"))
+    out = _by_header(rows, heads, list(G857_LABELS), {"line", "station", "time", "date"}).where("field IS NOT NULL")
+    fine = F.lit(True) if min_quality is None else F.col("quality").isNull() | (F.col("quality") >= min_quality)
+    if dropped is not None:
+        out = out.observe(dropped, F.count(F.when(fine, 1)).alias("n_kept"), F.count(F.when(~fine, 1)).alias("n_dropped"))
+    return out.where(fine)
 
 
 def _cg5_header(line: Column) -> Column:
@@ -113,54 +148,97 @@ def read_magnetics_summary(spark: SparkSession, path: str, sep: str = ",") -> Da
     return out.withColumn("station_id", F.concat_ws("-", whole("line"), whole("station"))).withColumn("distance", F.col("dist_from_s_ft") * FEET).withColumn("occupation", F.row_number().over(seen))
 
 
-def read_gem2(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
-    """EM track samples: a facts line, a header line, then numbers. ``header``: its columns, as ``gem2_header`` gives them."""
-    rows = lines(spark, path).where("line_no > 2 AND trim(line) <> ''").select("file", F.col("line_no").alias("row_seq"), F.split("line", ",").alias("f"))
-    return rows.select("file", "row_seq", *_named(header, F.col("f"), set()))
+def _gem2_heads(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(file, head_line, header): the first of a file's top 20 lines that labels a channel; units are dropped."""
+    channel = lambda c: F.regexp_extract(F.trim(c), r"^([IQ]_\d+)Hz", 1)
+    top = lines(spark, path).where("line_no <= 20").withColumn("c", F.split("line", ","))
+    label = lambda c: F.when(channel(c) != "", channel(c)).otherwise(snake_label(F.trim(c)))
+    return top.where(F.exists("c", lambda c: channel(c) != "")).groupBy("file").agg(F.min("line_no").alias("head_line"), F.transform(F.min_by("c", "line_no"), label).alias("header"))
 
 
-def gem2_header(spark: SparkSession, path: str) -> list[str]:
-    """Columns of the second line: channels as I_5310 and Q_5310, others in snake case, units dropped."""
-    label = lines(spark, path).where("line_no = 2").select("line").first()[0]
-    one = spark.range(1).select(F.split(F.lit(label), ",").alias("c"))
-    channel = lambda c: F.regexp_extract(F.trim(c), r"^([IQ]_\d+)Hz", 1)
-    return one.select(F.transform("c", lambda c: F.when(channel(c) != "", channel(c)).otherwise(snake_label(F.trim(c)))).alias("c")).first()[0]
+def gem2_header(spark: SparkSession, path: str | DataFrame) -> list[str]:
+    """Columns of all files: channels as I_5310 and Q_5310, others in snake case, in order of their first place."""
+    each = _gem2_heads(spark, path).select("file", F.posexplode("header").alias("p", "c"))
+    return [r["c"] for r in each.groupBy("c").agg(F.min(F.struct("p", "file")).alias("at")).orderBy("at", "c").select("c").collect()]  # a row per label
+
+
+def read_gem2(spark: SparkSession, path: str | DataFrame, header: list[str] | None = None) -> DataFrame:
+    """EM track samples: file, row_seq and the columns ``header`` (those of all files), each file by its own labels.
+
+    A column that a file doesn't have is null there. Files without a line of channel labels have no rows.
+    """
+    names = gem2_header(spark, path) if header is None else header
+    met = lines(spark, path).where("trim(line) <> ''").join(_gem2_heads(spark, path), "file").where("line_no > head_line")
+    at = lambda n: F.get("f", F.array_position("header", F.lit(n)).cast("int") - 1)
+    rows = met.select("file", F.col("line_no").alias("row_seq"), "header", F.split("line", ",").alias("f"))
+    return rows.select("file", "row_seq", *[number(at(n)).alias(n) for n in names])
+
+
+#: Labels of GNSS exports.
+POSITION_LABELS = {
+    "name": ("name", "station", "point", "id", "point_id", "station_id", "pointname"),
+    "longitude": ("longitude", "lon", "long"),
+    "latitude": ("latitude", "lat"),
+    "height": ("ellipsoidal_height", "height", "ellipsoid_height", "hae", "h_ell"),
+    "easting": ("easting", "east"),
+    "northing": ("northing", "north"),
+    "elevation": ("elevation", "ortho_height", "orthometric_height", "msl"),
+    "status": ("solution_status", "status", "quality", "fix_type", "solution"),
+    "antenna_height": ("antenna_height", "ant_height"),
+    "start": ("averaging_start", "start_time", "start"),
+    "end": ("averaging_end", "end_time", "end"),
+}
+_MOST_FIELDS = 64
 
 
-def read_positions(spark: SparkSession, path: str, heights_are: str, antenna_height: float | None = None, on_duplicate: str = "error") -> DataFrame:
-    """GNSS occupations: row_seq, name, longitude, latitude, height (at the mark), status, start_s and end_s (UTC seconds).
+def read_positions(spark: SparkSession, path: str | DataFrame, heights_are: str, antenna_height: float | None = None, on_duplicate: str = "error") -> DataFrame:
+    """GNSS occupations: file, row_seq, name, longitude, latitude, easting, northing, height (at the mark), elevation, status, start_s, end_s (UTC).
 
-    ``heights_are`` is "antenna" (the antenna height is taken off) or "ground". ``on_duplicate``: "error" raises,
-    "first" keeps the first row of a name, "keep" keeps all.
+    Columns are found by each file's own labels, whatever their spelling and order; a file without names, or without
+    longitude and latitude or easting and northing, fails the job. ``heights_are`` is "antenna" (the antenna height,
+    given here or in the file, is taken off both heights; the job fails without one) or "ground". ``on_duplicate``:
+    "error" raises, "first" keeps the first row of a name, "keep" keeps all. Quoted fields may hold commas, not line feeds.
     """
     if heights_are not in ("antenna", "ground"):
         raise ValueError("heights_are must be 'antenna' or 'ground'")
-    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"')
-    raw = raw.toDF(*[_label(c) for c in raw.columns]).withColumn("row_seq", F.monotonically_increasing_id())
-    stamp = lambda c: F.unix_millis(F.try_to_timestamp(F.regexp_replace(c, r"\s*UTC(?=[+-])", ""))) / 1000
-    has = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
-    drop = F.lit(0.0) if heights_are == "ground" else F.coalesce(F.lit(antenna_height).cast("double"), number(has("antenna_height")))
-    out = raw.select("row_seq", F.trim("name").alias("name"), number(F.col("longitude")).alias("longitude"), number(F.col("latitude")).alias("latitude"), (number(F.col("ellipsoidal_height")) - drop).alias("height"), has("solution_status").alias("status"), stamp(has("averaging_start")).alias("start_s"), stamp(has("averaging_end")).alias("end_s"))
-    k = F.row_number().over(Window.partitionBy("name").orderBy("row_seq"))
+    if on_duplicate not in ("error", "first", "keep"):
+        raise ValueError("on_duplicate must be 'error', 'first' or 'keep'")
+    cells = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(_MOST_FIELDS))), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    parsed = lines(spark, path).where("trim(line) <> ''").select("file", F.col("line_no").alias("row_seq"), cells.alias("c"))
+    parsed = parsed.select("file", "row_seq", F.array(*[F.col("c")[f"c{i}"] for i in range(_MOST_FIELDS)]).alias("f"))
+    label = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(x), r"\([^)]*\)", ""), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    heads = parsed.groupBy("file").agg(F.min("row_seq").alias("head_line"), _aliased(F.transform(F.array_compact(F.min_by("f", "row_seq")), label), POSITION_LABELS).alias("header"))
+    has = lambda *n: F.forall(F.array(*[F.lit(x) for x in n]), lambda x: F.array_contains("header", x))
+    usable = has("name") & (has("longitude", "latitude") | has("easting", "northing"))
+    tall = F.lit(True) if heights_are == "ground" or antenna_height is not None else has("antenna_height")
+    fail = lambda said: F.raise_error(F.concat("file", F.lit(said))).cast("array<string>")
+    heads = heads.withColumn("header", F.when(~usable, fail(": no names, or no longitude and latitude or easting and northing")).when(~tall, fail(": no antenna height, pass antenna_height")).otherwise(F.col("header")))
+    rows = parsed.join(heads.select("file", F.col("head_line").alias("_h")), "file").where("row_seq > _h").drop("_h")
+    out = _by_header(rows, heads.drop("head_line"), list(POSITION_LABELS), {"name", "status", "start", "end"})
+    drop = F.lit(0.0) if heights_are == "ground" else F.coalesce(F.lit(antenna_height).cast("double"), F.col("antenna_height"))
+    stamp = lambda c: F.unix_millis(instant(F.col(c))) / 1000
+    out = out.select("file", "row_seq", F.trim("name").alias("name"), "longitude", "latitude", "easting", "northing", (F.col("height") - drop).alias("height"), (F.col("elevation") - drop).alias("elevation"), F.trim("status").alias("status"), stamp("start").alias("start_s"), stamp("end").alias("end_s"))
     if on_duplicate == "first":
-        return out.withColumn("_k", k).where("_k = 1").drop("_k")
+        return out.withColumn("_k", F.row_number().over(Window.partitionBy("name").orderBy("file", "row_seq"))).where("_k = 1").drop("_k")
     if on_duplicate == "error":
         again = [r[0] for r in out.groupBy("name").count().where("count > 1").select("name").orderBy("name").limit(20).collect()]
         if again:
-            raise ValueError(f"names occur more than once: {', '.join(again)}")
+            raise ValueError(f"names occur more than once: {', '.join(map(str, again))}")
     return out
 
 
-def _label(name: str) -> str:
-    import re
-
-    return re.sub(r"[^a-z0-9]+", "_", re.sub(r"\([^)]*\)", "", name.lower())).strip("_")
-
-
 def read_stg(spark: SparkSession, path: str) -> DataFrame:
-    """SuperSting records: record, time, resistance, error, current_ma, rhoa_file, positions ax .. nz in metres, channel."""
+    """SuperSting records: record, time, resistance, error, current_ma, rhoa_file, positions ax .. nz in metres, channel.
+
+    The job fails for a file with another number of records than its second line says, if it says one.
+    """
     all_ = lines(spark, path)
-    unit = all_.where("line_no = 3").select("file", F.when(F.lower(F.trim(F.substring_index("line", ":", -1))).startswith("f"), FEET).otherwise(1.0).alias("to_m"))
+    said = F.regexp_extract(F.max(F.when(F.col("line_no") == 2, F.col("line"))), r"(?i)records:\s*(\d+)", 1).try_cast("int")
+    there = F.count(F.when((F.col("line_no") > 3) & (F.trim("line") != ""), 1))
+    feet = F.lower(F.trim(F.substring_index(F.max(F.when(F.col("line_no") == 3, F.col("line"))), ":", -1))).startswith("f")
+    unit = all_.groupBy("file").agg(said.alias("said"), there.alias("there"), F.when(feet, FEET).otherwise(1.0).alias("to_m"))
+    wrong = F.raise_error(F.concat("file", F.lit(": "), F.col("there").cast("string"), F.lit(" records, its header says "), F.col("said").cast("string"))).cast("double")
+    unit = unit.select("file", F.when(F.col("said") != F.col("there"), wrong).otherwise(F.col("to_m")).alias("to_m"))
     rows = all_.where("line_no > 3 AND trim(line) <> ''").select("file", F.col("line_no").alias("row_seq"), F.split("line", ",").alias("f"))
     at = lambda i: F.get("f", F.lit(i))
     xyz = [(number(at(9 + i)) * F.col("to_m")).alias(p + q) for i, (p, q) in enumerate((p, q) for p in "abmn" for q in "xyz")]
@@ -170,11 +248,18 @@ def read_stg(spark: SparkSession, path: str) -> DataFrame:
 def stg_readings(records: DataFrame) -> DataFrame:
     """Quadrupoles of straight lines: file, record, a, b, m, n as electrode indices, spacing and resistance.
 
-    The spacing is the least gap between distinct positions of a file.
+    The spacing is the least gap between distinct positions of a file. The job fails for an electrode beside the line
+    (y other than 0), before its start, or farther off the grid than ``SNAP`` of a spacing.
     """
     xs = records.select("file", F.explode(F.array("ax", "bx", "mx", "nx")).alias("x")).select("file", F.round("x", 6).alias("x")).distinct()
     gap = xs.withColumn("g", F.col("x") - F.lag("x").over(Window.partitionBy("file").orderBy("x"))).groupBy("file").agg(F.round(F.min("g"), 6).alias("spacing"))
-    on = lambda p: F.rint(F.col(f"{p}x") / F.col("spacing")).cast("int").alias(p)
+    fail = lambda said: F.raise_error(F.concat("file", F.lit(": record "), F.col("record").cast("string"), F.lit(said))).cast("int")
+
+    def on(p: str) -> Column:
+        grid = F.col(f"{p}x") / F.col("spacing")
+        off = F.abs(grid - F.rint(grid)) > SNAP
+        return F.when(F.col(f"{p}y") != 0, fail(" has an electrode beside the line")).when(off, fail(" has an electrode off the grid")).when(F.rint(grid) < 0, fail(" has an electrode before the start")).otherwise(F.rint(grid).cast("int")).alias(p)
+
     return records.join(gap, "file").select("file", "record", *[on(p) for p in "abmn"], "spacing", "resistance")
 
 
@@ -211,12 +296,22 @@ def read_res2dinv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def res2dinv_lines(readings: DataFrame, title: str, spacing: float) -> DataFrame:
-    """(pos, line) of a general RES2DINV file of readings (a, b, m, n, rhoa), to be written in order as one file."""
-    n = readings.count()
-    top = readings.sparkSession.createDataFrame(list(enumerate([title, f"{spacing:.5f}", "11", "0", "Type of measurement (0=app. resistivity,1=resistance)", "0", str(n), "1", "0"])), "pos long, line string")
+    """(pos, line) of a general RES2DINV file of readings (a, b, m, n, rhoa), to be written in order of ``pos`` as one file.
+
+    Readings follow by a, b, m, n; remote electrodes leave their place out. Ranges of a are numbered side by side.
+    """
+    order = ["a", "b", "m", "n", "rhoa"]
+    starts = readings.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))  # a row per electrode
+    before = Window.partitionBy(F.lit(0)).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("a", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    top = [F.lit(x) for x in (title, f"{spacing:.5f}", "11", "0", "Type of measurement (0=app. resistivity,1=resistance)", "0")]
+    head = starts.groupBy().agg(F.coalesce(F.max("_all"), F.lit(0)).cast("string").alias("n")).select(F.posexplode(F.array(*top, F.col("n"), F.lit("1"), F.lit("0"))).alias("pos", "line"))
     x = lambda c: F.format_string("%.5f 0.0", F.col(c) * F.lit(spacing))
-    body = readings.select((F.row_number().over(Window.orderBy("a", "b", "m", "n")) + 100).cast("long").alias("pos"), F.concat_ws(" ", F.lit("4"), *[x(c) for c in "abmn"], F.format_string("%.5f", F.col("rhoa"))).alias("line"))
-    return top.unionAll(body)
+    used = [F.when(F.col(c).isNotNull(), x(c)) for c in "abmn"]
+    count = sum((F.col(c).isNotNull().cast("int") for c in "abmn"), F.lit(0)).cast("string")
+    numbered = readings.join(starts, "a").withColumn("_k", F.row_number().over(Window.partitionBy("a").orderBy(*order[1:])) + F.col("_before"))
+    body = numbered.select((F.col("_k") + 100).cast("long").alias("pos"), F.concat_ws(" ", count, *used, F.format_string("%.5f", F.col("rhoa"))).alias("line"))
+    return head.select(F.col("pos").cast("long").alias("pos"), "line").unionAll(body)
 
 
 def read_nmea(spark: SparkSession, path: str) -> DataFrame:
