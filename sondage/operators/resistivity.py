@@ -11,9 +11,18 @@ from .stations import median
 
 def dipole_dipole(spark: SparkSession, electrodes: int, n_max: int = 8, a_max: int = 1) -> DataFrame:
     """(a, b, m, n) of every dipole-dipole reading of a line; indices from 0."""
-    rows = spark.range(electrodes).select(F.col("id").cast("int").alias("s")).select("s", F.explode(F.sequence(F.lit(1), F.lit(a_max))).alias("d")).select("s", "d", F.explode(F.sequence(F.lit(1), F.lit(n_max))).alias("k"))
-    a, b, m, n = F.col("s") + F.col("d"), F.col("s"), F.col("s") + F.col("d") + F.col("k") * F.col("d"), F.col("s") + 2 * F.col("d") + F.col("k") * F.col("d")
-    return rows.select(a.alias("a"), b.alias("b"), m.alias("m"), n.alias("n")).where(F.col("n") < electrodes)
+    one = spark.range(1).select(F.lit(electrodes).alias("e"), F.lit(n_max).alias("k"), F.lit(a_max).alias("d"))
+    return dipole_dipole_lines(one, "e", "k", "d", []).select(*"abmn")
+
+
+def dipole_dipole_lines(lines: DataFrame, electrodes: str, n_max: str, a_max: str, by: list[str]) -> DataFrame:
+    """(by, a, b, m, n) of every dipole-dipole reading of each line, whose size and reach are columns."""
+    upto = lambda least, most: F.filter(F.sequence(F.lit(0), F.greatest(most, F.lit(0))), lambda i: (i >= least) & (i <= most))
+    whole = lambda c: F.col(c).cast("int")
+    rows = lines.select(*by, whole(electrodes).alias("_e"), whole(n_max).alias("_n"), F.explode(upto(1, whole(a_max))).alias("_d"))
+    rows = rows.select(*by, "_e", "_d", F.explode(upto(1, F.col("_n"))).alias("_k"))
+    rows = rows.select(*by, "_d", "_k", F.explode(upto(0, F.col("_e") - 1 - F.col("_d") * (F.col("_k") + 2))).alias("b"))
+    return rows.select(*by, (F.col("b") + F.col("_d")).alias("a"), "b", (F.col("b") + F.col("_d") * (F.col("_k") + 1)).alias("m"), (F.col("b") + F.col("_d") * (F.col("_k") + 2)).alias("n"))
 
 
 def wenner(spark: SparkSession, electrodes: int, a_max: int) -> DataFrame:
@@ -36,21 +45,26 @@ def configurations(readings: DataFrame) -> DataFrame:
     return readings.withColumn("start", start).withColumn("offsets", F.array(*[F.col(c) - start for c in "abmn"]))
 
 
-def coverage(readings: DataFrame, electrodes: int) -> DataFrame:
-    """Per configuration: distinct positions measured, possible and missing."""
-    c = configurations(readings).withColumn("code", F.array_join(F.transform("offsets", lambda o: o.cast("string")), "-", "R"))
-    out = c.groupBy("code", F.array_max("offsets").alias("reach")).agg(F.count_distinct("start").alias("measured"))
-    possible = F.greatest(F.lit(electrodes) - F.col("reach"), F.lit(0)).cast("long")
-    return out.select("code", "measured", possible.alias("possible"), (possible - F.col("measured")).alias("missing"))
+def _coded(readings: DataFrame) -> DataFrame:
+    return configurations(readings).withColumn("code", F.array_join(F.transform("offsets", lambda o: o.cast("string")), "-", "R"))
 
 
-def missing(readings: DataFrame, electrodes: int) -> DataFrame:
-    """The readings that the configurations in use could have and don't, as (a, b, m, n)."""
-    c = configurations(readings)
-    seen = c.select("offsets", "start").distinct()
-    every = c.select("offsets").distinct().where(F.array_max("offsets") < electrodes).select("offsets", F.explode(F.sequence(F.lit(0), F.lit(electrodes - 1) - F.array_max("offsets"))).alias("start"))
-    gone = every.join(seen, ["offsets", "start"], "left_anti")
-    return gone.select(*[(F.col("start") + F.col("offsets")[i]).alias(c) for i, c in enumerate("abmn")])
+def coverage(readings: DataFrame, electrodes: int, by: list[str] | None = None) -> DataFrame:
+    """Per line (``by``) and configuration: distinct positions measured, possible and missing."""
+    out = _coded(readings).groupBy(*(by or []), "code", F.array_max("offsets").alias("reach")).agg(F.count_distinct("start").alias("measured"))
+    possible = F.greatest(F.lit(electrodes) - F.col("reach"), F.lit(0)).cast("long")
+    return out.select(*(by or []), "code", "measured", possible.alias("possible"), (possible - F.col("measured")).alias("missing"))
+
+
+def missing(readings: DataFrame, electrodes: int, by: list[str] | None = None) -> DataFrame:
+    """The readings that the configurations in use on a line could have there and don't: by, a, b, m, n, null if remote."""
+    c, keys = _coded(readings), [*(by or []), "code"]
+    seen = c.select(*keys, "start").distinct()
+    kind = c.schema["start"].dataType
+    used = c.select(*keys, "offsets").distinct().where(F.array_max("offsets") < electrodes)
+    every = used.select(*keys, "offsets", F.explode(F.sequence(F.lit(0).cast(kind), (F.lit(electrodes - 1) - F.array_max("offsets")).cast(kind))).alias("start"))
+    gone = every.join(seen, [*keys, "start"], "left_anti")
+    return gone.select(*(by or []), *[(F.col("start") + F.col("offsets")[i]).alias(p) for i, p in enumerate("abmn")])
 
 
 def trim(readings: DataFrame, first: int, count: int) -> DataFrame:

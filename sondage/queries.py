@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from .functions import scalar
 from .operators import passive, potential, records, resistivity, seismic, stations, survey, tomography, towed
 from .plans import joins
-from .sources import binary, text
+from .plans.scratch import shared_folder
+from .sources import binary, segy, text
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -280,69 +282,67 @@ def flag_noisy(spark, sf_dir):
     return stations.flag_noisy(stations.station_means(events(spark, sf_dir), "station", "value"), "std", 30.0).select("station", "noisy")
 
 
-SCHEME = "sc AS (SELECT s + d AS a, s AS b, s + d + k * d AS m, s + 2 * d + k * d AS n FROM range(40) x(s), range(1, 4) y(d), range(1, 7) z(k) WHERE s + 2 * d + k * d < 40)"
-PARTIAL = "pa AS (SELECT a, CASE WHEN (a + n) % 13 = 0 THEN NULL ELSE b END AS b, m, n FROM sc WHERE (3 * a + 5 * n + m) % 7 <> 0)"
+READING = """rd AS (SELECT l_orderkey * 10 + l_linenumber AS reading, l_suppkey AS line, s + d AS a, CASE WHEN l_quantity % 13 = 0 THEN NULL ELSE s END AS b, s + d + k * d AS m, s + 2 * d + k * d AS n
+FROM (SELECT *, l_partkey % 40 AS s, l_linenumber % 3 + 1 AS d, l_orderkey % 6 + 1 AS k FROM lineitem))"""
+ELECTRODES = 64
 
 
-def scheme(spark) -> DataFrame:
-    return resistivity.dipole_dipole(spark, 40, 6, 3)
-
-
-def partial_scheme(spark) -> DataFrame:
-    """The scheme without some readings, some with a remote electrode."""
-    return scheme(spark).where("(3 * a + 5 * n + m) % 7 <> 0").withColumn("b", F.when((F.col("a") + F.col("n")) % 13 != 0, F.col("b")))
+def readings(spark, sf_dir) -> DataFrame:
+    """A dipole-dipole reading of each line item, on a line per supplier; some with a remote electrode."""
+    l = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS reading", "l_suppkey AS line", "l_quantity", "l_partkey % 40 AS s", "bigint(l_linenumber % 3 + 1) AS d", "l_orderkey % 6 + 1 AS k")
+    return l.selectExpr("reading", "line", "s + d AS a", "CASE WHEN l_quantity % 13 <> 0 THEN s END AS b", "s + d + k * d AS m", "s + 2 * d + k * d AS n")
 
 
 def longs(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 
 
-@query(f"WITH {SCHEME} SELECT a::BIGINT AS a, b::BIGINT AS b, m::BIGINT AS m, n::BIGINT AS n FROM sc")
+@query("""WITH l AS (SELECT s_suppkey AS line, 12 + s_nationkey AS e, s_suppkey % 6 + 1 AS k, s_suppkey % 3 + 1 AS d FROM supplier)
+SELECT line, (s + y.d)::BIGINT AS a, s::BIGINT AS b, (s + y.d + z.k * y.d)::BIGINT AS m, (s + 2 * y.d + z.k * y.d)::BIGINT AS n FROM l, range(40) x(s), range(1, 4) y(d), range(1, 7) z(k) WHERE y.d <= l.d AND z.k <= l.k AND s + 2 * y.d + z.k * y.d < e""")
 def dipole_dipole_scheme(spark, sf_dir):
-    return longs(scheme(spark), *"abmn")
+    """A scheme for each supplier's line, of its own size and reach."""
+    l = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS line", "12 + s_nationkey AS e", "s_suppkey % 6 + 1 AS k", "s_suppkey % 3 + 1 AS d")
+    return longs(resistivity.dipole_dipole_lines(l, "e", "k", "d", ["line"]), *"abmn")
 
 
-DIST = "di AS (SELECT a, b, m, n, abs(a - m) * 2.0 AS am, abs(b - m) * 2.0 AS bm, abs(a - n) * 2.0 AS an, abs(b - n) * 2.0 AS bn FROM pa)"
+DIST = "di AS (SELECT reading, a, b, m, n, abs(a - m) * 2.0 AS am, abs(b - m) * 2.0 AS bm, abs(a - n) * 2.0 AS an, abs(b - n) * 2.0 AS bn FROM rd)"
 
 
-@query(f"""WITH {SCHEME}, {PARTIAL}, {DIST}, t AS (SELECT *, coalesce(1 / am, 0) - coalesce(1 / bm, 0) - coalesce(1 / an, 0) + coalesce(1 / bn, 0) AS s FROM di)
-SELECT a::BIGINT AS a, b::BIGINT AS b, m::BIGINT AS m, n::BIGINT AS n, round(2 * pi() / s, 6) AS k, round(2.0 * (a + coalesce(b, 0) + m + n) / CASE WHEN b IS NULL THEN 3 ELSE 4 END, 6) AS x FROM t""")
+@query(f"""WITH {READING}, {DIST}, t AS (SELECT *, coalesce(1 / am, 0) - coalesce(1 / bm, 0) - coalesce(1 / an, 0) + coalesce(1 / bn, 0) AS s FROM di)
+SELECT reading, round(2 * pi() / s, 5) AS k, round(2.0 * (a + coalesce(b, 0) + m + n) / CASE WHEN b IS NULL THEN 3 ELSE 4 END, 6) AS x FROM t""")
 def geometric_factor(spark, sf_dir):
-    return r6(longs(resistivity.with_geometry(partial_scheme(spark), 2.0), *"abmn").select(*"abmn", "k", "x"), "k", "x")
+    return resistivity.with_geometry(readings(spark, sf_dir), 2.0).select("reading", F.round("k", 5).alias("k"), F.round("x", 6).alias("x"))
 
 
-@query(f"""WITH RECURSIVE {SCHEME}, {PARTIAL}, {DIST}, t AS (SELECT *, coalesce(1 / am, 0) - coalesce(1 / bm, 0) - coalesce(1 / an, 0) + coalesce(1 / bn, 0) AS s FROM di),
-f AS (SELECT a, b, m, n, am, bm, an, bn, s, 0 AS i, 0.0::DOUBLE AS lo, (10 * greatest(am, coalesce(bm, 0), an, coalesce(bn, 0)))::DOUBLE AS hi FROM t
- UNION ALL SELECT a, b, m, n, am, bm, an, bn, s, i + 1, CASE WHEN q < 0.5 THEN mid ELSE lo END, CASE WHEN q < 0.5 THEN hi ELSE mid END FROM (
+@query(f"""WITH RECURSIVE {READING}, {DIST}, t AS (SELECT *, coalesce(1 / am, 0) - coalesce(1 / bm, 0) - coalesce(1 / an, 0) + coalesce(1 / bn, 0) AS s FROM di),
+f AS (SELECT reading, am, bm, an, bn, s, 0 AS i, 0.0::DOUBLE AS lo, (10 * greatest(am, coalesce(bm, 0), an, coalesce(bn, 0)))::DOUBLE AS hi FROM t
+ UNION ALL SELECT reading, am, bm, an, bn, s, i + 1, CASE WHEN q < 0.5 THEN mid ELSE lo END, CASE WHEN q < 0.5 THEN hi ELSE mid END FROM (
   SELECT *, (coalesce(1 / am - 1 / sqrt(am * am + 4 * mid * mid), 0) - coalesce(1 / bm - 1 / sqrt(bm * bm + 4 * mid * mid), 0) - coalesce(1 / an - 1 / sqrt(an * an + 4 * mid * mid), 0) + coalesce(1 / bn - 1 / sqrt(bn * bn + 4 * mid * mid), 0)) / s AS q
   FROM (SELECT *, (lo + hi) / 2 AS mid FROM f WHERE i < 60)))
-SELECT a::BIGINT AS a, b::BIGINT AS b, m::BIGINT AS m, n::BIGINT AS n, round((lo + hi) / 2, 6) AS depth FROM f WHERE i = 60""")
+SELECT reading, round((lo + hi) / 2, 6) AS depth FROM f WHERE i = 60""")
 def median_depth(spark, sf_dir):
-    return r6(longs(resistivity.with_geometry(partial_scheme(spark), 2.0), *"abmn").select(*"abmn", "depth"), "depth")
+    return r6(resistivity.with_geometry(readings(spark, sf_dir), 2.0).select("reading", "depth"), "depth")
 
 
-CONF = "cf AS (SELECT least(a, b, m, n) AS st, a - least(a, b, m, n) AS oa, b - least(a, b, m, n) AS ob, m - least(a, b, m, n) AS om, n - least(a, b, m, n) AS o_n FROM pa)"
+CONF = "cf AS (SELECT line, least(a, b, m, n) AS st, a - least(a, b, m, n) AS oa, b - least(a, b, m, n) AS ob, m - least(a, b, m, n) AS om, n - least(a, b, m, n) AS o_n FROM rd)"
 
 
-@query(f"""WITH {SCHEME}, {PARTIAL}, {CONF}, g AS (SELECT oa || '-' || coalesce(ob::VARCHAR, 'R') || '-' || om || '-' || o_n AS code, greatest(oa, coalesce(ob, 0), om, o_n) AS reach, count(DISTINCT st) AS measured FROM cf GROUP BY ALL)
-SELECT code, measured, greatest(40 - reach, 0)::BIGINT AS possible, (greatest(40 - reach, 0) - measured)::BIGINT AS missing FROM g""")
+@query(f"""WITH {READING}, {CONF}, g AS (SELECT line, oa || '-' || coalesce(ob::VARCHAR, 'R') || '-' || om || '-' || o_n AS code, greatest(oa, coalesce(ob, 0), om, o_n) AS reach, count(DISTINCT st) AS measured FROM cf GROUP BY ALL)
+SELECT line, code, measured, greatest({ELECTRODES} - reach, 0)::BIGINT AS possible, (greatest({ELECTRODES} - reach, 0) - measured)::BIGINT AS missing FROM g""")
 def ert_coverage(spark, sf_dir):
-    return resistivity.coverage(partial_scheme(spark), 40)
+    return resistivity.coverage(readings(spark, sf_dir), ELECTRODES, ["line"])
 
 
-@query(f"""WITH {SCHEME}, {PARTIAL}, {CONF}, c AS (SELECT DISTINCT oa, ob, om, o_n FROM cf), e AS (SELECT oa, ob, om, o_n, s AS st FROM c, range(40) x(s) WHERE s + greatest(oa, coalesce(ob, 0), om, o_n) < 40),
-g AS (SELECT * FROM e EXCEPT SELECT oa, ob, om, o_n, st FROM cf)
-SELECT (st + oa)::BIGINT AS a, (st + ob)::BIGINT AS b, (st + om)::BIGINT AS m, (st + o_n)::BIGINT AS n FROM g""")
+@query(f"""WITH {READING}, {CONF}, c AS (SELECT DISTINCT line, oa, ob, om, o_n FROM cf), e AS (SELECT line, oa, ob, om, o_n, s AS st FROM c, range({ELECTRODES}) x(s) WHERE s + greatest(oa, coalesce(ob, 0), om, o_n) < {ELECTRODES}),
+g AS (SELECT * FROM e EXCEPT SELECT line, oa, ob, om, o_n, st FROM cf)
+SELECT line, (st + oa)::BIGINT AS a, (st + ob)::BIGINT AS b, (st + om)::BIGINT AS m, (st + o_n)::BIGINT AS n FROM g""")
 def ert_missing(spark, sf_dir):
-    full = partial_scheme(spark)
-    whole = resistivity.missing(full.where("b IS NOT NULL"), 40)
-    remote = resistivity.missing(full.where("b IS NULL").withColumn("b", F.col("a")), 40).withColumn("b", F.lit(None).cast("int"))  # arrays compare with a stand-in
-    return longs(whole.unionByName(remote), *"abmn")
+    return resistivity.missing(readings(spark, sf_dir), ELECTRODES, ["line"])
 
 
-@query(f"WITH {SCHEME}, {PARTIAL} SELECT (a - 8)::BIGINT AS a, (b - 8)::BIGINT AS b, (m - 8)::BIGINT AS m, (n - 8)::BIGINT AS n FROM pa WHERE a BETWEEN 8 AND 27 AND (b IS NULL OR b BETWEEN 8 AND 27) AND m BETWEEN 8 AND 27 AND n BETWEEN 8 AND 27")
+@query(f"WITH {READING} SELECT reading, (a - 8)::BIGINT AS a, (b - 8)::BIGINT AS b, (m - 8)::BIGINT AS m, (n - 8)::BIGINT AS n FROM rd WHERE a BETWEEN 8 AND 27 AND (b IS NULL OR b BETWEEN 8 AND 27) AND m BETWEEN 8 AND 27 AND n BETWEEN 8 AND 27")
 def ert_trim(spark, sf_dir):
-    return longs(resistivity.trim(partial_scheme(spark), 8, 20), *"abmn")
+    return resistivity.trim(readings(spark, sf_dir), 8, 20).drop("line")
 
 
 @query("""SELECT l_suppkey % 25 AS a, l_linenumber AS b, l_returnflag AS m, l_linestatus AS n, round(exp(avg(ln(l_extendedprice))), 6) AS geometric, count(*) AS count, round(stddev_samp(ln(l_extendedprice)), 6) AS std_ln, round(avg(l_extendedprice), 8) AS mean,
@@ -654,44 +654,44 @@ def source_magnetometer(spark, sf_dir):
     return text.read_g857(spark, files, min_quality=1.0).select("file", "line", "station", "time", "field", "quality")
 
 
-@query("SELECT 'r' || (s_suppkey % 7) AS file, (s_nationkey || '-' || s_suppkey) AS station_id, s_acctbal AS mean_nt, round((s_suppkey * 0.5 * 0.3048)::DOUBLE, 6) AS distance FROM supplier")
+@query("SELECT 'r' || (s_suppkey // 16) AS file, (s_nationkey || '-' || s_suppkey) AS station_id, s_acctbal AS mean_nt, round((s_suppkey * 0.5 * 0.3048)::DOUBLE, 6) AS distance FROM supplier")
 def source_magnetics_summary(spark, sf_dir):
     """Station tables with their columns in another order, found by the header."""
     s = table(spark, sf_dir, "supplier")
     row = F.concat_ws(",", "s_suppkey", F.col("s_acctbal").cast("string"), "s_nationkey", (F.col("s_suppkey") * 0.5).cast("string"))
-    files = as_files(s.withColumn("row", row), F.concat(F.lit("r"), F.col("s_suppkey") % 7), "row", "s_suppkey", "Station,Mean_nT,Line_No,Dist_from_S_ft\n")
+    files = as_files(s.withColumn("row", row), F.concat(F.lit("r"), F.expr("s_suppkey div 16")), "row", "s_suppkey", "Station,Mean_nT,Line_No,Dist_from_S_ft\n")
     return r6(text.read_magnetics_summary(spark, files).select("file", "station_id", "mean_nt", "distance"), "distance")
 
 
-@query("SELECT 'd' || (c_custkey % 9) AS file, c_custkey::VARCHAR AS station, round(c_acctbal, 3) AS grav, c_custkey % 5 + 0.5 AS tiltx FROM customer")
+@query("SELECT 'd' || (c_custkey // 60) AS file, c_custkey::VARCHAR AS station, round(c_acctbal, 3) AS grav, c_custkey % 5 + 0.5 AS tiltx FROM customer")
 def source_gravimeter(spark, sf_dir):
     """Gravimeter dumps with spaced labels in their header."""
     c = table(spark, sf_dir, "customer")
     row = F.concat_ws("\t", F.lit("1.0"), F.concat(F.col("c_custkey").cast("string"), F.lit(".0")), (F.col("c_custkey") % 5 + 0.5).cast("string"), F.round("c_acctbal", 3).cast("string"), F.lit("10:00:00"), F.lit("2026/03/12"))
-    files = as_files(c.withColumn("row", row), F.concat(F.lit("d"), F.col("c_custkey") % 9), "row", "c_custkey", "/\tCG-5 SURVEY\n/ Line\tStation\tTilt x\tGrav.\tTime\tDate\n")
+    files = as_files(c.withColumn("row", row), F.concat(F.lit("d"), F.expr("c_custkey div 60")), "row", "c_custkey", "/\tCG-5 SURVEY\n/ Line\tStation\tTilt x\tGrav.\tTime\tDate\n")
     return text.read_cg5(spark, files).select("file", "station", "grav", "tiltx")
 
 
-@query("SELECT 'n' || (s_suppkey % 5) AS file, lpad((s_suppkey % 240000)::VARCHAR, 6, '0') AS time, round((s_suppkey % 60) + 30 / 60.0, 9) AS latitude, round(-((s_suppkey % 170) + 15 / 60.0), 9) AS longitude, CASE WHEN s_suppkey % 2 = 0 THEN 1.5 END AS depth FROM supplier")
+@query("SELECT 'n' || (s_suppkey // 16) AS file, lpad((s_suppkey % 240000)::VARCHAR, 6, '0') AS time, round((s_suppkey % 60) + 30 / 60.0, 9) AS latitude, round(-((s_suppkey % 170) + 15 / 60.0), 9) AS longitude, CASE WHEN s_suppkey % 2 = 0 THEN 1.5 END AS depth FROM supplier")
 def source_nmea(spark, sf_dir):
     """Logs of fixes, every other one followed by a depth."""
     s = table(spark, sf_dir, "supplier")
     fix = F.format_string("$GPRMC,%06d,A,%02d30.0,N,%03d15.0,W,,,,", F.col("s_suppkey") % 240000, F.col("s_suppkey") % 60, F.col("s_suppkey") % 170)
     row = F.when(F.col("s_suppkey") % 2 == 0, F.concat(fix, F.lit("\n$SDDPT,1.5,0.0"))).otherwise(fix)
-    out = text.read_nmea(spark, as_files(s.withColumn("row", row), F.concat(F.lit("n"), F.col("s_suppkey") % 5), "row", "s_suppkey"))
+    out = text.read_nmea(spark, as_files(s.withColumn("row", row), F.concat(F.lit("n"), F.expr("s_suppkey div 16")), "row", "s_suppkey"))
     return out.select("file", "time", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"), "depth")
 
 
-@query("""WITH k AS (SELECT unnest([1, 2, 4, 5, 6, 7, 3]) AS kind), p AS (SELECT kind, p_partkey, p_partkey - (SELECT min(p_partkey) FROM part) AS s, CASE WHEN kind IN (3, 6, 7) THEN p_size % 4 + 1 ELSE 1 END AS n, p_retailprice AS rhoa FROM part, k)
-SELECT 'k' || kind AS file, (s + CASE kind WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END)::INT AS a, (CASE kind WHEN 1 THEN s + 3 WHEN 3 THEN s WHEN 4 THEN s WHEN 5 THEN s + 2 WHEN 7 THEN s + 2 * n + 1 END)::INT AS b,
+@query("""WITH k AS (SELECT unnest([1, 2, 4, 5, 6, 7, 3]) AS kind), p AS (SELECT kind, p_partkey // 50 AS line, p_partkey - min(p_partkey) OVER (PARTITION BY p_partkey // 50) AS s, CASE WHEN kind IN (3, 6, 7) THEN p_size % 4 + 1 ELSE 1 END AS n, p_retailprice AS rhoa FROM part, k)
+SELECT 'k' || kind || '-' || line AS file, (s + CASE kind WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END)::INT AS a, (CASE kind WHEN 1 THEN s + 3 WHEN 3 THEN s WHEN 4 THEN s WHEN 5 THEN s + 2 WHEN 7 THEN s + 2 * n + 1 END)::INT AS b,
 (s + CASE kind WHEN 3 THEN n + 1 WHEN 4 THEN 2 WHEN 6 THEN n WHEN 7 THEN n ELSE 1 END)::INT AS m, (CASE kind WHEN 1 THEN s + 2 WHEN 3 THEN s + n + 2 WHEN 4 THEN s + 3 WHEN 5 THEN s + 3 WHEN 6 THEN s + n + 1 WHEN 7 THEN s + n + 1 END)::INT AS n, rhoa FROM p""")
 def source_res2dinv(spark, sf_dir):
-    """Resistivity files of every standard array, by first electrode, a reading of each part."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4, 5, 6, 7)])).alias("kind"))
+    """Resistivity files of every standard array, by first electrode: one for each array and 50 parts, a reading of each part."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", F.expr("p_partkey div 50").alias("line"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4, 5, 6, 7)])).alias("kind"))
     n = F.when(F.col("kind").isin(3, 6, 7), (F.col("p_size") % 4 + 1).cast("string"))
     row = F.concat_ws(" ", ((F.col("p_partkey") - 1) * 2.0).cast("string"), F.lit("2.0"), n, F.col("p_retailprice").cast("string"))
-    files = as_files(p.withColumn("row", row), F.col("kind"), "row", "p_partkey")
-    head = F.concat(F.lit("line\n2.0\n"), F.col("file").cast("string"), F.lit("\n"), F.size(F.split("text", "\n")) - 1, F.lit("\n0\n0\n"))
+    files = as_files(p.withColumn("row", row), F.concat_ws("-", "kind", "line"), "row", "p_partkey")
+    head = F.concat(F.lit("line\n2.0\n"), F.substring_index("file", "-", 1), F.lit("\n"), F.size(F.split("text", "\n")) - 1, F.lit("\n0\n0\n"))
     files = files.select(F.concat(F.lit("k"), "file").alias("file"), F.concat(head, "text").alias("text"))
     return text.read_res2dinv(spark, files).select("file", "a", "b", "m", "n", "rhoa")
 
@@ -786,3 +786,68 @@ def traveltime_table(spark, sf_dir):
     points = table(spark, sf_dir, "supplier").where("s_suppkey % 11 <> 0").selectExpr("'source' AS role", "s_suppkey AS id", "s_suppkey * 5D AS x").unionAll(table(spark, sf_dir, "part").selectExpr("'receiver' AS role", "p_partkey AS id", "p_partkey * 2D AS x"))
     picks = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity / 1000 AS time")
     return seismic.traveltime_table(picks, points, "l_suppkey", "l_partkey").select("l_orderkey", "l_linenumber", "time", "source_x", "receiver_x")
+
+
+@query("""SELECT 'u' || user_id AS file, CASE WHEN user_id % 3 < 2 THEN event_type END AS line, 'S' || event_id AS station, strftime(ts, '%H:%M:%S') AS time, value AS field, CASE user_id % 3 WHEN 0 THEN event_id % 10 / 2.0 WHEN 1 THEN event_id % 7 / 2.0 END AS quality
+FROM events WHERE user_id % 3 = 2 OR CASE user_id % 3 WHEN 0 THEN event_id % 10 / 2.0 ELSE event_id % 7 / 2.0 END >= 1""")
+def source_magnetometer_layouts(spark, sf_dir):
+    """Magnetometer text of three layouts in one run: labels in two orders, and three columns without labels."""
+    e = table(spark, sf_dir, "events")
+    kind, station, clock, v = F.col("user_id") % 3, F.concat(F.lit("S"), "event_id"), F.date_format("ts", "HH:mm:ss"), F.col("value").cast("string")
+    half = lambda n: (F.col("event_id") % n / 2).cast("string")
+    row = F.when(kind == 0, F.concat_ws(",", station, "event_type", clock, v, half(10))).when(kind == 1, F.concat_ws(" ", half(7), v, clock, station, "event_type")).otherwise(F.concat_ws("\t", station, clock, v))
+    files = as_files(e.withColumn("row", row), F.concat(F.lit("u"), "user_id"), "row", "event_id")
+    kind = F.expr("int(substring(file, 2)) % 3")
+    head = F.when(kind == 0, "Stn,Line_ID,Time(HH:MM:SS),Total_Field(nT),Quality/Signal\n").when(kind == 1, "# SQ nT Clock Point L\n").otherwise("")
+    return text.read_g857(spark, files.select("file", F.concat(head, "text").alias("text")), min_quality=1.0).select("file", "line", "station", "time", "field", "quality")
+
+
+@query("""SELECT 'e' || user_id AS file, event_id AS sample, value AS "I_5310", CASE WHEN event_id % 4 <> 0 THEN event_id % 100 / 4.0 END AS "Q_5310", CASE WHEN user_id % 2 = 1 THEN event_id % 10 + 0.5 END AS powerln FROM events""")
+def source_em_tracks(spark, sf_dir):
+    """EM tracks of two exporters in one run: channels in another order, a column more, empty cells."""
+    e = table(spark, sf_dir, "events")
+    i, n = F.col("value").cast("string"), F.col("event_id").cast("string")
+    q = F.when(F.col("event_id") % 4 != 0, (F.col("event_id") % 100 / 4).cast("string")).otherwise(" ")
+    row = F.when(F.col("user_id") % 2 == 1, F.concat_ws(",", q, n, (F.col("event_id") % 10 + 0.5).cast("string"), i)).otherwise(F.concat_ws(",", n, i, q))
+    files = as_files(e.withColumn("row", row), F.concat(F.lit("e"), "user_id"), "row", "event_id")
+    odd = F.expr("int(substring(file, 2)) % 2") == 1
+    head = F.when(odd, "#File:x\n\nQ_5310Hz(ppm),Sample,PowerLn,I_5310Hz(ppm)\n").otherwise("#File:y\nSample ,I_5310Hz(ppm) ,Q_5310Hz(ppm)\n")
+    return text.read_gem2(spark, files.select("file", F.concat(head, "text").alias("text"))).select("file", F.col("sample").cast("long").alias("sample"), "I_5310", "Q_5310", "powerln")
+
+
+@query("""SELECT 'p' || (c_custkey // 50) AS file, c_name AS name, CASE WHEN c_custkey // 50 % 2 = 0 THEN c_custkey % 170 + 0.25 END AS longitude, CASE WHEN c_custkey // 50 % 2 = 0 THEN c_custkey % 80 + 0.5 END AS latitude,
+CASE WHEN c_custkey // 50 % 2 = 1 THEN c_custkey * 2.5 END AS easting, CASE WHEN c_custkey // 50 % 2 = 1 THEN c_custkey * 1.5 END AS northing, CASE WHEN c_custkey // 50 % 2 = 0 THEN round(c_acctbal - 2, 6) END AS height, CASE WHEN c_custkey // 50 % 2 = 1 THEN round(c_acctbal - 1.5, 6) END AS elevation,
+CASE WHEN c_custkey // 50 % 2 = 0 THEN 'FIX, good' ELSE c_mktsegment END AS status, CASE WHEN c_custkey // 50 % 2 = 0 THEN 1778778030 + c_custkey % 60 END::DOUBLE AS start_s FROM customer""")
+def source_positions(spark, sf_dir):
+    """GNSS exports of two receivers in one run: degrees or metres, other labels, quoted fields."""
+    c = table(spark, sf_dir, "customer").withColumn("odd", F.expr("c_custkey div 50 % 2") == 1)
+    k, t = F.col("c_custkey"), lambda x: x.cast("string")
+    even = F.concat_ws(",", "c_name", t(k % 170 + 0.25), t(k % 80 + 0.5), t(F.col("c_acctbal")), F.lit("2.0"), F.lit('"FIX, good"'), F.format_string("2026-05-14 12:00:%02d.0 UTC-05:00", (k % 60 + 30) % 60))
+    even = F.when(k % 60 < 30, even).otherwise(F.regexp_replace(even, "12:00:", "12:01:"))
+    other = F.concat_ws(",", t(F.col("c_acctbal")), t(k * 1.5), t(k * 2.5), F.lit("1.5"), "c_mktsegment", "c_name")
+    files = as_files(c.withColumn("row", F.when(F.col("odd"), other).otherwise(even)), F.concat(F.lit("p"), F.expr("c_custkey div 50")), "row", "c_custkey")
+    head = F.when(F.expr("int(substring(file, 2)) % 2 = 1"), "MSL,North (m),East (m),Ant height,Fix type,Point ID\n").otherwise("Name,Lon,Lat,Ellipsoidal height,Antenna height,Solution status,Averaging start\n")
+    out = text.read_positions(spark, files.select("file", F.concat(head, "text").alias("text")), "antenna")
+    return r6(out, "height", "elevation").select("file", "name", "longitude", "latitude", "easting", "northing", "height", "elevation", "status", "start_s")
+
+
+@query(f"WITH {TRACE}, s AS (SELECT vec_id, sum(v) AS total, max(abs(v)) AS most, count(*) AS n FROM tr GROUP BY vec_id) SELECT vec_id, vec_id // 12 AS shot, (vec_id % 12) * 2.5::DOUBLE AS receiver_x, (vec_id // 12 * 0.5)::DOUBLE AS source_x, 0.0005::DOUBLE AS dt, n, round(total, 4) AS total, round(most, 5) AS most FROM s")
+def source_segy(spark, sf_dir):
+    """Vectors written as SEG-Y by tasks, a file each, and read back in ranges of traces by more tasks."""
+    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS receiver_id", "vec_id div 12 AS source_id", "vec_id % 12 * 2.5D AS receiver_x", "vec_id div 12 * 0.5D AS source_x", "0.0005D AS dt", "embedding AS samples")
+    folder = f"{shared_folder(spark)}/segy-{uuid.uuid4().hex}"
+    segy.register(spark)
+    e.write.format("segy").mode("append").save(folder)
+    t = segy.read_segy(spark, folder, rangebytes=64_000)
+    v = F.col("samples")
+    total = F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
+    return t.select(F.col("receiver_id").cast("long").alias("vec_id"), F.col("source_id").cast("long").alias("shot"), "receiver_x", "source_x", "dt", F.size(v).cast("long").alias("n"), F.round(total, 4).alias("total"), F.round(F.array_max(F.transform(v, F.abs)), 5).alias("most"))
+
+
+@query("""WITH t AS (SELECT vec_id, vec_id // 12 AS shot, vec_id % 12 AS k, max(vec_id % 12) OVER (PARTITION BY vec_id // 12) AS last FROM embeddings)
+SELECT vec_id, CASE WHEN k IN (3, 7) AND k = last THEN k - 1 ELSE k END * 2.0::DOUBLE AS receiver_x, shot * 0.5::DOUBLE AS source_x, round(sqrt((CASE WHEN k IN (3, 7) AND k = last THEN k - 1 ELSE k END * 2.0 - shot * 0.5) ** 2 + 2.25), 6) AS "offset" FROM t""")
+def spread_records(spark, sf_dir):
+    """Shot records of one file: a source of its own for each, receivers that headers lack between their neighbours."""
+    e = table(spark, sf_dir, "embeddings").selectExpr("'line.sgy' AS file", "int(vec_id) AS trace", "string(vec_id div 12) AS source_id", "CASE WHEN vec_id % 12 = 0 THEN vec_id div 12 * 0.5D END AS source_x", "CASE WHEN vec_id % 12 NOT IN (3, 7) THEN vec_id % 12 * 2D END AS receiver_x", "0D AS delay", "string(null) AS error")
+    out = seismic.spread(e, standoff=1.5)
+    return r6(out.select(F.col("trace").cast("long").alias("vec_id"), "receiver_x", "source_x", "offset"), "offset")
