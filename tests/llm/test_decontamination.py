@@ -1,7 +1,7 @@
 import random
 import re
 
-from sondage.llm.decontamination import contaminated, decontaminate, item_index
+from sondage.llm.decontamination import candidates, contaminated, decontaminate, item_index, item_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -53,10 +53,35 @@ def test_same_as_brute_force(spark):
 
 
 def test_sketches_cannot_miss(spark):
+    """A document may lack any n - ceil(0.8 n) shingles and still shares what is required."""
     _, items = data(3)
-    rows = item_index(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 5, 0.8).collect()
-    sizes, sketch = {}, {}
+    sets = item_sets(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 5)
+    rows = item_index(sets, 0.8, common=2).collect()
+    sizes, sketch, required = {}, {}, {}
     for r in rows:
-        sizes[r["item_id"]] = r["n_item"]
-        sketch[r["item_id"]] = sketch.get(r["item_id"], 0) + r["in_sketch"]
-    assert all(sketch[i] >= min(n, n - -(-8 * n // 10) + 1) for i, n in sizes.items())
+        sizes[r["entry"]], required[r["entry"]] = r["n_item"], r["required"]
+        sketch[r["entry"]] = sketch.get(r["entry"], 0) + r["in_sketch"]
+    assert len({r["entry"] for r in sets.collect()}) == len(sizes) < sets.count()  # equal items are one entry
+    assert all(1 <= required[i] <= sketch[i] - (n - -(-8 * n // 10)) for i, n in sizes.items())
+
+
+def test_items_that_share_a_prompt_make_no_pairs(spark):
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice("abcdefghij") + str(r.randrange(10**6)) for _ in range(n))
+    prompt = "choose the best answer to the question "
+    items = [(i, prompt + say(20)) for i in range(400)]
+    docs = [(i, f"{say(30)} {prompt}{say(30)}") for i in range(300)] + [(900 + i, f"{say(9)} {items[i][1]} {say(9)}") for i in range(20)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    index = item_index(item_sets(q, "item_id", "text", 5), 0.8)
+    assert candidates(d, index, 5).count() == 20
+    assert sorted((x["doc_id"], x["item_id"]) for x in contaminated(d, q).collect()) == [(900 + i, i) for i in range(20)]
+
+
+def test_items_that_share_most_of_their_text_are_all_found(spark):
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(40)]
+    items = [(i, " ".join([*base[:30], *(f"x{i}_{j}" for j in range(i % 9)), *base[30:]])) for i in range(30)]
+    docs = [(i, " ".join([*base, f"y{i}"]) if i % 2 else " ".join(base[:25])) for i in range(20)] + [(50, items[8][1])]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"], x["n_item"], x["n_shared"]) for x in contaminated(d, q).collect())
+    assert got == brute(docs, items) and len(got) > 60
