@@ -234,6 +234,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ever
     n_near is null for all other rows and null ids. Ids are integers; else as ``neighbours``.
     """
     prints = neighbours(docs, id_col, text_col, bits)
-    near = search(prints.where(F.pmod(F.col(id_col).cast("long"), F.lit(every)) == 0), prints, radius, agree, with_matches=False)
-    asks = F.pmod(F.col(id_col).cast("long"), F.lit(every)) == 0
-    return prints.join(near.select("fingerprint", F.col("n_near").alias("_n")), "fingerprint", "left").select(*prints.columns, F.when(asks, F.col("_n") - 1).alias("n_near"))
+    asks = F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(every)) == 0, F.lit(False))
+    near = search(prints.where(asks), prints, radius, agree, with_matches=False).select("fingerprint", F.col("n_near").alias("_n"))
+    asking = prints.where(asks).join(near, "fingerprint", "left").select(*prints.columns, (F.col("_n") - 1).alias("n_near"))
+    return asking.unionAll(prints.where(~asks).select("*", F.lit(None).cast("long").alias("n_near")))
