@@ -2,10 +2,12 @@
 
 Markup is stripped to lines, one per block; menus, footers, forms, adverts, comments and the like are stripped to
 empty lines, and so is the border of a container that the page marks as its article. A line's weight is its text
-length outside links; a line in a marked article weighs ``SURGE`` more. The weights are summed over sliding windows of
-``WINDOW`` lines. Where the sum reaches the limit the text surges, where it falls to nothing it dives, and the lines
-between are kept. The limit is ``SURGE``, or the largest sum of a page that never gets so far; lines outside the
-marked article of a page must surge as high as any window inside it, as pages also mark teasers as articles.
+length outside links. The weights are summed over sliding windows of ``WINDOW`` lines. Where the sum reaches the limit
+the text surges, where it falls to nothing it dives, and the lines between are kept. The limit is ``SURGE``, or the
+largest sum of a page that never gets so far.
+
+Marks add no weight. A marked article is kept or left as a whole, by the highest window in it (pages mark teasers as
+articles, and articles have short lines and lines of links); lines outside it must surge as high as that window.
 """
 
 from __future__ import annotations
@@ -56,13 +58,16 @@ def _boilerplate(name: str, marks: str, is_article: bool, inside: bool) -> int:
 
 
 def lines(page: str) -> Iterator[tuple[str, int, bool]]:
-    """(text, weight, in a marked article) of each block of a page, in order; ``WINDOW`` empty lines where text was stripped."""
+    """(text, weight, in a marked article) of each block of a page, in order; ``WINDOW`` empty lines where text was stripped.
+
+    Lines for what was stripped inside an article belong to it; those at its border don't.
+    """
     source = _DROP.sub(" ", page)
     open_: list[list] = []  # name, boilerplate, article
     boiler = article = links = 0
     text: list[str] = []
     weight = at = 0
-    gap = False
+    gap = border = False
 
     def close(name: str) -> None:
         nonlocal boiler, article
@@ -86,10 +91,10 @@ def lines(page: str) -> Iterator[tuple[str, int, bool]]:
             weight += len(piece.strip())
 
     def flush() -> Iterator[tuple[str, int, bool]]:
-        nonlocal weight, gap
-        if gap:
-            yield from [("", 0, False)] * WINDOW
-            gap = False
+        nonlocal weight, gap, border
+        if gap or border:
+            yield from [("", 0, article > 0 and not border)] * WINDOW
+            gap = border = False
         line = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
         if line:
             yield line, weight, article > 0
@@ -129,25 +134,31 @@ def lines(page: str) -> Iterator[tuple[str, int, bool]]:
             open_.append([name, kind, is_article])
             boiler += kind > NOT
             article += is_article
-        gap = gap or (before != (article > 0) and not text)
+        border = border or (before != (article > 0) and not text)
     add(source[at:])
     yield from flush()
 
 
 def between(weights: list[int], marked: list[bool]) -> list[int]:
-    """The lines from where the text surges to where it dives."""
-    heavy = [w + SURGE if m else w for w, m in zip(weights, marked, strict=True)]
-    sums = [sum(heavy[i : i + WINDOW]) for i in range(len(heavy))]
+    """The lines from where the text surges to where it dives, and the marked runs that reach a surge."""
+    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     top = max((s for s, m in zip(sums, marked, strict=True) if m), default=0)
     limit = min(max(SURGE, top), max(sums, default=0))
-    kept, inside = [], False
-    for i, total in enumerate(sums):
-        if not inside and heavy[i] > 0 and total >= (SURGE if marked[i] else limit):
+    kept, inside, i = [], False, 0
+    while i < len(sums):
+        if marked[i]:
+            end = next((j for j in range(i, len(sums)) if not marked[j]), len(sums))
+            if 0 < min(SURGE, top) <= max(sums[i:end]):
+                kept.extend(range(i, end))
+            inside, i = False, end
+            continue
+        if not inside and weights[i] > 0 and sums[i] >= limit:
             inside = True  # surge
-        elif inside and total == 0:
+        elif inside and sums[i] == 0:
             inside = False  # dive
         if inside:
             kept.append(i)
+        i += 1
     return kept
 
 
