@@ -2,7 +2,8 @@
 
 The as-of join is two-level, so that a URL with a third of all captures doesn't meet in one task: within a URL captures
 are dealt to buckets of time; a bucket's last response is an aggregate, the last response before a bucket is a window
-over the few bucket rows, and only captures of one bucket are ordered together. Validators (ETag, Last-Modified) of
+over the few bucket rows, and only captures of one bucket are ordered together. A response goes to each bucket that has
+revisits of it, where it meets them. Validators (ETag, Last-Modified) of
 the revisit are checked against the response, and the headers that a 304 may update are merged.
 """
 
@@ -72,7 +73,11 @@ def resolve(records: DataFrame, bucket: float = 1000.0, with_payload: bool = Fal
     stored = F.max(F.struct(F.array_sort(F.map_entries("h")).alias("h"), *(["payload"] if with_payload else []))).alias("stored")
     target = used.where("full").groupBy(F.col("record_id").alias("response"), "url_key", F.col("ts").alias("response_at")).agg(stored)
     target = target.select("response", "url_key", "response_at", F.map_from_entries("stored.h").alias("h"), *([F.col("stored.payload")] if with_payload else []))
-    both = revisits.join(target, ["response", "url_key", "response_at"], "left")
+    # A response with a third of all revisits meets them bucket by bucket of their time, once for each.
+    one = ["response", "url_key", "response_at"]
+    revisits = revisits.withColumn("_b", F.floor(F.col("ts") / F.lit(float(bucket))))
+    spread = target.join(revisits.where("response IS NOT NULL").select(*one, "_b").distinct(), one)
+    both = revisits.join(spread, [*one, "_b"], "left")
     tag = lambda m: F.regexp_replace(F.col(m)["etag"], "^W/", "")
     e1, e2, m1, m2 = tag("rh"), tag("h"), F.col("rh")["last-modified"], F.col("h")["last-modified"]
     checked = F.when(F.col("response").isNull(), "no response").when(e1.isNotNull() & e2.isNotNull(), F.when(e1 == e2, "etag").otherwise("mismatch")).when(m1.isNotNull() & m2.isNotNull(), F.when(m1 == m2, "modified").otherwise("mismatch")).otherwise("no validator")
