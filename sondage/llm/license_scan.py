@@ -1,15 +1,16 @@
 """License scans: a trained paragraph classifier, a calibrated unknown class, and a comparison with templates.
 
 A paragraph is a run of lines that have a word; its lines by themselves are scored too, as a notice may stand in one
-line of a longer run. Words without a letter or digit (comment marks at the start of lines) don't count, so wrapping
-and comments change nothing. A softmax regression over hashed word 1- to 3-grams (those of the training texts only,
+line of a longer run. Words without a letter or digit (comment marks at the start of lines) and punctuation at the ends
+of words don't count, so wrapping and comments change nothing. A softmax regression over hashed word 1- to 3-grams (those of the training texts only,
 so the model is small and sparse) tells licence families from each other and from other prose. It is trained here on
-sentences of public licences, whole, in parts and in runs, against prose about licences that isn't one.
+sentences of public licences, whole, in parts and in runs, and on short notices (each name of a family in each of many
+wordings), against prose about licences that isn't one.
 
 Temperature and the confidence below which a licence is "unknown" are fitted on sentences and families held out: models
 are trained without some families (their sentences are unseen licences) and without some sentences of the others. The
 least confidence is the one that tells the two apart best. A family counts as confirmed if the paragraph's word pairs
-cover most of one of the template's sentences.
+cover most of one of the template's sentences, or it has a name of the family.
 """
 
 from __future__ import annotations
@@ -113,6 +114,29 @@ TEMPLATES = {
         "Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential.",
     ],
 }
+#: Names of the families. A name is a template too: a text that has it whole is confirmed.
+NAMES = {
+    "apache": ["Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License", "Apache-2.0", "Apache Software License", "Apache 2 License", "Apache License"],
+    "mit": ["MIT License", "MIT licence", "MIT licensed", "MIT-licensed", "MIT-style license", "MIT/X11 License", "Expat License"],
+    "gpl": ["GNU General Public License", "GNU GPL", "GPLv2", "GPLv3", "GPL v2", "GPL v3", "GPL-2.0", "GPL-3.0", "GPL License", "GPL 3"],
+    "lgpl": ["GNU Lesser General Public License", "GNU LGPL", "LGPLv2.1", "LGPLv3", "LGPL v3", "LGPL-2.1", "LGPL-3.0", "LGPL License"],
+    "agpl": ["GNU Affero General Public License", "GNU AGPL", "AGPLv3", "AGPL v3", "AGPL-3.0", "AGPL License"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "BSD-style license", "BSD-3-Clause", "BSD-2-Clause", "3-clause BSD", "2-clause BSD", "New BSD License", "BSD licensed"],
+    "mpl": ["Mozilla Public License", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0", "MPL v2"],
+    "isc": ["ISC License", "ISC licence", "ISC licensed", "ISC-style license"],
+    "cc-by": ["CC BY 4.0", "CC-BY-4.0", "CC BY 3.0", "CC-BY license", "Creative Commons Attribution License", "Creative Commons Attribution 4.0", "Creative Commons Attribution 3.0"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike", "Creative Commons Attribution-Share Alike", "CC-BY-SA license"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial", "CC-BY-NC license"],
+    "cc-by-nd": ["CC BY-ND 4.0", "CC-BY-ND-4.0", "CC BY-ND 3.0", "Creative Commons Attribution-NoDerivatives", "CC-BY-ND license"],
+    "public-domain": ["CC0 1.0", "CC0-1.0", "the public domain", "the Unlicense", "Creative Commons Zero", "CC0 license"],
+}
+#: Short notices by the words round a name; the groups that are held out take every fourth of them.
+FRAMES = [
+    "{}", "Licensed under the {}.", "Released under the {}.", "This project is licensed under the terms of the {}.", "Distributed under {}.", "License: {}",
+    "The source code is available under {}.", "See LICENSE for details ({}).", "Use of this source code is governed by a {} that can be found in the LICENSE file.", "Published by the authors under {}, see the file COPYING.",
+    "SPDX-License-Identifier: {}", "All files are covered by the {} unless stated otherwise.", "Our software is free, it comes with the {}.", "You can use, copy and change this library under the {}.",
+    "Copyright 2018 The Authors, {}", "The documentation and the data are {}", "It is made available under {} or, at your choice, any later version.",
+]
 #: Sentences that aren't a licence, some with a licence's words; and grants of licences that no template has.
 OTHER = [
     "He lost his driving license after the second accident and had to apply for a new one.",
@@ -146,6 +170,12 @@ OTHER = [
     "Das Haus mit der Nummer sechs ist von der Straße aus nicht zu sehen, mit oder ohne Licht.",
     "La maison de la rue est pour les enfants qui ne sont pas dans la ville avec eux.",
     "El perro de la casa es para los que no se van con el tren de las seis.",
+    "The rooms are available under the terms of the contract that you signed with us.",
+    "Distributed under the tables were boxes of apples for all of the guests.",
+    "See the manual for details, it is made available by the library at any later hour.",
+    "All files are kept in the cellar unless stated otherwise by the head of the office.",
+    "Our school is free, it comes with the general duty to the public.",
+    "The attribution of the painting is not certain, and its use by the public is not a crime in common law.",
 ]
 ODD = [
     "Licensed under the Foo Bar Community License, see the file for its terms.",
@@ -159,16 +189,30 @@ NONE, UNKNOWN = "none", "unknown"
 FAMILIES = [NONE, *TEMPLATES]
 #: Share of a template sentence's word pairs that a paragraph must have; groups of families and of sentences held out.
 COVER, FOLDS = 0.7, 4
+_SOFT, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_SOFT[list(b",;()\"'`<>[]{}*#")] = True
+_STOP[list(b".:!?")] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def _cleaned(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bytes of the texts with brackets, quotes, commas and marks, and stops at the ends of words, as spaces."""
+    raw = data[int(at[0]) : int(at[-1])].copy()
+    raw[_SOFT[raw]] = 32
+    after = np.append(raw[1:], 32)
+    after[(at[1:-1] - at[0] - 1)[at[1:-1] > at[0]]] = 32  # what follows belongs to the next text
+    raw[_STOP[raw] & ((after == 32) | (after >= 9) & (after <= 13))] = 32
+    return raw
+
+
 def _plain_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words that have a letter or digit."""
-    h, starts, ends, _ = words(data, at)
+    """Hashes and starts of the words that have a letter or digit, punctuation at their ends aside."""
+    raw = _cleaned(data, at)
+    h, starts, ends, _ = words(raw, at - at[0])
     if not len(h):
         return h, starts
-    seen = np.concatenate([[0], np.cumsum(_LETTER[data[int(at[0]) : int(at[-1])]])])
+    seen = np.concatenate([[0], np.cumsum(_LETTER[raw])])
     full = seen[ends] > seen[starts]
     return h[full], starts[full]
 
@@ -218,6 +262,10 @@ def examples(seed: int = 11) -> tuple[list[str], np.ndarray, np.ndarray]:
         if i:
             for j, sentence in enumerate(sentences * 4):
                 add(sentence, i, 1, j % len(sentences) % FOLDS)
+    for i, names in enumerate((NAMES.get(f, []) for f in TEMPLATES), 1):
+        for name in names:
+            for j, frame in enumerate(FRAMES):
+                add(frame.format(name), i, 1, j % FOLDS)
     for k in range(1200):  # lines and paragraphs of loose words, in proportion and of a few words over and over
         some = filler if k % 2 else r.sample(filler, r.choice([5, 40]))
         add(" ".join(r.choices(some, k=r.choice([3, 8, 20, 60, 200 if k % 8 == 0 else 30]))), 0, 1, k % FOLDS)
@@ -230,13 +278,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _fit(found: list[np.ndarray], y: np.ndarray, rounds: int, ridge: float) -> dict:
-    """Feature keys (of two training texts or more), weights (feature x family) and bias by gradient descent."""
+    """Feature keys (of three training texts or more), weights (feature x family) and bias by gradient descent.
+
+    A feature counts by its inverse document frequency (``q``: its square), so that names weigh more than what is said
+    round them; a text has length one.
+    """
     every, times = np.unique(np.concatenate(found), return_counts=True)
-    keys = every[times > 1]
+    keys = every[times > 2]
+    idf = np.log(len(found) / times[times > 2]).astype(np.float32)
     x = np.zeros((len(found), len(keys)), np.float32)
     for i, f in enumerate(found):
-        x[i, _at(keys, f)] = 1
-    x /= np.maximum(1, np.sqrt(x.sum(1, keepdims=True)))
+        at = _at(keys, f)
+        x[i, at] = idf[at]
+    x /= np.maximum(1, np.sqrt((x * x).sum(1, keepdims=True)))
     target = np.eye(len(FAMILIES), dtype=np.float32)[y]
     w, b = np.zeros((len(keys), len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
     mw, mb, rate = np.zeros_like(w), np.zeros_like(b), 8.0
@@ -244,7 +298,7 @@ def _fit(found: list[np.ndarray], y: np.ndarray, rounds: int, ridge: float) -> d
         g = _softmax(x @ w + b) - target
         mw, mb = 0.9 * mw + x.T @ g / len(x) + ridge * w, 0.9 * mb + g.mean(0)
         w, b = w - rate * mw, b - rate * mb
-    return {"keys": keys, "w": w, "b": b, "t": 1.0}
+    return {"keys": keys, "w": w * idf[:, None], "q": idf * idf, "b": b, "t": 1.0}
 
 
 def _at(keys: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -255,11 +309,11 @@ def _at(keys: np.ndarray, f: np.ndarray) -> np.ndarray:
 
 def _logits(model: dict, found: list[np.ndarray]) -> np.ndarray:
     rows = [_at(model["keys"], f) for f in found]
-    return np.array([model["w"][at].sum(0) / max(1.0, np.sqrt(len(at))) + model["b"] for at in rows]).reshape(len(found), len(FAMILIES))
+    return np.array([model["w"][at].sum(0) / max(1.0, np.sqrt(model["q"][at].sum())) + model["b"] for at in rows]).reshape(len(found), len(FAMILIES))
 
 
 @lru_cache(maxsize=2)
-def train(seed: int = 11, rounds: int = 80, ridge: float = 1e-3) -> dict:
+def train(seed: int = 11, rounds: int = 80, ridge: float = 1e-4) -> dict:
     """The model: keys, weights, bias, temperature ``t``, least confidence of a known family, and what was measured.
 
     accuracy: of sentences held out, families and other prose together; known: share of held-out sentences of known
@@ -295,21 +349,20 @@ def score_texts(model: dict, texts: list[str]) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _pairs() -> list[tuple[int, np.ndarray]]:
-    """(family, sorted word-pair hashes) of every template sentence, punctuation at word ends aside."""
-    return [(i, _pair_set(s)) for i, family in enumerate(TEMPLATES, 1) for s in TEMPLATES[family]]
+def _templates() -> list[tuple[int, int, np.ndarray]]:
+    """(family, k, sorted hashes of k-word sequences) of every template sentence and name; k is 2, or 1 for a single word."""
+    said = [(i, s) for i, family in enumerate(TEMPLATES, 1) for s in [*TEMPLATES[family], *NAMES.get(family, [])]]
+    return [(i, k, _sequences(s, k)) for i, s in said for k in [2 if len(_sequences(s, 2)) else 1]]
 
 
-def _pair_set(text: str) -> np.ndarray:
-    plain = " ".join(w.strip(".,;:()\"'\u201c\u201d") for w in text.split() if any(c.isalnum() for c in w))
-    data, at = text_bytes(pa.array([plain]))
-    return distinct(shingles(words(data, at)[0], 2))
+def _sequences(text: str, k: int) -> np.ndarray:
+    return distinct(shingles(_plain_words(*text_bytes(pa.array([text])))[0], k))
 
 
 def confirmed(text: str, family: int) -> bool:
-    """The paragraph covers enough of the word pairs of one of the family's sentences."""
-    own = _pair_set(text)
-    return any(len(np.intersect1d(own, s, assume_unique=True)) >= COVER * len(s) for f, s in _pairs() if f == family)
+    """The paragraph covers enough of the word pairs of one of the family's sentences or names."""
+    own = {k: _sequences(text, k) for k in (1, 2)}
+    return any(len(np.intersect1d(own[k], s, assume_unique=True)) >= COVER * len(s) for f, k, s in _templates() if f == family)
 
 
 def _units(table: Table, model: dict, h: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -323,10 +376,10 @@ def _units(table: Table, model: dict, h: np.ndarray, unit: np.ndarray) -> tuple[
         hits.append(unit[inside[hit]] * np.int64(size) + row[hit])
     hit = distinct(np.concatenate(hits))
     u, row = hit // size, hit % size
-    some, begin, count = np.unique(u, return_index=True, return_counts=True)
+    some, begin = np.unique(u, return_index=True)
     if not len(some):
         return some, np.zeros((0, len(FAMILIES)))
-    z = np.add.reduceat(model["w"][row], begin, axis=0) / np.sqrt(count)[:, None] + model["b"]
+    z = np.add.reduceat(model["w"][row], begin, axis=0) / np.sqrt(np.maximum(1, np.add.reduceat(model["q"][row], begin)))[:, None] + model["b"]
     return some, _softmax(z / model["t"])
 
 

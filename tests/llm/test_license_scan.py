@@ -47,6 +47,8 @@ def mixed(x):
 def plain(model, text):
     """(probability of none, likeliest family, its probability) of one paragraph, n-gram by n-gram."""
     at = {int(k): i for i, k in enumerate(model["keys"])}
+    text = re.sub(r"[,;()\"'`<>\[\]{}*#]", " ", text)
+    text = re.sub(r"[.:!?](?=[\x20\x09-\x0D]|$)", " ", text)
     split = [w for w in re.findall(r"[^\x20\x09-\x0D]+", text) if any(c.isascii() and c.isalnum() or ord(c) > 127 for c in w)]
     h = [int(words(*text_bytes(pa.array([w])))[0][0]) for w in split]
     rows = set()
@@ -59,20 +61,25 @@ def plain(model, text):
     rows.discard(-1)
     if not rows:
         return None
-    z = [(sum(float(model["w"][r][f]) for r in rows) / math.sqrt(len(rows)) + float(model["b"][f])) / model["t"] for f in range(len(L.FAMILIES))]
+    z = [(sum(float(model["w"][r][f]) for r in rows) / math.sqrt(max(1.0, sum(float(model["q"][r]) for r in rows))) + float(model["b"][f])) / model["t"] for f in range(len(L.FAMILIES))]
     e = [math.exp(x - max(z)) for x in z]
     p = [x / sum(e) for x in e]
     f = max(range(1, len(p)), key=p.__getitem__)
     return p[0], f, p[f]
 
 
-def pairs(text):
-    w = [x.strip(".,;:()\"'“”").lower() for x in text.split() if any(c.isalnum() for c in x)]
-    return set(zip(w, w[1:]))
+def sequences(text, k):
+    text = re.sub(r"[.:!?](?=[\x20\x09-\x0D]|$)", " ", re.sub(r"[,;()\"'`<>\[\]{}*#]", " ", text))
+    w = [x.lower() for x in text.split() if any(c.isalnum() for c in x)]
+    return set(zip(*(w[i:] for i in range(k))))
 
 
 def covered(text, family):
-    return any(len(pairs(text) & pairs(s)) >= 0.7 * len(pairs(s)) for s in L.TEMPLATES[L.FAMILIES[family]])
+    for s in [*L.TEMPLATES[L.FAMILIES[family]], *L.NAMES.get(L.FAMILIES[family], [])]:
+        k = 2 if sequences(s, 2) else 1
+        if len(sequences(text, k) & sequences(s, k)) >= 0.7 * len(sequences(s, k)):
+            return True
+    return False
 
 
 def brute(model, text):
@@ -124,8 +131,35 @@ def test_wrapped_notices_are_found_and_unseen_licences_are_unknown(spark, model)
     assert all(v == {L.UNKNOWN} for k, v in out.items() if k.startswith("unknown")), out
 
 
+#: Notices in wordings that aren't trained on.
+FRESH = [
+    ("mit", "MIT License"), ("mit", "The code is MIT licensed."), ("mit", "This repository uses the MIT license, so have fun with it."), ("mit", "Copyright (c) 2022 Jo Li. Under MIT License, see the root folder."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."),
+    ("apache", "Apache License 2.0"), ("apache", "Code licensed under Apache 2.0 license by the team"), ("apache", "We chose the Apache License, Version 2.0 for everything in here."),
+    ("apache", "Licensed to the Foundation (ASF) under one or more contributor license agreements. The ASF licenses this file to you under the Apache License, Version 2.0; you may not use this file except in compliance with the License."),
+    ("bsd", 'Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.'), ("bsd", "BSD 3-Clause License"), ("bsd", "Rights are granted as in the New BSD License."), ("bsd", "This tool ships under a 2-clause BSD notice"),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."), ("gpl", "Distributed under GPLv3."), ("gpl", "Copying is allowed by the GNU GPL, any version."), ("gpl", "License terms are GPL v2"), ("gpl", "The kernel module falls under the GNU General Public License."),
+    ("lgpl", "Linking is allowed: the library has the GNU Lesser General Public License."), ("lgpl", "Bindings are offered under LGPLv3 only."), ("agpl", "The server is AGPLv3."), ("agpl", "Network use counts under the GNU Affero General Public License."),
+    ("mpl", "Subject to the Mozilla Public License 2.0, a copy is in the tree."), ("mpl", "This add-on is MPL 2.0"), ("isc", "ISC License (ISC)"), ("isc", "The parser is ISC licensed by its author"),
+    ("cc-by", "Except where noted, the text is CC BY 4.0."), ("cc-by", "Except where otherwise noted, this work is licensed under a Creative Commons Attribution 4.0 International License, (c) 2021 A. Author."), ("cc-by", "Photos: Creative Commons Attribution 3.0"),
+    ("cc-by-sa", "Articles of the wiki are CC BY-SA 3.0."), ("cc-by-sa", "Text is available under the Creative Commons Attribution-ShareAlike 4.0 License; by using this site you agree to the terms."), ("cc-by-nc", "Slides are shared as CC BY-NC 4.0"), ("cc-by-nd", "The map is CC BY-ND 4.0, don't change it."),
+    ("mit", "Free to use, MIT License."), ("apache", "Terms: Apache License 2.0, January 2004"), ("bsd", "(c) 1998 the group; BSD License applies"), ("gpl", "GPL-3.0 or newer please"), ("gpl", "Any reuse must follow the GNU General Public License"),
+    ("lgpl", "plugin under LGPL v3"), ("mpl", "MPL-2.0"), ("isc", "ISC licence, do what you like"), ("cc-by", "Figures may be reused (CC-BY-4.0)"), ("cc-by-sa", "Wiki text: CC-BY-SA-4.0"), ("cc-by-nc", "You may share this under Creative Commons Attribution-NonCommercial 4.0"),
+    ("public-domain", "Released into the public domain by its author in 2003"), ("public-domain", "I put this script in the public domain."), ("public-domain", "Data: CC0 1.0"), ("public-domain", "No rights kept, see the Unlicense"),
+]
+
+
+def test_wordings_that_nobody_trained_on(spark, model):
+    trained = set(L.examples()[0])
+    assert sum(t in trained for _, t in FRESH) <= 6  # a bare name is a notice, whoever writes it
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(FRESH)], "doc_id long, text string")
+    got = {x["doc_id"]: {f["family"] for f in x["findings"]} for x in L.scan(df, model=model).collect()}
+    wrong = [(f, t, got[i]) for i, (f, t) in enumerate(FRESH) if got[i] != {f}]
+    assert len(wrong) <= 0.1 * len(FRESH), wrong
+
+
 def test_held_out(model):
-    assert model["accuracy"] > 0.6 and model["known"] > 0.9 and model["unseen"] > 0.85
+    assert model["accuracy"] > 0.8 and model["known"] > 0.9 and model["unseen"] > 0.85
     assert 0.02 < model["least"] < 0.98  # inside the range that is searched
     assert (L.score_texts(model, L.OTHER).argmax(1) == 0).all()
 
