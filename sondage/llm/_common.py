@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,14 +17,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
 
 
+#: The folder of a local application that names none.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _local.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="spark-shared-")
+        _local[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
@@ -34,6 +39,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    _made.append(out)
+    return out
+
+
+#: What ``materialise`` wrote in this process and nobody has deleted, the oldest first.
+_made: list[DataFrame] = []
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` written under ``name``; what was written for it on the way is deleted."""
+    before = len(_made)
+    out = materialise(make(), name)
+    discard(*_made[before:-1])
     return out
 
 
@@ -43,6 +61,7 @@ def discard(*written: DataFrame) -> None:
         jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
         path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+        _made[:] = [x for x in _made if x is not df]
 
 
 def narrow_batches(spark: SparkSession, rows: int = 2000) -> None:

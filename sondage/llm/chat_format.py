@@ -40,6 +40,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
     ``messages``: tree, node, parent, score; a node occurs once in its tree. A parent that isn't in its tree makes its
     reply a root. Messages on a cycle reach no root and belong to no path; so do those of a null tree or node.
+    An empty table has no paths.
     """
     nodes = materialise(messages.select("tree", "node", "parent", "score"), "chat-nodes")
     jump = nodes.where("parent IS NOT NULL AND parent <> node").select("tree", "node", F.col("parent").alias("up")).join(nodes.select("tree", F.col("node").alias("up")), ["tree", "up"]).select("tree", "node", "up")
@@ -145,7 +146,8 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 def from_turns(rows: DataFrame) -> DataFrame:
     """Messages of linear conversations (conv_id, turn, role, text): each replies to the one before.
 
-    Turns are ordered by turn, then role and text, so ties and repeated rows have a place of their own.
+    Turns are ordered by turn, then role and text, so ties and repeated rows have a place of their own. An empty table
+    has no messages.
     """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     n = F.row_number().over(order).cast("long")

@@ -76,11 +76,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
-    """Fit the document classifier on at most MOST_LABELS labels, those of lowest hashed id; of texts that repeat an id one counts."""
+    """Fit the document classifier on at most MOST_LABELS labels, those of lowest hashed id; of texts that repeat an id one counts.
+
+    Null ids and labels are left out; with an empty table on either side the model gives every text the same evidence.
+    """
 
     @F.pandas_udf("array<double>")
     def vector(text: pd.Series) -> pd.Series:
-        return text.map(features)
+        return pd.Series([features(t) for t in text])
 
     truth = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).dropna()
     chosen = materialise(truth.orderBy(F.xxhash64("id"), "id", "y").limit(MOST_LABELS), "quality-labels")

@@ -73,7 +73,7 @@ def _host(host_col: str) -> Column:
 
 
 def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, document_col: str | None = None) -> DataFrame:
-    """(host, h, n_docs): lines that more documents of a host have than the limit.
+    """(host, h, n_docs): lines that more documents of a host have than the limit; none of an empty table.
 
     Documents are told apart by their text: exact copies are one document, or else a text with a thousand copies would
     count against its own lines and go with all of them. With ``document_col`` they are told apart by that column.
@@ -89,7 +89,7 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, **limits) -> DataFrame:
-    """(id, t, removed_words, removed array<bigint>) of the texts (hash t) with a line above the limit; repeated rows are one."""
+    """(id, t, removed_words, removed array<bigint>) of the texts (hash t) with a line above the limit; repeated rows are one, an empty table has none."""
     often = frequent_lines(docs, text_col, host_col, **limits)
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), _host(host_col), F.posexplode(_lines(F.col(text_col))).alias("at", "l")).select("id", "t", "host", "at", "l.h", "l.words")
     hits = lines.join(small(often.select("host", "h")), ["host", "h"])

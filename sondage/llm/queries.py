@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import centroid_clustering, chat_format, decontamination, fingerprints, html_blocks, importance_resampling, jaccard_join, license_scan, lm_scoring, quality_bayes, quality_rules, sp_tokens, warc_revisits
+from ._common import settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +73,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return settled(lambda: jaccard_join.jaccard_components(table(spark, sf_dir, "documents")), "op8")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+    return settled(lambda: lm_scoring.scores(table(spark, sf_dir, "documents")), "op9")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = settled(lambda: importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")), "op11")
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
@@ -95,7 +96,7 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited(table(spark, sf_dir, "documents"))
+    return settled(lambda: fingerprints.edited(table(spark, sf_dir, "documents")), "op13")
 
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

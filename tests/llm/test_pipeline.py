@@ -46,3 +46,37 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert out.count() == len(got)
         if table is not docs.limit(0) and got:
             assert [i for _, i in got] == [None, 1, 1, 6]
+
+
+def test_sizes_of_any_kind_or_none(spark):
+    """n_chars follows the text that is left, whatever its type; without the column nothing is added."""
+    import corpus_pipeline as p
+
+    text = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text, "h", "en", "5")], "doc_id long, text string, source string, lang string, n_chars string")
+    assert [r["n_chars"] for r in p.quality_rule_filter(spark, docs, "").collect()] == [str(len(text))]
+    assert [r["n_chars"] for r in p.quality_rule_filter(spark, docs.withColumn("n_chars", F.lit(None).cast("int")), "").collect()] == [len(text)]
+    assert p.quality_rule_filter(spark, docs.drop("n_chars"), "").columns == ["doc_id", "text", "source", "lang"]
+
+
+def test_a_run_leaves_only_the_last_rows(spark, sf_dir, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+    from sondage.llm import _common
+
+    monkeypatch.setattr(_common, "shared_dir", lambda _: str(tmp_path))
+    assert p.run(spark, sf_dir).count() > 0
+    assert [x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()] == ["pipeline-benchmark-decontamination"]
+
+
+def test_a_session_without_a_shared_folder(spark, monkeypatch):
+    from sondage.llm import _common
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Local:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    first = _common.shared_dir(Local())
+    assert first and _common.shared_dir(Local()) == first
