@@ -7,12 +7,16 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+#: The folder of a local application that names none.
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a local folder only on a local master where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="spark-shared-")
+        _local[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
