@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import passive, potential, records, resistivity, seismic, stations, survey, tomography, towed
+from .operators import layers as refraction_layers
+from .operators import passive, potential, records, resistivity, ridges, seismic, stations, survey, tomography, towed
 from .plans import joins
 from .plans.scratch import shared_folder
 from .sources import binary, segy, text
@@ -851,3 +852,31 @@ def spread_records(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").selectExpr("'line.sgy' AS file", "int(vec_id) AS trace", "string(vec_id div 12) AS source_id", "CASE WHEN vec_id % 12 = 0 THEN vec_id div 12 * 0.5D END AS source_x", "CASE WHEN vec_id % 12 NOT IN (3, 7) THEN vec_id % 12 * 2D END AS receiver_x", "0D AS delay", "string(null) AS error")
     out = seismic.spread(e, standoff=1.5)
     return r6(out.select(F.col("trace").cast("long").alias("vec_id"), "receiver_x", "source_x", "offset"), "offset")
+
+
+@query(f"""WITH RECURSIVE {IMAGE}, n AS (SELECT shot, f, c, energy, dense_rank() OVER (PARTITION BY shot ORDER BY f) AS k, round(max(energy) OVER (PARTITION BY shot, f) / (avg(energy) OVER (PARTITION BY shot, f) + 1e-30), 9) AS q FROM im),
+s AS (SELECT shot, arg_min(k, (-q, k)) AS k0 FROM n GROUP BY shot),
+t AS (SELECT n.shot, n.k, 0 AS dir, arg_min(c, (-round(energy, 9), c)) AS c FROM n JOIN s ON n.shot = s.shot AND n.k = s.k0 GROUP BY n.shot, n.k
+ UNION ALL SELECT p.shot, n.k, d.dir, arg_min(n.c, (-round(n.energy, 9), n.c)) FROM t p JOIN (VALUES (1), (-1)) d(dir) ON p.dir = 0 OR p.dir = d.dir JOIN n ON n.shot = p.shot AND n.k = p.k + d.dir AND n.c BETWEEN p.c * 0.5 AND p.c * 1.5 GROUP BY p.shot, n.k, d.dir),
+p AS (SELECT n.* FROM t JOIN n USING (shot, k, c)),
+w AS (SELECT p.shot, p.k, coalesce(min(n.c) FILTER (WHERE n.c >= p.c AND n.energy <= p.energy / 2), max(n.c)) - coalesce(max(n.c) FILTER (WHERE n.c <= p.c AND n.energy <= p.energy / 2), min(n.c)) AS w FROM p JOIN n USING (shot, k) GROUP BY p.shot, p.k)
+SELECT shot, f, c AS velocity, round(energy, 6) AS energy, round(w / 2, 6) AS width, round(q, 5) AS quality FROM p JOIN w USING (shot, k)""")
+def dispersion_pick_track(spark, sf_dir):
+    out = ridges.pick_track(image(spark, sf_dir), "shot", max_jump=0.5)
+    return r6(out, "energy", "width").withColumn("quality", F.round("quality", 5))
+
+
+@query(f"""WITH {FIT}, o AS (SELECT shot, row_number() OVER w AS k, sum(1.0) OVER w AS n, sum(x) OVER w AS x, sum(t) OVER w AS t, sum(x * x) OVER w AS xx, sum(x * t) OVER w AS xt, sum(t * t) OVER w AS tt FROM pk WINDOW w AS (PARTITION BY shot ORDER BY x)),
+z AS (SELECT * FROM o UNION ALL SELECT DISTINCT shot, 0, 0, 0, 0, 0, 0, 0 FROM pk), i AS (SELECT a.shot, a.k AS i, b.k AS j, b.n - a.n AS n, b.x - a.x AS x, b.t - a.t AS t, b.xx - a.xx AS xx, b.xt - a.xt AS xt, b.tt - a.tt AS tt FROM z a JOIN o b ON a.shot = b.shot AND b.k - a.k >= 3),
+f AS (SELECT *, CASE WHEN i = 0 THEN xt / xx ELSE (n * xt - x * t) / (n * xx - x * x) END AS p FROM i), g AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE (t - p * x) / n END AS b FROM f),
+e AS (SELECT shot, i, j, p, b, greatest(tt - p * xt - b * t, 0) AS e FROM g WHERE p > 0 AND (i = 0 OR b > 0)),
+m AS (SELECT a.shot, a.j AS c1, b.j AS c2, a.p AS p1, b.p AS p2, c.p AS p3, b.b AS b2, c.b AS b3, a.e + b.e + c.e AS sse FROM e a JOIN e b ON a.shot = b.shot AND a.j = b.i AND b.p < a.p JOIN e c ON c.shot = b.shot AND c.i = b.j AND c.p < b.p WHERE a.i = 0 AND c.j = 24),
+q AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY shot ORDER BY round(sse, 12), c1, c2) = 1), h AS (SELECT *, b2 / p1 / p2 / (2 * sqrt(1 / p2 / p2 - 1 / p1 / p1)) AS h1 FROM q)
+SELECT shot, c1::INT AS cut1, c2::INT AS cut2, round(1 / p1, 3) AS v1, round(1 / p2, 3) AS v2, round(1 / p3, 3) AS v3, round(h1, 3) AS h1, round((b3 - 2 * h1 * sqrt(1 / p3 / p3 - 1 / p1 / p1) * p1 * p3) / p2 / p3 / (2 * sqrt(1 / p3 / p3 - 1 / p2 / p2)), 3) AS h2 FROM h""")
+def fit_layers_n(spark, sf_dir):
+    """Three layers for each shot's picks, by the best of all cuts."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("shot"), "s_nationkey", F.explode(F.sequence(F.lit(1), F.lit(24)).cast("array<bigint>")).alias("i"))
+    p = s.selectExpr("shot", "i * 4D AS x", "least(i * 4D / (300 + shot), 0.02D + s_nationkey * 0.001D + i * 4D / (1200 + shot * 2)) + ((i * 7 + shot) % 5) * 0.0001D AS t")
+    m = refraction_layers.fit_layers(p, "shot", "x", "t", 3, least=3)
+    at = lambda c, i: F.col(c)[i]
+    return m.select("shot", at("cuts", 0).alias("cut1"), at("cuts", 1).alias("cut2"), *[F.round(at("velocities", i), 3).alias(f"v{i + 1}") for i in range(3)], *[F.round(at("thicknesses", i), 3).alias(f"h{i + 1}") for i in range(2)])
