@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.ordered import quantiles
+from ..plans.ordered import few, quantiles
 
 
 def gap_sessions(files: DataFrame, by: str, start: str, max_gap: float) -> DataFrame:
@@ -52,7 +52,7 @@ def tumbling_events(samples: DataFrame, node: str, window: str, value: str, thre
     std = samples.groupBy(node, window).agg(F.stddev_pop(value).alias("s"), F.count(value).alias("c"))
     full = std.where("c > 0" if whole is None else F.col("c") >= whole)
     nodes = samples.agg(F.count_distinct(node).alias("_nodes"))
-    own = quantiles(full, [node], "s", {"m": 0.5})
+    own = few(quantiles(full, [node], "s", {"m": 0.5}))
     score = F.col("s") / F.when(F.col("m") > 0, F.col("m")).otherwise(1.0)
     least = full.join(own, node).groupBy(window).agg(F.min(score).alias("score"), F.count(F.lit(1)).alias("nodes"))
     found = least.crossJoin(F.broadcast(nodes)).where((F.col("score") >= threshold) & (F.col("nodes") == F.col("_nodes"))).drop("_nodes")  # one row
@@ -71,7 +71,7 @@ def sliding_gate(samples: DataFrame, node: str, index: str, value: str, length:
     nodes = samples.agg(F.count_distinct(node).alias("_nodes"))
     full = each.groupBy("start").agg(F.count(F.lit(1)).alias("nodes"), F.min("s").alias("least")).crossJoin(F.broadcast(nodes)).where("nodes = _nodes").drop("_nodes")  # one row
     each = each.join(full, "start").where("s > 0")
-    mid = quantiles(each, [node], "s", {"m": 0.5})
+    mid = few(quantiles(each, [node], "s", {"m": 0.5}))
     ok = (F.col("s") > lo * F.col("m")) & (F.col("s") < hi * F.col("m"))
     return each.where("least > 0").join(mid, node).groupBy("start", "nodes").agg(F.min(ok.cast("int")).alias("ok"), F.avg("s").alias("rms")).where("ok = 1").drop("ok")
 
@@ -122,7 +122,7 @@ def shot_windows(samples: DataFrame, shots: DataFrame, node: str, index: str, va
     size, else the time as given. Windows start ``before`` samples earlier; those that leave the record are left out.
     """
     size = samples.select(F.col(node).alias("_n"), F.col(index).alias("_i"), F.abs(F.coalesce(F.col(value), F.lit(0.0))).alias("_a"))
-    back = quantiles(size, ["_n"], "_a", {"_m": 0.5})
+    back = few(quantiles(size, ["_n"], "_a", {"_m": 0.5}))
     extent = size.agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), F.count_distinct("_n").alias("_nodes"))  # one row
     hot = size.join(back, "_n").where(F.col("_a") > factor * F.col("_m")).groupBy("_i").agg(F.count_distinct("_n").alias("_c"))
     near = shots.select(F.col(shot).alias("shot"), F.col(at).alias("nominal"), F.explode(F.sequence(F.col(at) - search, F.col(at) + search - 1)).alias("_i")) if search else shots.select(F.col(shot).alias("shot"), F.col(at).alias("nominal"), F.lit(None).cast("long").alias("_i"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import geometric_factor, median_depth
-from .stations import median
+from ..plans.ordered import few, quantiles
 
 
 def dipole_dipole(spark: SparkSession, electrodes: int, n_max: int = 8, a_max: int = 1) -> DataFrame:
@@ -76,7 +76,10 @@ def trim(readings: DataFrame, first: int, count: int) -> DataFrame:
 def grouped(readings: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Positive readings of a position: geometric mean, number, deviation of the logarithm, mean, median, least."""
     up = readings.where(F.col(value) > 0)
-    return up.groupBy(*keys).agg(F.exp(F.avg(F.ln(value))).alias("geometric"), F.count(F.lit(1)).alias("n"), F.stddev_samp(F.ln(value)).alias("std_ln"), F.avg(value).alias("mean"), median(value).alias("median"), F.min(value).alias("least"))
+    out = up.groupBy(*keys).agg(F.exp(F.avg(F.ln(value))).alias("geometric"), F.count(F.lit(1)).alias("n"), F.stddev_samp(F.ln(value)).alias("std_ln"), F.avg(value).alias("mean"), F.min(value).alias("least"))
+    mid = few(quantiles(up, keys, value, {"median": 0.5})).select(*[F.col(k).alias(f"_{k}") for k in keys], "median")
+    on = [out[k].eqNullSafe(mid[f"_{k}"]) for k in keys]
+    return out.join(mid, on, "left").select(*keys, "geometric", "n", "std_ln", "mean", "median", "least")
 
 
 def schlumberger(spark: SparkSession, electrodes: int, n_max: int = 8, a_max: int = 1) -> DataFrame:

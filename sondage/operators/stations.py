@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.joins import interpolate
-from ..plans.ordered import quantiles, with_next
-
-
-def median(c: Column | str) -> Column:
-    """The exact median, linear between the two middle values."""
-    return F.percentile(c, 0.5)
+from ..plans.ordered import few, quantiles, with_halo, with_next
 
 
 def station_means(readings: DataFrame, station: str, value: str) -> DataFrame:
@@ -57,29 +52,31 @@ def flag_noisy(stations: DataFrame, sigma: str, limit: float) -> DataFrame:
 
 def median_and_mad(readings: DataFrame, by: str, value: str) -> DataFrame:
     """Median and 1.4826 times the median absolute deviation of each group."""
-    mid = readings.groupBy(by).agg(median(value).alias("median"))
-    return readings.join(mid, by).groupBy(by, "median").agg((1.4826 * median(F.abs(F.col(value) - F.col("median")))).alias("scatter"))
+    mid = few(quantiles(readings, [by], value, {"median": 0.5}))
+    off = readings.select(by, F.col(value).alias("_v")).join(mid, by)
+    scatter = quantiles(off, [by], F.abs(F.col("_v") - F.col("median")), {"_s": 0.5})
+    return mid.join(few(scatter), by).select(by, "median", (1.4826 * F.col("_s")).alias("scatter"))
 
 
 def noise(readings: DataFrame, line: str, channel: str, seq: str, value: str, expected: float | None = None) -> DataFrame:
     """Per channel: median, P95 - P5 and 1.4826 MAD(differences along lines) / sqrt(2); of ``expected`` also its ratio to the noise, snr."""
     diff = readings.select(F.col(channel).alias("_c"), F.col(value).alias("_v"), (F.col(value) - F.lag(value).over(Window.partitionBy(channel, line).orderBy(seq))).alias("_d"))
     mid = quantiles(diff, ["_c"], "_v", {"median": 0.5, "_hi": 0.95, "_lo": 0.05})
-    step = quantiles(diff, ["_c"], "_d", {"_m": 0.5})
+    step = few(quantiles(diff, ["_c"], "_d", {"_m": 0.5}))
     mad = quantiles(diff.join(step, "_c"), ["_c"], F.abs(F.col("_d") - F.col("_m")), {"_mad": 0.5})
     out = mid.join(mad, "_c", "left").select(F.col("_c").alias(channel), "median", (F.col("_hi") - F.col("_lo")).alias("spread"), (1.4826 * F.col("_mad") / F.sqrt(F.lit(2.0))).alias("noise"))
     return out if expected is None else out.withColumn("expected", F.lit(float(expected))).withColumn("snr", F.abs("expected") / F.col("noise"))
 
 
-def despike(readings: DataFrame, line: str, seq: str, value: str, half: int = 4, threshold: float = 6.0, width: float = 100_000.0) -> DataFrame:
+def despike(readings: DataFrame, line: str, seq: str, value: str, half: int = 4, threshold: float = 6.0, width: float = 20_000.0) -> DataFrame:
     """Flag and remove values further than ``threshold`` sigma from a centred running median of 2 half + 1 values of their line.
 
     Sigma is 1.4826 MAD of the differences of the whole column in order of line and ``seq``, line joins included, over
-    sqrt(2); where it is 0 or unknown nothing is flagged. Differences are taken within ranges of ``width`` of ``seq``;
-    a row per line gives those across line joins. Adds running, spike and despiked (null at spikes).
+    sqrt(2); where it is 0 or unknown nothing is flagged. Differences and running medians are taken within ranges of
+    ``width`` of ``seq`` and a halo of ``half`` rows; a row per line gives the differences across line joins. Adds running, spike and despiked (null at spikes).
     """
-    frame = f"(PARTITION BY {line} ORDER BY {seq} ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
-    smooth = readings.withColumn("running", F.expr(f"percentile({value}, 0.5) OVER {frame}"))
+    frame = f"(PARTITION BY {line}, _range ORDER BY {seq} ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    smooth = with_halo(readings, [line], seq, half, width).withColumn("running", F.expr(f"percentile({value}, 0.5) OVER {frame}")).where("_own").drop("_range", "_own")
     rows = readings.select(F.col(line).alias("_line"), F.col(seq).alias("_seq"), F.col(value).alias("_v"))
     inside = with_next(rows, ["_line"], "_seq", ["_v"], width).select((F.col("next__v") - F.col("_v")).alias("d"))
     ends = rows.groupBy("_line").agg(F.min_by("_v", "_seq").alias("_first"), F.max_by("_v", "_seq").alias("_last"))
@@ -100,7 +97,7 @@ def together(readings: DataFrame, flags: list[str], values: list[str]) -> DataFr
 
 def level_lines(readings: DataFrame, line: str, value: str) -> DataFrame:
     """Value less the difference of its line's median from the survey's."""
-    lines = quantiles(readings, [line], value, {"_l": 0.5})
+    lines = few(quantiles(readings, [line], value, {"_l": 0.5}))
     total = quantiles(readings, [], value, {"_s": 0.5})
     return _with_one(readings.join(lines, line, "left"), total).withColumn("levelled", F.col(value) - (F.col("_l") - F.col("_s"))).drop("_l", "_s")
 
@@ -118,7 +115,8 @@ def track_summary(readings: DataFrame, line: str, seq: str, x: str, y: str, seco
     o = Window.partitionBy(line).orderBy(seq)
     dx, dy = F.col(x) - F.lag(x).over(o), F.col(y) - F.lag(y).over(o)
     steps = readings.withColumn("step", F.sqrt(dx * dx + dy * dy))
-    out = steps.groupBy(line).agg(F.count(F.lit(1)).alias("samples"), (F.max(seconds) - F.min(seconds)).alias("duration"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"), median("step").alias("median_step"))
+    out = steps.groupBy(line).agg(F.count(F.lit(1)).alias("samples"), (F.max(seconds) - F.min(seconds)).alias("duration"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"))
+    out = out.join(few(quantiles(steps, [line], "step", {"median_step": 0.5})), line, "left")
     return out.withColumn("speed", F.when(F.col("duration") > 0, F.col("length") / F.col("duration")))
 
 

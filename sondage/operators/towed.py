@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import geometric_factor
 from ..plans.joins import interpolate
-from ..plans.ordered import quantiles
+from ..plans.ordered import few, quantiles
 
 
 def towed_line(readings: DataFrame, track: DataFrame, spacing: float, utc_offset_hours: float = 0.0, lead: float = 0.0, width: float = 60.0) -> DataFrame:
@@ -22,7 +22,7 @@ def towed_line(readings: DataFrame, track: DataFrame, spacing: float, utc_offset
     current ahead both pairs are swapped (reciprocity). Positive repeats on the same electrodes are averaged: geometric
     mean of r, scatter the deviation of its logarithm. Electrodes count from the first of the file.
     """
-    span = track.groupBy("file").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+    span = few(track.groupBy("file").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1")))
     rows = readings.join(span, "file").withColumn("t", F.col("t") + 3600.0 * utc_offset_hours)
     rows = rows.withColumn("t", F.when(F.col("t") < F.col("_t0") - 43200, F.col("t") + 86400).otherwise(F.col("t")))
     outside = F.raise_error(F.concat(F.lit("outside the track, check utc_offset_hours: record "), F.col("record").cast("string"), F.lit(" of "), F.col("file"))).cast("double")
@@ -33,7 +33,7 @@ def towed_line(readings: DataFrame, track: DataFrame, spacing: float, utc_offset
     off = F.raise_error(F.concat(F.lit("the streamer is off the grid in "), F.col("file"))).cast("double")
     anchor = F.rint((F.col("_s") - lead) / spacing)
     rows = rows.withColumns({f"_{p}": anchor + F.when(F.abs(step(f"{p}x") - F.rint(step(f"{p}x"))) > 0.05, off).otherwise(F.rint(step(f"{p}x"))) for p in "abmn"})
-    first = rows.groupBy("file").agg(F.min(F.least(*[f"_{p}" for p in "abmn"])).alias("_first"))
+    first = few(rows.groupBy("file").agg(F.min(F.least(*[f"_{p}" for p in "abmn"])).alias("_first")))
     rows = rows.join(first, "file").withColumns({f"_{p}": (F.col(f"_{p}") - F.col("_first")).cast("long") for p in "abmn"})
     ahead = F.col("_a") + F.col("_b") > F.col("_m") + F.col("_n")
     for p, q in zip("abmn", "mnab", strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import with_next
+from .ordered import few, with_next
 
 
 def interval_match(points: DataFrame, windows: DataFrame, at: str, start: str, end: str, seq: str, width: float, tolerance: float = 0.0, point_key: str = "point_key") -> DataFrame:
@@ -52,6 +52,7 @@ def interpolate(points: DataFrame, knots: DataFrame, x: str, knot_x: str, knot_y
     seg = with_next(knots.select(*by, F.col(knot_x).alias("_x0"), F.col(knot_y).alias("_y0")), by, "_x0", ["_x0", "_y0"], 100.0 * width)
     seg = seg.withColumnsRenamed({"next__x0": "_x1", "next__y0": "_y1"})
     ends = seg.groupBy(*by).agg(F.min("_x0").alias("_lo"), F.max("_x0").alias("_hi"), F.min_by("_y0", "_x0").alias("_ylo"), F.max_by("_y0", "_x0").alias("_yhi"))
+    ends = few(ends) if by else ends
     inner = seg.where("_x1 IS NOT NULL").withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_x0")), bucket(F.col("_x1")))))
     ranged = points.join(ends, by, "left") if by else points.crossJoin(F.broadcast(ends))  # one row
     within = (F.col(x) >= F.col("_x0")) & (F.col(x) < F.col("_x1"))
