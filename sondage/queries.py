@@ -880,3 +880,55 @@ def fit_layers_n(spark, sf_dir):
     m = refraction_layers.fit_layers(p, "shot", "x", "t", 3, least=3)
     at = lambda c, i: F.col(c)[i]
     return m.select("shot", at("cuts", 0).alias("cut1"), at("cuts", 1).alias("cut2"), *[F.round(at("velocities", i), 3).alias(f"v{i + 1}") for i in range(3)], *[F.round(at("thicknesses", i), 3).alias(f"h{i + 1}") for i in range(2)])
+
+
+ARRAY = f"""{TRACE}, ax AS (SELECT vec_id, i, (v - avg(v) OVER (PARTITION BY vec_id)) * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS x FROM tr),
+asp AS (SELECT vec_id // 80 AS a, vec_id % 4 AS node, vec_id // 4 AS w, k, sum(x * cos(2 * pi() * k * i / 64)) AS re, -sum(x * sin(2 * pi() * k * i / 64)) AS im FROM ax, range(2, 8) q(k) GROUP BY vec_id, k),
+aco AS (SELECT l.a, l.node AS i, r.node AS j, l.k / 0.128 AS f, avg(l.re * r.re + l.im * r.im) AS re, avg(l.im * r.re - l.re * r.im) AS im, sqrt(avg(l.re ** 2 + l.im ** 2) * avg(r.re ** 2 + r.im ** 2)) AS p, count(*) AS n FROM asp l JOIN asp r ON l.a = r.a AND l.w = r.w AND l.k = r.k AND l.node < r.node GROUP BY l.a, l.node, r.node, l.k),
+coh AS (SELECT a, i, j, f, re / p AS re, im / p AS im, n FROM aco WHERE p > 0)"""
+
+
+def array_coherency(spark, sf_dir) -> DataFrame:
+    """Coherency of the pairs of four nodes per array: 80 vectors are 20 windows of an array's nodes in turn."""
+    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id div 80 AS a", "vec_id % 4 AS node", "vec_id div 4 AS w", "embedding")
+    return passive.coherency(passive.spectra(e, ["a", "node", "w"], "embedding", 0.002, 10.0, 60.0), "node", "w", "a")
+
+
+@query(f"""WITH {ARRAY}, ph AS (SELECT a, i, j, f, atan2(im, re) AS p, sqrt(re * re + im * im) AS c FROM coh), st AS (SELECT *, p - lag(p) OVER w AS d FROM ph WINDOW w AS (PARTITION BY a, i, j ORDER BY f)),
+tu AS (SELECT *, sum(CASE WHEN d > pi() THEN -1 WHEN d < -pi() THEN 1 ELSE 0 END) OVER (PARTITION BY a, i, j ORDER BY f) AS turns FROM st)
+SELECT a, i, j, round(f, 6)::DOUBLE AS f, round(2 * pi() * f * (j - i) * 12.5 / abs(p + 2 * pi() * turns), 4) AS velocity, turns::BIGINT AS turns, round(c, 6) AS coherence FROM tu WHERE c >= 0.15 AND abs(p + 2 * pi() * turns) > radians(20)""")
+def two_station_dispersion(spark, sf_dir):
+    """Phase velocities of all node pairs of all arrays, nodes in a line."""
+    coh = array_coherency(spark, sf_dir)
+    pairs = coh.select("a", "i", "j").distinct().withColumn("r", (F.col("j") - F.col("i")) * 12.5)
+    out = passive.two_station(coh, pairs, ["a"], min_coherence=0.15)
+    return r6(out.withColumn("velocity", F.round("velocity", 4)).withColumn("turns", F.col("turns").cast("long")), "f", "coherence")
+
+
+_SLOWNESS = "CASE WHEN I < 5 THEN I / (5 * 5000.0) ELSE pow(100.0, (I - 5) / 19.0) / 5000 END"
+_WAVE = "p + 2 * pi() * f * s * (sin(radians(az)) * dx + cos(radians(az)) * dy)"
+_TURNED = "(W - 2 * pi() * floor(W / (2 * pi()) + 0.5))".replace("W", f"({_WAVE})")
+_MISFIT = f"SELECT a, f, cell, s, az, np, sum({_TURNED} ** 2 / v) AS chi2, avg({_TURNED} ** 2) AS rr, avg(m * cos({_WAVE})) AS beam, avg(m) AS co FROM"
+
+
+@query(f"""WITH {ARRAY}, nd AS (SELECT n AS node, [0.0, 30.0, -12.0, 9.0][n + 1] AS x, [0.0, 4.0, 25.0, -21.0][n + 1] AS y FROM range(4) t(n)),
+us AS (SELECT c.a, c.f, k.x - l.x AS dx, k.y - l.y AS dy, sqrt(re * re + im * im) AS m, atan2(im, re) AS p, n, count(*) OVER (PARTITION BY c.a, c.f) AS np FROM coh c JOIN nd k ON k.node = c.i JOIN nd l ON l.node = c.j WHERE sqrt(re * re + im * im) >= 0.05 QUALIFY np >= 3),
+gr AS (SELECT cell, {_SLOWNESS.replace('I', '(cell // 18)')} AS s, cell % 18 * 20.0 AS az FROM range(450) t(cell) WHERE cell = 0 OR cell >= 18),
+be AS (SELECT a, f, cell, s, avg(m * cos({_WAVE})) AS beam FROM us, gr GROUP BY a, f, cell, s), fi AS (SELECT a, f, arg_min(s, (-round(beam, 9), cell)) AS s1 FROM be GROUP BY a, f),
+we AS (SELECT us.*, greatest((1 - m * m) / (2 * n * m * m) + 2 * (2 * pi() * f * s1 * 1.5) ** 2 + 2 * (2 * pi() * f * 1e-4) ** 2, radians(0.5) ** 2) AS v FROM us JOIN fi USING (a, f)),
+co AS ({_MISFIT} we, gr GROUP BY a, f, cell, s, az, np), bc AS (SELECT a, f, arg_min(cell, (round(chi2, 6), cell)) AS cell FROM co GROUP BY a, f),
+bn AS (SELECT a, f, {_SLOWNESS.replace('I', 'greatest(cell // 18 - 1, 0)')} AS lo, {_SLOWNESS.replace('I', 'least(cell // 18 + 1, 24)')} AS hi, cell % 18 * 20.0 AS mid FROM bc),
+fg AS (SELECT we.*, 1048576 + k AS cell, lo + (hi - lo) * (k // 21) / 20 AS s, (mid + 20.0 * (k % 21 / 10.0 - 1) + 360) % 360 AS az FROM we JOIN bn USING (a, f), range(441) t(k)),
+ev AS (SELECT * FROM co UNION ALL {_MISFIT} fg GROUP BY a, f, cell, s, az, np), bb AS (SELECT a, f, arg_min(struct_pack(s := s, az := az, chi2 := chi2, rr := rr, beam := beam, co := co, np := np), (round(chi2, 6), cell)) AS b FROM ev GROUP BY a, f),
+rg AS (SELECT a, f, min(s) AS s0, max(s) AS s1, any_value(b) AS b, list_sort(list_distinct(list(round(az, 6)))) AS azs FROM ev JOIN bb USING (a, f) WHERE chi2 <= b.chi2 + 2.30 * greatest(b.chi2 / greatest(b.np - 2, 1), 1) GROUP BY a, f),
+hw AS (SELECT *, CASE WHEN s0 = 0 THEN 180 ELSE (360 - list_max(list_transform(range(len(azs)), lambda k: coalesce(azs[k + 2], azs[1] + 360) - azs[k + 1]))) / 2 END AS half FROM rg)
+SELECT a, round(f, 6)::DOUBLE AS f, CASE WHEN b.s > 0 THEN round(1 / b.s, 4) END AS velocity, CASE WHEN s1 > 0 THEN round(1 / s1, 4) END AS velocity_min, CASE WHEN s0 >= 1 / 5000.0 THEN round(1 / s0, 4) END AS velocity_max, round((b.az + 180) % 360, 6)::DOUBLE AS azimuth, round(half, 6)::DOUBLE AS azimuth_halfwidth,
+round(b.beam, 6) AS beam, round(degrees(sqrt(b.rr)), 5) AS phase_rms, b.np::BIGINT AS n_pairs, s0 >= 1 / 5000.0 AND s1 < (1 - 1e-9) / 50 AS resolved FROM hw""")
+def plane_wave_fit(spark, sf_dir):
+    """A plane wave for each array and frequency of all windows; infinite velocities are null."""
+    nodes = spark.createDataFrame([(n, x, y) for n, (x, y) in enumerate([(0.0, 0.0), (30.0, 4.0), (-12.0, 25.0), (9.0, -21.0)])], "node long, x double, y double")
+    coh = array_coherency(spark, sf_dir)
+    placed = coh.select("a").distinct().crossJoin(F.broadcast(nodes))  # four rows
+    out = passive.plane_wave(coh, placed, "a", "node", "x", "y", vmin=50.0, vmax=5000.0, n_velocity=20, azimuth_step=20.0, min_coherence=0.05)
+    finite = lambda c: F.when(F.col(c) < float("inf"), F.round(c, 4)).alias(c)
+    return r6(out.select("a", "f", finite("velocity"), finite("velocity_min"), finite("velocity_max"), "azimuth", "azimuth_halfwidth", "beam", F.round("phase_rms", 5).alias("phase_rms"), "n_pairs", "resolved"), "f", "azimuth", "azimuth_halfwidth", "beam")
