@@ -29,12 +29,8 @@ def _samples(traces: DataFrame, key: str, array: str) -> DataFrame:
     return samples(traces.select(F.col(key).alias("trace"), F.col(array).alias("a")), "trace", "a")
 
 
-def energy_ratio(traces: DataFrame, key: str, array: str, n: int, modified: bool = False) -> DataFrame:
-    """Per trace the sample with the largest ratio of the next ``n`` samples' energy to the last ``n`` ones', and the ratio.
-
-    Only where both windows are whole. A floor of 1e-9 of the largest energy of both windows keeps a silent lead-in
-    finite. ``modified``: the cube of the ratio times the sample's size.
-    """
+def _energy_ratios(traces: DataFrame, key: str, array: str, n: int, modified: bool) -> DataFrame:
+    """(trace, i, r) where both windows are whole."""
     s = _samples(traces, key, array)
     w = Window.partitionBy("trace").orderBy("i")
     trail, lead = w.rowsBetween(-(n - 1), 0), w.rowsBetween(1, n)
@@ -42,10 +38,34 @@ def energy_ratio(traces: DataFrame, key: str, array: str, n: int, modified: bool
     r = s.select("trace", "i", "v", F.when(F.count("v").over(trail) == n, F.sum(e).over(trail)).alias("t"), F.when(F.count("v").over(lead) == n, F.sum(e).over(lead)).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
     floor = F.lit(1e-9) * F.max(F.col("t") + F.col("l")).over(Window.partitionBy("trace")) + F.lit(1e-30)
     r = r.select("trace", "i", "v", (F.col("l") / (F.col("t") + floor)).alias("r"))
-    r = r.withColumn("r", F.pow(F.col("r") * F.abs("v"), 3)) if modified else r
+    return r.withColumn("r", F.pow(F.col("r") * F.abs("v"), 3)) if modified else r
+
+
+def energy_ratio(traces: DataFrame, key: str, array: str, n: int, modified: bool = False) -> DataFrame:
+    """Per trace the sample with the largest ratio of the next ``n`` samples' energy to the last ``n`` ones', and the ratio.
+
+    Only where both windows are whole. A floor of 1e-9 of the largest energy of both windows keeps a silent lead-in
+    finite. ``modified``: the cube of the ratio times the sample's size.
+    """
+    r = _energy_ratios(traces, key, array, n, modified)
     return r.groupBy("trace").agg(F.min_by("i", F.struct(-F.round("r", 9), F.col("i"))).alias("pick"), F.max("r").alias("ratio")).withColumnRenamed("trace", key)
 
 
+def guided_pick(traces: DataFrame, key: str, array: str, n: int, expected: Column | DataFrame, half: int, edits: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """(key, expected, pick, ratio, edited): per trace the largest energy ratio within ``half`` samples of where it is expected.
+
+    ``expected`` is a column of ``traces`` (a sample: a model's prediction, a neighbour's pick) or a table (key, expected).
+    A trace without an expected sample, or without a ratio of ``least`` or more near it, has no pick. ``edits`` (key, pick)
+    are picks made by hand: they stay as they are, whatever is expected, and those of unknown traces are left out.
+    """
+    known = traces.select(key, expected.cast("double").alias("expected")) if isinstance(expected, Column) else traces.select(key).join(expected.select(key, F.col("expected").cast("double").alias("expected")), key, "left")
+    r = _energy_ratios(traces, key, array, n, False).join(known.withColumnRenamed(key, "trace"), "trace")
+    near = r.where((F.abs(F.col("i") - F.col("expected")) <= half) & (F.col("r") >= least))
+    best = near.groupBy(F.col("trace").alias(key)).agg(F.min_by("i", F.struct(-F.round("r", 9), F.abs(F.col("i") - F.col("expected")), F.col("i"))).alias("pick"), F.max("r").alias("ratio"))
+    out = known.join(best, key, "left").select(key, "expected", "pick", "ratio")
+    return with_edits(out, edits, [key], ["pick"]) if edits is not None else out.withColumn("edited", F.lit(False))
+
+
 def sta_lta(traces: DataFrame, key: str, array: str, short: int, long: int, threshold: float) -> DataFrame:
     """Per trace the first sample whose short over long average of the energy reaches the threshold.
 

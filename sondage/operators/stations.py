@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import lineage
 from ..plans.joins import interpolate
 from ..plans.ordered import few, quantiles, with_halo, with_next
 
@@ -16,7 +17,11 @@ def station_means(readings: DataFrame, station: str, value: str) -> DataFrame:
 
 
 def drift_corrected(readings: DataFrame, base: DataFrame, x: str, value: str, width: float) -> DataFrame:
-    """``readings`` with diurnal (base curve at ``x`` less its first value) and corrected."""
+    """``readings`` with diurnal (base curve at ``x`` less its first value) and corrected.
+
+    Readings with a lineage get a step "diurnal"; the job fails where they have had it.
+    """
+    readings = lineage.once(readings, "diurnal", at=x) if lineage.LINEAGE in readings.columns else readings
     zero = base.agg(F.min_by(value, x).alias("_zero"))
     curve = interpolate(readings, base, x, x, value, "_curve", width)
     out = curve.crossJoin(F.broadcast(zero))  # one row
@@ -96,7 +101,8 @@ def together(readings: DataFrame, flags: list[str], values: list[str]) -> DataFr
 
 
 def level_lines(readings: DataFrame, line: str, value: str) -> DataFrame:
-    """Value less the difference of its line's median from the survey's."""
+    """Value less the difference of its line's median from the survey's; a lineage gets the step, once."""
+    readings = lineage.once(readings, "levelled", by=line) if lineage.LINEAGE in readings.columns else readings
     lines = few(quantiles(readings, [line], value, {"_l": 0.5}))
     total = quantiles(readings, [], value, {"_s": 0.5})
     return _with_one(readings.join(lines, line, "left"), total).withColumn("levelled", F.col(value) - (F.col("_l") - F.col("_s"))).drop("_l", "_s")
@@ -154,7 +160,8 @@ def free_air_offsets(readings: DataFrame, mask: Column, channels: list[str]) ->
 
 
 def subtract_offsets(readings: DataFrame, offsets: DataFrame, channels: list[str]) -> DataFrame:
-    """Each channel less its offset; the job fails where a channel has none."""
+    """Each channel less its offset; the job fails where a channel has none, or a row with a lineage has had its offsets taken off."""
+    readings = lineage.once(readings, "free-air offsets", channels=",".join(channels)) if lineage.LINEAGE in readings.columns else readings
     one = offsets.agg(*[F.max(F.when(F.col("channel") == c, F.col("offset"))).alias(f"_{c}") for c in channels])  # one row
     less = lambda c: F.col(c) - F.when(F.col(f"_{c}").isNull(), F.raise_error(F.lit(f"no offset of channel {c}")).cast("double")).otherwise(F.col(f"_{c}"))
     return readings.crossJoin(F.broadcast(one)).withColumns({c: less(c) for c in channels}).drop(*[f"_{c}" for c in channels])

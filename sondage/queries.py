@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import scalar
+from .functions import geodesy, scalar
 from .operators import layers as refraction_layers
-from .operators import passive, potential, records, resistivity, ridges, seismic, stations, survey, tomography, towed
+from .operators import lineage, passive, potential, records, resistivity, ridges, seismic, stations, survey, tomography, towed
 from .plans import joins
 from .plans.scratch import shared_folder
 from .sources import binary, segy, text
@@ -932,3 +932,67 @@ def plane_wave_fit(spark, sf_dir):
     out = passive.plane_wave(coh, placed, "a", "node", "x", "y", vmin=50.0, vmax=5000.0, n_velocity=20, azimuth_step=20.0, min_coherence=0.05)
     finite = lambda c: F.when(F.col(c) < float("inf"), F.round(c, 4)).alias(c)
     return r6(out.select("a", "f", finite("velocity"), finite("velocity_min"), finite("velocity_max"), "azimuth", "azimuth_halfwidth", "beam", F.round("phase_rms", 5).alias("phase_rms"), "n_pairs", "resolved"), "f", "azimuth", "azimuth_halfwidth", "beam")
+
+
+def _tm_sql() -> tuple[str, str]:
+    """The series as SQL: easting and northing of lon, lat (radians from the meridian: w; conformal tangent: t)."""
+    a = geodesy.series(geodesy.FORWARD, geodesy.WGS84)
+    x = " + ".join(f"{c!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(a, 1))
+    y = " + ".join(f"{c!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(a, 1))
+    return x, y
+
+
+_E = 2 * math.sqrt(geodesy.WGS84[1] / (2 - geodesy.WGS84[1])) / (1 + geodesy.WGS84[1] / (2 - geodesy.WGS84[1]))
+_K = 0.9996 * geodesy.rectifying_radius(geodesy.WGS84)
+
+
+@query(f"""WITH p AS (SELECT c_custkey, c_custkey * 7 % 359 - 179.25 AS lon, c_custkey * 13 % 160 - 79.5 AS lat FROM customer), z AS (SELECT *, floor((lon + 180) / 6) % 60 + 1 AS zone FROM p),
+s AS (SELECT *, sin(radians(lat)) AS s, radians(lon - (zone * 6 - 183)) AS w FROM z), t AS (SELECT *, sinh(atanh(s) - {_E!r} * atanh({_E!r} * s)) AS t FROM s), u AS (SELECT *, atan2(t, cos(w)) AS xi, atanh(sin(w) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT c_custkey, zone::INTEGER AS zone, round(500000 + {_K!r} * (eta + {_tm_sql()[0]}), 4) AS easting, round(CASE WHEN lat >= 0 THEN 0 ELSE 1e7 END + {_K!r} * (xi + {_tm_sql()[1]}), 4) AS northing, round(lon, 9)::DOUBLE AS longitude, round(lat, 9)::DOUBLE AS latitude FROM u""")
+def utm_projection(spark, sf_dir):
+    """Customers' places in their UTM zone, and back in degrees."""
+    p = table(spark, sf_dir, "customer").selectExpr("c_custkey", "double(c_custkey * 7 % 359 - 179.25) AS lon", "double(c_custkey * 13 % 160 - 79.5) AS lat")
+    zone = geodesy.utm_zone(F.col("lon"))
+    e, n = geodesy.utm(F.col("lon"), F.col("lat"), zone)
+    out = p.select("c_custkey", "lat", zone.alias("zone"), e.alias("e"), n.alias("n"))
+    lon, lat = geodesy.from_transverse_mercator(F.col("e"), F.col("n"), F.col("zone") * 6 - 183, north=F.when(F.col("lat") >= 0, 0.0).otherwise(1e7))
+    return out.select("c_custkey", "zone", F.round("e", 4).alias("easting"), F.round("n", 4).alias("northing"), F.round(lon, 9).alias("longitude"), F.round(lat, 9).alias("latitude"))
+
+
+_F = geodesy.WGS84[1]
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT c_custkey AS id, radians((c_custkey * 7 % 340) - 170.25) AS lam1, atan({1 - _F!r} * tan(radians(c_custkey * 13 % 150 - 75.0))) AS u1, radians((c_nationkey * 3) + 5.5) AS lam2, atan({1 - _F!r} * tan(radians(c_nationkey + 20.25))) AS u2 FROM customer),
+g AS (SELECT id, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, (lam2 - lam1) - 2 * pi() * floor((lam2 - lam1) / (2 * pi()) + 0.5) AS w FROM p),
+r AS (SELECT *, w AS lam, w AS was, 0 AS k FROM g UNION ALL SELECT id, s1, c1, s2, c2, w, w + (1 - c) * {_F!r} * sa * (sg + c * ss * (m + c * cs * (2 * m * m - 1))), lam, k + 1 FROM (
+ SELECT *, {_F!r} / 16 * cc * (4 + {_F!r} * (4 - 3 * cc)) AS c, CASE WHEN cc > 1e-15 THEN cs - 2 * s1 * s2 / cc ELSE 0 END AS m FROM (SELECT *, 1 - sa * sa AS cc, atan2(ss, cs) AS sg FROM (SELECT *, CASE WHEN ss > 0 THEN c1 * c2 * sin(lam) / ss ELSE 0 END AS sa FROM (
+ SELECT *, sqrt((c2 * sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * cos(lam)) ** 2) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM r WHERE k < 20))))),
+e AS (SELECT id, lam, was, s1, c1, s2, c2, sqrt((c2 * sin(was)) ** 2 + (c1 * s2 - s1 * c2 * cos(was)) ** 2) AS ss, s1 * s2 + c1 * c2 * cos(was) AS cs FROM r WHERE k = 20),
+f AS (SELECT *, CASE WHEN ss > 0 THEN c1 * c2 * sin(was) / ss ELSE 0 END AS sa FROM e), h AS (SELECT *, 1 - sa * sa AS cc FROM f), i AS (SELECT *, CASE WHEN cc > 1e-15 THEN cs - 2 * s1 * s2 / cc ELSE 0 END AS m, cc * {(1 / (1 - _F) ** 2 - 1)!r} AS u FROM h),
+j AS (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS a, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS b FROM i)
+SELECT id AS c_custkey, CASE WHEN abs(lam - was) < 1e-10 THEN round({geodesy.WGS84[0] * (1 - _F)!r} * a * (atan2(ss, cs) - b * ss * (m + b / 4 * (cs * (2 * m * m - 1) - b / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))), 3) END AS distance FROM j""")
+def geodesic_distance(spark, sf_dir):
+    """Distance on the ellipsoid of each customer from a place of its nation."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", "double(c_custkey * 7 % 340 - 170.25) AS a", "double(c_custkey * 13 % 150 - 75) AS b", "double(c_nationkey * 3 + 5.5) AS c", "double(c_nationkey + 20.25) AS d")
+    return c.select("c_custkey", F.round(geodesy.geodesic(*[F.col(x) for x in "abcd"]), 3).alias("distance"))
+
+
+@query(f"""WITH c AS ({drift_sql('t')}), v AS (SELECT seq, event_type AS line FROM events JOIN c ON seq = event_id)
+SELECT c.seq, corrected, '[{{"step":"read","parameters":{{"file":"u' || user_id || '"}}}},{{"step":"diurnal","parameters":{{"at":"t"}}}}]' AS lineage FROM c JOIN events ON event_id = c.seq""")
+def corrected_once(spark, sf_dir):
+    """Diurnal correction of readings that carry their lineage."""
+    e = lineage.with_step(events(spark, sf_dir), "read", file=F.concat(F.lit("u"), "station"))
+    out = lineage.to_json(stations.drift_corrected(e, e.where("station = 1"), "t", "value", 40000.0))
+    return r6(out.select("seq", "corrected", "lineage"), "corrected")
+
+
+@query(f"""WITH {TRACE}, e AS (SELECT vec_id, i, sum(v * v) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS t, count(*) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ct, sum(v * v) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS l, count(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS cl FROM tr WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+r AS (SELECT vec_id, i, l / (t + 1e-9 * max(t + l) OVER (PARTITION BY vec_id) + 1e-30) AS r FROM e WHERE ct = 5 AND cl = 5), x AS (SELECT vec_id, 10.0 + vec_id % 40 AS x FROM embeddings WHERE vec_id % 13 <> 0),
+b AS (SELECT vec_id, arg_min(i, (-round(r, 9), abs(i - x), i)) AS pick, max(r) AS ratio FROM r JOIN x USING (vec_id) WHERE abs(i - x) <= 6 AND r >= 1.2 GROUP BY vec_id)
+SELECT vec_id, x::DOUBLE AS expected, CASE WHEN vec_id % 17 = 0 THEN (vec_id % 64)::INT ELSE pick::INT END AS pick, round(ratio, 6) AS ratio, vec_id % 17 = 0 AS edited FROM embeddings LEFT JOIN x USING (vec_id) LEFT JOIN b USING (vec_id)""")
+def guided_picks(spark, sf_dir):
+    """Picks near the samples of a table of predictions; some made by hand."""
+    e = table(spark, sf_dir, "embeddings")
+    expected = e.where("vec_id % 13 <> 0").selectExpr("vec_id", "10D + vec_id % 40 AS expected")
+    edits = e.where("vec_id % 17 = 0").selectExpr("vec_id", "int(vec_id % 64) AS pick")
+    return r6(seismic.guided_pick(e, "vec_id", "embedding", 5, expected, 6, edits, least=1.2), "ratio")
