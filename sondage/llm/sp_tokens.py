@@ -105,7 +105,7 @@ class SentencePieces:
                 steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
             steps += [normalizers.Prepend(MARK)] * bool(prefix) + [normalizers.Replace(" ", MARK)]
             t.normalizer = normalizers.Sequence(steps)
-            t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * bool(m["dummy_prefix"])])
+            t.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *[decoders.Strip(" ", 1, 0)] * bool(m["dummy_prefix"])])
             t.add_tokens([AddedToken(p, normalized=False) for p, _, kind in pieces if kind == USER_DEFINED])
             return t
 
