@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -164,3 +164,56 @@ def plane_wave(coh: DataFrame, nodes: DataFrame, by: str, node: str, x: str, y:
     out = region.join(few(aperture), by)
     velocity = speed(F.col("b.s"))
     return out.select(by, "f", velocity.alias("velocity"), speed(F.col("s1")).alias("velocity_min"), top.alias("velocity_max"), F.pmod(F.col("b.az") + 180, F.lit(360.0)).alias("azimuth"), width.alias("azimuth_halfwidth"), F.col("b.coherence").alias("coherence"), F.col("b.beam").alias("beam"), F.degrees(F.sqrt("b.rr")).alias("phase_rms"), F.col("b.pairs").alias("n_pairs"), F.when(F.col("aperture") > 0, velocity / (F.col("f") * F.col("aperture"))).alias("wavelengths"), resolved.alias("resolved"))
+
+
+#: The first minimum of J0 and where it lies.
+J0_LEAST, J0_LEAST_AT = -0.402759395702553, 3.831705970207512
+
+
+def first_lobe_velocity(rho: Column, f: Column, r: Column, rounds: int = 40) -> Column:
+    """The velocity whose J0(2 pi f r / c) is ``rho`` before its first minimum, by bisection; null outside (minimum, 1)."""
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(J0_LEAST_AT).alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        above = bessel_j0(mid) > rho
+        return F.struct(F.when(above, mid).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(mid).alias("hi"))
+
+    z = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: (s["lo"] + s["hi"]) / 2)
+    return F.when((rho < 1) & (rho > J0_LEAST) & (f > 0), 2 * math.pi * f * r / z)
+
+
+def separation_test(coh: DataFrame, pairs: DataFrame, by: str, ring_tolerance: float = 0.05, tolerance: float = 0.35, max_slope: float = 0.5, min_rings: int = 3, max_residual: float = 0.10, min_amplitude: float = 0.3, min_negative: float = 0.15, min_uniqueness: float = 1.5, max_imaginary: float = 0.6, vmin: float = 50.0, vmax: float = 3000.0, dv: float = 2.0) -> DataFrame:
+    """Whether the coherency of an array falls with separation as that of a wave does: per array and frequency
+    by, f, slope, velocity_ratio, velocity_slope, first_lobe, multi_lobe, multi_lobe_velocity, usable.
+
+    ``coh``: by, i, j, f, re, im; ``pairs``: by, i, j, r. On the first lobe of J0 the coherency must fall with separation,
+    and the velocities that the rings invert to (the median of a ring's pairs; two rings at least) must agree: deviation
+    below ``tolerance`` of their mean, and a slope against separation, both as logarithms, below ``max_slope``; a signal
+    common to all nodes gives velocities that grow with separation. Past the first zero, with ``min_rings`` rings one of
+    which is below -``min_negative``, A J0(2 pi f r / c) is fitted to the rings' means over a grid of velocities: the best
+    must lie inside the grid, with little residual, a fair amplitude, the inner ring before the minimum, no other
+    velocity (20 % away) nearly as good, and little imaginary part.
+    """
+    placed = rings(pairs.select(by, "i", "j", "r"), ring_tolerance, by)
+    rows = coh.join(placed, [by, "i", "j"]).withColumn("v", first_lobe_velocity(F.col("re"), F.col("f"), F.col("r")))
+    whole = rows.groupBy(by, "f").agg(F.regr_slope("re", "r").alias("slope"), F.sqrt(F.avg(F.col("re") ** 2)).alias("real"), F.sqrt(F.avg(F.col("im") ** 2)).alias("imaginary"))
+    per_ring = rows.groupBy(by, "f", "ring").agg(F.percentile("v", 0.5).alias("v"), F.avg("r").alias("r"), F.avg("re").alias("rho"))
+    enough = F.count("v") >= 2
+    spread = per_ring.groupBy(by, "f").agg(F.when(enough, F.stddev_pop("v") / F.avg("v")).alias("velocity_ratio"), F.when(enough, F.regr_slope(F.ln("v"), F.ln("r"))).alias("velocity_slope"), F.count(F.lit(1)).alias("n"), F.min("rho").alias("least"), F.min("r").alias("inner"))
+
+    n = int(round((vmax - vmin) / dv)) + 1
+    asked = spread.where((F.col("n") >= min_rings) & (F.col("least") <= -min_negative) & (F.col("f") > 0)).select(by, "f", "inner")
+    grid = per_ring.join(asked, [by, "f"]).withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k * F.lit(float(dv)) + F.lit(float(vmin)))))
+    grid = grid.withColumn("j", bessel_j0(2 * math.pi * F.col("f") * F.col("r") / F.col("c")))
+    sums = grid.groupBy(by, "f", "inner", "c").agg(F.sum(F.col("rho") * F.col("j")).alias("vj"), F.sum(F.col("j") ** 2).alias("jj"), F.sum(F.col("rho") ** 2).alias("vv"), F.count(F.lit(1)).alias("k"))
+    a = F.least(F.greatest(F.when(F.col("jj") > 0, F.col("vj") / F.col("jj")).otherwise(0.0), F.lit(0.0)), F.lit(1.0))
+    fit = sums.withColumn("amplitude", a).withColumn("residual", F.round(F.sqrt(F.greatest((F.col("vv") - 2 * F.col("amplitude") * F.col("vj") + F.col("amplitude") ** 2 * F.col("jj")) / F.col("k"), F.lit(0.0))), 9))
+    best = fit.groupBy(by, "f", "inner").agg(F.min_by(F.struct("c", "amplitude", "residual"), F.struct("residual", "c")).alias("best"))
+    other = fit.join(best.select(by, "f", "best"), [by, "f"]).where(F.abs(F.col("c") / F.col("best.c") - 1) > 0.2).groupBy(by, "f").agg(F.min("residual").alias("other"))
+    good = best.join(other, [by, "f"], "left").where((F.col("best.c") > vmin) & (F.col("best.c") < vmin + (n - 1) * dv) & (F.col("best.residual") <= max_residual) & (F.col("best.amplitude") >= min_amplitude))
+    good = good.where((F.col("inner") * F.col("f") / F.col("best.c") <= J0_LEAST_AT / (2 * math.pi)) & (F.col("other").isNull() | (F.col("other") >= min_uniqueness * F.greatest("best.residual", F.lit(1e-6)))))
+    out = whole.join(spread, [by, "f"]).join(good.select(by, "f", F.col("best.c").alias("lobe")), [by, "f"], "left")
+    first = F.coalesce((F.col("slope") < 0) & (F.col("velocity_ratio") < tolerance) & (F.col("velocity_slope") < max_slope), F.lit(False))
+    multi = F.col("lobe").isNotNull() & (F.col("imaginary") <= max_imaginary * F.col("real"))
+    return out.select(by, "f", "slope", "velocity_ratio", "velocity_slope", first.alias("first_lobe"), multi.alias("multi_lobe"), F.when(multi, F.col("lobe")).alias("multi_lobe_velocity"), (first | multi).alias("usable"))

@@ -996,3 +996,28 @@ def guided_picks(spark, sf_dir):
     expected = e.where("vec_id % 13 <> 0").selectExpr("vec_id", "10D + vec_id % 40 AS expected")
     edits = e.where("vec_id % 17 = 0").selectExpr("vec_id", "int(vec_id % 64) AS pick")
     return r6(seismic.guided_pick(e, "vec_id", "embedding", 5, expected, 6, edits, least=1.2), "ratio")
+
+
+_PI2 = "2 * pi() * f"
+
+
+@query(f"""WITH RECURSIVE {ARRAY}, nd AS (SELECT n AS node, [0.0, 30.0, -12.0, 9.0][n + 1] AS x, [0.0, 4.0, 25.0, -21.0][n + 1] AS y FROM range(4) t(n)),
+pr AS (SELECT k.node AS i, l.node AS j, sqrt((k.x - l.x) ** 2 + (k.y - l.y) ** 2) AS r FROM nd k JOIN nd l ON k.node < l.node), ro AS (SELECT a, i, j, f, re, im, r, dense_rank() OVER (PARTITION BY a, f ORDER BY r) AS ring FROM coh JOIN pr USING (i, j)),
+bi AS (SELECT a, i, j, f, re, 0.0::DOUBLE AS lo, {passive.J0_LEAST_AT!r}::DOUBLE AS hi, 0 AS k FROM ro UNION ALL SELECT a, i, j, f, re, CASE WHEN jz > re THEN z ELSE lo END, CASE WHEN jz > re THEN hi ELSE z END, k + 1 FROM (SELECT *, {J0.replace('Z', 'z')} AS jz FROM (SELECT *, (lo + hi) / 2 AS z FROM bi WHERE k < 40))),
+ve AS (SELECT ro.*, CASE WHEN ro.re < 1 AND ro.re > {passive.J0_LEAST!r} THEN 2 * pi() * ro.f * r / ((lo + hi) / 2) END AS v FROM ro JOIN bi ON ro.a = bi.a AND ro.i = bi.i AND ro.j = bi.j AND ro.f = bi.f AND k = 40),
+wh AS (SELECT a, f, regr_slope(re, r) AS slope, sqrt(avg(re ** 2)) AS rr, sqrt(avg(im ** 2)) AS ii FROM ve GROUP BY a, f), ri AS (SELECT a, f, ring, quantile_cont(v, 0.5) AS v, avg(r) AS r, avg(re) AS rho FROM ve GROUP BY a, f, ring),
+sp AS (SELECT a, f, CASE WHEN count(v) >= 2 THEN stddev_pop(v) / avg(v) END AS ratio, CASE WHEN count(v) >= 2 THEN regr_slope(ln(v), ln(r)) END AS trend, count(*) AS n, min(rho) AS least, min(r) AS inner_r FROM ri GROUP BY a, f),
+gz AS (SELECT a, f, inner_r, c, rho, 2 * pi() * f * r / c AS z FROM ri JOIN sp USING (a, f), (SELECT 100.0 + k * 50 AS c FROM range(39) t(k)) WHERE n >= 3 AND least <= -0.15), gj AS (SELECT *, {J0.replace('Z', 'z')} AS j FROM gz),
+su AS (SELECT a, f, inner_r, c, sum(rho * j) AS vj, sum(j * j) AS jj, sum(rho * rho) AS vv, count(*) AS k FROM gj GROUP BY a, f, inner_r, c), am AS (SELECT *, least(greatest(CASE WHEN jj > 0 THEN vj / jj ELSE 0 END, 0), 1) AS am FROM su),
+re AS (SELECT *, round(sqrt(greatest((vv - 2 * am * vj + am * am * jj) / k, 0)), 9) AS res FROM am), be AS (SELECT * FROM re QUALIFY row_number() OVER (PARTITION BY a, f ORDER BY res, c) = 1),
+ot AS (SELECT r.a, r.f, min(r.res) AS other FROM re r JOIN be b ON r.a = b.a AND r.f = b.f WHERE abs(r.c / b.c - 1) > 0.2 GROUP BY r.a, r.f),
+go AS (SELECT be.a, be.f, c FROM be LEFT JOIN ot ON ot.a = be.a AND ot.f = be.f WHERE c > 100 AND c < 2000 AND res <= 0.4 AND am >= 0.3 AND inner_r * be.f / c <= {passive.J0_LEAST_AT / (2 * math.pi)!r} AND (other IS NULL OR other >= 1.05 * greatest(res, 1e-6)))
+SELECT wh.a, round(wh.f, 6)::DOUBLE AS f, round(slope, 6) AS slope, round(ratio, 5) AS velocity_ratio, round(trend, 5) AS velocity_slope, coalesce(slope < 0 AND ratio < 0.35 AND trend < 0.5, false) AS first_lobe, c IS NOT NULL AND ii <= 1.5 * rr AS multi_lobe, CASE WHEN ii <= 1.5 * rr THEN c END::DOUBLE AS multi_lobe_velocity
+FROM wh JOIN sp USING (a, f) LEFT JOIN go ON go.a = wh.a AND go.f = wh.f""")
+def separation_test(spark, sf_dir):
+    """Coherency against separation for each array and frequency of all windows; limits wide enough for noise to pass some."""
+    coh = array_coherency(spark, sf_dir)
+    nodes = spark.createDataFrame([(n, x, y) for n, (x, y) in enumerate([(0.0, 0.0), (30.0, 4.0), (-12.0, 25.0), (9.0, -21.0)])], "node long, x double, y double")
+    pairs = passive.separations(coh.select("a").distinct().crossJoin(F.broadcast(nodes)), "node", "x", "y", "a")  # four rows
+    out = passive.separation_test(coh, pairs, "a", ring_tolerance=0.0, max_residual=0.4, min_uniqueness=1.05, max_imaginary=1.5, vmin=100.0, vmax=2000.0, dv=50.0).drop("usable")
+    return r6(out, "f", "slope").withColumns({c: F.round(c, 5) for c in ("velocity_ratio", "velocity_slope")})

@@ -76,3 +76,37 @@ def test_two_stations_count_turns(spark):
 def test_rings_of_each_array(spark):
     pairs = spark.createDataFrame([("a", 10.0), ("a", 10.4), ("a", 11.0), ("b", 10.5), ("b", 10.0), ("b", 30.0)], "array string, r double")
     assert sorted(tuple(r) for r in passive.rings(pairs, 0.05, "array").collect()) == [("a", 10.0, 1), ("a", 10.4, 1), ("a", 11.0, 2), ("b", 10.0, 1), ("b", 10.5, 1), ("b", 30.0, 2)]
+
+
+def j0(z):
+    t = np.linspace(0, math.pi, 2001)
+    y = np.cos(z * np.sin(t))
+    return float(((y[1:] + y[:-1]) / 2).sum() * (t[1] - t[0]) / math.pi)
+
+
+def test_separation_test_tells_waves_from_common_noise(spark):
+    """Array a: a wave of 300 m/s; b: the same coherency at every separation; c: no relation to separation."""
+    rs, rng = [5.0, 8.0, 12.0, 17.0, 23.0], np.random.default_rng(2)
+    pairs = [(a, 0, k + 1, r) for a in "abc" for k, r in enumerate(rs)] + [("a", 1, 9, 5.1)]
+    rows = []
+    for a, i, j, r in pairs:
+        for f in (2.0, 5.0, 8.0, 12.0, 16.0):
+            rho = j0(2 * math.pi * f * r / 300) * 0.95 if a == "a" else 0.6 if a == "b" else rng.uniform(-0.2, 0.9)
+            rows.append((a, i, j, f, rho, 0.02))
+    coh = spark.createDataFrame(rows, "array string, i int, j int, f double, re double, im double")
+    frame = spark.createDataFrame(pairs, "array string, i int, j int, r double")
+    out = {(r["array"], r["f"]): r for r in passive.separation_test(coh, frame, "array", dv=5.0).collect()}
+    assert len(out) == 15
+    assert out["a", 5.0]["first_lobe"] and out["a", 5.0]["usable"]
+    assert out["a", 16.0]["multi_lobe"] and out["a", 16.0]["multi_lobe_velocity"] == pytest.approx(300, rel=0.02)
+    assert all(out["a", f]["usable"] for f in (5.0, 8.0, 12.0, 16.0))
+    assert not any(out["b", f]["usable"] for f in (2.0, 5.0, 8.0, 12.0, 16.0))  # velocities climb with separation
+    assert all(out["b", f]["velocity_slope"] == pytest.approx(1.0, abs=0.02) for f in (5.0, 8.0))
+    assert sum(out["c", f]["usable"] for f in (2.0, 5.0, 8.0, 12.0, 16.0)) <= 1
+
+
+def test_first_lobe_inverts_j0(spark):
+    rows = [(r, f, v, j0(2 * math.pi * f * r / v)) for r in (5.0, 10.0) for f in (4.0, 9.0) for v in (160.0, 300.0, 900.0)] + [(5.0, 4.0, None, 1.0), (5.0, 4.0, None, -0.41)]
+    df = spark.createDataFrame(rows, "r double, f double, v double, rho double")
+    for r in df.withColumn("got", passive.first_lobe_velocity(df["rho"], df["f"], df["r"])).collect():
+        assert r["got"] == (None if r["v"] is None else pytest.approx(r["v"], rel=2e-3))
