@@ -15,6 +15,7 @@ from .operators import lineage, passive, potential, records, resistivity, ridges
 from .plans import joins
 from .plans.scratch import shared_folder
 from .sources import binary, segy, text
+from .streaming import events as stream_events
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -1021,3 +1022,12 @@ def separation_test(spark, sf_dir):
     pairs = passive.separations(coh.select("a").distinct().crossJoin(F.broadcast(nodes)), "node", "x", "y", "a")  # four rows
     out = passive.separation_test(coh, pairs, "a", ring_tolerance=0.0, max_residual=0.4, min_uniqueness=1.05, max_imaginary=1.5, vmin=100.0, vmax=2000.0, dv=50.0).drop("usable")
     return r6(out, "f", "slope").withColumns({c: F.round(c, 5) for c in ("velocity_ratio", "velocity_slope")})
+
+
+@query(f"""WITH w AS (SELECT event_type AS node, epoch_us(ts) // 86400000000 AS d, stddev_pop(value) AS rms FROM events GROUP BY node, d), s AS (SELECT *, avg(rms) OVER (PARTITION BY node ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS level FROM w)
+SELECT d, round(min(rms / level), 6) AS score, count(*) AS nodes FROM s WHERE level > 0 GROUP BY d HAVING count(*) >= 5 AND min(rms / level) >= 0.9""")
+def event_windows(spark, sf_dir):
+    """Days on which the deviation of every node's values is near its running level or above; the table of ``event_stream``."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = stream_events.events(e, "event_type", "ts", "value", "1 day", 5, 0.9)
+    return r6(out.select(F.floor(F.unix_seconds("start") / 86400).alias("d"), "score", "nodes"), "score")
