@@ -1028,6 +1028,5 @@ def separation_test(spark, sf_dir):
 SELECT d, round(min(rms / level), 6) AS score, count(*) AS nodes FROM s WHERE level > 0 GROUP BY d HAVING count(*) >= 5 AND min(rms / level) >= 0.9""")
 def event_windows(spark, sf_dir):
     """Days on which the deviation of every node's values is near its running level or above; the table of ``event_stream``."""
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = stream_events.events(e, "event_type", "ts", "value", "1 day", 5, 0.9)
-    return r6(out.select(F.floor(F.unix_seconds("start") / 86400).alias("d"), "score", "nodes"), "score")
+    out = stream_events.events(table(spark, sf_dir, "events"), "event_type", "ts", "value", "1 day", 5, 0.9)
+    return r6(out.select(F.floor(seconds("start") / 86400).alias("d"), "score", "nodes"), "score")
