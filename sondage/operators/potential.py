@@ -1,14 +1,14 @@
-"""Gravity and magnetics on meshes of prisms: kernels, forward sums, damped linear inversion by its normal equations."""
+"""Gravity and magnetics on meshes of prisms: kernels, forward sums, damped linear inversion by conjugate gradients."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.joins import small
+from ..plans.scratch import deleted, written
 
-#: Cells of a mesh that is inverted: the normal equations (cells squared) are solved on the driver. Cells of a block of a kernel.
+#: Cells of a block of a kernel.
 MOST_CELLS = 2000
 
 
@@ -42,36 +42,45 @@ def forward(sensitivity: DataFrame, model: DataFrame, station: str) -> DataFrame
     return sensitivity.join(small(model.select("cell", "property")), "cell").groupBy(station).agg(F.sum(F.col("g") * F.col("property")).alias("value"))
 
 
-def invert(stations: DataFrame, cells: DataFrame, sensitivity: DataFrame, station: str, value: str, sigma: float, damping: float, smoothing: float) -> DataFrame:
-    """(cell, property): least squares with damping and smoothness between neighbours.
+def invert(stations: DataFrame, cells: DataFrame, sensitivity: DataFrame, station: str, value: str, sigma: float, damping: float, smoothing: float, rounds: int = 100, accuracy: float = 1e-5) -> DataFrame:
+    """(cell, property): least squares with damping and smoothness between neighbours of a mesh (cell, i, j).
 
-    G'G and G'd are sums over stations, aggregated by Spark for all surveys' rows; only cells-squared numbers reach the
-    driver, which solves for the bounded mesh.
+    Conjugate gradients, scaled by the diagonal: kernel and vectors stay in tables. A round joins the kernel with the
+    vector of the cells, sums by station, joins it with that and sums by cell; what it gives is written, and three sums
+    of it reach the driver. It ends when the residual is ``accuracy`` times the first, after ``rounds`` at most. Damping
+    and smoothing are shares of the mean diagonal of the normal equations. A cell that no kernel row names stays at 0.
     """
-    n = cells.count()
-    if n > MOST_CELLS:
-        raise ValueError(f"{n} cells; at most {MOST_CELLS} are supported")
-    rows = sensitivity.groupBy(station).agg(F.array_sort(F.collect_list(F.struct("cell", "g"))).alias("k")).join(stations.select(station, (F.col(value) / sigma).alias("d")), station)
-    g = F.transform("k", lambda c: c["g"] / sigma)
-    parts = rows.select(F.posexplode(g).alias("p", "gp"), g.alias("g"), "d")
-    upper = parts.select("p", F.posexplode("g").alias("q", "gq"), "gp").where("q >= p").groupBy("p", "q").agg(F.sum(F.col("gp") * F.col("gq")).alias("s"))
-    right = parts.groupBy("p").agg(F.sum(F.col("gp") * F.col("d")).alias("s"))
-    a, b = np.zeros((n, n)), np.zeros(n)
-    u = upper.toPandas()
-    a[u["p"], u["q"]] = u["s"]
-    a = np.maximum(a, 0) + np.minimum(a, 0) + np.triu(a, 1).T
-    r = right.toPandas()
-    b[r["p"]] = r["s"]
-    place = cells.orderBy("cell").select("cell", "i", "j").toPandas()
-    at = {(i, j): k for k, (i, j) in enumerate(zip(place["i"], place["j"], strict=True))}
-    scale = np.trace(a) / max(n, 1)
-    reg = damping * np.eye(n)
-    for (i, j), k in at.items():
-        for other in (at.get((i + 1, j)), at.get((i, j + 1))):
-            if other is not None:
-                reg[k, k] += smoothing
-                reg[other, other] += smoothing
-                reg[k, other] -= smoothing
-                reg[other, k] -= smoothing
-    m = np.linalg.solve(a + scale * reg, b)
-    return cells.sparkSession.createDataFrame([(int(c), float(v)) for c, v in zip(place["cell"], m, strict=True)], "cell long, property double")
+    data = stations.select(station, (F.col(value) / sigma).alias("_d"))
+    k = sensitivity.select(station, "cell", (F.col("g") / sigma).alias("_g"))
+    sums = k.join(data, station).groupBy("cell").agg(F.sum(F.col("_g") * F.col("_d")).alias("b"), F.sum(F.col("_g") * F.col("_g")).alias("own"))
+    steps = F.array(*[F.struct(F.lit(p).alias("di"), F.lit(q).alias("dj")) for p, q in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+
+    def beside(of: DataFrame, v: str) -> DataFrame:
+        """(i, j, n, s): number and sum of ``v`` of the neighbours of each place."""
+        sent = of.select("i", "j", v, F.explode(steps).alias("d")).select((F.col("i") + F.col("d.di")).alias("i"), (F.col("j") + F.col("d.dj")).alias("j"), v)
+        return sent.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"))
+
+    base = cells.select("cell", "i", "j").join(sums, "cell", "left").na.fill(0.0, ["b", "own"])
+    base = base.join(beside(base, "own").select("i", "j", F.col("n").cast("double").alias("links")), ["i", "j"], "left").na.fill(0.0, ["links"])
+    zero = F.lit(0.0)
+    state = written(base.select("cell", "i", "j", "own", "links", zero.alias("x"), F.col("b").alias("r"), zero.alias("p")), "inversion")
+    scale = state.agg(F.avg("own")).first()[0] or 1.0
+    diag = F.col("own") + scale * (damping + smoothing * F.col("links"))
+    norm = first = state.agg(F.sum(F.col("r") * F.col("r") / diag)).first()[0] or 0.0
+    beta, done = 0.0, 0
+    while done < rounds and norm > accuracy**2 * first > 0:
+        now = state.withColumn("p", F.col("r") / diag + beta * F.col("p"))
+        seen = k.join(small(now.select("cell", "p")), "cell").groupBy(station).agg(F.sum(F.col("_g") * F.col("p")).alias("u"))
+        back = k.join(seen, station).groupBy("cell").agg(F.sum(F.col("_g") * F.col("u")).alias("t"))
+        both = now.join(back, "cell", "left").join(beside(now, "p").select("i", "j", "s"), ["i", "j"], "left")
+        ap = F.coalesce("t", zero) + scale * (damping * F.col("p") + smoothing * (F.col("links") * F.col("p") - F.coalesce("s", zero)))
+        half = written(both.select("cell", "i", "j", "own", "links", "x", "r", "p", ap.alias("ap")), "inversion")
+        sums_ = half.agg(F.sum(F.col("p") * F.col("ap")).alias("pp"), F.sum(F.col("r") * F.col("ap") / diag).alias("ra"), F.sum(F.col("ap") * F.col("ap") / diag).alias("aa")).first()
+        alpha = norm / sums_["pp"] if sums_["pp"] else 0.0
+        after = max(0.0, norm - 2 * alpha * sums_["ra"] + alpha * alpha * sums_["aa"])
+        beta, norm = after / norm, after
+        deleted(state)
+        state = half.withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("ap")}).drop("ap")
+        state.written_path = half.written_path
+        done += 1
+    return state.select("cell", F.col("x").alias("property"))

@@ -3,29 +3,12 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ordered import quantiles
-from ..plans.scratch import shared_folder
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """Written in the folder that the cluster shares (spark.checkpoint.dir); a local folder on a local master only."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/times-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def _deleted(df: DataFrame) -> None:
-    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
-    path = jvm.org.apache.hadoop.fs.Path(df.written_path)
-    path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+from ..plans.scratch import deleted, written
 
 
 def grid(spark: SparkSession, nx: int, nz: int, spacing: float) -> DataFrame:
@@ -49,15 +32,15 @@ def first_times(edges: DataFrame, sources: DataFrame) -> DataFrame:
     Relaxation: times that got better are joined with the links of their nodes and the least of each node is kept; the
     rounds end when none got better. Each round is written, so a lost executor costs a round at most.
     """
-    edges = _written(edges)
-    best = _written(sources.select("source", "node", F.lit(0.0).alias("time"), F.lit(True).alias("better")))
+    edges = written(edges)
+    best = written(sources.select("source", "node", F.lit(0.0).alias("time"), F.lit(True).alias("better")))
     while True:
         changed = best.where("better").select("source", "node", "time")
         reach = changed.join(edges, changed["node"] == edges["a"]).groupBy("source", F.col("b").alias("node")).agg(F.min(F.col("time") + F.col("cost")).alias("new"))
         better = F.col("time").isNull() | F.coalesce(F.col("new") < F.col("time") - 1e-12, F.lit(False))
         both = best.drop("better").join(reach, ["source", "node"], "full")
-        last, best = best, _written(both.select("source", "node", F.least("time", "new").alias("time"), better.alias("better")))
-        _deleted(last)
+        last, best = best, written(both.select("source", "node", F.least("time", "new").alias("time"), better.alias("better")))
+        deleted(last)
         if best.where("better").isEmpty():
             return best.drop("better")
 

@@ -1030,3 +1030,21 @@ def event_windows(spark, sf_dir):
     """Days on which the deviation of every node's values is near its running level or above; the table of ``event_stream``."""
     out = stream_events.events(table(spark, sf_dir, "events"), "event_type", "ts", "value", "1 day", 5, 0.9)
     return r6(out.select(F.floor(seconds("start") / 86400).alias("d"), "score", "nodes"), "score")
+
+
+@query(f"WITH {PRISM}, pq AS (SELECT pr.*, p_retailprice AS w FROM pr JOIN part ON p_partkey = cell) SELECT station, round(sum(w * ({_corner('X / 2 * ln(X * X + Z * Z) + Z * atan2(X, Z)')}) * {2 * 6.674e-11 * 1e5!r}), 9) AS gz FROM pq GROUP BY station")
+def gravity_forward(spark, sf_dir):
+    """Gravity of all parts as cells whose density is their price."""
+    p = table(spark, sf_dir, "part")
+    cells = p.selectExpr("p_partkey AS cell", "p_partkey % 40 * 2.5D AS x0", "p_partkey % 40 * 2.5D + 2.5D AS x1", "p_size + 1D AS z0", "p_size + 3.5D AS z1")
+    at = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS station", "double(s_suppkey) AS x", "0D AS z")
+    k = potential.kernel(at, cells, "station", "x", "z", scalar.gravity_prism)
+    out = potential.forward(k, p.selectExpr("p_partkey AS cell", "p_retailprice AS property"), "station")
+    return out.select("station", F.round("value", 9).alias("gz"))
+
+
+@query(f"""WITH {IMAGE}, b AS (SELECT shot, f, arg_min(c, (-round(energy, 9), c)) AS velocity FROM im GROUP BY shot, f) SELECT shot, f, velocity FROM b WHERE f BETWEEN 20 AND 60 AND velocity / f BETWEEN 3 AND 8""")
+def dispersion_clipped(spark, sf_dir):
+    """Picks within a band of frequencies and of wavelengths."""
+    picks = seismic.pick_max(image(spark, sf_dir), ["shot", "f"])
+    return seismic.clipped(picks, "f", "velocity", (20.0, 60.0), (3.0, 8.0)).select("shot", "f", "velocity")

@@ -95,3 +95,23 @@ def test_streaming_sessions(spark, tmp_path):
         q.awaitTermination(120)
     assert sorted(r["files"] for r in spark.table("st_sessions").collect()) == [2, 3]
     assert sorted(r["n"] for r in spark.table("st_tumbling").collect()) == [2, 3]
+
+
+def test_inversion_solves_the_normal_equations(spark):
+    """Against the direct solution of the damped and smoothed system."""
+    rng = np.random.default_rng(3)
+    cells = potential.mesh(spark, 0.0, 5.0, 2.0, 1.0)
+    g, d = rng.normal(size=(7, 10)), rng.normal(size=7)
+    k = spark.createDataFrame([(s, c, float(g[s, c])) for s in range(7) for c in range(10)], "station int, cell long, g double")
+    data = spark.createDataFrame([(s, float(d[s])) for s in range(7)], "station int, value double")
+    got = {r["cell"]: r["property"] for r in potential.invert(data, cells, k, "station", "value", 0.5, 0.05, 0.1).collect()}
+    a, b = g.T @ g / 0.25, g.T @ d / 0.25
+    at = {(r["i"], r["j"]): r["cell"] for r in cells.collect()}
+    reg = 0.05 * np.eye(10)
+    for (i, j), c in at.items():
+        for o in (at.get((i + 1, j)), at.get((i, j + 1))):
+            if o is not None:
+                reg[[c, o], [c, o]] += 0.1
+                reg[[c, o], [o, c]] -= 0.1
+    want = np.linalg.solve(a + np.trace(a) / 10 * reg, b)
+    assert [got[c] for c in range(10)] == pytest.approx(want.tolist(), abs=1e-4)
