@@ -60,6 +60,38 @@ def lin_conductivity(quadrature_ppm: Column, frequency: float, separation: float
     return quadrature_ppm * 1e-6 * 4 / (2 * math.pi * frequency * MU0 * separation**2 * cumulative_response(height, separation, orientation))
 
 
+def lin_susceptibility(inphase_ppm: Column, separation: float, height: Column, orientation: str = "HCP") -> Column:
+    """Apparent susceptibility (SI) of an in-phase reading in ppm, static limit; null where the response is nothing.
+
+    The response of horizontal coplanar coils changes sign at a height of 0.354 separations.
+    """
+    z = height / separation
+    per_unit = -0.5 * (8 * z * z - 1) / F.pow(4 * z * z + 1, F.lit(2.5)) if orientation == "HCP" else -0.5 / F.pow(4 * z * z + 1, F.lit(1.5))
+    return F.when(F.abs(per_unit) > 1e-12, inphase_ppm / (per_unit * 1e6))
+
+
+def investigation_depth(separation: float, height: Column, orientation: str = "HCP", share: float = 0.7) -> Column:
+    """Depth below the ground above which ``share`` of a low-induction-number reading arises."""
+    if not 0 < share < 1:
+        raise ValueError("share must lie between 0 and 1")
+    c = (1 - share) * cumulative_response(height, separation, orientation)
+    z = F.sqrt((1 / (c * c) - 1) / 4) if orientation == "HCP" else (1 - c * c) / (4 * c)
+    return z * separation - height
+
+
+def layered_conductivity(conductivities: list[Column], thicknesses: list[Column], height: Column, separation: float, orientation: str = "HCP") -> Column:
+    """Apparent conductivity of layers at low induction number: each weighs by the response of the ground between its faces."""
+    if len(thicknesses) != len(conductivities) - 1:
+        raise ValueError("a thickness for every layer but the last")
+    whole = cumulative_response(height, separation, orientation)
+    total, top = F.lit(0.0), height
+    for i, sigma in enumerate(conductivities):
+        below = cumulative_response(top + thicknesses[i], separation, orientation) if i < len(thicknesses) else F.lit(0.0)
+        total = total + sigma * (cumulative_response(top, separation, orientation) - below) / whole
+        top = top + thicknesses[i] if i < len(thicknesses) else top
+    return total
+
+
 def skin_depth(conductivity: Column, frequency: Column) -> Column:
     return F.sqrt(2 / (2 * math.pi * frequency * MU0 * conductivity))
 

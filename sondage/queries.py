@@ -1048,3 +1048,22 @@ def dispersion_clipped(spark, sf_dir):
     """Picks within a band of frequencies and of wavelengths."""
     picks = seismic.pick_max(image(spark, sf_dir), ["shot", "f"])
     return seismic.clipped(picks, "f", "velocity", (20.0, 60.0), (3.0, 8.0)).select("shot", "f", "velocity")
+
+
+_R = {"hcp": "1 / sqrt(4 * Z * Z + 1)", "vcp": "(sqrt(4 * Z * Z + 1) - 2 * Z)"}
+_RS = {k: (lambda z, r=r: "(" + r.replace("Z", f"({z})") + ")") for k, r in _R.items()}
+
+
+@query(f"""WITH {EV}, e AS (SELECT seq, value, seq % 40 / 20.0 AS h, seq % 40 / 20.0 / 1.66 AS z, 0.5 + seq % 7 AS t FROM ev)
+SELECT seq, round(value / (-0.5 * (8 * z * z - 1) / pow(4 * z * z + 1, 2.5) * 1e6), 9) AS hcp_susceptibility, round(value / (-0.5 / pow(4 * z * z + 1, 1.5) * 1e6), 9) AS vcp_susceptibility,
+round(1.66 * sqrt((1 / pow(0.3 * {_RS['hcp']('z')}, 2) - 1) / 4) - h, 6) AS hcp_depth, round(1.66 * (1 - pow(0.3 * {_RS['vcp']('z')}, 2)) / (4 * 0.3 * {_RS['vcp']('z')}) - h, 6) AS vcp_depth,
+round((0.02 * ({_RS['hcp']('z')} - {_RS['hcp']('(h + t) / 1.66')}) + 0.1 * {_RS['hcp']('(h + t) / 1.66')}) / {_RS['hcp']('z')}, 9) AS hcp_layered, round((0.02 * ({_RS['vcp']('z')} - {_RS['vcp']('(h + t) / 1.66')}) + 0.1 * {_RS['vcp']('(h + t) / 1.66')}) / {_RS['vcp']('z')}, 9) AS vcp_layered FROM e""")
+def em_closed_forms(spark, sf_dir):
+    """Susceptibility, depth of investigation and the reading over two layers, for both orientations of the coils."""
+    h, t = F.col("seq") % 40 / 20.0, F.col("seq") % 7 + 0.5
+    out = {}
+    for o in ("HCP", "VCP"):
+        out[f"{o.lower()}_susceptibility"] = F.round(scalar.lin_susceptibility(F.col("value"), 1.66, h, o), 9)
+        out[f"{o.lower()}_depth"] = F.round(scalar.investigation_depth(1.66, h, o), 6)
+        out[f"{o.lower()}_layered"] = F.round(scalar.layered_conductivity([F.lit(0.02), F.lit(0.1)], [t], h, 1.66, o), 9)
+    return events(spark, sf_dir).select("seq", *[v.alias(k) for k, v in out.items()])

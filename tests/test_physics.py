@@ -115,3 +115,16 @@ def test_inversion_solves_the_normal_equations(spark):
                 reg[[c, o], [o, c]] -= 0.1
     want = np.linalg.solve(a + np.trace(a) / 10 * reg, b)
     assert [got[c] for c in range(10)] == pytest.approx(want.tolist(), abs=1e-4)
+
+
+def test_em_closed_forms_at_known_points(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("v")).first()["v"]
+    zero = F.lit(0.0)
+    assert get(scalar.investigation_depth(1.0, zero)) == pytest.approx(1.59, abs=0.01) and get(scalar.investigation_depth(1.0, zero, "VCP")) == pytest.approx(0.76, abs=0.01)
+    assert get(scalar.investigation_depth(1.66, F.lit(1.0))) == pytest.approx(3.3, abs=0.05) and get(scalar.investigation_depth(1.66, F.lit(3.0))) == pytest.approx(7.3, abs=0.05)
+    assert get(scalar.lin_susceptibility(F.lit(500.0), 1.66, zero)) == pytest.approx(0.001)
+    assert get(scalar.lin_susceptibility(F.lit(500.0), 2**0.5 * 2, F.lit(1.0))) is None or abs(get(scalar.lin_susceptibility(F.lit(500.0), 2**0.5 * 2, F.lit(1.0)))) > 1e3  # the sign changes there
+    assert get(scalar.layered_conductivity([F.lit(0.03)] * 3, [F.lit(1.0), F.lit(2.0)], F.lit(0.5), 1.66, "VCP")) == pytest.approx(0.03)
+    with pytest.raises(ValueError):
+        scalar.investigation_depth(1.0, zero, share=1.0)
