@@ -91,6 +91,9 @@ class SentencePieces:
             raise ValueError("models with suffix markers or unescaped white space aren't supported")
         pieces, unk = m["pieces"], m["pieces"][m["unk"]][0]
         self.pieces = [p for p, _, _ in pieces]
+        # A normaliser that only marks spaces is a replacement in the text, which Python does at a fiftieth of the time.
+        self.plain = not m["map"] and not m["trim"] and not any(kind == USER_DEFINED for _, _, kind in pieces)
+        self.prefix = MARK if m["dummy_prefix"] else ""
 
         def build(prefix: bool):
             if m["type"] == UNIGRAM:
@@ -100,12 +103,15 @@ class SentencePieces:
             else:
                 raise ValueError("only unigram and BPE models are supported")
             t = Tokenizer(model)
-            steps = [normalizers.Precompiled(m["map"])] if m["map"] else []
-            if m["trim"]:
-                steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
-            steps += [normalizers.Prepend(MARK)] * bool(prefix) + [normalizers.Replace(" ", MARK)]
+            if self.plain:
+                steps = []
+            else:
+                steps = [normalizers.Precompiled(m["map"])] if m["map"] else []
+                if m["trim"]:
+                    steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+                steps += [normalizers.Prepend(MARK)] * bool(prefix) + [normalizers.Replace(" ", MARK)]
             t.normalizer = normalizers.Sequence(steps)
-            t.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *[decoders.Strip(" ", 1, 0)] * bool(m["dummy_prefix"])])
+            t.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
             t.add_tokens([AddedToken(p, normalized=False) for p, _, kind in pieces if kind == USER_DEFINED])
             return t
 
@@ -116,6 +122,10 @@ class SentencePieces:
         self.can_cut = self.by_word and not m["map"] and not m["trim"]
         self.build_rest, self.rest = lambda: build(False), None
 
+    def _marked(self, texts: list[str], prefix: str) -> list[str]:
+        """Texts as the encoder takes them: marked here if the normaliser does nothing else."""
+        return [prefix + t.replace(" ", MARK) if t else t for t in texts] if self.plain else texts
+
     def _parts(self, text: str) -> list[str]:
         """A very long text cut before single spaces between words."""
         parts, at = [], 0
@@ -136,10 +146,10 @@ class SentencePieces:
                 yield from self._flush(held)
                 held, size = [], 0
                 parts = self._parts(text)
-                ids = self.first.encode_batch_fast(parts[:1], add_special_tokens=False)[0].ids
+                ids = self.first.encode_batch_fast(self._marked(parts[:1], self.prefix), add_special_tokens=False)[0].ids
                 self.rest = self.rest or (self.build_rest() if parts[1:] else None)
                 for part in parts[1:]:
-                    ids += self.rest.encode_batch_fast([part], add_special_tokens=False)[0].ids
+                    ids += self.rest.encode_batch_fast(self._marked([part], ""), add_special_tokens=False)[0].ids
                 yield ids
                 continue
             held.append(text)
@@ -150,10 +160,11 @@ class SentencePieces:
         yield from self._flush(held)
 
     def _flush(self, held: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.first.encode_batch_fast(held, add_special_tokens=False)] if held else []
+        return [e.ids for e in self.first.encode_batch_fast(self._marked(held, self.prefix), add_special_tokens=False)] if held else []
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.first.decode_batch(ids, skip_special_tokens=False)
+        texts = [t.replace(MARK, " ") for t in self.first.decode_batch(ids, skip_special_tokens=False)]
+        return [t[1:] if self.prefix and t[:1] == " " else t for t in texts]
 
 
 @lru_cache(maxsize=2)
