@@ -81,7 +81,9 @@ def despike(readings: DataFrame, line: str, seq: str, value: str, half: int = 4,
     ``width`` of ``seq`` and a halo of ``half`` rows; a row per line gives the differences across line joins. Adds running, spike and despiked (null at spikes).
     """
     frame = f"(PARTITION BY {line}, _range ORDER BY {seq} ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
-    smooth = with_halo(readings, [line], seq, half, width).withColumn("running", F.expr(f"percentile({value}, 0.5) OVER {frame}")).where("_own").drop("_range", "_own")
+    near = with_halo(readings, [line], seq, half, width).withColumn("_near", F.expr(f"collect_list(double({value})) OVER {frame}")).where("_own")
+    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
+    smooth = near.withColumn("running", F.transform(F.array(F.array_sort("_near")), middle)[0]).drop("_range", "_own", "_near")
     rows = readings.select(F.col(line).alias("_line"), F.col(seq).alias("_seq"), F.col(value).alias("_v"))
     inside = with_next(rows, ["_line"], "_seq", ["_v"], width).select((F.col("next__v") - F.col("_v")).alias("d"))
     ends = rows.groupBy("_line").agg(F.min_by("_v", "_seq").alias("_first"), F.max_by("_v", "_seq").alias("_last"))

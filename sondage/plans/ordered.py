@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 #: Accuracy of the sketch that brackets an exact rank: about four in so many rows are then looked at one by one.
 ACCURACY = 10_000
 #: Groups that are held by every task; more of them are met by a shuffle, which they are enough to share out.
-FEW = 1000
+FEW = 10_000
 
 
 def few(groups: DataFrame, most: int = FEW) -> DataFrame:
