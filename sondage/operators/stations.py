@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from . import lineage
 from ..plans.joins import interpolate
 from ..plans.ordered import few, quantiles, with_halo, with_next
+from ..plans.scratch import deleted, written
 
 
 def station_means(readings: DataFrame, station: str, value: str) -> DataFrame:
@@ -66,10 +67,14 @@ def median_and_mad(readings: DataFrame, by: str, value: str) -> DataFrame:
 def noise(readings: DataFrame, line: str, channel: str, seq: str, value: str, expected: float | None = None) -> DataFrame:
     """Per channel: median, P95 - P5 and 1.4826 MAD(differences along lines) / sqrt(2); of ``expected`` also its ratio to the noise, snr."""
     diff = readings.select(F.col(channel).alias("_c"), F.col(value).alias("_v"), (F.col(value) - F.lag(value).over(Window.partitionBy(channel, line).orderBy(seq))).alias("_d"))
+    diff = written(diff, "steps")
     mid = quantiles(diff, ["_c"], "_v", {"median": 0.5, "_hi": 0.95, "_lo": 0.05})
     step = few(quantiles(diff, ["_c"], "_d", {"_m": 0.5}))
     mad = quantiles(diff.join(step, "_c"), ["_c"], F.abs(F.col("_d") - F.col("_m")), {"_mad": 0.5})
-    out = mid.join(mad, "_c", "left").select(F.col("_c").alias(channel), "median", (F.col("_hi") - F.col("_lo")).alias("spread"), (1.4826 * F.col("_mad") / F.sqrt(F.lit(2.0))).alias("noise"))
+    held = few(mid), few(mad)
+    if held[0] is not mid and held[1] is not mad:
+        deleted(diff)
+    out = held[0].join(held[1], "_c", "left").select(F.col("_c").alias(channel), "median", (F.col("_hi") - F.col("_lo")).alias("spread"), (1.4826 * F.col("_mad") / F.sqrt(F.lit(2.0))).alias("noise"))
     return out if expected is None else out.withColumn("expected", F.lit(float(expected))).withColumn("snr", F.abs("expected") / F.col("noise"))
 
 
@@ -88,9 +93,10 @@ def despike(readings: DataFrame, line: str, seq: str, value: str, half: int = 4,
     inside = with_next(rows, ["_line"], "_seq", ["_v"], width).select((F.col("next__v") - F.col("_v")).alias("d"))
     ends = rows.groupBy("_line").agg(F.min_by("_v", "_seq").alias("_first"), F.max_by("_v", "_seq").alias("_last"))
     joins = ends.select((F.lead("_first").over(Window.partitionBy(F.lit(0)).orderBy("_line")) - F.col("_last")).alias("d"))  # a row per line
-    d = inside.unionAll(joins).where("d IS NOT NULL")
-    mid = quantiles(d, [], "d", {"m": 0.5})
-    sigma = quantiles(d.crossJoin(F.broadcast(mid)), [], F.abs(F.col("d") - F.col("m")), {"_mad": 0.5}).select((1.4826 * F.col("_mad") / F.sqrt(F.lit(2.0))).alias("_sigma"))
+    d = written(inside.unionAll(joins).where("d IS NOT NULL"), "steps")
+    mid = few(quantiles(d, [], "d", {"m": 0.5}))
+    sigma = few(quantiles(d.crossJoin(mid), [], F.abs(F.col("d") - F.col("m")), {"_mad": 0.5}).select((1.4826 * F.col("_mad") / F.sqrt(F.lit(2.0))).alias("_sigma")))  # one row
+    deleted(d)
     out = _with_one(smooth, sigma)
     spike = F.coalesce((F.col("_sigma") > 0) & (F.abs(F.col(value) - F.col("running")) > threshold * F.col("_sigma")), F.lit(False))
     return out.withColumn("spike", spike).withColumn("despiked", F.when(~F.col("spike"), F.col(value))).drop("_sigma")
