@@ -28,6 +28,10 @@ from ._words import chunks, mix, released, text_bytes, words
 BITS, RADIUS, AGREE = 256, 9, 1
 #: Entries of a key that meet queries at once (32 kB).
 CHUNK = 1024
+#: Documents for each file of fingerprints or results: these rows are narrow, and on local disks each file costs a process.
+PER_FILE = 5000
+#: Words whose votes are added at once.
+BLOCK = 4096
 #: Votes of one occurrence of a word; n occurrences have the root of n times as many.
 UNIT = 16
 
@@ -47,11 +51,14 @@ def simhash(texts: pa.Array, bits: int = BITS) -> np.ndarray:
         weight = np.floor(UNIT * np.sqrt(np.diff(np.concatenate([new, [len(h)]])))).astype(np.int32)
         h, of = h[new], of[new]
         starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        all_ = np.add.reduceat(weight, starts)
-        for b in range(bits // 64):
-            own = np.unpackbits(mix(h + np.uint64(b * 0x9E3779B97F4A7C15 % 2**64)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            votes = np.add.reduceat(own * weight[:, None], starts, axis=0)
-            out[first + of[starts], b * 8 : b * 8 + 8] = np.packbits(2 * votes > all_[:, None], axis=1)
+        raw = np.stack([mix(h + np.uint64(b * 0x9E3779B97F4A7C15 % 2**64)) for b in range(bits // 64)], axis=1).astype(">u8").view(np.uint8)
+        votes = np.zeros((len(starts), bits))
+        all_ = np.add.reduceat(weight.astype(np.int64), starts)
+        for k, (i, j) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True)):
+            kind = np.float32 if all_[k] < 1 << 24 else np.float64  # integers that the kind holds exactly
+            for w in range(i, j, BLOCK):
+                votes[k] += weight[w : min(w + BLOCK, j)].astype(kind) @ np.unpackbits(raw[w : min(w + BLOCK, j)], axis=1).astype(kind)
+        out[first + of[starts]] = np.packbits(2 * votes > all_[:, None], axis=1)
     return out
 
 
@@ -180,15 +187,18 @@ def first_table(differ: np.ndarray, blocks: int, agree: int) -> np.ndarray:
     return np.array([number[tuple(p)] for p in place.tolist()], np.int64)
 
 
-def search(queries: DataFrame, entries: DataFrame, radius: int = RADIUS, agree: int = AGREE, with_matches: bool = True) -> DataFrame:
+def search(queries: DataFrame, entries: DataFrame, radius: int = RADIUS, agree: int = AGREE, with_matches: bool = True, files: int | None = None) -> DataFrame:
     """(fingerprint, n_near, matches) for every distinct fingerprint of ``queries`` (a column of hex digits).
 
     n_near counts the rows of ``entries`` (same column) within ``radius`` bits, exact ones included; ``matches`` lists
     their distinct fingerprints, null if ``with_matches`` is off. All fingerprints have one length, a multiple of 64
-    bits. Rows with a null fingerprint neither ask nor answer. Empty tables are allowed.
+    bits. Rows with a null fingerprint neither ask nor answer. Empty tables are allowed. The block tables are written in
+    ``files`` files at most (None: a file for each partition).
     """
     blocks = radius + agree
-    pieces = lambda df: df.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    both = queries.select("fingerprint", F.lit(0).alias("n"), F.lit(True).alias("asks")).unionAll(entries.select("fingerprint", F.lit(1).alias("n"), F.lit(False).alias("asks")))
+    prints = both.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.sum("n").alias("n"), F.max("asks").alias("asks"))
+    prints = prints.coalesce(files) if files else prints
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,17 +207,17 @@ def search(queries: DataFrame, entries: DataFrame, radius: int = RADIUS, agree:
                 keys = table_keys(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), blocks, agree)
                 n, tables = keys.shape
                 rows = pa.array(np.repeat(np.arange(n), tables))
-                yield pa.RecordBatch.from_pydict({"tab": pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), "key": pa.array(keys.ravel()), "print": pa.array(raw, pa.binary()).take(rows), "n": batch.column("n").take(rows)})
-
-    shape = "tab int, key long, print binary, n long"
-    asked = materialise(pieces(queries).mapInArrow(keyed, shape), "prints-asked")
-    held = materialise(pieces(entries).mapInArrow(keyed, shape), "prints-tables")
-    crowded = lambda df: small(materialise(df.groupBy("tab", "key").count().where(F.col("count") > CHUNK).select("tab", "key", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts")), "prints-crowded"))
-    crowd = crowded(held)
-    part = F.pmod(F.xxhash64("print"), F.coalesce("parts", F.lit(1))).cast("int")
-    boxed = held.join(crowd, ["tab", "key"], "left").groupBy("tab", "key", part.alias("part")).agg(F.collect_list(F.struct("print", "n")).alias("held"))
-    sent = asked.join(crowded(asked), ["tab", "key"], "left").groupBy("tab", "key", part.alias("_p")).agg(F.collect_list("print").alias("asked"))
-    sent = sent.join(crowd, ["tab", "key"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+                yield pa.RecordBatch.from_pydict({"tab": pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), "key": pa.array(keys.ravel()), "print": pa.array(raw, pa.binary()).take(rows), "n": batch.column("n").take(rows), "asks": batch.column("asks").take(rows)})
+
+    tables = materialise(prints.mapInArrow(keyed, "tab int, key long, print binary, n long, asks boolean"), "prints-tables")
+    asked, held = tables.where("asks"), tables.where("n > 0")
+    parts = lambda which: F.ceil(F.count_if(which) / CHUNK).cast("int")
+    crowd = tables.groupBy("tab", "key").agg(parts(F.col("n") > 0).alias("parts"), parts("asks").alias("askers")).where("parts > 1 OR askers > 1")
+    crowd = small(materialise(crowd, "prints-crowded"))
+    part = lambda many: F.pmod(F.xxhash64("print"), F.greatest(F.coalesce(many, F.lit(1)), F.lit(1))).cast("int")
+    boxed = held.join(crowd, ["tab", "key"], "left").groupBy("tab", "key", part("parts").alias("part")).agg(F.collect_list(F.struct("print", "n")).alias("held"))
+    sent = asked.join(crowd, ["tab", "key"], "left").groupBy("tab", "key", part("askers").alias("_p")).agg(F.collect_list("print").alias("asked"), F.first("parts").alias("parts"))
+    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)) - 1)))
     met = sent.join(boxed, ["tab", "key", "part"]).select("tab", "asked", "held")
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +235,8 @@ def search(queries: DataFrame, entries: DataFrame, radius: int = RADIUS, agree:
 
     found = met.mapInArrow(matched, "fingerprint string, n_near long, matches array<string>")
     lists = F.sort_array(F.flatten(F.collect_list("matches"))) if with_matches else F.lit(None).cast("array<string>")
-    return pieces(queries).select("fingerprint").join(found.groupBy("fingerprint").agg(F.sum("n_near").alias("n_near"), lists.alias("matches")), "fingerprint", "left").na.fill(0, ["n_near"])
+    asking = queries.select("fingerprint").where("fingerprint IS NOT NULL").distinct()
+    return asking.join(found.groupBy("fingerprint").agg(F.sum("n_near").alias("n_near"), lists.alias("matches")), "fingerprint", "left").na.fill(0, ["n_near"])
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 20, bits: int = BITS, radius: int = RADIUS, agree: int = AGREE) -> DataFrame:
@@ -235,6 +246,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ever
     """
     prints = neighbours(docs, id_col, text_col, bits)
     asks = F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(every)) == 0, F.lit(False))
-    near = search(prints.where(asks), prints, radius, agree, with_matches=False).select("fingerprint", F.col("n_near").alias("_n"))
+    files = 1 + docs.count() // PER_FILE
+    near = search(prints.where(asks), prints, radius, agree, with_matches=False, files=files).select("fingerprint", F.col("n_near").alias("_n"))
     asking = prints.where(asks).join(near, "fingerprint", "left").select(*prints.columns, (F.col("_n") - 1).alias("n_near"))
-    return asking.unionAll(prints.where(~asks).select("*", F.lit(None).cast("long").alias("n_near")))
+    return asking.unionAll(prints.where(~asks).select("*", F.lit(None).cast("long").alias("n_near"))).coalesce(files)

@@ -99,6 +99,35 @@ def test_crowded_keys_are_dealt_to_chunks(spark, monkeypatch):
     assert {r["fingerprint"]: r["n_near"] for r in fp.search(df, df, with_matches=False).collect()} == {h: int(n) for h, n in zip(hexes, (far <= 9).sum(axis=1), strict=True)}
 
 
+def test_votes_in_blocks(monkeypatch):
+    monkeypatch.setattr(fp, "BLOCK", 3)
+    texts = ["a b c d e f g " * 5 + "x y", "", "q", "l " * 1_200_000 + "m n o p"]
+    assert [p.tobytes().hex() for p in fp.simhash(pa.array(texts))] == [f"{int(plain_print(t), 2):064x}" for t in texts]
+
+
+def test_narrow_tables_are_written_in_few_files(spark, monkeypatch):
+    """Each file on a local disk costs a process in the executor; only the ranges of the order have files of their own."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    written = {}
+
+    def kept(df, name, write=fp.materialise):
+        out = write(df, name)
+        written[name] = out.inputFiles()
+        return out
+
+    monkeypatch.setattr(fp, "materialise", kept)
+    try:
+        out = fp.edited(frame(spark, [(i, f"a{i} b{i % 7} c{i // 3} d e f") for i in range(400)]))
+        assert out.rdd.getNumPartitions() == 1 and out.count() == 400
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(written["prints-tables"]) == 1 and sum(map(len, written.values())) <= 40 + 1 + 1
+
+
 def test_query_over_the_whole_table(spark, sf_dir):
     out = {r["doc_id"]: r for r in QUERIES["op13_document_fingerprints"](spark, sf_dir).collect()}
     docs = sorted((r["doc_id"], r["text"] or "") for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect())
