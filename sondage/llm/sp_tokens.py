@@ -3,22 +3,26 @@
 The protobuf is read field by field: pieces with scores and types, the normaliser (precompiled map, dummy prefix,
 white space rules), the model type and byte fallback. A unigram model keeps its scores; a BPE model's merges are the
 pairs of pieces that join to a piece, ranked by its score. Texts are encoded in batches of bounded size with as many
-threads as a task has cores (spark.task.cpus); every text's ids are compared with sentencepiece's own and decoded again.
+threads as a task has cores (spark.task.cpus), each distinct word of a batch once where no merge crosses words; every
+text's ids are compared with sentencepiece's own, which takes it whole, and decoded again.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import fresh, narrow_batches
-from ._words import released
+from ._words import chunks, released, text_bytes
 
 MARK = "▁"
 #: Fixed values of the published format: types of pieces and of models.
@@ -26,6 +30,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters that are encoded at a time, and after which a longer text is cut at a word.
 BATCH_CHARS = 1 << 17
+#: Characters of texts whose distinct words are encoded once, and of words that are encoded as one text.
+WORD_CHARS, JOINED_CHARS = 1 << 21, 1 << 12
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -121,6 +127,9 @@ class SentencePieces:
         # Cut texts need rules that look at a place only: no map, no trimming. Their encoder is built when one comes.
         self.can_cut = self.by_word and not m["map"] and not m["trim"]
         self.build_rest, self.rest = lambda: build(False), None
+        # Then a BPE text whose words are parted by single spaces is its words' ids in a row: each starts with the marker, a piece itself.
+        self.leads = np.array([p.startswith(MARK) for p in self.pieces])
+        self.words_once = m["type"] == BPE and self.can_cut and self.plain and self.prefix == MARK and (MARK, NORMAL) in {(p, kind) for p, _, kind in pieces}
 
     def _marked(self, texts: list[str], prefix: str) -> list[str]:
         """Texts as the encoder takes them: marked here if the normaliser does nothing else."""
@@ -140,6 +149,43 @@ class SentencePieces:
         return [*parts, text[at:]]
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        if not self.words_once:
+            yield from self._whole(texts)
+            return
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= WORD_CHARS):
+                size += len(texts[end])
+                end += 1
+            part = texts[at:end]
+            single = [bool(t) and MARK not in t and "  " not in t and t[0] != " " and t[-1] != " " for t in part]
+            words = self._by_words([t for t, s in zip(part, single, strict=True) if s])
+            others = self._whole([t for t, s in zip(part, single, strict=True) if not s])
+            for s in single:
+                yield next(words if s else others)
+            at = end
+
+    def _by_words(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of texts that are words parted by single spaces; each distinct word is encoded once."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, which = coded.dictionary, coded.indices.to_numpy()
+        spans = list(chunks(text_bytes(words)[1], JOINED_CHARS))
+        spelled = words.to_pylist()
+        joined = self.first.encode_batch_fast([MARK + MARK.join(spelled[i:j]) for i, j in spans], add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, np.int32), *[np.array(e.ids, np.int32) for e in joined]])
+        starts = np.append(np.flatnonzero(self.leads[ids]), len(ids))
+        if len(starts) != len(words) + 1:
+            raise ValueError("a word's ids don't start with the marker")
+        sizes = np.diff(starts)[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = ids[np.repeat(starts[which] - ends[:-1], sizes) + np.arange(ends[-1])]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            yield flat[i:j].tolist()
+
+    def _whole(self, texts: list[str]) -> Iterator[list[int]]:
         held, size = [], 0
         for text in texts:
             if len(text) > BATCH_CHARS:
@@ -200,14 +246,15 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, theirs = _loaded(data.value)
         for batch in rows:
-            at = 0
+            at, sizes = 0, pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+            every = own.encode([x or "" for x in batch.column(1).to_pylist()])  # lists are made as they are taken
             while at < len(batch):
                 end, size = at, 0
                 while end < len(batch) and (end == at or size < 4 * BATCH_CHARS):
-                    size += len(batch.column(1)[end].as_py() or "")
+                    size += sizes[end]
                     end += 1
                 texts = [x or "" for x in batch.column(1).slice(at, end - at).to_pylist()]
-                ids = list(own.encode(texts))
+                ids = list(itertools.islice(every, len(texts)))
                 same = [a == b for a, b in zip(ids, theirs.encode(texts, num_threads=1), strict=True)]
                 trip = [a == b or a == theirs.decode(i) for a, b, i in zip(own.decode(ids), texts, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same), pa.array(trip)], ["id", "tokens", "n_tokens", "parity", "round_trip"])

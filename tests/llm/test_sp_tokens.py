@@ -31,6 +31,33 @@ def test_documents(spark, sf_dir):
     assert out.where("NOT parity OR NOT round_trip OR n_tokens <> size(tokens)").count() == 0
 
 
+class Counted:
+    """An encoder that counts the characters it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.chars = inner, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.chars += sum(map(len, texts))
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_distinct_words_are_encoded_once(monkeypatch):
+    from sondage.llm import sp_tokens
+
+    with open(default_model(), "rb") as f:
+        own = SentencePieces(f.read())
+    odd = ["a", "\n", "\t x", "x\n", "</s> <unk> <0x0A>", "é𝄞 日本 語\ny", "b\u00a0c \u3000", "q" * 5000 + " " + "ab\x00 c", " a", "a ", "a  b", MARK, f"a {MARK}b", f"a{MARK} b", "", "  "]
+    texts = [f"the tokens of {w} are, well, {w}\nand {v}." for w in odd for v in ("one", "two")] + odd
+    plain = [" ".join(f"word{(i * j) % 90}" for j in range(60)) for i in range(300)]
+    for size in (1, 40, 1 << 21):
+        monkeypatch.setattr(sp_tokens, "WORD_CHARS", size)
+        assert list(own.encode(texts + plain[:40])) == sp().encode(texts + plain[:40])
+    own.first = Counted(own.first)
+    assert list(own.encode(plain)) == sp().encode(plain)
+    assert own.first.chars < 0.02 * sum(map(len, plain))
+
+
 def _varint(n):
     out = b""
     while True:
