@@ -173,8 +173,11 @@ class SentencePieces:
         words, which = coded.dictionary, coded.indices.to_numpy()
         spans = list(chunks(text_bytes(words)[1], JOINED_CHARS))
         spelled = words.to_pylist()
-        joined = self.first.encode_batch_fast([MARK + MARK.join(spelled[i:j]) for i, j in spans], add_special_tokens=False)
-        ids = np.concatenate([np.empty(0, np.int32), *[np.array(e.ids, np.int32) for e in joined]])
+        ids = [np.empty(0, np.int32)]
+        for k in range(0, len(spans), BATCH_CHARS // JOINED_CHARS):
+            joined = [MARK + MARK.join(spelled[i:j]) for i, j in spans[k : k + BATCH_CHARS // JOINED_CHARS]]
+            ids += [np.array(e.ids, np.int32) for e in self.first.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(ids)
         starts = np.append(np.flatnonzero(self.leads[ids]), len(ids))
         if len(starts) != len(words) + 1:
             raise ValueError("a word's ids don't start with the marker")
