@@ -45,3 +45,9 @@ def effect_once(spark, monkeypatch, many_parts, name, column, want, most):
 def test_forward_sums_of_equal_cells(spark, monkeypatch, many_parts, most):
     want = {k: float(((900 + PART % 7) * corners(GZ, k, PART)).sum()) for k in range(1, 31)}
     effect_once(spark, monkeypatch, many_parts, "gravity_forward", "gz", want, most)
+
+
+@pytest.mark.parametrize("most", [2000, 70])
+def test_gravity_of_equal_cells(spark, monkeypatch, many_parts, most):
+    want = {k: 200 * float(corners(GZ, k, PART).sum()) for k in range(1, 31)}
+    effect_once(spark, monkeypatch, many_parts, "gravity_kernel", "gz", want, most)
