@@ -51,3 +51,10 @@ def test_forward_sums_of_equal_cells(spark, monkeypatch, many_parts, most):
 def test_gravity_of_equal_cells(spark, monkeypatch, many_parts, most):
     want = {k: 200 * float(corners(GZ, k, PART).sum()) for k in range(1, 31)}
     effect_once(spark, monkeypatch, many_parts, "gravity_kernel", "gz", want, most)
+
+
+@pytest.mark.parametrize("most", [2000, 70])
+def test_magnetics_of_equal_cells(spark, monkeypatch, many_parts, most):
+    c, s = math.cos(math.radians(60)), math.sin(math.radians(60))
+    want = {k: 0.01 * 50000 / (2 * math.pi) * float(((s * s - c * c) * corners(ATAN, k, PART) + 2 * s * c * corners(LOG, k, PART)).sum()) for k in range(1, 31)}
+    effect_once(spark, monkeypatch, many_parts, "magnetic_kernel", "field", want, most)
