@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sondage.functions import scalar
 from sondage.operators import potential
 from sondage.queries import QUERIES
 
@@ -58,3 +60,24 @@ def test_magnetics_of_equal_cells(spark, monkeypatch, many_parts, most):
     c, s = math.cos(math.radians(60)), math.sin(math.radians(60))
     want = {k: 0.01 * 50000 / (2 * math.pi) * float(((s * s - c * c) * corners(ATAN, k, PART) + 2 * s * c * corners(LOG, k, PART)).sum()) for k in range(1, 31)}
     effect_once(spark, monkeypatch, many_parts, "magnetic_kernel", "field", want, most)
+
+
+def test_median_depths_in_batches(spark):
+    """Each batch is bisected at once, not each reading in a fold; remote electrodes and arrays without signal as before."""
+    r = spark.range(20000).selectExpr("double(id % 50 + 1) AS am", "CASE WHEN id % 3 > 0 THEN id % 50 + 3D END AS bm", "id % 50 + 3D AS an", "CASE WHEN id % 3 > 1 THEN id % 50 + 4D END AS bn")
+    df = r.withColumn("depth", scalar.median_depth(*[F.col(c) for c in r.columns]))
+    assert "ArrowEvalPython" in plan(df) and "aggregate(" not in plan(df)
+    want = {}
+    for row in df.collect():
+        d = tuple(row[:4])
+        if d not in want:
+            part = lambda z, d=d: sum(s * (1 / x - 1 / math.sqrt(x * x + 4 * z * z)) for s, x in zip((1, -1, -1, 1), d, strict=True) if x)
+            total = sum(s / x for s, x in zip((1, -1, -1, 1), d, strict=True) if x)
+            lo, hi = 0.0, 10 * max(x for x in d if x)
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if total and part(mid) / total < 0.5 else (lo, mid)
+            want[d] = (lo + hi) / 2 if total else None
+        assert row["depth"] == (want[d] and pytest.approx(want[d], rel=1e-12))
+    none = spark.sql("SELECT 2D AS r").select(scalar.median_depth(*[F.col("r")] * 4).alias("depth"))  # no signal
+    assert none.first()["depth"] is None
