@@ -32,9 +32,13 @@ RES2DINV_LAYOUT = {
 
 def lines(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
     """(file, line_no from 1, line) of text files, or of a table of them (file, text); carriage returns and byte order marks are dropped."""
+    return _whole(spark, path).select("file", F.posexplode("lines").alias("p", "line")).select("file", (F.col("p") + 1).alias("line_no"), "line")
+
+
+def _whole(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
+    """(file, lines): a row per file."""
     read = path.select("file", F.col("text").alias("value")) if isinstance(path, DataFrame) else spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    whole = read.select("file", F.regexp_replace("value", "\r|\ufeff", "").alias("v"))
-    return whole.select("file", F.posexplode(F.split("v", "\n")).alias("p", "line")).select("file", (F.col("p") + 1).alias("line_no"), "line")
+    return read.select("file", F.split(F.regexp_replace("value", "\r|\ufeff", ""), "\n").alias("lines"))
 
 
 def _by_header(rows: DataFrame, heads: DataFrame, names: list[str], text: set[str]) -> DataFrame:
@@ -269,12 +273,12 @@ def read_res2dinv(spark: SparkSession, path: str) -> DataFrame:
     Line 2 is the unit spacing, line 3 the type; the number of readings is in line 4, of a general file in line 7. Line 5
     says whether x is the first electrode (0) or the middle of a reading (1). Electrodes are counted from the first.
     """
-    all_ = lines(spark, path)
-    on_line = lambda i: F.max(F.when(F.col("line_no") == i, number(F.col("line"))))
-    head = all_.where("line_no <= 7").groupBy("file").agg(on_line(2).alias("spacing"), on_line(3).cast("int").alias("kind"), on_line(4).alias("_4"), F.coalesce(on_line(5), F.lit(0.0)).alias("middle"), on_line(7).alias("_7"))
-    head = head.withColumn("count", F.when(F.col("kind") == 11, F.col("_7")).otherwise(F.col("_4"))).drop("_4", "_7")
-    rows = all_.where("line_no > 5").select("file", F.col("line_no").alias("row_seq"), F.transform(fields(F.col("line"), r"[\s,]+"), lambda x: number(x)).alias("f"))
-    rows = rows.where("forall(f, v -> v IS NOT NULL)").join(head, "file")
+    on_line = lambda i: number(F.get("lines", F.lit(i - 1)))
+    # Each file's header goes with its lines: no join, for which Spark would take exploded lines for as few as the files.
+    head = _whole(spark, path).select("file", "lines", on_line(2).alias("spacing"), on_line(3).cast("int").alias("kind"), F.coalesce(on_line(5), F.lit(0.0)).alias("middle"), F.when(on_line(3).cast("int") == 11, on_line(7)).otherwise(on_line(4)).alias("count"))
+    rows = head.select("file", "spacing", "kind", "middle", "count", F.posexplode("lines").alias("p", "line")).where("p >= 5")
+    rows = rows.select("file", "spacing", "kind", "middle", "count", (F.col("p") + 1).alias("row_seq"), F.transform(fields(F.col("line"), r"[\s,]+"), lambda x: number(x)).alias("f"))
+    rows = rows.where("forall(f, v -> v IS NOT NULL)")
     at = lambda i: F.get("f", F.lit(i))
     # A general row names its 2, 3 or 4 electrodes; of three the second current electrode is remote, of two also the second potential one.
     used = at(0)

@@ -99,3 +99,13 @@ def test_times_through_tiles(spark, monkeypatch, tmp_path):
     sources = spark.createDataFrame([("0", 0), ("1", 4), ("2", 8)], "source string, node long")
     want = {(r["source"], r["node"]): r["time"] for r in tomography.first_times(tomography.links(nodes, 2.0, 3), sources).collect()}
     assert set(got) == set(want) and got == pytest.approx(want, abs=1.1e-9)
+
+
+def test_headers_of_resistivity_files_need_no_join(spark, tmp_path):
+    """A join could broadcast the exploded lines of all files, whose size Spark takes for that of the table behind them."""
+    spark.range(300).selectExpr("id AS p_partkey", "int(id % 9) AS p_size", "900D + id AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["source_res2dinv"](spark, str(tmp_path))
+    assert "Join" not in plan(df)
+    got = df.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("rhoa").alias("least"), F.max("a").alias("last")).collect()
+    first = {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
+    assert {(r["file"], r["n"], r["least"], r["last"]) for r in got} == {(f"k{k}-{line}", 50, 900.0 + 50 * line, 49 + first[k]) for k in range(1, 8) for line in range(6)}
