@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .ordered import few, with_next
 
@@ -11,15 +12,45 @@ from .ordered import few, with_next
 def interval_match(points: DataFrame, windows: DataFrame, at: str, start: str, end: str, seq: str, width: float, tolerance: float = 0.0, point_key: str = "point_key") -> DataFrame:
     """LEFT join of each point to the first window (by ``seq``) with start - tolerance <= at <= end + tolerance.
 
-    Windows are dealt to buckets of ``width`` (choose it near a window's length); a window spans several, a point
-    has one. ``point_key`` names the unique key of points. Both ends are inclusive.
+    Time is cut into buckets of ``width`` (choose it near a window's length) or of a part of it that few windows begin
+    and end in. What covers a bucket whole counts by its least ``seq`` only, found over aligned spans of 1, 2, 4 .. buckets;
+    of the windows that begin or end in it those stay that are before that one and that no earlier one covers there. A
+    point meets the short list of its bucket, so no pairs are made. ``point_key`` names the unique key of points. Both
+    ends are inclusive.
     """
-    bucket = lambda c: F.floor(c / F.lit(float(width)))
     lo, hi = F.col(start) - F.lit(tolerance), F.col(end) + F.lit(tolerance)
-    dealt = windows.where(lo <= hi).withColumn("_bucket", F.explode(F.sequence(bucket(lo), bucket(hi))))
-    hit = points.select(point_key, at).withColumn("_bucket", bucket(F.col(at))).join(dealt, "_bucket").where((F.col(at) >= lo) & (F.col(at) <= hi))
-    first = hit.groupBy(point_key).agg(F.min_by(F.struct(*windows.columns), seq).alias("_w"))
-    return points.join(first, point_key, "left").select(*points.columns, *[F.col("_w")[c].alias(c) for c in windows.columns])
+    held = windows.select(F.struct(*windows.columns).alias("_w"), F.col(seq).alias("_seq"), lo.cast("double").alias("_lo"), hi.cast("double").alias("_hi")).where("_lo <= _hi AND _seq IS NOT NULL")
+    said = held.agg(F.count(F.lit(1)), F.max("_hi") - F.min("_lo"), F.max(F.col("_hi") - F.col("_lo"))).first()
+    span, fine = said[1] or 0.0, float(width)
+    while fine * said[0] > 8 * span > 0 and fine > width / 1024:  # four to eight begin, and as many end, in a bucket
+        fine /= 2
+    bucket = lambda c: F.floor(c / F.lit(fine))
+    held = held.withColumns({"_first": bucket(F.col("_lo")), "_last": bucket(F.col("_hi"))})
+
+    # Of buckets first + 1 .. last - 1 the aligned spans: at each level at most one at either end.
+    levels = max(0, int((said[2] or 0.0) / fine)).bit_length() + 1
+    nodes = []
+    for k in range(levels):
+        left, right = F.expr(f"shiftright(_first + {2**k}, {k})"), F.expr(f"shiftright(_last, {k})")
+        nodes += [F.when((left < right) & (F.abs(n % 2) == 1), F.struct(F.lit(k).alias("k"), (n - back).alias("n"))) for n, back in ((left, 0), (right, 1))]
+    whole = held.select("_seq", F.explode(F.filter(F.array(*nodes), lambda x: x.isNotNull())).alias("_n")).groupBy("_n.k", "_n.n").agg(F.min("_seq").alias("_least"))
+    each = F.explode(F.sequence(F.expr("shiftleft(n, k)"), F.expr("shiftleft(n + 1, k) - 1"))).alias("_bucket")
+    cover = whole.select(each, "_least").groupBy("_bucket").agg(F.min("_least").alias("_least"))
+    covering = cover.join(held, F.col("_least") == F.col("_seq")).where("_bucket > _first AND _bucket < _last")
+
+    ends = held.withColumn("_bucket", F.explode(F.array_distinct(F.array("_first", "_last")))).join(cover, "_bucket", "left").where("_least IS NULL OR _seq < _least")
+    side = F.when(F.col("_first") == F.col("_last"), 0).when(F.col("_bucket") == F.col("_first"), 1).otherwise(2)
+    earlier = Window.partitionBy("_bucket", "_side").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_side", side).withColumns({"_from": F.min("_lo").over(earlier), "_to": F.max("_hi").over(earlier)})
+    ends = ends.where("_side = 0 OR _from IS NULL OR _side = 1 AND _lo < _from OR _side = 2 AND _hi > _to")
+
+    kept = ["_bucket", "_seq", "_lo", "_hi", "_w"]
+    lists = covering.select(*kept).unionByName(ends.select(*kept)).groupBy("_bucket").agg(F.collect_list(F.struct(*kept[1:])).alias("_list"))
+    before = lambda a, b: F.when(a["_seq"] < b["_seq"], -1).when(a["_seq"] > b["_seq"], 1).otherwise(0)
+    lists = lists.select("_bucket", F.array_sort("_list", before).alias("_list"))
+    met = points.withColumn("_bucket", bucket(F.col(at))).join(lists, "_bucket", "left")
+    first = F.get(F.filter("_list", lambda w: (F.col(at) >= w["_lo"]) & (F.col(at) <= w["_hi"])), F.lit(0))["_w"]
+    return met.withColumn("_w", first).select(*points.columns, *[F.col("_w")[c].alias(c) for c in windows.columns])
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: float) -> DataFrame:

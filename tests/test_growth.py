@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions import scalar
 from sondage.operators import potential, tomography
+from sondage.plans import joins
 from sondage.plans.scratch import written
 from sondage.queries import QUERIES
 
@@ -109,3 +110,42 @@ def test_headers_of_resistivity_files_need_no_join(spark, tmp_path):
     got = df.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("rhoa").alias("least"), F.max("a").alias("last")).collect()
     first = {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
     assert {(r["file"], r["n"], r["least"], r["last"]) for r in got} == {(f"k{k}-{line}", 50, 900.0 + 50 * line, 49 + first[k]) for k in range(1, 8) for line in range(6)}
+
+
+def windows_by_hand(at, windows, name):
+    return {k: next((w[name] for w in sorted(windows, key=lambda w: w["w"]) if t is not None and w["t0"] - 1.5 <= t <= w["t1"] + 1.5), None) for k, t in at.items()}
+
+
+@pytest.mark.parametrize("name", ["w", "name"])
+def test_first_windows_among_many(spark, name):
+    """Thousands of windows of all lengths in a bucket of the width: what a point meets is short, and no pairs are made."""
+    rng = np.random.default_rng(3)
+    at = {k: None if k % 97 == 0 else float(t) for k, t in enumerate(np.round(rng.uniform(-50, 650, 1500), 1))}
+    start, size = np.round(rng.uniform(-40, 600, 3000), 1), np.round(rng.choice([-5, 0.0, 0.3, 4, 30, 300], 3000, p=[0.05, 0.2, 0.35, 0.35, 0.04, 0.01]), 1)
+    order = rng.permutation(3000) - 100
+    windows = [{"w": int(order[i]), "name": int(order[i]) % 11, "t0": float(start[i]), "t1": float(start[i] + size[i])} for i in range(3000)]
+    windows += [{"w": 2900, "name": 12, "t0": -400.0, "t1": 3000.0}, {"w": None, "name": 13, "t0": 0.0, "t1": 90.0}]
+    points = spark.createDataFrame([(k, t) for k, t in at.items()], "seq long, t double")
+    table_ = spark.createDataFrame([tuple(w.values()) for w in windows], "w long, name long, t0 double, t1 double")
+    df = joins.interval_match(points, table_, "t", "t0", "t1", "w", width=300.0, tolerance=1.5, point_key="seq")
+    assert {r["seq"]: r[name] for r in df.collect()} == windows_by_hand(at, [w for w in windows if w["w"] is not None], name)
+    lists = [int(m) for m in met_rows(df)]
+    assert max(lists) < 40000  # rows out of any join or Generate
+
+
+def met_rows(df):
+    """Rows out of every join and Generate of the plan as it ran."""
+    df._jdf.queryExecution().executedPlan()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        if ("Join" in kind or kind == "GenerateExec") and p.metrics().contains("numOutputRows"):
+            out.append(p.metrics().apply("numOutputRows").value())
+        c = p.children()
+        todo += [c.apply(i) for i in range(c.size())]
+    return out
