@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .ordered import few, with_next
+from .scratch import written
 
 
 def interval_match(points: DataFrame, windows: DataFrame, at: str, start: str, end: str, seq: str, width: float, tolerance: float = 0.0, point_key: str = "point_key") -> DataFrame:
@@ -120,13 +121,33 @@ def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def nearest_within(points: DataFrame, others: DataFrame, key: str, x: str, y: str, other_key: str, tolerance: float) -> DataFrame:
     """(key, other, distance): of each point the nearest of ``others`` within the tolerance, the least of equal ones.
 
-    Points without one are left out, so an anti join on the result masks what is far from all samples.
+    Points without one are left out, so an anti join on the result masks what is far from all samples. Cells begin with
+    the side, a half, a fourth .. of the tolerance, at which the ``others`` of a cell are two on average, and a point
+    meets the list of the nine around it, one row. It is done if its nearest is no farther than the side; the rest is
+    written and meets cells twice as wide, up to the tolerance.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(tolerance)))
-    near = F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))")
-    one = points.select(F.col(key).alias("key"), F.col(x).alias("_x1"), F.col(y).alias("_y1"), cell(x).alias("_cx"), cell(y).alias("_cy"), F.explode(near).alias("_d"))
-    one = one.withColumn("_cx", F.col("_cx") + F.col("_d.i")).withColumn("_cy", F.col("_cy") + F.col("_d.j")).drop("_d")
-    two = others.select(F.col(other_key).alias("other"), F.col(x).alias("_x2"), F.col(y).alias("_y2"), cell(x).alias("_cx"), cell(y).alias("_cy"))
-    d = distance(F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2"))
-    met = one.join(two, ["_cx", "_cy"]).select("key", "other", d.alias("distance")).where(F.col("distance") <= tolerance)
-    return met.groupBy("key").agg(F.min(F.struct("distance", "other")).alias("b")).select(F.col("key").alias(key), F.col("b.other").alias("other"), F.col("b.distance").alias("distance"))
+    near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))"))
+    cell = lambda c, side: F.floor(F.col(c) / F.lit(side))
+    left = points.select(F.col(key).alias("key"), F.col(x).alias("_x1"), F.col(y).alias("_y1"))
+    places = others.select(F.col(x).alias("_x2"), F.col(y).alias("_y2"), F.col(other_key).alias("other")).where("_x2 IS NOT NULL AND _y2 IS NOT NULL")
+    places = written(places.groupBy("_x2", "_y2").agg(F.min("other").alias("other")), "places")
+    sides = [float(tolerance) / 2**k for k in range(11)]
+    said = places.agg(F.count(F.lit(1)), *[F.approx_count_distinct(F.struct(cell("_x2", s), cell("_y2", s))) for s in sides]).first()
+    least = next((k for k, n in enumerate(said[1:]) if said[0] <= 2 * n), len(sides) - 1)
+    found = []
+    for side in reversed(sides[: least + 1]):
+        dealt = places.select("_x2", "_y2", "other", cell("_x2", side).alias("_cx"), cell("_y2", side).alias("_cy"), near.alias("_d"))
+        dealt = dealt.groupBy((F.col("_cx") + F.col("_d.i")).alias("_cx"), (F.col("_cy") + F.col("_d.j")).alias("_cy")).agg(F.collect_list(F.struct("_x2", "_y2", "other")).alias("_list"))
+        each = F.transform("_list", lambda o: F.struct(distance(F.col("_x1"), F.col("_y1"), o["_x2"], o["_y2"]).alias("distance"), o["other"].alias("other")))
+        met = left.withColumns({"_cx": cell("_x1", side), "_cy": cell("_y1", side)}).join(dealt, ["_cx", "_cy"], "inner" if side == tolerance else "left").select("key", "_x1", "_y1", F.array_min(each).alias("b"))
+        if side == tolerance:
+            found.append(met.where(F.col("b.distance") <= tolerance).select("key", "b"))
+        else:
+            met = written(met, "nearest")
+            done = F.coalesce(F.col("b.distance") < side * (1 - 1e-9), F.lit(False))  # others outside of the nine cells are farther than the side
+            found.append(met.where(done).select("key", "b"))
+            left = met.where(~done).select("key", "_x1", "_y1")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out.groupBy("key").agg(F.min("b").alias("b")).select(F.col("key").alias(key), F.col("b.other").alias("other"), F.col("b.distance").alias("distance"))

@@ -149,3 +149,21 @@ def met_rows(df):
         c = p.children()
         todo += [c.apply(i) for i in range(c.size())]
     return out
+
+
+def test_nearest_of_dense_samples(spark):
+    """Cells as fine as the samples lie, then wider ones for what is far from all; a point meets one row of a cell, not its samples."""
+    rng = np.random.default_rng(5)
+    dense = [(k, float(a), float(b)) for k, (a, b) in enumerate(rng.integers(0, 60, (3000, 2)) / 2)]  # many at one place
+    others = [*dense, (3000, 70.0, 70.0), (2999, 70.0, 70.0), (3001, 150.0, 70.0), (3002, None, 1.0), (3003, -300.0, -1.0)]
+    points = [(k, float(a), float(b)) for k, (a, b) in enumerate(rng.integers(-40, 200, (1500, 2)) / 2)]
+    points += [(1500, 110.0, 70.0), (1501, -260.0, -1.0), (1502, -259.9, -1.0), (1503, None, 0.0), (0, 5.0, 5.25)]  # equally far from two, at the tolerance, beyond, nowhere, an id again
+    df = joins.nearest_within(spark.createDataFrame(points, "k long, x double, y double"), spark.createDataFrame(others, "j long, x double, y double"), "k", "x", "y", "j", 40.0)
+    want = {}
+    for k, x, y in points:
+        d = [(math.sqrt((x - a) * (x - a) + (y - b) * (y - b)), j) for j, a, b in others if a is not None] if x is not None else []
+        d = [v for v in d if v[0] <= 40]
+        if d:
+            want[k] = min([want[k], *d] if k in want else d)
+    assert {r["k"]: (r["distance"], r["other"]) for r in df.collect()} == want and df.count() == len(want)
+    assert max(int(m) for m in met_rows(df)) <= 9 * len(others)  # 1.4 million pairs in cells of the tolerance
