@@ -42,13 +42,23 @@ def coherency(spectrum: DataFrame, node: str, window: str, by: str | None = None
     return out.where("p > 0").select(*keys, "i", "j", "f", (F.col("r") / F.col("p")).alias("re"), (F.col("m") / F.col("p")).alias("im"), "windows")
 
 
+#: Nodes of a block of an array; pairs of blocks are shared out.
+BLOCK = 1000
+
+
 def separations(nodes: DataFrame, node: str, x: str, y: str, by: str | None = None) -> DataFrame:
-    """(i, j, r) of all pairs of nodes, or with ``by`` (by, i, j, r) of the pairs within each array."""
-    if by:
-        b = nodes.select(by, F.col(node).alias("j"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-        return nodes.select(by, F.col(node).alias("i"), x, y).join(b, by).where("i < j").select(by, "i", "j", distance(F.col(x), F.col(y), F.col("_x"), F.col("_y")).alias("r"))
-    b = nodes.select(F.col(node).alias("j"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    return nodes.select(F.col(node).alias("i"), x, y).join(b, F.col("i") < F.col("j")).select("i", "j", distance(F.col(x), F.col(y), F.col("_x"), F.col("_y")).alias("r"))
+    """(i, j, r) of all pairs of nodes, or with ``by`` (by, i, j, r) of the pairs within each array.
+
+    An array of more than BLOCK nodes is dealt to blocks, and each pair of its blocks is a key of the join.
+    """
+    keys = [by] if by else []
+    many = nodes.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_n"))
+    dealt = nodes.join(few(many), by) if by else nodes.crossJoin(F.broadcast(many))  # one row
+    dealt = dealt.select(*keys, F.col(node).alias("i"), F.col(x).alias("_x0"), F.col(y).alias("_y0"), "_n", F.pmod(F.xxhash64(node), F.col("_n")).alias("_g"))
+    one = dealt.withColumn("_h", F.explode(F.sequence(F.col("_g"), F.col("_n") - 1))).drop("_n")
+    two = dealt.select(*keys, F.col("i").alias("j"), F.col("_x0").alias("_x1"), F.col("_y0").alias("_y1"), F.col("_g").alias("_h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g"))).alias("_g"))
+    met = one.join(two, [*keys, "_g", "_h"]).where("i < j OR i > j AND _g < _h")  # a pair of two blocks comes once, in either order
+    return met.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), distance(F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1")).alias("r"))
 
 
 def rings(pairs: DataFrame, tolerance: float = 0.05, by: str | None = None) -> DataFrame:

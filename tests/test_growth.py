@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondage.functions import scalar
-from sondage.operators import potential, tomography
+from sondage.operators import passive, potential, tomography
 from sondage.plans import joins
 from sondage.plans.scratch import written
 from sondage.queries import QUERIES
@@ -167,3 +167,23 @@ def test_nearest_of_dense_samples(spark):
             want[k] = min([want[k], *d] if k in want else d)
     assert {r["k"]: (r["distance"], r["other"]) for r in df.collect()} == want and df.count() == len(want)
     assert max(int(m) for m in met_rows(df)) <= 9 * len(others)  # 1.4 million pairs in cells of the tolerance
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    """An array larger than a block is shared out by pairs of blocks; every pair comes once, its smaller node first."""
+    monkeypatch.setattr(passive, "BLOCK", 40)
+    nodes = [(k, k * 17 % 101 / 1.0, k * 29 % 97 / 1.0, k % 3 if k < 240 else None if k < 245 else 9) for k in range(250)] + [(7, 3.0, 4.0, 1), (None, 0.0, 0.0, 1)]
+    df = spark.createDataFrame(nodes, "n long, x double, y double, a long")
+    got = passive.separations(df, "n", "x", "y", "a")
+    want = sorted((p[3], p[0], q[0], math.dist(p[1:3], q[1:3])) for p in nodes for q in nodes if p[3] is not None and p[3] == q[3] and None not in (p[0], q[0]) and p[0] < q[0])
+    rows = sorted(tuple(r) for r in got.select("a", "i", "j", "r").collect())
+    assert [r[:3] for r in rows] == [w[:3] for w in want] and [r[3] for r in rows] == pytest.approx([w[3] for w in want])
+    assert "_g" in plan(got) and "_h" in plan(got)  # keys of pairs of blocks, not the array alone
+    alone = passive.separations(df.where("a = 9"), "n", "x", "y")
+    assert alone.columns == ["i", "j", "r"] and alone.count() == 10
+
+
+def test_rounded_separations(spark):
+    """Every distance of the query's positions is rounded as by F.round."""
+    d = spark.range(101).crossJoin(spark.range(97).withColumnRenamed("id", "b")).select(F.sqrt(F.col("id") * F.col("id") + F.col("b") * F.col("b")).alias("r"))
+    assert d.where(F.round("r", 6) != F.floor(F.col("r") * 1e6 + 0.5) / 1e6).isEmpty()
